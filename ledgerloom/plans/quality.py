@@ -243,7 +243,7 @@ SQL = {
     "q09": "SELECT CAST(order_id AS VARCHAR) AS row_key, CAST(count(DISTINCT score) AS VARCHAR) AS detail FROM x_reviews GROUP BY order_id HAVING count(*) > 1",
     "q10": "SELECT CAST(p_partkey AS VARCHAR) AS row_key, CASE WHEN p_type = 'PROMO' THEN 'no category' ELSE 'no weight' END AS detail FROM part WHERE p_type = 'PROMO' OR p_size <= 1",
     "q12": """SELECT CAST(seller_id AS VARCHAR) AS row_key, zip_region AS detail FROM x_sellers s JOIN (SELECT zip, seller_region AS zip_region FROM (
-  SELECT seller_id % 20 AS zip, seller_region, row_number() OVER (PARTITION BY seller_id % 20 ORDER BY count(*) DESC, seller_region) AS rn FROM x_sellers GROUP BY ALL) WHERE rn = 1) z
+  SELECT zip, seller_region, row_number() OVER (PARTITION BY zip ORDER BY n DESC, seller_region) AS rn FROM (SELECT seller_id % 20 AS zip, seller_region, count(*) AS n FROM x_sellers GROUP BY 1, 2)) WHERE rn = 1) z
   ON z.zip = s.seller_id % 20 WHERE seller_region <> zip_region""",
     "q13": "SELECT CAST(order_id AS VARCHAR) AS row_key, CAST(NULL AS VARCHAR) AS detail FROM x_gap WHERE cause = 'unexplained'",
     "q14": "SELECT CAST(order_id AS VARCHAR) AS row_key, CAST(NULL AS VARCHAR) AS detail FROM x_lines GROUP BY order_id HAVING min(ship_date) FILTER (line_status = 'F') < min(ship_date) FILTER (line_status = 'O')",
@@ -359,8 +359,8 @@ def _(t: Tables):
 
 
 @query("p13_row_rejects", """
-SELECT order_id, line_seq, array_to_string(list_filter([CASE WHEN ship_date < purchase_date THEN 'shipped before the order' END,
-   CASE WHEN quantity > 45 THEN 'quantity out of range' END, CASE WHEN freight = 0 AND line_status = 'O' THEN 'open without freight' END], x -> x IS NOT NULL), '; ') AS reasons
+SELECT order_id, line_seq, concat_ws('; ', CASE WHEN ship_date < purchase_date THEN 'shipped before the order' END,
+   CASE WHEN quantity > 45 THEN 'quantity out of range' END, CASE WHEN freight = 0 AND line_status = 'O' THEN 'open without freight' END) AS reasons
 FROM x_lines JOIN x_orders USING (order_id)
 WHERE ship_date < purchase_date OR quantity > 45 OR (freight = 0 AND line_status = 'O')""")
 def _(t: Tables):

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, app: str = "ledgerloom", memory: str = "8g") -> SparkSession:
@@ -46,3 +47,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="ledgerloom-checkpoint-")
     sc.setCheckpointDir(folder)
     return folder
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write an intermediate table once and go on from the written copy.
+
+    For results that several later steps read (a series table, the judged
+    series), so the facts behind them are read once. The copy lies in the shared
+    checkpoint folder and survives the loss of executors; its retention is the
+    folder's.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/settled/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import signal
 import sys
 import time
 
@@ -75,10 +76,16 @@ def main(prefixes: list[str]) -> int:
     con = connect()
     queries, oracles = entry.queries(), entry.oracle_sql()
     failed = 0
+
+    def late(*_):
+        raise TimeoutError("too slow")
+
+    signal.signal(signal.SIGALRM, late)
     for name, fn in queries.items():
         if prefixes and not any(name.startswith(p) for p in prefixes):
             continue
         start = time.time()
+        signal.alarm(int(os.environ.get("QUERY_SECONDS", "60")))
         try:
             got = fn(spark, SF).toPandas()
             took = time.time() - start
@@ -88,6 +95,8 @@ def main(prefixes: list[str]) -> int:
                 diff = None if len(got) else "no rows"
         except Exception as e:  # report and go on with the next query
             took, diff, got = time.time() - start, f"{type(e).__name__}: {str(e)[:600]}", []
+            spark.sparkContext.cancelAllJobs()
+        signal.alarm(0)
         failed += diff is not None
         mark = "ok  " if diff is None else "FAIL"
         print(f"{mark} {name} rows={len(got)} {took:.2f}s{'' if name in oracles else ' (rows only)'} {diff or ''}", flush=True)
