@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["relations", "kpis", "access", "quality", "alerts", "workshop", "fraud", "hub"]
+MODULES = ["relations", "kpis", "access", "quality", "alerts", "workshop", "fraud", "hub", "sensors"]
 
 
 def load() -> None:
