@@ -90,7 +90,7 @@ def weekday_factor(df: DataFrame) -> DataFrame:
 
 
 def array_median(a: Column) -> Column:
-    s, n = F.array_sort(a), F.size(a)
+    s, n = F.sort_array(a), F.size(a)
     hi = F.get(s, F.floor(n / 2).cast("int"))
     lo = F.get(s, F.floor((n - 1) / 2).cast("int"))
     return (lo + hi) / 2

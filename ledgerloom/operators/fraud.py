@@ -144,7 +144,7 @@ def exposed_use(ops: DataFrame, fraud: Column, p: Params = Params(), hot_rows: i
     return scan.result().withColumn("before_fraud", F.coalesce(gap <= F.lit(int(p.compromise_days * DAY)), F.lit(False))).drop("_next")
 
 
-def compromise(uses: DataFrame, fraud: Column, min_ratio: float, min_victims: int) -> DataFrame:
+def compromise(uses: DataFrame, min_ratio: float, min_victims: int) -> DataFrame:
     """Per shop: victims among its customers against the base rate of all customers."""
     shop = uses.groupBy("shop", "customer").agg(F.bool_or("before_fraud").alias("v")).groupBy("shop").agg(
         F.count("*").alias("customers"), F.count_if("v").alias("victims"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["relations", "kpis", "access", "quality", "alerts", "workshop", "fraud", "hub", "sensors", "airline", "office", "files"]
+MODULES = ["relations", "kpis", "access", "quality", "alerts", "workshop", "fraud", "hub", "sensors", "airline", "office", "files", "streams", "pages"]
 
 
 def load() -> None:

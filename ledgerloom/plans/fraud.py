@@ -13,7 +13,7 @@ from .registry import cte, query
 
 # The fixture is sparse (an operation per customer every ten hours), so speed and look-back are scaled.
 P = R.Params(speed_kmh=60.0, compromise_days=0.5)
-CONFIRMED = F.expr("is_fraud AND amount > 8000")
+CONFIRMED = "is_fraud AND amount > 8000"
 DAY, HOUR = R.DAY, R.HOUR
 
 
@@ -126,12 +126,12 @@ SELECT shop, customers, victims, round(CAST(victims * a AS DOUBLE) / (customers
 
 
 def shops(t: Tables):
-    return R.compromise(R.exposed_use(D.operations(t), CONFIRMED, P), CONFIRMED, 1.3, 10)
+    return R.compromise(R.exposed_use(D.operations(t), F.expr(CONFIRMED), P), 1.3, 10)
 
 
 @query("j16_use_before_fraud", "SELECT op_id, shop, customer FROM x_uses WHERE before_fraud")
 def _(t: Tables):
-    return R.exposed_use(D.operations(t), CONFIRMED, P).filter("before_fraud").select("op_id", "shop", "customer")
+    return R.exposed_use(D.operations(t), F.expr(CONFIRMED), P).filter("before_fraud").select("op_id", "shop", "customer")
 
 
 @query("f03_compromise_ratio", "SELECT shop, customers, victims, times_base, compromised FROM x_shops")
