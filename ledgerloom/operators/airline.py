@@ -100,7 +100,7 @@ def allocate(asks: DataFrame, flights: DataFrame, max_seats: int, rounds: int =
     """
     if flights.filter(F.col("seats") > max_seats).limit(1).count():
         raise ValueError("max_seats is below the largest aircraft")
-    fl = settle(indexed(flights))
+    asks, fl = settle(asks), settle(indexed(flights))
     pax = settle(next_departure(asks, fl, ["o", "z"], "f", ["idx"]).filter("f IS NOT NULL").select("ask_id", "o", "z", F.col("f.idx").alias("first")))
     given = None
     for r in range(rounds):

@@ -112,14 +112,15 @@ def robust_z(df: DataFrame, events: list[Event]) -> DataFrame:
     enough to hold N valid ones.
     """
     longest = max(WINDOW.values()) + sum((e.end - e.start).days + 1 for e in events)
+    # A fixed number of partitions: the groups are few and wide, and would else be coalesced into one task.
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY)
     w = Window.partitionBy(*KEY).orderBy("d").rowsBetween(-longest, -1)
-    past = F.collect_list(F.struct(F.col("adjusted").alias("v"), F.col("planned").alias("p"), F.col("event").alias("e"))).over(w)
+    past = F.collect_list(F.when(~F.col("planned"), F.struct(F.col("adjusted").alias("v"), F.col("event").alias("e")))).over(w)
     df = df.withColumn("_past", past).withColumn("_n", window_length())
-    valid = F.filter(
-        "_past", lambda b: ~b["p"] & (b["e"].isNull() | F.col("event").isNull() | (b["e"] != F.col("event")))
-    )
-    df = df.withColumn("_v", F.transform(valid, lambda b: b["v"]))
+    other = F.filter("_past", lambda b: b["e"].isNull() | (b["e"] != F.col("event")))
+    df = df.withColumn("_v", F.when(F.col("event").isNull(), F.col("_past")).otherwise(other))
     df = df.withColumn("_v", F.slice("_v", F.greatest(F.size("_v") - F.col("_n") + 1, F.lit(1)), F.col("_n")))
+    df = df.withColumn("_v", F.transform("_v", lambda b: b["v"]))
     df = df.withColumn("n_base", F.size("_v"))
     full = F.col("n_base") == F.col("_n")
     df = df.withColumn("median", F.when(full, array_median(F.col("_v"))))

@@ -100,11 +100,12 @@ def kpis(
     wanted = [REGISTRY[n] for n in (names or REGISTRY)]
     out = None
     for ds in dict.fromkeys(k.dataset for k in wanted):
-        base = rel["orders" if ds == "customers" else ds]()
+        ready = ds in rel  # per-customer counts may be there already
+        base = rel[ds if ready else "orders"]()
         if any(c not in base.columns for c in by):
             continue
         base = apply_filters(base, filters)
-        if ds == "customers":
+        if ds == "customers" and not ready:
             base = customer_counts(base, by)
         group = [k.name for k in wanted if k.dataset == ds]
         wide = evaluate_wide(base, group, by)

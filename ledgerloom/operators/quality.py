@@ -17,26 +17,33 @@ SEVERITIES = ("quarantine", "fixed", "warning", "informative", "guard")
 
 @dataclass(frozen=True)
 class Check:
+    """A condition (SQL text) on one base relation; ``key`` and ``detail`` name the flagged row."""
+
     id: str
     severity: str
-    rows: Callable[..., DataFrame]
+    base: str
+    when: str
+    key: str
+    detail: str = "NULL"
 
 
-def flag(df: DataFrame, when: Column, key: Column | str, detail: Column | str | None = None) -> DataFrame:
-    k = F.col(key) if isinstance(key, str) else key
-    d = F.lit(None) if detail is None else (F.col(detail) if isinstance(detail, str) else detail)
-    return df.filter(when).select(k.cast("string").alias("row_key"), d.cast("string").alias("detail"))
+def flagged(check: Check, base: DataFrame) -> DataFrame:
+    """The rows a check flags: (row_key, detail)."""
+    return base.filter(check.when).select(
+        F.expr(check.key).cast("string").alias("row_key"), F.expr(check.detail).cast("string").alias("detail")
+    )
 
 
-def report(checks: list[Check], *args) -> DataFrame:
-    """Rows per check; each check is counted where it runs, only the counts are combined."""
+def report(checks: list[Check], bases: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """Rows per check. All checks of a base relation are counted in one pass over it."""
+    severities = F.create_map(*[F.lit(x) for c in checks for x in (c.id, c.severity)])
     out = None
-    for c in checks:
-        n = c.rows(*args).agg(F.count("*").alias("n")).select(
-            F.lit(c.id).alias("check_id"), F.lit(c.severity).alias("severity"), "n"
-        )
-        out = n if out is None else out.unionByName(n)
-    return out
+    for base in dict.fromkeys(c.base for c in checks):
+        ids = [c.id for c in checks if c.base == base]
+        wide = bases[base]().agg(*[F.count_if(F.expr(c.when)).alias(c.id) for c in checks if c.base == base])
+        long = wide.unpivot([], ids, "check_id", "n")
+        out = long if out is None else out.unionByName(long)
+    return out.select("check_id", severities[F.col("check_id")].alias("severity"), "n")
 
 
 def split_valid(df: DataFrame, rules: dict[str, Column]) -> DataFrame:

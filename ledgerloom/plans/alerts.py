@@ -113,12 +113,12 @@ def _(t: Tables):
 
 
 # ------------------------------------------------------------------ series
-def daily_series(t: Tables):
+def daily_series(t: Tables, orders=None, reviews=None):
     """Six series, each dated the day its value is knowable: (series, region, day, num, den, n).
 
     One pass over the orders gives five of them: every order hands out one entry
     per series and the entries are summed before the shuffle. The whole company
-    is added from the grouped rows, not from the orders.
+    is added from the grouped rows, not from the orders. A load hands in its wide tables.
     """
     dec = lambda c: c.cast("decimal(20,2)")
     none, one = F.lit(None), F.lit(1)
@@ -126,7 +126,7 @@ def daily_series(t: Tables):
         F.lit(name).alias("series"), F.col(day).alias("day"), dec(num).alias("num"), dec(den).alias("den")))
     live, done = F.col("status") != "P", (F.col("status") == "F") & F.col("last_ship").isNotNull()
     shipped = live & F.col("first_ship").isNotNull()
-    o = D.v_orders(t).withColumn("deadline", F.date_sub("promised_date", 2))
+    o = (orders if orders is not None else D.v_orders(t)).withColumn("deadline", F.date_sub("promised_date", 2))
     entries = F.array_compact(F.array(
         entry("orders", live, "purchase_date", one, none),
         entry("sales", live, "purchase_date", F.coalesce("items_value", F.lit(0)), none),
@@ -134,7 +134,7 @@ def daily_series(t: Tables):
         entry("pickups", shipped, "first_ship", one, none),
         entry("late_dispatch", shipped, "deadline", (F.col("first_ship") > F.col("deadline")).cast("int"), one)))
     from_orders = o.select("region", F.explode(entries).alias("e")).select("region", "e.*")
-    r = D.latest_reviews(t).join(D.orders(t).select("order_id", "customer_id"), "order_id").join(D.customers(t).select("customer_id", "region"), "customer_id")
+    r = reviews if reviews is not None else D.latest_reviews(t).join(D.orders(t).select("order_id", "customer_id"), "order_id").join(D.customers(t).select("customer_id", "region"), "customer_id")
     from_reviews = r.select("region", F.lit("negative_reviews").alias("series"), F.col("review_ts").cast("date").alias("day"),
                             dec((F.col("score") <= 2).cast("int")).alias("num"), dec(one).alias("den"))
     g = from_orders.unionByName(from_reviews).groupBy("series", "region", "day").agg(

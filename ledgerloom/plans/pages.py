@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.money import dbl, ratio
 from ..operators import anomalies as A, kpi as K, quality as Q, security as S, targets as G
+from ..session import settle
 from ..sources import domain as D, sinks as W
 from ..sources.tables import Tables
 from . import alerts, kpis, quality
@@ -38,40 +39,59 @@ def load(t: Tables, root: str) -> Warehouse:
     """staging, quality, star, wide tables, targets, anomalies, alerts; refuses when the money does not balance."""
     w = Warehouse(t, root)
     orders, lines = D.orders(t), D.lines(t)
-    held = Q.quarantine(orders, lines)
-    w.put("quarantine_orders", held)
-    kept_l, held_l = Q.cascade(lines, w.get("quarantine_orders"), "order_id")
     big = t.lineitem.count() > BIG_ROWS
-    w.put("v_sales", D.v_sales(t), big)
-    w.put("v_orders", D.v_orders(t), big)
+    # The steps of a wave do not depend on each other; Spark runs their jobs side by side.
+    wave({
+        "sales": lambda: w.put("v_sales", D.v_sales(t), big),
+        "orders": lambda: w.put("v_orders", D.v_orders(t), big),
+        "quarantine": lambda: w.put("quarantine_orders", Q.quarantine(orders, lines)),
+    })
     so, ss = w.get("v_orders"), w.get("v_sales")
-    w.put("v_reviews", D.latest_reviews(t).join(so, "order_id"))
-    own = ss.groupBy("order_id", "seller_id").agg(F.count("*").alias("n_lines"), F.sum("price").alias("price"))
-    w.put("orders_by_seller", own.join(so.drop(*S.ORDER_TOTALS, "n_lines"), "order_id"), big)
-    w.put("reviews_by_seller", own.select("order_id", "seller_id").join(w.get("v_reviews").drop(*S.ORDER_TOTALS, "n_lines"), "order_id"), big)
-    live = ss.filter("status <> 'P'")
-    w.put("agg_sales_daily", live.groupBy(F.col("purchase_date").alias("day"), "ym", "region", "category").agg(
-        F.sum("price").alias("sales"), F.count("*").alias("n_lines"), F.sum("freight").alias("freight")))
-    w.put("agg_delivery_weekly", so.groupBy(F.date_trunc("week", "promised_date").cast("date").alias("week"), "region").agg(
-        F.count("delivered_date").alias("delivered"), F.count_if("on_time").alias("on_time")))
-    w.put("customer_orders", K.customer_counts(so, ["region"]))
     complete = alerts.complete_months(t)
-    month = w.get("agg_sales_daily").groupBy("region", "ym").agg(F.sum("sales").alias("sales"))
-    w.put("targets", G.run_rate(G.monthly(month, complete, alerts.UPLIFT), t.rows("region string, ym int, override double", alerts.OVERRIDES)))
-    k = K.evaluate_wide(so, ["orders", "on_time"], ["ym", "region"])
-    att = month.join(w.get("targets"), ["region", "ym"]).select("region", "ym", ratio("sales", "target", 4).alias("attainment"))
-    w.put("verdicts", k.join(att, ["region", "ym"], "left").select(
-        "ym", "region", "orders", "on_time", "attainment", G.verdict(F.col("on_time"), 0.9, F.col("orders")).alias("on_time_verdict"),
-        G.verdict(F.col("attainment"), 0.9, F.col("orders")).alias("target_verdict")))
-    w.put("judged", A.detect(alerts.settle(alerts.daily_series(t)), alerts.EVENTS, complete, alerts.HOLIDAYS, alerts.FLOOR))
-    w.put("alerts", A.alerts(w.get("judged")))
-    w.put("quality_report", Q.report(quality.CHECKS, t))
-    balance = Q.reconcile(lines, kept_l, held_l, "price", "lines")
-    if not balance.first()["balanced"]:
-        raise Q.PublishRefused("lines do not balance")
+
+    def seller_tables():
+        own = ss.groupBy("order_id", "seller_id").agg(F.count("*").alias("n_lines"), F.sum("price").alias("price"))
+        w.put("orders_by_seller", own.join(so.drop(*S.ORDER_TOTALS, "n_lines"), "order_id"), big)
+
+    def plan():
+        w.put("agg_sales_daily", ss.filter("status <> 'P'").groupBy(F.col("purchase_date").alias("day"), "ym", "region", "category").agg(
+            F.sum("price").alias("sales"), F.count("*").alias("n_lines"), F.sum("freight").alias("freight")))
+        month = w.get("agg_sales_daily").groupBy("region", "ym").agg(F.sum("sales").alias("sales"))
+        w.put("targets", G.run_rate(G.monthly(month, complete, alerts.UPLIFT), t.rows("region string, ym int, override double", alerts.OVERRIDES)))
+        k = K.evaluate_wide(so, ["orders", "on_time"], ["ym", "region"])
+        att = month.join(w.get("targets"), ["region", "ym"]).select("region", "ym", ratio("sales", "target", 4).alias("attainment"))
+        w.put("verdicts", k.join(att, ["region", "ym"], "left").select(
+            "ym", "region", "orders", "on_time", "attainment", G.verdict(F.col("on_time"), 0.9, F.col("orders")).alias("on_time_verdict"),
+            G.verdict(F.col("attainment"), 0.9, F.col("orders")).alias("target_verdict")))
+
+    def reviews():
+        w.put("v_reviews", D.latest_reviews(t).join(so, "order_id"))
+        r = w.get("v_reviews")
+        w.put("judged", A.detect(settle(alerts.daily_series(t, so, r.select("region", "review_ts", "score"))), alerts.EVENTS, complete, alerts.HOLIDAYS, alerts.FLOOR))
+        w.put("alerts", A.alerts(w.get("judged")))
+
+    def balance():
+        kept, held = Q.cascade(lines, w.get("quarantine_orders"), "order_id")
+        if not Q.reconcile(lines, kept, held, "price", "lines").first()["balanced"]:
+            raise Q.PublishRefused("lines do not balance")
+
+    wave({
+        "balance": balance, "reviews": reviews, "plan": plan, "sellers": seller_tables,
+        "weekly": lambda: w.put("agg_delivery_weekly", so.groupBy(F.date_trunc("week", "promised_date").cast("date").alias("week"), "region").agg(
+            F.count("delivered_date").alias("delivered"), F.count_if("on_time").alias("on_time"))),
+        "customers": lambda: w.put("customer_orders", K.customer_counts(so, ["region"])),
+        "quality": lambda: w.put("quality_report", Q.report(quality.CHECKS, quality.bases(t))),
+    })
+    w.put("reviews_by_seller", w.get("orders_by_seller").select("order_id", "seller_id").join(w.get("v_reviews").drop(*S.ORDER_TOTALS, "n_lines"), "order_id"), big)
     return w
 
 
+def wave(steps: dict) -> None:
+    with ThreadPoolExecutor(len(steps)) as pool:
+        for job in [pool.submit(f) for f in steps.values()]:
+            job.result()
+
+
 def collect(parts: dict[str, DataFrame]) -> dict:
     """The small results of a page; its queries do not depend on each other and run side by side."""
     with ThreadPoolExecutor(len(parts)) as pool:
@@ -83,7 +103,8 @@ def relations(w: Warehouse, user: str) -> dict:
     """The datasets ``user`` may use; a seller's come from the seller-grain tables, so security is a scan filter."""
     seller = user in S.USERS and S.USERS[user].role == "seller"
     o, r = ("orders_by_seller", "reviews_by_seller") if seller else ("v_orders", "v_reviews")
-    return {
+    ready = {} if seller else {"customers": lambda: S.rows_for(user, w.get("customer_orders"))}
+    return ready | {
         "sales": lambda: S.rows_for(user, w.get("v_sales")),
         "orders": lambda: S.rows_for(user, w.get(o)),
         "reviews": lambda: S.rows_for(user, w.get(r)),

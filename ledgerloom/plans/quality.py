@@ -118,118 +118,90 @@ def _(t: Tables):
 
 
 # ------------------------------------------------------------------ checks
-def approved(df):
-    return df.withColumn("approved_date", F.date_add("purchase_date", (F.col("order_id") % 5).cast("int")))
-
-
-def delivered_without_date(t):
-    return Q.flag(D.v_orders(t, ()), (F.col("status") == "F") & F.col("last_ship").isNull(), "order_id")
-
-
-def cancelled_with_delivery(t):
-    held = D.lines(t).filter("line_status = 'F'").select("order_id")
-    return Q.flag(D.orders(t).filter("status = 'P'").join(held, "order_id", "left_semi"), F.lit(True), "order_id")
-
-
-def shipped_before_purchase(t):
-    j = D.lines(t).join(D.orders(t).select("order_id", "purchase_date"), "order_id")
-    return Q.flag(j, F.col("ship_date") < F.col("purchase_date"), F.concat_ws("-", "order_id", "line_seq"), F.datediff("purchase_date", "ship_date"))
-
-
-def unreadable_or_negative(t):
-    raw = t.lineitem.select("l_orderkey", S("l_shipdate").alias("d"), "l_extendedprice")
-    return Q.flag(raw, F.expr("try_to_timestamp(d) IS NULL") | (F.col("l_extendedprice") < 0), "l_orderkey")
-
-
-def orphan_lines(t):
-    return Q.flag(D.lines(t).join(D.orders(t).select("order_id"), "order_id", "left_anti"), F.lit(True), "order_id")
+def order_facts(t: Tables):
+    """One row per order with everything the order checks look at, from one pass over the lines."""
+    seen = lambda s: F.min(F.when(F.col("line_status") == s, F.col("ship_date")))
+    facts = D.lines(t).groupBy("order_id").agg(
+        F.count("*").alias("n_lines"), F.sum(F.col("price") + F.col("freight")).cast("decimal(14,2)").alias("lines_due"),
+        F.min("ship_date").alias("first_ship"), F.max("ship_date").alias("last_ship"), seen("F").alias("first_delivered"), seen("O").alias("first_carrier"))
+    o = D.orders(t).join(facts, "order_id", "left").withColumn("approved_date", F.date_add("purchase_date", (F.col("order_id") % 5).cast("int")))
+    return payment_gap(o)
+
+
+def payment_gap(o):
+    """Adds due, differs and the cause of a payment that differs from price plus freight."""
+    o = o.withColumn("due", F.coalesce("lines_due", F.lit(0)).cast("decimal(14,2)"))
+    over = (F.col("total") - F.col("due")).cast("double") / F.when(F.col("due") > 0, dbl("due"))
+    return o.withColumn("differs", F.abs(F.col("total") - F.col("due")) > 0.01).withColumn(
+        "cause", F.when(F.col("n_lines").isNull(), "no items").when(over.between(0.05, 0.15), "interest").otherwise("unexplained"))
 
 
-def duplicate_lines(t):
-    return Q.flag(Q.duplicate_keys(D.lines(t), "order_id", "line_seq"), F.lit(True), F.concat_ws("-", "order_id", "line_seq"), "n")
+def line_facts(t: Tables):
+    """Lines beside their order (left, so that orphans stay) with the raw date as text."""
+    raw = t.lineitem.select(
+        F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_seq"), F.col("l_shipdate").cast("string").alias("raw_date"), "l_extendedprice",
+        F.col("l_shipdate").cast("date").alias("ship_date"))
+    return raw.join(D.orders(t).select("order_id", "purchase_date"), "order_id", "left")
 
 
-def untranslated(t):
+def products_facts(t: Tables):
     known = t.rows("category string, official string", OFFICIAL)
-    return Q.flag(D.products(t).join(F.broadcast(known), "category", "left_anti"), F.lit(True), "product_id", "category")
-
-
-def shipped_before_approval(t):
-    j = approved(D.orders(t)).join(D.order_lines_summary(t), "order_id")
-    return Q.flag(j, F.col("first_ship") < F.col("approved_date"), "order_id", F.datediff("approved_date", "first_ship"))
-
-
-def several_reviews(t):
-    g = D.reviews(t).groupBy("order_id").agg(F.count("*").alias("n"), F.count_distinct("score").alias("scores"))
-    return Q.flag(g, F.col("n") > 1, "order_id", "scores")
+    return t.part.select(F.col("p_partkey").alias("product_id"), F.col("p_type").alias("category"), "p_size").join(F.broadcast(known), "category", "left")
 
 
-def incomplete_product(t):
-    p = D.products(t).join(t.part.select(F.col("p_partkey").alias("product_id"), "p_size"), "product_id")
-    return Q.flag(p, (F.col("category") == "PROMO") | (F.col("p_size") <= 1), "product_id", F.when(F.col("category") == "PROMO", "no category").otherwise("no weight"))
-
-
-def seller_state_differs(t):
+def seller_facts(t: Tables):
     s = D.sellers(t).withColumn("zip", F.col("seller_id") % 20)
     n = s.groupBy("zip", "seller_region").agg(F.count("*").alias("n"))
     usual = n.groupBy("zip").agg(F.min_by("seller_region", F.struct(-F.col("n"), F.col("seller_region"))).alias("zip_region"))
-    return Q.flag(s.join(usual, "zip"), F.col("seller_region") != F.col("zip_region"), "seller_id", "zip_region")
-
-
-def payment_gap(t):
-    """Orders whose payment differs from price plus freight, with the cause."""
-    due = F.coalesce(F.col("items_value") + F.col("freight_value"), F.lit(0))
-    j = D.orders(t).join(D.order_lines_summary(t), "order_id", "left").withColumn("due", due.cast("decimal(14,2)"))
-    over = (F.col("total") - F.col("due")).cast("double") / F.when(F.col("due") > 0, dbl("due"))
-    cause = F.when(F.col("n_lines").isNull(), "no items").when(over.between(0.05, 0.15), "interest").otherwise("unexplained")
-    return j.filter(F.abs(F.col("total") - F.col("due")) > 0.01).withColumn("cause", cause)
-
-
-def payment_differs(t):
-    return Q.flag(payment_gap(t).filter("cause = 'unexplained'"), F.lit(True), "order_id")
-
+    return s.join(usual, "zip")
 
-def delivered_before_carrier(t):
-    g = D.lines(t).groupBy("order_id").agg(
-        F.min(F.when(F.col("line_status") == "F", F.col("ship_date"))).alias("delivered"),
-        F.min(F.when(F.col("line_status") == "O", F.col("ship_date"))).alias("carrier"))
-    return Q.flag(g, F.col("delivered") < F.col("carrier"), "order_id")
 
-
-def incomplete_months(t):
+def month_facts(t: Tables):
     m = D.orders(t).groupBy("ym").agg(F.count("*").alias("n"))
-    usual = m.agg(F.expr("percentile(n, 0.5)").alias("usual"))
-    return Q.flag(m.join(F.broadcast(usual)), F.col("n") < F.col("usual") * MONTH_COMPLETE, "ym", "n")
-
-
-def active_without_items(t):
-    return Q.flag(D.orders(t).filter("status <> 'P'").join(D.lines(t).select("order_id"), "order_id", "left_anti"), F.lit(True), "order_id")
-
+    return m.join(F.broadcast(m.agg(F.expr("percentile(n, 0.5)").alias("usual"))))  # one row
 
-def payment_not_defined(t):
-    return Q.flag(D.orders(t), F.col("payment_type") == "4-NOT SPECIFIED", "order_id")
 
+def bases(t: Tables) -> dict:
+    reviews = D.reviews(t)
+    return {
+        "orders": lambda: order_facts(t),
+        "lines": lambda: line_facts(t),
+        "line keys": lambda: D.lines(t).groupBy("order_id", "line_seq").agg(F.count("*").alias("n")),
+        "products": lambda: products_facts(t),
+        "sellers": lambda: seller_facts(t),
+        "months": lambda: month_facts(t),
+        "reviewed orders": lambda: reviews.groupBy("order_id").agg(F.count("*").alias("n"), F.count_distinct("score").alias("scores")),
+        "reviews": lambda: reviews.groupBy("review_id").agg(F.count_distinct("order_id").alias("n")),
+    }
 
-def paid_interest(t):
-    return Q.flag(payment_gap(t).filter("cause = 'interest'"), F.lit(True), "order_id")
 
+CHECKS = [
+    Q.Check("q01", "quarantine", "orders", "status = 'F' AND last_ship IS NULL", "order_id"),
+    Q.Check("q02", "quarantine", "orders", "status = 'P' AND first_delivered IS NOT NULL", "order_id"),
+    Q.Check("q03", "guard", "lines", "ship_date < purchase_date", "concat_ws('-', order_id, line_seq)", "datediff(purchase_date, ship_date)"),
+    Q.Check("q04", "guard", "lines", "try_to_timestamp(raw_date) IS NULL OR l_extendedprice < 0", "order_id"),
+    Q.Check("q05a", "guard", "lines", "purchase_date IS NULL", "order_id"),
+    Q.Check("q05b", "guard", "line keys", "n > 1", "concat_ws('-', order_id, line_seq)", "n"),
+    Q.Check("q07", "fixed", "products", "official IS NULL", "product_id", "category"),
+    Q.Check("q08", "warning", "orders", "first_ship < approved_date", "order_id", "datediff(approved_date, first_ship)"),
+    Q.Check("q09", "warning", "reviewed orders", "n > 1", "order_id", "scores"),
+    Q.Check("q10", "warning", "products", "category = 'PROMO' OR p_size <= 1", "product_id", "CASE WHEN category = 'PROMO' THEN 'no category' ELSE 'no weight' END"),
+    Q.Check("q12", "warning", "sellers", "seller_region <> zip_region", "seller_id", "zip_region"),
+    Q.Check("q13", "warning", "orders", "differs AND cause = 'unexplained'", "order_id"),
+    Q.Check("q14", "warning", "orders", "first_delivered < first_carrier", "order_id"),
+    Q.Check("q15", "warning", "months", f"n < usual * {MONTH_COMPLETE}", "ym", "n"),
+    Q.Check("q16a", "warning", "orders", "status <> 'P' AND n_lines IS NULL", "order_id"),
+    Q.Check("q16b", "warning", "orders", "payment_type = '4-NOT SPECIFIED'", "order_id"),
+    Q.Check("q17", "informative", "orders", "differs AND cause = 'interest'", "order_id"),
+    Q.Check("q18", "informative", "reviews", "n > 1", "review_id", "n"),
+]
+BY_ID = {c.id: c for c in CHECKS}
 
-def shared_reviews(t):
-    g = D.reviews(t).groupBy("review_id").agg(F.count_distinct("order_id").alias("n"))
-    return Q.flag(g, F.col("n") > 1, "review_id", "n")
 
+def flagged(t: Tables, check_id: str):
+    c = BY_ID[check_id]
+    return Q.flagged(c, bases(t)[c.base]())
 
-CHECKS = [
-    Q.Check("q01", "quarantine", delivered_without_date), Q.Check("q02", "quarantine", cancelled_with_delivery),
-    Q.Check("q03", "guard", shipped_before_purchase), Q.Check("q04", "guard", unreadable_or_negative),
-    Q.Check("q05a", "guard", orphan_lines), Q.Check("q05b", "guard", duplicate_lines),
-    Q.Check("q07", "fixed", untranslated), Q.Check("q08", "warning", shipped_before_approval),
-    Q.Check("q09", "warning", several_reviews), Q.Check("q10", "warning", incomplete_product),
-    Q.Check("q12", "warning", seller_state_differs), Q.Check("q13", "warning", payment_differs),
-    Q.Check("q14", "warning", delivered_before_carrier), Q.Check("q15", "warning", incomplete_months),
-    Q.Check("q16a", "warning", active_without_items), Q.Check("q16b", "warning", payment_not_defined),
-    Q.Check("q17", "informative", paid_interest), Q.Check("q18", "informative", shared_reviews),
-]
 
 SQL = {
     "q01": "SELECT CAST(order_id AS VARCHAR) AS row_key, CAST(NULL AS VARCHAR) AS detail FROM x_ordel WHERE status = 'F' AND last_ship IS NULL",
@@ -263,7 +235,7 @@ TITLES = {
     "q10": "incomplete_product", "q12": "seller_state_differs", "q13": "payment_unexplained", "q14": "delivered_before_carrier",
     "q15": "incomplete_months", "q16a": "active_without_items", "q16b": "payment_not_defined", "q17": "paid_interest", "q18": "shared_reviews"}
 for _check in CHECKS:
-    query(f"{_check.id}_{TITLES[_check.id]}", SQL[_check.id])(lambda t, c=_check: c.rows(t))
+    query(f"{_check.id}_{TITLES[_check.id]}", SQL[_check.id])(lambda t, c=_check.id: flagged(t, c))
 
 
 @query("q08b_approval_lead", """
@@ -271,7 +243,7 @@ SELECT count(*) AS n, median(purchase_date + CAST(order_id % 5 AS INTEGER) - fir
 FROM x_ordel WHERE first_ship < purchase_date + CAST(order_id % 5 AS INTEGER)""")
 def _(t: Tables):
     # Days are few distinct whole numbers: count them first, then one small exact percentile.
-    d = shipped_before_approval(t).groupBy(F.col("detail").cast("int").alias("d")).agg(F.count("*").alias("k"))
+    d = flagged(t, "q08").groupBy(F.col("detail").cast("int").alias("d")).agg(F.count("*").alias("k"))
     return d.agg(F.sum("k").alias("n"), F.expr("percentile(d, 0.5, k)").alias("median_days"))
 
 
@@ -287,7 +259,7 @@ def _(t: Tables):
 @query("q13b_payment_causes", """
 SELECT cause, count(*) AS n, CAST(sum(total) AS DOUBLE) AS paid, CAST(sum(due) AS DOUBLE) AS due FROM x_gap GROUP BY cause""")
 def _(t: Tables):
-    return payment_gap(t).groupBy("cause").agg(F.count("*").alias("n"), dbl(F.sum("total")).alias("paid"), dbl(F.sum("due")).alias("due"))
+    return order_facts(t).filter("differs").groupBy("cause").agg(F.count("*").alias("n"), dbl(F.sum("total")).alias("paid"), dbl(F.sum("due")).alias("due"))
 
 
 @query("j04_orders_without_lines", """
@@ -339,7 +311,7 @@ def _(t: Tables):
 @query("q21_report", " UNION ALL ".join(
     f"SELECT '{c.id}' AS check_id, '{c.severity}' AS severity, count(*) AS n FROM ({SQL[c.id]})" for c in CHECKS))
 def _(t: Tables):
-    return Q.report(CHECKS, t)
+    return Q.report(CHECKS, bases(t))
 
 
 @query("q22_freshness", """
