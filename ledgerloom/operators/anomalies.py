@@ -231,10 +231,10 @@ def covered_counts(intervals: DataFrame, keys: list[str], asked: DataFrame) -> D
     """
     ok = intervals.filter(F.col("start").isNotNull() & (F.col("stop").isNull() | (F.col("stop") > F.col("start"))))
     change = ok.select(*keys, F.explode(F.array(
-        F.struct(F.col("start").alias("day"), F.lit(1).alias("k")), F.struct(F.col("stop").alias("day"), F.lit(-1).alias("k"))
-    )).alias("c")).select(*keys, "c.day", "c.k").filter("day IS NOT NULL").groupBy(*keys, "day").agg(F.sum("k").alias("k"))
-    marks = change.withColumn("asked", F.lit(False)).unionByName(
-        asked.select(*keys, "day").distinct().select(*keys, "day", F.lit(0).cast("bigint").alias("k"), F.lit(True).alias("asked"))
-    ).groupBy(*keys, "day").agg(F.sum("k").alias("k"), F.bool_or("asked").alias("asked"))
-    total = F.sum("k").over(Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
-    return marks.withColumn("n", total).filter("asked").select(*keys, "day", "n")
+        F.struct(F.col("start").alias("day"), F.lit(1).alias("_d")), F.struct(F.col("stop").alias("day"), F.lit(-1).alias("_d"))
+    )).alias("_c")).select(*keys, "_c.day", "_c._d").filter("day IS NOT NULL").groupBy(*keys, "day").agg(F.sum("_d").alias("_d"))
+    marks = change.withColumn("_asked", F.lit(False)).unionByName(
+        asked.select(*keys, "day").distinct().select(*keys, "day", F.lit(0).cast("bigint").alias("_d"), F.lit(True).alias("_asked"))
+    ).groupBy(*keys, "day").agg(F.sum("_d").alias("_d"), F.bool_or("_asked").alias("_asked"))
+    total = F.sum("_d").over(Window.partitionBy(*keys).orderBy("day").rowsBetween(Window.unboundedPreceding, 0))
+    return marks.withColumn("n", total).filter("_asked").select(*keys, "day", "n")

@@ -7,21 +7,25 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.money import dbl, ratio
 from .kpi import month_index
 
-GROWTH = 1.05  # fixed value: the target is the recent pace plus 5 %
+GROWTH_PERCENT = 105  # fixed value: the target is the recent pace plus 5 %
 FLOOR_ORDERS = 30  # fixed value: under 30 orders a month is not judged
 
 
 def monthly(sales: DataFrame, complete: DataFrame, uplift: dict[int, float]) -> DataFrame:
     """Adds completeness and the base (sales without the planned uplift) to (region, ym, sales)."""
-    factor = F.lit(1.0)
+    factor = F.lit(1000)
     for ym, u in uplift.items():
-        factor = F.when(F.col("ym") == ym, F.lit(u)).otherwise(factor)
+        factor = F.when(F.col("ym") == ym, F.lit(round(u * 1000))).otherwise(factor)
+    cents = F.round(F.col("sales") * 100).cast("decimal(28,0)")
     return (
         sales.join(complete, "ym", "left")
         .withColumn("is_complete", F.coalesce("is_complete", F.lit(False)))
         .withColumn("uplift", factor)
-        .withColumn("base", F.round(dbl("sales") / F.col("uplift"), 2).cast("decimal(18,2)"))
+        .withColumn("_c", cents)
+        # Whole cents, rounded half up: the same result on every engine.
+        .withColumn("base", (F.expr("(_c * 2000 + uplift) div (2 * uplift)").cast("decimal(20,0)") / 100).cast("decimal(20,2)"))
         .withColumn("mi", month_index())
+        .drop("_c")
     )
 
 
@@ -38,7 +42,8 @@ def run_rate(months: DataFrame, overrides: DataFrame) -> DataFrame:
     derived = (
         months.join(past, ["region", "mi"])
         .filter((F.col("n") == 3) & F.col("ok") & F.col("is_complete"))
-        .select("region", "ym", F.round(dbl("s") / 3 * GROWTH * F.col("uplift"), 2).alias("derived"))
+        .withColumn("_c", (F.col("s") * 100).cast("decimal(28,0)"))
+        .select("region", "ym", (F.expr(f"(_c * {2 * GROWTH_PERCENT} * uplift + 300000) div 600000").cast("double") / 100).alias("derived"))
     )
     out = derived.join(F.broadcast(overrides), ["region", "ym"], "full_outer")
     return out.select("region", "ym", F.coalesce("override", "derived").alias("target"))

@@ -47,12 +47,10 @@ def targets(t: Tables):
 
 
 cte("x_msales", """
-SELECT region, ym, ym // 100 * 12 + ym % 100 - 1 AS mi, CAST(sum(price) AS DOUBLE) AS sales,
-       CAST(round(CAST(sum(price) AS DOUBLE) / CASE ym WHEN 199603 THEN 1.3::DOUBLE WHEN 199711 THEN 1.4::DOUBLE ELSE 1.0::DOUBLE END, 2) AS DECIMAL(18,2)) AS base,
-       CASE ym WHEN 199603 THEN 1.3::DOUBLE WHEN 199711 THEN 1.4::DOUBLE ELSE 1.0::DOUBLE END AS uplift
-FROM x_vsales WHERE status <> 'P' GROUP BY region, ym""")
+SELECT region, ym, ym // 100 * 12 + ym % 100 - 1 AS mi, CAST(m AS DOUBLE) AS sales, uplift, CAST((CAST(m * 100 AS HUGEINT) * 2000 + uplift) // (2 * uplift) AS DECIMAL(20,0)) AS base_cents FROM (
+ SELECT region, ym, sum(price) AS m, CASE ym WHEN 199603 THEN 1300 WHEN 199711 THEN 1400 ELSE 1000 END AS uplift FROM x_vsales WHERE status <> 'P' GROUP BY region, ym)""")
 cte("x_derived", """
-SELECT a.region, a.ym, round(CAST(sum(b.base) AS DOUBLE) / 3 * 1.05::DOUBLE * any_value(a.uplift), 2) AS derived
+SELECT a.region, a.ym, CAST((CAST(sum(b.base_cents) AS HUGEINT) * 210 * any_value(a.uplift) + 300000) // 600000 AS DOUBLE) / 100 AS derived
 FROM x_msales a JOIN x_complete ca USING (ym) JOIN x_msales b ON a.region = b.region AND b.mi BETWEEN a.mi - 3 AND a.mi - 1
 JOIN x_complete cb ON cb.ym = b.ym WHERE ca.is_complete GROUP BY a.region, a.ym HAVING count(*) = 3 AND bool_and(cb.is_complete)""")
 cte("x_targets", """
@@ -66,7 +64,7 @@ def _(t: Tables):
 
 
 @query("k15_uplift_in_target", """
-SELECT region, CAST(ym AS INTEGER) AS ym, CAST(base AS DOUBLE) AS base, round(sales, 2) AS sales FROM x_msales""")
+SELECT region, CAST(ym AS INTEGER) AS ym, CAST(base_cents AS DOUBLE) / 100 AS base, round(sales, 2) AS sales FROM x_msales""")
 def _(t: Tables):
     m = region_day_sales(t).groupBy("region", "ym").agg(F.sum("sales").alias("sales"))
     return G.monthly(m, complete_months(t), UPLIFT).select("region", "ym", dbl("base").alias("base"), F.round(dbl("sales"), 2).alias("sales"))
