@@ -178,10 +178,23 @@ def episodes(df: DataFrame) -> DataFrame:
     )
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """The same values on other periods (order of the hash of the date): noise with a known spread, no trend, no events."""
+    by_day = Window.partitionBy(*KEY).orderBy("d")
+    by_hash = Window.partitionBy(*KEY).orderBy(F.md5(F.col("d").cast("string")))
+    place = df.select(*KEY, "grain", "d", F.row_number().over(by_day).alias("_i"))
+    values = df.select(*KEY, "value", F.row_number().over(by_hash).alias("_i"))
+    return place.join(values, [*KEY, "_i"]).drop("_i")
+
+
+def judge(series: DataFrame, events: list[Event], complete: DataFrame, holidays: list[str]) -> DataFrame:
+    s = with_events(weekday_factor(series), events)
+    return severity(not_judged(robust_z(s, events), complete, holidays))
+
+
 def detect(daily: DataFrame, events: list[Event], complete: DataFrame, holidays: list[str], floor: float = WEEKLY_UNDER) -> DataFrame:
     """The whole judgement, one row per series, region and period."""
-    s = with_events(weekday_factor(choose_grain(daily, floor)), events)
-    return severity(not_judged(robust_z(s, events), complete, holidays))
+    return judge(choose_grain(daily, floor), events, complete, holidays)
 
 
 def alerts(judged: DataFrame) -> DataFrame:
@@ -195,18 +208,15 @@ def recipients(found: DataFrame, users: DataFrame) -> DataFrame:
     when critical. A region without a manager falls back to directors and
     analyst. Sellers get none. ``users`` is configuration (user_name, role, region).
     """
-    head = users.filter(F.col("role").isin("director", "analyst")).select("user_name", "role")
-    managers = users.filter("role = 'manager'").select("user_name", "region")
-    national = found.filter("region = 'ALL'").join(F.broadcast(head), F.lit(True))
-    regional = found.filter("region <> 'ALL'")
-    own = regional.join(F.broadcast(managers), "region")
-    critical = (
-        regional.filter("is_critical").join(F.broadcast(managers.select("region").distinct()), "region", "left_semi")
-        .join(F.broadcast(head.filter("role = 'director'")), F.lit(True))
-    )
-    orphan = regional.join(F.broadcast(managers), "region", "left_anti").join(F.broadcast(head), F.lit(True))
-    cols = [*found.columns, "user_name"]
-    return national.select(cols).unionByName(own.select(cols)).unionByName(critical.select(cols)).unionByName(orphan.select(cols))
+    managed = users.filter("role = 'manager'").select("region").distinct().withColumn("_managed", F.lit(True))
+    board = F.array(F.lit("director"), F.lit("analyst"))
+    roles = F.when(F.col("region") == "ALL", board).when(
+        F.col("_managed"), F.when(F.col("is_critical"), F.array(F.lit("manager"), F.lit("director"))).otherwise(F.array(F.lit("manager")))
+    ).otherwise(board)
+    asked = found.join(F.broadcast(managed), "region", "left").withColumn("role", F.explode(roles))
+    people = users.select("user_name", "role", F.col("region").alias("_of"))
+    sent = asked.join(F.broadcast(people), "role").filter((F.col("role") != "manager") | (F.col("_of") == F.col("region")))
+    return sent.select(*found.columns, "user_name")
 
 
 def impact(judged: DataFrame, events: list[Event]) -> DataFrame:

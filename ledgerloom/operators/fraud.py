@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geo import great_circle_km
 from ..functions.money import dbl, ratio
+from ..session import literals
 from .ordered import OrderedScan, rolling
 
 HOUR = 3_600_000_000
@@ -150,7 +151,7 @@ def compromise(uses: DataFrame, min_ratio: float, min_victims: int) -> DataFrame
         F.count("*").alias("customers"), F.count_if("v").alias("victims"))
     base = uses.groupBy("customer").agg(F.bool_or("before_fraud").alias("v")).agg(
         F.count("*").alias("all_customers"), F.count_if("v").alias("all_victims"))
-    out = shop.join(F.broadcast(base))  # one row
+    out = shop.withColumns(literals(base))
     rate = F.col("victims") * F.col("all_customers") / (F.col("customers") * F.nullif(F.col("all_victims"), F.lit(0)))
     return out.select("shop", "customers", "victims", F.round(dbl(rate), 6).alias("times_base"),
                       F.coalesce((rate >= min_ratio) & (F.col("victims") >= min_victims), F.lit(False)).alias("compromised"))

@@ -55,11 +55,11 @@ def stage_dates(lines: DataFrame) -> DataFrame:
     )
 
 
-def estimate(open_orders: DataFrame, paces: DataFrame, as_of: Column) -> DataFrame:
+def estimate(open_orders: DataFrame, as_of: Column) -> DataFrame:
     """Adds the stages left, the estimated finish and the reason text.
 
     A stage is done if its date is known by ``as_of``; later dates are not looked
-    at. ``paces`` is one small row per as-of day with p1..p7.
+    at. The rows carry the pace of each stage (p1..p7).
     """
     left = {s: F.col(f"s{s}").isNull() | (F.col(f"s{s}") > as_of) for s in ROUTE}
     days = sum((F.when(left[s], F.coalesce(F.col(f"p{s}"), F.lit(0.0))).otherwise(F.lit(0.0)) for s in ROUTE[1:]),
@@ -98,7 +98,7 @@ def backtest(orders: DataFrame, lines: DataFrame, as_ofs: list) -> DataFrame:
     done = orders.filter("status = 'F'").join(stage_dates(lines), "order_id")
     live = done.withColumn("as_of", F.explode(F.filter(days, lambda d: (F.col("purchase_date") <= d) & (F.col("last_ship") > d))))
     # One row per as-of day: the list of days bounds it.
-    judged = estimate(live.join(F.broadcast(paces), "as_of"), paces, F.col("as_of"))
+    judged = estimate(live.join(F.broadcast(paces), "as_of"), F.col("as_of"))
     return judged.withColumn("flagged", F.col("estimated") > F.col("promised_date")).withColumn(
         "late", F.col("last_ship") > F.col("promised_date")).withColumn("error_days", F.abs(F.datediff("estimated", "last_ship")))
 

@@ -85,9 +85,11 @@ def _(t: Tables):
     rules = S.permissions(list(S.USERS.values()), t.spark)
     base = D.v_sales(t, ("customer",)).groupBy("region", "seller_id").agg(F.count("*").alias("k"))
     # How many lines each rule lets through, from one small grouped table.
-    ok = ((rules.customer_region == "") | (rules.customer_region == base.region)) & (
-        (rules.seller_id == "") | (rules.seller_id == base.seller_id.cast("string")))
-    return base.join(F.broadcast(rules), ok).groupBy("UserName", "customer_region", rules.seller_id).agg(F.sum("k").alias("n"))
+    # A row answers to three kinds of rule: all, its region, its seller.
+    none, seller = F.lit(""), F.col("seller_id").cast("string")
+    kinds = F.array(F.struct(none.alias("r"), none.alias("s")), F.struct(F.col("region").alias("r"), none.alias("s")), F.struct(none.alias("r"), seller.alias("s")))
+    keyed = base.select("k", F.explode(kinds).alias("key")).groupBy(F.col("key.r").alias("customer_region"), F.col("key.s").alias("seller_id")).agg(F.sum("k").alias("n"))
+    return keyed.join(F.broadcast(rules), ["customer_region", "seller_id"]).select("UserName", "customer_region", "seller_id", "n")
 
 
 @query("s13_seller_grain", """

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import cents, dbl, ratio
 from ..operators import airline as L
+from ..session import literals, settle
 from ..sources import domain as D
 from ..sources.tables import Tables
 from .quality import staged_lines
@@ -136,8 +137,7 @@ SELECT rate, round(refunds * (1 - rate), 2) AS lost_refunds, overpaid, reviews *
 def _(t: Tables):
     r = disruptions(t).filter(F.col("cancelled") | (F.col("delay") >= L.REFUND_MIN)).agg(dbl(F.sum("owed")).alias("refunds"))
     c = claims(t).agg(dbl(F.sum("overpayment")).alias("overpaid"), F.count("*").alias("reviews"))
-    both = r.join(c)  # one row each
-    s = both.withColumn("rate", F.explode(F.array(*[F.lit(x) for x in (0.6, 0.7, 0.85)])))
+    s = r.withColumns(literals(c)).withColumn("rate", F.explode(F.array(*[F.lit(x) for x in (0.6, 0.7, 0.85)])))
     lost = F.round(F.col("refunds") * (1 - F.col("rate")), 2)
     return s.select("rate", lost.alias("lost_refunds"), "overpaid", (F.col("reviews") * F.lit(120.0)).alias("review_cost"), (lost + F.col("overpaid") + F.col("reviews") * F.lit(120.0)).alias("total"))
 
@@ -146,9 +146,9 @@ def _(t: Tables):
 WITH r AS (SELECT o, n, row_number() OVER (ORDER BY n DESC, o) AS rk, sum(n) OVER () AS total FROM (SELECT o, count(*) AS n FROM x_pax GROUP BY o))
 SELECT k AS spares, CAST(sum(n) FILTER (rk <= k) AS BIGINT) AS recovered, CAST((any_value(total) - sum(n) FILTER (rk <= k)) * 1778 AS BIGINT) AS cost FROM r, (VALUES (2), (3), (4)) s(k) GROUP BY k""")
 def _(t: Tables):
-    per = stranded(t).groupBy("o").agg(F.count("*").alias("n"))
+    per = settle(stranded(t)).groupBy("o").agg(F.count("*").alias("n"))
     total = per.agg(F.sum("n").alias("total"))
     top = per.orderBy(F.desc("n"), "o").limit(4).agg(F.sort_array(F.collect_list(F.struct(-F.col("n"), F.col("o").alias("o")))).alias("top"))
-    k = top.join(total).withColumn("spares", F.explode(F.array(F.lit(2), F.lit(3), F.lit(4))))  # one row each side
+    k = top.withColumns(literals(total)).withColumn("spares", F.explode(F.array(F.lit(2), F.lit(3), F.lit(4))))
     got = F.aggregate(F.slice("top", F.lit(1), F.col("spares")), F.lit(0).cast("bigint"), lambda a, x: a - x["col1"])
     return k.select("spares", got.alias("recovered"), ((F.col("total") - got) * 1778).alias("cost"))

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from datetime import date
 
 from pyspark.sql import functions as F
 
 from ..functions.money import dbl, ratio
 from ..operators import anomalies as A, kpi as K, targets as G
-from ..session import settle
+from ..session import literals, settle
 from ..sources import domain as D
 from ..sources.tables import Tables
 from .kpis import MONTH_COMPLETE
-from .registry import cte, query
+from .registry import CTES, cte, query
 
 HOLIDAYS = ["01-01", "05-01", "12-25"]
 EVENTS = [
@@ -33,7 +34,7 @@ PLAYBOOKS = [("orders", "Commerce", "check traffic and prices"), ("sales", "Comm
 def complete_months(t: Tables):
     m = D.orders(t).groupBy("ym").agg(F.count("*").alias("n"))
     usual = m.agg(F.expr("percentile(n, 0.5)").alias("usual"))
-    return m.join(F.broadcast(usual)).select("ym", (F.col("n") >= F.col("usual") * MONTH_COMPLETE).alias("is_complete"))
+    return m.select("ym", (F.col("n") >= literals(usual)["usual"] * MONTH_COMPLETE).alias("is_complete"))
 
 
 def region_day_sales(t: Tables):
@@ -411,3 +412,21 @@ def _(t: Tables):
     n = A.alerts(j).filter("near_event IS NULL").groupBy("series", "region").agg(F.count("*").alias("n"))
     return months.join(n, ["series", "region"], "left").select(
         "series", "region", "months", F.coalesce("n", F.lit(0)).alias("alerts"), ratio(F.coalesce("n", F.lit(0)), "months").alias("per_month"))
+
+
+# The oracle of the noise check is the same chain of relations over the shuffled series.
+cte("x_seriesn", """
+SELECT a.series, a.region, a.grain, a.d, b.value FROM (SELECT *, row_number() OVER (PARTITION BY series, region ORDER BY d) AS i FROM x_series) a
+JOIN (SELECT *, row_number() OVER (PARTITION BY series, region ORDER BY md5(CAST(d AS VARCHAR))) AS i FROM x_series) b ON a.series = b.series AND a.region = b.region AND a.i = b.i""")
+for _name in ("x_factor", "x_sev", "x_base", "x_z", "x_judge", "x_flag", "x_epis"):
+    cte(_name + "n", re.sub(r"\b(x_series|x_factor|x_sev|x_base|x_z|x_judge|x_flag|x_epis)\b", r"\1n", CTES[_name]))
+
+
+@query("w14b_alerts_on_noise", """
+SELECT f.series, f.periods, f.marked, coalesce(e.alerts, 0) AS alerts FROM (SELECT series, count(*) FILTER (z IS NOT NULL) AS periods, count(*) FILTER (severity IN ('anomaly', 'critical')) AS marked FROM x_flagn GROUP BY series) f
+LEFT JOIN (SELECT series, count(*) AS alerts FROM x_episn WHERE sent IS NOT NULL GROUP BY series) e USING (series)""")
+def _(t: Tables):
+    noise = settle(A.judge(settle(A.shuffled(series(t))), EVENTS, complete_months(t), HOLIDAYS))
+    f = noise.groupBy("series").agg(F.count("z").alias("periods"), F.count_if(F.col("severity").isin("anomaly", "critical")).alias("marked"))
+    e = A.alerts(noise).groupBy("series").agg(F.count("*").alias("alerts"))
+    return f.join(e, "series", "left").select("series", "periods", "marked", F.coalesce("alerts", F.lit(0)).alias("alerts"))

@@ -142,9 +142,12 @@ def _(t: Tables):
     asked = mail.groupBy("user_name", "sent").agg(F.bool_or(F.col("region") == "ALL").alias("whole"), F.collect_set("region").alias("rs"))
     all_regions = F.array(*[F.lit(r) for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")])
     asked = asked.select("user_name", "sent", F.explode(F.when(F.col("whole"), all_regions).otherwise(F.col("rs"))).alias("region"))
-    o = D.v_orders(t).filter("status <> 'P'")
-    live = (F.col("purchase_date") <= F.col("sent")) & (F.col("last_ship").isNull() | (F.col("last_ship") > F.col("sent"))) & (F.datediff("promised_date", "sent") <= 7)
-    out = o.join(F.broadcast(asked), "region").filter(live).select("user_name", F.col("sent").cast("string").alias("day"), "order_id")
+    # The asked days of a region are at most the days of a year times its few readers, so they fit in one
+    # array beside the order; each order picks its days there and no order meets a day it is not at risk on.
+    days = asked.groupBy("region").agg(F.collect_list(F.struct("sent", "user_name")).alias("days"))
+    o = D.v_orders(t).filter("status <> 'P'").withColumn("start", F.greatest("purchase_date", F.date_sub("promised_date", 7)))
+    hit = F.filter("days", lambda d: (d["sent"] >= F.col("start")) & (F.col("last_ship").isNull() | (d["sent"] < F.col("last_ship"))))
+    out = o.join(days, "region").select("order_id", F.explode(hit).alias("d")).select(F.col("d.user_name").alias("user_name"), F.col("d.sent").cast("string").alias("day"), "order_id")
     path = scratch(t, "digest")
     W.write_daily(out, path, "day")
     return t.spark.read.schema(out.schema).parquet(path)

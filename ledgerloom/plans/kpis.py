@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import dbl, ratio
 from ..operators import kpi as K
+from ..session import literals
 from ..sources import domain as D
 from ..sources.tables import Tables
 from .registry import query
@@ -247,7 +248,7 @@ def calendar(t: Tables):
     days = span.select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 DAY"))).alias("day"))
     per_month = D.orders(t).groupBy("ym").agg(F.count("*").alias("n"))
     usual = per_month.agg(F.expr("percentile(n, 0.5)").alias("usual"))
-    complete = per_month.join(F.broadcast(usual)).select("ym", (F.col("n") >= F.col("usual") * MONTH_COMPLETE).alias("is_complete"))
+    complete = per_month.select("ym", (F.col("n") >= literals(usual)["usual"] * MONTH_COMPLETE).alias("is_complete"))
     days = days.select(
         "day", F.year("day").alias("year"), F.month("day").alias("month"), F.weekofyear("day").alias("week"),
         F.weekday("day").alias("weekday"), D.ym("day").alias("ym"),

@@ -8,6 +8,7 @@ from ..functions.geo import nearest
 from ..functions.money import dbl, ratio
 from ..operators import sensors as N
 from ..operators.ordered import OrderedScan
+from ..session import literals, settle
 from ..sources import domain as D, readings as I
 from ..sources.tables import Tables
 from .registry import cte, query
@@ -200,15 +201,14 @@ SELECT band, count(*) AS taps, round(CAST(count(*) FILTER (outcome = 'found') AS
  CAST(median(abs(start_us - tap_us) // {60 * N.SECOND}) FILTER (outcome = 'found') AS DOUBLE) AS minutes_to_detect, round((SELECT CAST(count(*) AS DOUBLE) FROM x_outcome WHERE outcome = 'extra') / 30, 6) AS false_alarms_per_day
 FROM (SELECT m.*, CASE WHEN centi < 8000 THEN 'low' WHEN centi < 12000 THEN 'medium' ELSE 'high' END AS band FROM x_match m JOIN x_taps USING (tap_id)) GROUP BY band""")
 def _(t: Tables):
-    m = N.match_taps(merged(t), taps(t), 12 * H, 10)
+    m = settle(N.match_taps(merged(t), taps(t), 12 * H, 10))
     band = F.when(F.col("centi") < 8000, "low").when(F.col("centi") < 12000, "medium").otherwise("high")
     j = m.filter("outcome <> 'extra'").join(taps(t).select("tap_id", band.alias("band")), "tap_id")
     # Whole kilometres and minutes are counted, then the percentiles read the few distinct values.
     g = j.groupBy("band", "outcome", F.abs(F.col("km") - F.col("tap_km")).alias("e"), F.floor(F.abs(F.col("start_us") - F.col("tap_us")) / (60 * N.SECOND)).alias("m")).agg(F.count("*").alias("k"))
     rep = g.groupBy("band").agg(F.sum("k").alias("taps"), ratio(F.sum(F.when(F.col("outcome") == "found", F.col("k"))), F.sum("k")).alias("detection_rate"),
                                 F.expr("percentile(e, 0.9, k)").alias("error_p90_km"), F.expr("percentile(m, 0.5, k)").alias("minutes_to_detect"))
-    extra = m.filter("outcome = 'extra'").agg((F.round(F.count("*") / 30, 6)).alias("false_alarms_per_day"))
-    return rep.join(F.broadcast(extra))  # one row
+    return rep.withColumns(literals(m.filter("outcome = 'extra'").agg((F.round(F.count("*") / 30, 6)).alias("false_alarms_per_day"))))
 
 
 @query("t02_stolen_volume", """
@@ -287,5 +287,5 @@ def _(t: Tables):
 def _(t: Tables):
     r = D.readings(t)
     last = r.groupBy("station").agg(F.max("us").alias("last_us"))
-    now = r.agg(F.max("us").alias("now"))  # one row
-    return last.join(F.broadcast(now)).filter(F.col("last_us") < F.col("now") - 12 * H).select("station", "last_us")
+    now = literals(r.agg(F.max("us").alias("now")))["now"]
+    return last.filter(F.col("last_us") < now - 12 * H).select("station", "last_us")

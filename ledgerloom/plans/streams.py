@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sensors as N
+from ..session import literals
 from ..sources import domain as D
 from ..sources.tables import SCHEMAS, Tables
 from ..streaming import jobs as J
@@ -72,8 +73,8 @@ def _(t: Tables):
 @query("t07_silent_sources_stream", f"SELECT station, max(us) AS last_us FROM x_readings GROUP BY station HAVING max(us) < (SELECT max(us) FROM x_readings) - {12 * H}")
 def _(t: Tables):
     seen = J.last_seen(D.readings(live(t)).select("station", "us"), "station", J.work_folder(t.spark, "seen"))
-    now = seen.agg(F.max("last_us").alias("now"))
-    return seen.join(F.broadcast(now)).filter(F.col("last_us") < F.col("now") - 12 * H).select("station", "last_us")
+    now = literals(seen.agg(F.max("last_us").alias("now")))["now"]
+    return seen.filter(F.col("last_us") < now - 12 * H).select("station", "last_us")
 
 
 @query("t08_cusum_stream", f"""

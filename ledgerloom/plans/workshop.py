@@ -8,6 +8,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions.money import dbl, ratio
 from ..operators import workshop as W
+from ..session import literals
 from ..sources import domain as D, templates as T
 from ..sources.tables import Tables
 from .registry import cte, query
@@ -38,13 +39,13 @@ def _(t: Tables):
 
 
 def anchor_day(t: Tables):
-    return D.orders(t).agg(F.max("purchase_date").alias("anchor"))
+    """Today: the last day with an order, as a literal, so that filters on it reach the scan."""
+    return literals(D.orders(t).agg(F.max("purchase_date").alias("anchor")))["anchor"]
 
 
 @query("m04_stale_quotes", f"SELECT order_id, CAST((SELECT anchor FROM ({ANCHOR})) - purchase_date AS INTEGER) AS days_open FROM x_orders WHERE status = 'O' AND (SELECT anchor FROM ({ANCHOR})) - purchase_date > 45")
 def _(t: Tables):
-    # The anchor is one row; it is joined as a one-row table.
-    return D.orders(t).filter("status = 'O'").join(F.broadcast(anchor_day(t))).withColumn("days_open", F.datediff("anchor", "purchase_date")).filter(
+    return D.orders(t).filter("status = 'O'").withColumn("days_open", F.datediff(anchor_day(t), "purchase_date")).filter(
         F.col("days_open") > W.STALE_QUOTE_DAYS).select("order_id", "days_open")
 
 
@@ -136,10 +137,15 @@ def _(t: Tables):
     return b.join(d, "ym", "full_outer").na.fill(0.0)
 
 
+def recent(t: Tables, day):
+    """Stage observations of the last 120 days."""
+    o = W.stage_observations(D.lines(t), D.orders(t))
+    return o.filter((F.col("done") <= day) & (F.col("done") > F.date_sub(day, W.RECENT_DAYS)))
+
+
 @query("m15_recent_pace", f"SELECT stage, CAST(median(days) AS DOUBLE) AS typical, count(*) AS n FROM x_obs WHERE done <= (SELECT anchor FROM ({ANCHOR})) AND done > (SELECT anchor FROM ({ANCHOR})) - 120 GROUP BY stage")
 def _(t: Tables):
-    o = W.stage_observations(D.lines(t), D.orders(t)).join(F.broadcast(anchor_day(t)))
-    return W.pace(o.filter((F.col("done") <= F.col("anchor")) & (F.col("done") > F.date_sub("anchor", W.RECENT_DAYS))), ["stage"])
+    return W.pace(recent(t, anchor_day(t)), ["stage"])
 
 
 cte("x_stages", "SELECT order_id, " + ", ".join(f"min(ship_date) FILTER (line_seq = {s}) AS s{s}" for s in range(1, 8)) + ", max(ship_date) AS last_line FROM x_lines GROUP BY order_id")
@@ -159,11 +165,10 @@ SELECT *, as_of + days_left AS estimated, 'stages left: ' || which || '; days at
 
 
 def open_estimates(t: Tables):
-    anchor = F.broadcast(anchor_day(t).withColumnRenamed("anchor", "as_of"))
-    o = W.stage_observations(D.lines(t), D.orders(t)).join(anchor)
-    paces = W.wide_pace(o.filter((F.col("done") <= F.col("as_of")) & (F.col("done") > F.date_sub("as_of", W.RECENT_DAYS))), ["as_of"])
+    day = anchor_day(t)
+    paces = literals(W.wide_pace(recent(t, day).withColumn("as_of", day), ["as_of"]))
     live = D.orders(t).filter("status = 'O'").join(W.stage_dates(D.lines(t)), "order_id", "left")
-    return W.estimate(live.join(F.broadcast(paces)), paces, F.col("as_of"))
+    return W.estimate(live.withColumns(paces), F.col("as_of"))
 
 
 @query("m16_estimated_finish", "SELECT order_id, stages_left, days_left, CAST(estimated AS VARCHAR) AS estimated, why FROM x_est")
@@ -174,7 +179,7 @@ def _(t: Tables):
 @query("j25_remaining_stages", "SELECT stage, count(*) AS pieces FROM (SELECT order_id, unnest([1,2,3,4,5,6,7]) AS stage, which FROM x_est) WHERE contains(which, CAST(stage AS VARCHAR)) GROUP BY stage")
 def _(t: Tables):
     # The route has seven stages, so the left-over list of an order is at most seven long.
-    done = D.lines(t).join(F.broadcast(anchor_day(t))).filter("ship_date <= anchor").groupBy("order_id").agg(F.collect_set("line_seq").alias("done"))
+    done = D.lines(t).filter(F.col("ship_date") <= anchor_day(t)).groupBy("order_id").agg(F.collect_set("line_seq").alias("done"))
     live = D.orders(t).filter("status = 'O'").select("order_id").join(done, "order_id", "left")
     route = F.array(*[F.lit(s) for s in W.ROUTE])
     left = F.array_except(route, F.coalesce("done", F.array().cast("array<int>")))
@@ -214,7 +219,7 @@ def _(t: Tables):
     w = Window.partitionBy("stage").orderBy("ship_date", "order_id", "seller_id", "product_id")
     # rn <= 3 keeps three rows per stage in every task before the shuffle.
     top = D.lines(t).filter("line_status = 'O'").withColumn("stage", F.col("line_seq")).withColumn("rn", F.row_number().over(w)).filter("rn <= 3")
-    return top.join(F.broadcast(anchor_day(t))).select("stage", "order_id", "seller_id", F.datediff("anchor", "ship_date").alias("age"))
+    return top.select("stage", "order_id", "seller_id", F.datediff(anchor_day(t), "ship_date").alias("age"))
 
 
 @query("l02b_risk_by_urgency", "SELECT order_id, CAST(promised_date AS VARCHAR) AS promised_date FROM x_est ORDER BY x_est.promised_date, order_id LIMIT 20")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def local_session(cpus: int | str = 8, app: str = "ledgerloom", memory: str = "8g") -> SparkSession:
@@ -60,3 +60,12 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(df.sparkSession)}/settled/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def literals(one_row: DataFrame) -> dict[str, Column]:
+    """The single row of an ungrouped aggregate as literal columns.
+
+    A literal is pushed down to the scan, where a join with a one-row table is not.
+    """
+    row = one_row.first()
+    return {f.name: F.lit(row[f.name]).cast(f.dataType) for f in one_row.schema}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import fraud as R, hub as H, sensors as N
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, literals
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -118,9 +118,9 @@ def split_late(readings: DataFrame, latency_us: int, work: str) -> DataFrame:
     spark = readings.sparkSession
 
     def handle(batch: DataFrame, n: int) -> None:
-        marks = stored(spark, f"{work}/marks", _with_batch("us bigint"), n).agg(F.max("us").alias("mark"))
-        late = F.col("us") < F.col("mark") - latency_us
-        counted = batch.join(F.broadcast(marks)).agg(F.count_if(~F.coalesce(late, F.lit(False))).alias("accepted"), F.count_if(F.coalesce(late, F.lit(False))).alias("late"))
+        mark = literals(stored(spark, f"{work}/marks", _with_batch("us bigint"), n).agg(F.max("us").alias("mark")))["mark"]
+        late = F.col("us") < mark - latency_us
+        counted = batch.agg(F.count_if(~F.coalesce(late, F.lit(False))).alias("accepted"), F.count_if(F.coalesce(late, F.lit(False))).alias("late"))
         put(counted, f"{work}/counts", n)
         put(batch.agg(F.max("us").alias("us")), f"{work}/marks", n)
 
