@@ -1,4 +1,4 @@
-"""Exact money: cast stored columns to decimal first, multiply as decimals, round to cents."""
+"""Exact money: stored amounts become whole cents or decimals first, and are multiplied as such."""
 
 from __future__ import annotations
 
@@ -15,14 +15,25 @@ def money(x) -> Column:
     return _c(x).cast(CENTS)
 
 
+def _part(gross, hundredths: Column) -> Column:
+    """gross * hundredths / 100 in whole cents, rounded half away from zero, as decimal.
+
+    Both factors are whole numbers, so the product is exact and stays in plain
+    long arithmetic; only the result becomes a decimal.
+    """
+    p = cents(gross) * hundredths
+    rounded = F.call_function("div", p + F.when(p < 0, -50).otherwise(50), F.lit(100))
+    return (rounded.cast("decimal(12,0)") * F.lit("0.01").cast("decimal(2,2)")).cast(CENTS)
+
+
 def net(gross, discount) -> Column:
     """gross * (1 - discount), rounded to cents per row."""
-    return F.round(money(gross) * (F.lit(1) - money(discount)), 2).cast(CENTS)
+    return _part(gross, F.lit(100) - cents(discount))
 
 
 def share_of(gross, rate) -> Column:
     """gross * rate, rounded to cents per row."""
-    return F.round(money(gross) * money(rate), 2).cast(CENTS)
+    return _part(gross, cents(rate))
 
 
 def cents(x) -> Column:

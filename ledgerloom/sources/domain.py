@@ -129,12 +129,12 @@ def v_orders(t: Tables, dims: tuple[str, ...] = ("customer",)) -> DataFrame:
 
 def with_delivery(df: DataFrame) -> DataFrame:
     delivered = F.when(F.col("status") == DELIVERED, F.col("last_ship"))
-    return (
-        df.withColumn("delivered_date", delivered)
-        .withColumn("delivery_days", F.datediff("delivered_date", "purchase_date"))
-        .withColumn("days_late", F.datediff("delivered_date", "promised_date"))
-        .withColumn("on_time", F.col("delivered_date") <= F.col("promised_date"))
-    )
+    return df.withColumns({
+        "delivered_date": delivered,
+        "delivery_days": F.datediff(delivered, F.col("purchase_date")),
+        "days_late": F.datediff(delivered, F.col("promised_date")),
+        "on_time": delivered <= F.col("promised_date"),
+    })
 
 
 def reviews(t: Tables) -> DataFrame:
