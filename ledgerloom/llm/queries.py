@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from . import lines, markup, pieces, sharding, simhash, tiling
+from . import lines, markup, pieces, sharding, simhash, tiling, toxicity
 from .common import read
 
 #: The place of the tokenizer's file; a parameter of the operator.
@@ -19,6 +19,10 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return tiling.contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_documents(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(read(spark, folder, "documents"))
 
@@ -42,6 +46,7 @@ def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op4_toxicity": op4_toxicity,
     "op5_sharding": op5_sharding,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_simhash": op8_simhash,
