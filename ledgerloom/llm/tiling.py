@@ -214,10 +214,14 @@ def clean(docs: DataFrame, tests: DataFrame, text: str = "text", test_key: str =
           least: int = MIN_TILE, coverage: float = COVERAGE) -> DataFrame:
     """The rows of ``docs`` that hold no test item; all columns as they were."""
     for block in blocks(tests, test_key, test_text, least, coverage):
-        def held(texts: Iterator[pd.Series], block: Items = block) -> Iterator[pd.Series]:
-            for batch in texts:
-                bad = {k for k, *_ in block.search_all(batch.tolist())}
-                yield pd.Series([k in bad for k in range(len(batch))], dtype=bool)
-
-        docs = docs.where(~F.pandas_udf(held, "boolean")(F.col(text)))
+        docs = docs.where(~_holds(block)(F.col(text)))
     return docs
+
+
+def _holds(block: Items):
+    def holds(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            bad = {k for k, *_ in block.search_all(batch.tolist())}
+            yield pd.Series([k in bad for k in range(len(batch))], dtype=bool)
+
+    return F.pandas_udf(holds, "boolean")
