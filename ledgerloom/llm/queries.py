@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import lines, markup, pieces, sharding, simhash, tiling, toxicity
+from . import kneser, lines, markup, nearest, pieces, sharding, simhash, suffixes, tiling, toxicity
 from .common import read
 
 #: The place of the tokenizer's file; a parameter of the operator.
@@ -19,6 +19,14 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return tiling.contaminated(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
+def op2_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    return kneser.score_documents(read(spark, folder, "documents"))
+
+
+def op3_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeats(read(spark, folder, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_documents(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
@@ -27,6 +35,10 @@ def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(read(spark, folder, "documents"))
 
 
+def op6_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.nearest(read(spark, folder, "embeddings"))
+
+
 def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode_documents(read(spark, folder, "documents"), PIECES)
 
@@ -46,8 +58,11 @@ def op10_main_text(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_kneser_ney": op2_kneser_ney,
+    "op3_repeated_bytes": op3_repeated_bytes,
     "op4_toxicity": op4_toxicity,
     "op5_sharding": op5_sharding,
+    "op6_nearest": op6_nearest,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_simhash": op8_simhash,
     "op9_line_dedup": op9_line_dedup,
