@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
@@ -36,7 +37,7 @@ TOKEN = re.compile(
     r"|<!\[CDATA\[.*?(?:\]\]>|$)"
     r"|<[!?][^>]*(?:>|$)"
     r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|$)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
@@ -87,6 +88,7 @@ class Lines:
 def lines_of(page: str, window: int) -> Lines:
     """Strip the markup: each block is a line; what is left out leaves ``window`` empty lines."""
     out, stack, skipped, links, mains, at = Lines(), [], 0, 0, 0, 0
+    opened: Counter[str] = Counter()
     for token in TOKEN.finditer(page):
         if at < token.start() and not skipped:
             out.add(page[at : token.start()], links > 0)
@@ -110,14 +112,16 @@ def lines_of(page: str, window: int) -> Lines:
             if token["attributes"].endswith("/") and name not in MAIN and (name in ("svg", "path") or skip):
                 continue
             stack.append((name, skip))
+            opened[name] += 1
             skipped += skip
             links += name == "a"
             mains += name in MAIN
-        elif any(x[0] == name for x in reversed(stack)):
+        elif opened[name]:
             if name not in INLINE and not skipped:
                 out.end(mains > 0)
             while stack:
                 gone, skip = stack.pop()
+                opened[gone] -= 1
                 skipped -= skip
                 if skip and not skipped:
                     out.gap(window)
