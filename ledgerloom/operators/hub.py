@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.money import dbl
 
 RISK_CLASSES = ("missing invoice", "cancelled but invoiced", "double billing", "currency mismatch", "amount mismatch")
-TOLERANCE = 0.25  # of the amount paid; ours
+TOLERANCE = "0.01"  # one cent: what rounding may differ by; ours
 
 
 def to_canonical(df: DataFrame, mapping: dict[str, str | Column]) -> DataFrame:
@@ -42,7 +42,7 @@ def reconcile(payments: DataFrame, invoices: DataFrame, rates: dict[str, float])
         .when(F.coalesce("cancelled", F.lit(True)), "cancelled but invoiced")
         .when(F.col("copies") > 1, "double billing")
         .when(F.col("pay_ccy") != F.col("inv_ccy"), "currency mismatch")
-        .when(gap > F.col("paid") * F.lit(str(TOLERANCE)).cast("decimal(4,2)"), "amount mismatch")
+        .when(gap > F.lit(TOLERANCE).cast("decimal(18,2)"), "amount mismatch")
         .otherwise("matched"))
     out = j.withColumn("class", kind)
     risk = (

@@ -60,10 +60,10 @@ def datasets(t: Tables, dims: tuple[str, ...] = ("customer",)) -> dict[str, Call
 
 
 def apply_filters(df: DataFrame, filters: dict | None) -> DataFrame:
-    """``{column: value | list | (from, to)}``; a tuple is an inclusive range."""
+    """``{column: value | list | (from, to)}``; a tuple is an inclusive range. An unknown column raises."""
     for c, want in (filters or {}).items():
         if c not in df.columns:
-            continue
+            raise ValueError(f"cannot filter by {c}: the data has {', '.join(df.columns)}")
         if isinstance(want, tuple):
             lo, hi = want
             df = df.filter(F.col(c).between(F.lit(lo).cast(df.schema[c].dataType), F.lit(hi).cast(df.schema[c].dataType)))
@@ -95,16 +95,20 @@ def kpis(
     by: list[str] = (),
     filters: dict | None = None,
 ) -> DataFrame:
-    """Long table (cuts, kpi, value, target, met). KPIs whose dataset lacks a cut are left out."""
-    by = list(by)
+    """Long table (cuts, kpi, value, target, met).
+
+    Filters and cuts that only order lines have (category, seller, product) reach
+    the KPIs of orders, customers and reviews over their lines: an order counts if
+    a line of it matches, and under each value of a cut that one of its lines has.
+    What no dataset has raises; nothing is left out or ignored.
+    """
+    by, filters = list(by), dict(filters or {})
     wanted = [REGISTRY[n] for n in (names or REGISTRY)]
     out = None
     for ds in dict.fromkeys(k.dataset for k in wanted):
         ready = ds in rel  # per-customer counts may be there already
         base = rel[ds if ready else "orders"]()
-        if any(c not in base.columns for c in by):
-            continue
-        base = apply_filters(base, filters)
+        base = _reach_lines(base, rel, by, filters)
         if ds == "customers" and not ready:
             base = customer_counts(base, by)
         group = [k.name for k in wanted if k.dataset == ds]
@@ -114,6 +118,23 @@ def kpis(
     return judge(out)
 
 
+def _reach_lines(base: DataFrame, rel: dict[str, Callable[[], DataFrame]], by: list[str], filters: dict) -> DataFrame:
+    """``base`` filtered, with the cuts it lacks from the lines of its orders (one row per order and cut value)."""
+    own = {c: v for c, v in filters.items() if c in base.columns}
+    from_lines = {c: v for c, v in filters.items() if c not in own}
+    cuts = [c for c in by if c not in base.columns]
+    base = apply_filters(base, own)
+    if not from_lines and not cuts:
+        return base
+    if "order_id" not in base.columns or "sales" not in rel:
+        raise ValueError(f"cannot filter or cut by {', '.join([*from_lines, *cuts])} here")
+    lines = apply_filters(rel["sales"](), from_lines)
+    missing = [c for c in cuts if c not in lines.columns]
+    if missing:
+        raise ValueError(f"cannot cut by {', '.join(missing)}")
+    return base.join(lines.select("order_id", *cuts).distinct(), "order_id")
+
+
 def judge(df: DataFrame) -> DataFrame:
     """Adds the target and whether it is met, missed or absent."""
     goal, met = F.lit(None).cast("double"), F.lit("no target")

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .ordered import OrderedScan
 
 MINUTE = 60_000_000
+URGENT = r"\b(urgent|asap|immediately|error)\b"
+SCHEDULE = r"\b(meet|meeting|schedule|calendar|appointment)\b"
 
 
 def conflicts(meetings: DataFrame) -> DataFrame:
@@ -53,5 +55,5 @@ def triage(text: Column, role: Column) -> Column:
     """Rules in order; the whole text is read."""
     t = F.lower(text)
     return (
-        F.when(t.rlike("urgent|asap|immediately|error"), "urgent").when(t.rlike("meet|schedule|calendar|tion"), "schedule")
+        F.when(t.rlike(URGENT), "urgent").when(t.rlike(SCHEDULE), "schedule")
         .when(t.contains("?") | (role == "user"), "needs reply").otherwise("fyi"))

@@ -2,10 +2,10 @@
 
 A window over a key puts all rows of that key into one task. That is fine for
 ordinary keys and fails for a key holding a large part of the table. So the key
-sizes are checked first. Below ``hot_rows`` a plain window is used. Above it the
-rows are range-partitioned by (key, order), so one key spreads over many chunks;
-each chunk is scanned on its own, and what earlier chunks of the same key add up
-to is carried in. A chunk border cuts one key at most, so the carry table has
+sizes are checked first. Keys of up to ``hot_rows`` rows use a plain window. The
+rows of larger keys, of which there are few, are range-partitioned by (key, order),
+so one key spreads over many chunks; each chunk is scanned on its own, and what
+earlier chunks of the same key add up to is carried in. A chunk border cuts one key at most, so the carry table has
 fewer rows than there are chunks and can be broadcast.
 """
 
@@ -22,12 +22,22 @@ HOT_ROWS = 20_000_000  # rows of one key that one task may own
 _MERGE = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 
 
-def _key_sizes(df: DataFrame, keys: list[str]) -> tuple[int, int]:
-    """(rows, rows of the largest key); counts are combined before the shuffle."""
-    row = (
-        df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.max("n").alias("top")).first()
-    )
-    return row["rows"] or 0, row["top"] or 0
+def split_hot(df: DataFrame, keys: list[str], limit: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """(rows of ordinary keys, rows of hot keys or None, number of hot rows).
+
+    Counts are combined before the shuffle; there are at most rows / ``limit`` hot
+    keys, so their list can be sent to all tasks. Null keys are keys like others.
+    """
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
+    found = hot.collect()
+    if not found:
+        return df, None, 0
+    names = df.sparkSession.createDataFrame([tuple(r)[:-1] for r in found], hot.drop("_n").schema)
+    names = F.broadcast(names.select([F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)]))
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & df[k].eqNullSafe(names[f"_h{i}"])
+    return df.join(names, on, "left_anti"), df.join(names, on, "left_semi"), sum(r["_n"] for r in found)
 
 
 class OrderedScan:
@@ -36,19 +46,20 @@ class OrderedScan:
     def __init__(self, df: DataFrame, keys: list[str], order: list[str], hot_rows: int | None = None):
         self.keys, self.order = list(keys), list(order)
         limit = hot_rows or HOT_ROWS
-        rows, top = _key_sizes(df, self.keys)
-        self.chunked = top > limit
-        if self.chunked:
-            checkpoint_dir(df.sparkSession)
-            parts = max(2, math.ceil(rows / limit))
-            # The checkpoint pins the chunk of each row: range bounds come from a sample
-            # and could differ if the exchange were computed a second time.
-            df = (
-                df.repartitionByRange(parts, *self.keys, *self.order)
-                .withColumn("_chunk", F.spark_partition_id())
-                .checkpoint()
-            )
-        self.df = df
+        plain, hot, rows = split_hot(df, self.keys, limit)
+        self.chunked, self.df, self.hot = False, plain, None
+        if hot is not None:
+            self.hot = OrderedScan._of_chunks(self.keys, self.order, hot, max(2, math.ceil(rows / limit)))
+
+    @classmethod
+    def _of_chunks(cls, keys: list[str], order: list[str], df: DataFrame, parts: int) -> "OrderedScan":
+        scan = cls.__new__(cls)
+        scan.keys, scan.order, scan.chunked, scan.hot = keys, order, True, None
+        checkpoint_dir(df.sparkSession)
+        # The checkpoint pins the chunk of each row: range bounds come from a sample
+        # and could differ if the exchange were computed a second time.
+        scan.df = df.repartitionByRange(parts, *keys, *order).withColumn("_chunk", F.spark_partition_id()).checkpoint()
+        return scan
 
     def _window(self, reverse: bool):
         order = [F.col(c).desc() if reverse else F.col(c).asc() for c in self.order]
@@ -61,6 +72,8 @@ class OrderedScan:
         ``reverse`` runs from the end of the order to its start; ``inclusive``
         says whether the current row takes part.
         """
+        if self.hot:
+            self.hot.running(specs, reverse, inclusive)
         end = 0 if inclusive else -1
         frame = self._window(reverse).rowsBetween(Window.unboundedPreceding, end)
         specs = {k: (kind, F.col(c) if isinstance(c, str) else c) for k, (kind, c) in specs.items()}
@@ -140,6 +153,8 @@ class OrderedScan:
         return self._neighbour(cols, reverse=True)
 
     def _neighbour(self, cols: dict[str, str], reverse: bool) -> "OrderedScan":
+        if self.hot:
+            self.hot._neighbour(cols, reverse)
         if not self.chunked:
             w = self._window(False)
             move = F.lead if reverse else F.lag
@@ -154,11 +169,20 @@ class OrderedScan:
         return self
 
     def with_columns(self, cols: dict[str, Column]) -> "OrderedScan":
+        if self.hot:
+            self.hot.with_columns(cols)
         self.df = self.df.withColumns(cols)
         return self
 
+    def drop(self, *cols: str) -> "OrderedScan":
+        if self.hot:
+            self.hot.drop(*cols)
+        self.df = self.df.drop(*cols)
+        return self
+
     def result(self) -> DataFrame:
-        return self.df.drop("_chunk")
+        out = self.df.drop("_chunk")
+        return out.unionByName(self.hot.result()) if self.hot else out
 
 
 def rolling(
@@ -172,26 +196,37 @@ def rolling(
     """Sums over time frames: ``{out: (column, back, until)}`` sums rows with time in [t-back, t-until].
 
     ``time`` is a whole number (microseconds), ``column`` a whole number or
-    decimal so the sums are exact. Rows at the same time count for each other.
-    For a hot key each row is turned into an entry (+v when it comes into the
-    frame) and an exit (-v when it leaves), and the frame sum is a running sum.
+    decimal so the sums are exact; the result has the type of the column's sum.
+    Rows at the same time count for each other. For a hot key each row is turned
+    into an entry (+v when it comes into the frame) and an exit (-v when it
+    leaves), and the frame sum is a running sum.
     """
-    limit = hot_rows or HOT_ROWS
-    _, top = _key_sizes(df, keys)
-    if top <= limit:
-        order = Window.partitionBy(*keys).orderBy(time)
-        for out, (c, back, until) in frames.items():
-            df = df.withColumn(out, F.coalesce(F.sum(c).over(order.rangeBetween(-back, -until)), F.lit(0)))
-        return df
+    types = df.select(*[F.sum(c).alias(out) for out, (c, _, _) in frames.items()]).schema
+    for f in types:
+        if f.dataType.typeName() not in ("long", "decimal"):
+            raise ValueError(f"{f.name}: {f.dataType.simpleString()} sums are not exact")
+    plain, hot, _ = split_hot(df, keys, hot_rows or HOT_ROWS)
+    order = Window.partitionBy(*keys).orderBy(time)
+    for out, (c, back, until) in frames.items():
+        total = F.sum(c).over(order.rangeBetween(-back, -until)).cast(types[out].dataType)
+        plain = plain.withColumn(out, F.coalesce(total, F.lit(0).cast(types[out].dataType)))
+    if hot is None:
+        return plain
+    return plain.unionByName(_rolling_hot(hot, keys, time, tie, frames, types, hot_rows))
+
+
+def _rolling_hot(df: DataFrame, keys: list[str], time: str, tie: str, frames: dict[str, tuple], types, hot_rows: int | None) -> DataFrame:
+    """``rolling`` for hot keys, by running sums of entries and exits."""
     names = list(frames)
+    wide = {n: f"decimal(38,{getattr(types[n].dataType, 'scale', 0)})" for n in names}
     probe = df.withColumn("_at", F.col(time)).withColumn("_step", F.lit(1))
     for n in names:
-        probe = probe.withColumn(f"_v_{n}", F.lit(0).cast("decimal(38,4)"))
+        probe = probe.withColumn(f"_v_{n}", F.lit(0).cast(wide[n]))
     moves = []
     for out, (c, back, until) in frames.items():
-        v = (F.col(c) if isinstance(c, str) else c).cast("decimal(38,4)")
+        v = (F.col(c) if isinstance(c, str) else c).cast(wide[out])
         for at, sign in ((until, 1), (back + 1, -1)):
-            vals = [(v * sign if n == out else F.lit(0)).cast("decimal(38,4)").alias(f"_v_{n}") for n in names]
+            vals = [(v * sign if n == out else F.lit(0)).cast(wide[n]).alias(f"_v_{n}") for n in names]
             moves.append(
                 df.filter(v.isNotNull()).select(*keys, tie, (F.col(time) + at).alias("_at"), F.lit(0).alias("_step"),
                           F.lit(f"{out}{sign}").alias("_move"), *vals)
@@ -203,7 +238,7 @@ def rolling(
     scan.running({n: ("sum", f"_v_{n}") for n in names})
     done = scan.result().filter("_step = 1")
     for n in names:
-        done = done.withColumn(n, F.col(n).cast("bigint"))
+        done = done.withColumn(n, F.col(n).cast(types[n].dataType))
     return done.drop("_at", "_step", "_move", *[f"_v_{n}" for n in names])
 
 
@@ -220,5 +255,4 @@ def islands(scan: OrderedScan, is_new: Column, out: str) -> OrderedScan:
     """Number runs of consecutive rows: a new run starts where ``is_new`` holds."""
     scan.with_columns({"_new": F.when(is_new, 1).otherwise(0)})
     scan.running({out: ("sum", "_new")})
-    scan.df = scan.df.drop("_new")
-    return scan
+    return scan.drop("_new")

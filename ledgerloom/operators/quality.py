@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.sinks import point_to, pointed_at
 SEVERITIES = ("quarantine", "fixed", "warning", "informative", "guard")
 
 
@@ -105,10 +106,10 @@ class PublishRefused(RuntimeError):
 
 
 def publish(df: DataFrame, table_dir: str, checks: dict[str, Callable[[DataFrame], DataFrame]]) -> str:
-    """Write aside, check what was written, then switch the pointer file.
+    """Write aside, check what was written, then add a pointer to it.
 
     Each build goes to a folder of its own, so a failed or repeated load never
-    mixes with what readers see. The pointer is one small file written last.
+    mixes with what readers see; the pointer is one small file written last.
     """
     spark = df.sparkSession
     build = f"{table_dir}/build-{uuid.uuid4().hex}"
@@ -117,12 +118,12 @@ def publish(df: DataFrame, table_dir: str, checks: dict[str, Callable[[DataFrame
     broken = [name for name, check in checks.items() if not check(written).isEmpty()]
     if broken:
         raise PublishRefused(", ".join(broken))
-    spark.createDataFrame([(build,)], "location string").coalesce(1).write.mode("overwrite").json(f"{table_dir}/current")
+    point_to(spark, table_dir, build)
     return build
 
 
 def published(spark, table_dir: str) -> DataFrame:
-    return spark.read.parquet(spark.read.schema("location string").json(f"{table_dir}/current").first()["location"])
+    return spark.read.parquet(pointed_at(spark, table_dir))
 
 
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:

@@ -59,16 +59,17 @@ def estimate(open_orders: DataFrame, as_of: Column) -> DataFrame:
     """Adds the stages left, the estimated finish and the reason text.
 
     A stage is done if its date is known by ``as_of``; later dates are not looked
-    at. The rows carry the pace of each stage (p1..p7).
+    at. The rows carry the pace of each stage (p1..p7); where one that is left has
+    none, there is no estimate, and ``no_pace`` counts such stages.
     """
     left = {s: F.col(f"s{s}").isNull() | (F.col(f"s{s}") > as_of) for s in ROUTE}
-    days = sum((F.when(left[s], F.coalesce(F.col(f"p{s}"), F.lit(0.0))).otherwise(F.lit(0.0)) for s in ROUTE[1:]),
-               F.when(left[1], F.coalesce(F.col("p1"), F.lit(0.0))).otherwise(F.lit(0.0)))
+    days = sum((F.when(left[s], F.col(f"p{s}")).otherwise(F.lit(0.0)) for s in ROUTE[1:]), F.when(left[1], F.col("p1")).otherwise(F.lit(0.0)))
+    no_pace = sum(((left[s] & F.col(f"p{s}").isNull()).cast("int") for s in ROUTE[1:]), (left[1] & F.col("p1").isNull()).cast("int"))
     n_left = sum((left[s].cast("int") for s in ROUTE[1:]), left[1].cast("int"))
     at = F.concat_ws(",", *[F.when(left[s], F.lit(str(s))) for s in ROUTE])
-    out = open_orders.withColumn("stages_left", n_left).withColumn("days_left", F.ceil(days).cast("int"))
+    out = open_orders.withColumn("no_pace", no_pace).withColumn("stages_left", n_left).withColumn("days_left", F.ceil(days).cast("int"))
     out = out.withColumn("estimated", F.date_add(as_of, F.col("days_left")))
-    return out.withColumn("why", F.concat(F.lit("stages left: "), at, F.lit("; days at recent pace: "), F.col("days_left").cast("string")))
+    return out.withColumn("why", F.concat(F.lit("stages left: "), at, F.lit("; days at recent pace: "), F.coalesce(F.col("days_left").cast("string"), F.lit("unknown"))))
 
 
 def wide_pace(obs: DataFrame, keys: list[str]) -> DataFrame:
@@ -86,21 +87,28 @@ def risk_status(as_of: Column) -> Column:
     )
 
 
-def backtest(orders: DataFrame, lines: DataFrame, as_ofs: list) -> DataFrame:
+def backtest(orders: DataFrame, lines: DataFrame, as_ofs: list, today: Column) -> DataFrame:
     """Estimate vs outcome on past days, each using only what was known that day.
 
+    The orders of a day are those placed by then and not finished then, whatever
+    became of them: one that was finished later is late by its finish, one that is
+    still open by ``today``, and one that was cancelled never.
+
     Every order and every stage observation meets only the as-of days it belongs
     to, so all days run in one grouped job.
     """
     days = F.array(*[F.lit(d).cast("date") for d in as_ofs])
     obs = stage_observations(lines, orders).withColumn("as_of", F.explode(F.filter(days, lambda d: (F.col("done") <= d) & (F.col("done") > F.date_sub(d, RECENT_DAYS)))))
     paces = wide_pace(obs, ["as_of"])
-    done = orders.filter("status = 'F'").join(stage_dates(lines), "order_id")
-    live = done.withColumn("as_of", F.explode(F.filter(days, lambda d: (F.col("purchase_date") <= d) & (F.col("last_ship") > d))))
+    known = orders.join(stage_dates(lines), "order_id", "left")
+    open_on = lambda d: (F.col("purchase_date") <= d) & (F.col("last_ship").isNull() | (F.col("last_ship") > d))
+    live = known.withColumn("as_of", F.explode(F.filter(days, open_on)))
     # One row per as-of day: the list of days bounds it.
     judged = estimate(live.join(F.broadcast(paces), "as_of"), F.col("as_of"))
-    return judged.withColumn("flagged", F.col("estimated") > F.col("promised_date")).withColumn(
-        "late", F.col("last_ship") > F.col("promised_date")).withColumn("error_days", F.abs(F.datediff("estimated", "last_ship")))
+    finished = F.when(F.col("status") == "F", F.col("last_ship"))
+    late = F.when(F.col("status") == "P", F.lit(False)).otherwise(F.coalesce(finished, today) > F.col("promised_date"))
+    return judged.withColumn("flagged", F.coalesce(F.col("estimated") > F.col("promised_date"), F.lit(False))).withColumn(
+        "late", late).withColumn("error_days", F.abs(F.datediff("estimated", finished)))
 
 
 def costed(lines: DataFrame, products: DataFrame) -> DataFrame:

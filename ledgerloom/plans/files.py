@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import dbl
 from ..operators import anomalies as A, kpi as K, quality as Q
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, literals, settle
 from ..sources import domain as D, files as S, sinks as W
 from ..sources.tables import Tables
 from . import alerts, kpis, office
@@ -68,12 +68,16 @@ def _(t: Tables):
     return o.join(known, o.purchase_date == known.day).select("order_id", dbl("rate").alias("rate"), dbl(F.round(F.col("total") * F.col("rate"), 2)).alias("converted"))
 
 
-@query("s05_latin1_csv", "SELECT conv_id, turn, role FROM conversations WHERE turn = 0")
+@query("s05_latin1_csv", "SELECT conv_id, turn, role, text FROM conversations")
 def _(t: Tables):
     path = scratch(t, "latin1")
-    t.conversations.filter("turn = 0").select("conv_id", "turn", F.concat("role", F.lit(" ñandú")).alias("label")).write.option("encoding", "ISO-8859-1").csv(path, header=True)
-    back = S.read_flat(t.spark, path, "conv_id bigint, turn bigint, label string", "ISO-8859-1")
-    return back.filter(F.col("label").endswith("ñandú")).select("conv_id", "turn", F.regexp_replace("label", " ñandú$", "").alias("role"))
+    # Quoted and with line breaks marked: a text keeps its lines, and a file stays splittable.
+    text = F.replace(F.replace("text", F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    rows = t.conversations.select("conv_id", "turn", "role", text.alias("text"))
+    rows.write.option("encoding", "ISO-8859-1").option("escape", "\"").option("quoteAll", True).csv(path, header=True)
+    back = S.read_flat(t.spark, path, "conv_id bigint, turn bigint, role string, text string", "ISO-8859-1")
+    plain = F.replace(F.regexp_replace("text", r"(?<!\\)((?:\\\\)*)\\n", "$1\n"), F.lit("\\\\"), F.lit("\\"))
+    return back.select("conv_id", "turn", "role", plain.alias("text"))
 
 
 def invoice_xml(t: Tables):
@@ -135,22 +139,23 @@ def _(t: Tables):
 @query("s14b_at_risk_attachment", """
 SELECT s.user_name, CAST(s.sent AS VARCHAR) AS day, v.order_id FROM (SELECT user_name, sent, bool_or(region = 'ALL') AS whole FROM x_sentto GROUP BY ALL) s JOIN x_vorders v
  ON v.status <> 'P' AND v.purchase_date <= s.sent AND (v.last_ship IS NULL OR v.last_ship > s.sent) AND v.promised_date - s.sent <= 7
- AND (s.whole OR EXISTS (SELECT 1 FROM x_sentto q WHERE q.user_name = s.user_name AND q.sent = s.sent AND q.region = v.region)) WHERE s.sent BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'""")
+ AND (s.whole OR EXISTS (SELECT 1 FROM x_sentto q WHERE q.user_name = s.user_name AND q.sent = s.sent AND q.region = v.region))""")
 def _(t: Tables):
-    """The lists behind the digest records of one year, written by day; read back here."""
-    mail = alerts.sent_to(t).filter(F.year("sent") == 1998)
+    """The lists behind the digest records, written by day; read back here."""
+    mail = settle(alerts.sent_to(t))
     asked = mail.groupBy("user_name", "sent").agg(F.bool_or(F.col("region") == "ALL").alias("whole"), F.collect_set("region").alias("rs"))
     all_regions = F.array(*[F.lit(r) for r in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")])
     asked = asked.select("user_name", "sent", F.explode(F.when(F.col("whole"), all_regions).otherwise(F.col("rs"))).alias("region"))
-    # The asked days of a region are at most the days of a year times its few readers, so they fit in one
-    # array beside the order; each order picks its days there and no order meets a day it is not at risk on.
-    days = asked.groupBy("region").agg(F.collect_list(F.struct("sent", "user_name")).alias("days"))
+    # The days on which anything was sent are bounded by the calendar and stand in the plan as one array. An order
+    # takes those it is at risk on, and only then meets the readers of its region on that day.
+    days = literals(mail.agg(F.array_sort(F.collect_set("sent")).alias("days")))["days"]
     o = D.v_orders(t).filter("status <> 'P'").withColumn("start", F.greatest("purchase_date", F.date_sub("promised_date", 7)))
-    hit = F.filter("days", lambda d: (d["sent"] >= F.col("start")) & (F.col("last_ship").isNull() | (d["sent"] < F.col("last_ship"))))
-    out = o.join(days, "region").select("order_id", F.explode(hit).alias("d")).select(F.col("d.user_name").alias("user_name"), F.col("d.sent").cast("string").alias("day"), "order_id")
+    hit = F.filter(days, lambda d: (d >= F.col("start")) & (F.col("last_ship").isNull() | (d < F.col("last_ship"))))
+    at_risk = o.select("order_id", "region", F.explode(hit).alias("sent"))
+    out = at_risk.join(asked, ["region", "sent"]).select("user_name", F.col("sent").cast("string").alias("day"), "order_id")
     path = scratch(t, "digest")
-    W.write_daily(out, path, "day")
-    return t.spark.read.schema(out.schema).parquet(path)
+    W.write_daily(out, path, day="day")
+    return W.read_daily(t.spark, path).select("user_name", F.col("day").cast("string").alias("day"), "order_id")
 
 
 @query("s15_gated_publish", "SELECT count(*) AS n, CAST(sum(total) AS DOUBLE) AS total FROM x_orders")
@@ -186,6 +191,8 @@ def _(t: Tables):
 def _(t: Tables):
     path = scratch(t, "alert_log")
     found = A.alerts(alerts.judged(t)).select(F.col("sent").cast("string").alias("sent"), "series", "region")
-    W.write_daily(found, path)
-    W.write_daily(found, path)  # a rerun replaces its days
-    return t.spark.read.schema(found.schema).parquet(path)
+    W.write_daily(found.unionByName(found.select(F.lit("2001-02-30").alias("sent"), "series", "region").limit(1)), path)
+    span = found.agg(F.min("sent"), F.greatest(F.max("sent"), F.lit("2001-12-31"))).first()
+    if span[0]:
+        W.write_daily(found, path, *span)  # a rerun replaces its days, also the one it has no alert for now
+    return W.read_daily(t.spark, path).select(F.col("sent").cast("string").alias("sent"), "series", "region")

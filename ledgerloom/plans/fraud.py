@@ -11,9 +11,9 @@ from ..sources import domain as D
 from ..sources.tables import Tables
 from .registry import cte, query
 
-# The fixture is sparse (an operation per customer every ten hours), so speed and look-back are scaled.
-P = R.Params(speed_kmh=60.0, compromise_days=0.5)
-CONFIRMED = "is_fraud AND amount > 8000"
+# The fixture is sparse (an operation per customer every ten hours), so the speed is scaled.
+P = R.Params(speed_kmh=60.0)
+CONFIRMED = "is_fraud"
 DAY, HOUR = R.DAY, R.HOUR
 
 
@@ -22,7 +22,7 @@ def balances(t: Tables):
 
 
 def complaints(t: Tables):
-    return D.operations(t).filter("is_complaint AND amount > 12000").select(
+    return D.operations(t).filter("is_complaint").select(
         F.col("op_id").alias("complaint_id"), "customer", F.col("ts").cast("date").alias("filed"), F.floor(F.col("op_id") / 2).cast("bigint").alias("about"))
 
 
@@ -74,9 +74,9 @@ def _(t: Tables):
     return R.travel(D.operations(t), P).filter("impossible").select("op_id", "customer")
 
 
-@query("w15_card_testing", "SELECT op_id, CAST(small_24h AS BIGINT) AS small_24h FROM x_feat WHERE small_24h >= 1 AND channel = 'online' AND amount >= 10000")
+@query("w15_card_testing", "SELECT op_id, CAST(small_24h AS BIGINT) AS small_24h FROM x_feat WHERE small_24h >= 2 AND channel = 'online' AND amount >= 10000")
 def _(t: Tables):
-    return R.spending(D.operations(t), P).filter("small_24h >= 1 AND channel = 'online' AND amount >= 10000").select("op_id", "small_24h")
+    return R.spending(D.operations(t), P).filter(R.rules(P)["card testing"]).select("op_id", "small_24h")
 
 
 @query("w16_first_seen", "SELECT op_id, new_city, new_device, new_beneficiary FROM x_feat")
@@ -118,7 +118,7 @@ def _(t: Tables):
 
 
 cte("x_uses", f"""
-SELECT *, coalesce(nxt - us <= {DAY // 2}, false) AS before_fraud FROM (SELECT *, min(CASE WHEN is_fraud AND amount > 8000 THEN us END) OVER (PARTITION BY customer ORDER BY us, op_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM x_ops)""")
+SELECT *, coalesce(nxt - us <= {30 * DAY}, false) AS before_fraud FROM (SELECT *, min(CASE WHEN is_fraud THEN us END) OVER (PARTITION BY customer ORDER BY us, op_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM x_ops)""")
 cte("x_shops", """
 SELECT shop, customers, victims, round(CAST(victims * a AS DOUBLE) / (customers * nullif(v, 0)), 6) AS times_base, coalesce(CAST(victims * a AS DOUBLE) / (customers * nullif(v, 0)) >= 1.3 AND victims >= 10, false) AS compromised FROM (
  SELECT shop, count(*) AS customers, count(*) FILTER (v) AS victims FROM (SELECT shop, customer, bool_or(before_fraud) AS v FROM x_uses GROUP BY ALL) GROUP BY shop),
@@ -139,16 +139,16 @@ def _(t: Tables):
     return shops(t)
 
 
-cte("x_risky", "SELECT shop FROM x_shops QUALIFY row_number() OVER (ORDER BY times_base DESC, shop) <= 5")
-cte("x_compl", "SELECT op_id AS complaint_id, customer, CAST(ts AS DATE) AS filed, op_id // 2 AS about FROM x_ops WHERE is_complaint AND amount > 12000")
+cte("x_risky", "SELECT shop FROM x_shops WHERE compromised")
+cte("x_compl", "SELECT op_id AS complaint_id, customer, CAST(ts AS DATE) AS filed, op_id // 2 AS about FROM x_ops WHERE is_complaint")
 
 
 def risky(t: Tables):
-    return shops(t).orderBy(F.desc("times_base"), "shop").limit(5).select("shop")
+    return shops(t).filter("compromised").select("shop")
 
 
 def exposed(t: Tables):
-    return D.operations(t).join(F.broadcast(risky(t)), "shop", "left_semi").select("customer").distinct()
+    return D.operations(t).join(risky(t), "shop", "left_semi").select("customer").distinct()
 
 
 @query("j17_exposed_not_complained", "SELECT DISTINCT customer FROM x_ops WHERE shop IN (SELECT shop FROM x_risky) AND customer NOT IN (SELECT customer FROM x_compl)")

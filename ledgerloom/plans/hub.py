@@ -50,7 +50,7 @@ cte("x_rates", "SELECT * FROM (VALUES ('USD', CAST(5.0 AS DECIMAL(10,4))), ('EUR
 cte("x_recon", f"""
 SELECT ref, class, CASE class WHEN 'missing invoice' THEN paid WHEN 'cancelled but invoiced' THEN billed WHEN 'matched' THEN 0 ELSE abs(paid - billed) END AS at_risk FROM (
  SELECT *, CASE WHEN billed IS NULL AND NOT cancelled THEN 'missing invoice' WHEN billed IS NULL THEN 'matched' WHEN coalesce(cancelled, true) THEN 'cancelled but invoiced' WHEN copies > 1 THEN 'double billing'
-  WHEN pay_ccy <> inv_ccy THEN 'currency mismatch' WHEN abs(paid - billed) > paid * CAST(0.25 AS DECIMAL(4,2)) THEN 'amount mismatch' ELSE 'matched' END AS class FROM (
+  WHEN pay_ccy <> inv_ccy THEN 'currency mismatch' WHEN abs(paid - billed) > 0.01 THEN 'amount mismatch' ELSE 'matched' END AS class FROM (
   SELECT order_id AS ref, {CCY} AS pay_ccy, status = 'P' AS cancelled, CAST(round(total * rate, 2) AS DECIMAL(18,2)) AS paid FROM x_orders JOIN x_rates ON ccy = {CCY}) p
  FULL JOIN (SELECT order_id AS ref, {INV_CCY} AS inv_ccy, max(copies) AS copies, sum(CAST(round(price * rate, 2) AS DECIMAL(18,2))) AS billed
    FROM (SELECT order_id, line_seq, sum(price) AS price, count(*) AS copies FROM x_lines GROUP BY ALL) JOIN x_rates ON ccy = {INV_CCY} GROUP BY order_id) i USING (ref))""")
@@ -77,14 +77,14 @@ def _(t: Tables):
 
 
 @query("p17_mapping_rules", """
-SELECT gl, CASE WHEN region = 'ASIA' THEN 'USD' WHEN region = 'EUROPE' THEN 'EUR' ELSE 'BRL' END AS currency, count(*) AS n, CAST(sum(CAST(round(price * CASE category WHEN 'PROMO' THEN CAST(0.08 AS DECIMAL(4,2)) ELSE CAST(0.16 AS DECIMAL(4,2)) END, 2) AS DECIMAL(14,2))) AS DOUBLE) AS tax
-FROM (SELECT *, 'GL-' || (4000 + CAST(substring(brand, 7) AS INTEGER)) AS gl FROM x_vsales WHERE CAST(substring(brand, 7) AS INTEGER) <= 20) GROUP BY ALL""")
+SELECT coalesce(gl, 'unmapped') AS gl, CASE WHEN region = 'ASIA' THEN 'USD' WHEN region = 'EUROPE' THEN 'EUR' ELSE 'BRL' END AS currency, count(*) AS n, CAST(sum(CAST(round(price * CASE category WHEN 'PROMO' THEN CAST(0.08 AS DECIMAL(4,2)) ELSE CAST(0.16 AS DECIMAL(4,2)) END, 2) AS DECIMAL(14,2))) AS DOUBLE) AS tax
+FROM (SELECT *, CASE WHEN CAST(substring(brand, 7) AS INTEGER) <= 20 THEN 'GL-' || (4000 + CAST(substring(brand, 7) AS INTEGER)) END AS gl FROM x_vsales) GROUP BY ALL""")
 def _(t: Tables):
     ccy = t.rows("region string, currency string", [("ASIA", "USD"), ("EUROPE", "EUR"), ("AFRICA", "BRL"), ("AMERICA", "BRL"), ("MIDDLE EAST", "BRL")])
     tax = t.rows("category string, tax_rate string", [(c, "0.08" if c == "PROMO" else "0.16") for c in ("PROMO", "MEDIUM", "STANDARD", "LARGE", "SMALL", "ECONOMY")])
-    v = D.v_sales(t, ("customer", "product")).join(F.broadcast(t.rows("brand string, gl string", GL)), "brand").join(F.broadcast(ccy), "region").join(F.broadcast(tax), "category")
+    v = D.v_sales(t, ("customer", "product")).join(F.broadcast(t.rows("brand string, gl string", GL)), "brand", "left").join(F.broadcast(ccy), "region", "left").join(F.broadcast(tax), "category", "left")
     amount = F.round(F.col("price") * F.col("tax_rate").cast("decimal(4,2)"), 2).cast("decimal(14,2)")
-    return v.groupBy("gl", "currency").agg(F.count("*").alias("n"), dbl(F.sum(amount)).alias("tax"))
+    return v.groupBy(F.coalesce("gl", F.lit("unmapped")).alias("gl"), "currency").agg(F.count("*").alias("n"), dbl(F.sum(amount)).alias("tax"))
 
 
 @query("h02_sync_health", """

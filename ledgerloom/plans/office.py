@@ -112,7 +112,7 @@ def _(t: Tables):
 
 
 cte("x_last", "SELECT conv_id, turn, role, text, n_turns FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS rn, count(*) OVER (PARTITION BY conv_id) AS n_turns FROM conversations) WHERE rn = 1")
-cte("x_tri", "SELECT *, CASE WHEN regexp_matches(lower(text), 'urgent|asap|immediately|error') THEN 'urgent' WHEN regexp_matches(lower(text), 'meet|schedule|calendar|tion') THEN 'schedule' WHEN contains(text, '?') OR role = 'user' THEN 'needs reply' ELSE 'fyi' END AS class FROM x_last")
+cte("x_tri", f"SELECT *, CASE WHEN regexp_matches(lower(text), '{O.URGENT}') THEN 'urgent' WHEN regexp_matches(lower(text), '{O.SCHEDULE}') THEN 'schedule' WHEN contains(text, '?') OR role = 'user' THEN 'needs reply' ELSE 'fyi' END AS class FROM x_last")
 
 
 def triaged(t: Tables):

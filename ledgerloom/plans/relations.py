@@ -64,10 +64,10 @@ SELECT event_id AS reading_id, event_type AS tag, ts, epoch_us(ts) AS us, user_i
        CAST(round(value * 100) AS BIGINT) AS centi, CAST(json_extract(props, '$.k') AS INTEGER) AS k
 FROM events""")
 cte("x_ops", """
-SELECT event_id AS op_id, user_id AS customer, ts, epoch_us(ts) AS us, k AS shop, k % 12 AS city, k % 7 AS device,
+SELECT event_id AS op_id, user_id AS customer, ts, epoch_us(ts) AS us, CASE WHEN user_id % 10 = 0 AND k % 5 = 0 THEN 3 ELSE k END AS shop, k % 12 AS city, k % 7 AS device,
        k % 17 AS beneficiary, k % 5 AS category, CASE WHEN k % 9 = 0 THEN 'XX' ELSE 'MX' END AS ip_country,
        event_type = 'view' AS card_present,
        CASE event_type WHEN 'view' THEN 'pos' WHEN 'signup' THEN 'transfer' ELSE 'online' END AS channel,
-       CAST(round(value * 100) AS BIGINT) AS amount, event_type = 'error' AS is_fraud,
-       event_type = 'click' AS is_complaint
+       CAST(round(value * 100) AS BIGINT) AS amount, event_type = 'error' AND user_id % 10 = 0 AS is_fraud,
+       event_type = 'click' AND user_id % 3 <> 0 AS is_complaint
 FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)""")

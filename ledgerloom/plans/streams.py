@@ -89,12 +89,14 @@ def _(t: Tables):
 
 @query("t09_operation_complaint_stream", """
 SELECT p.event_id AS op_id, coalesce(c.event_id, -1) AS other_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p
-LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON c.event_id - 1 - c.event_id % 3 = p.event_id AND c.ts >= p.ts AND c.ts <= p.ts + INTERVAL 6 HOURS WHERE p.ts < TIMESTAMP '2024-01-29'""")
+LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON c.event_id - 1 - c.event_id % 3 = p.event_id AND c.ts >= p.ts AND c.ts <= p.ts + INTERVAL 6 HOURS
+WHERE c.event_id IS NOT NULL OR p.ts + INTERVAL 6 HOURS < (SELECT max(ts) - INTERVAL 1 HOUR FROM events WHERE event_type IN ('purchase', 'click'))""")
 def _(t: Tables):
     ops = live(t).events.filter("event_type = 'purchase'").select(F.col("event_id").alias("op_id"), "ts")
     later = live(t).events.filter("event_type = 'click'").select((F.col("event_id") - 1 - F.col("event_id") % 3).alias("about"), "ts", F.col("event_id").alias("other_id"))
     out = J.drain(J.later_match(ops, later, "6 HOURS", "1 hour"), J.work_folder(t.spark, "match"))
-    return out.filter("ts < TIMESTAMP '2024-01-29'").select("op_id", F.coalesce("other_id", F.lit(-1)).alias("other_id"))
+    # An operation without a complaint comes out once the watermark has passed the time a complaint may take.
+    return out.select("op_id", F.coalesce("other_id", F.lit(-1)).alias("other_id"))
 
 
 OPS = ("op_id bigint, customer bigint, ts timestamp_ntz, us bigint, shop int, city int, device int, beneficiary int, category int, ip_country string, "

@@ -153,14 +153,14 @@ cte("x_pace", f"SELECT a AS as_of, " + ", ".join(f"CAST(median(days) FILTER (sta
 
 
 def est_sql(asof: str) -> str:
-    days = " + ".join(f"CASE WHEN s{s} IS NULL OR s{s} > {asof} THEN coalesce(p{s}, 0.0::DOUBLE) ELSE 0.0::DOUBLE END" for s in range(1, 8))
+    days = " + ".join(f"CASE WHEN s{s} IS NULL OR s{s} > {asof} THEN p{s} ELSE 0.0::DOUBLE END" for s in range(1, 8))
     left = " + ".join(f"CAST(s{s} IS NULL OR s{s} > {asof} AS INTEGER)" for s in range(1, 8))
     which = ", ".join(f"CASE WHEN s{s} IS NULL OR s{s} > {asof} THEN '{s}' END" for s in range(1, 8))
     return f"CAST(ceil({days}) AS INTEGER) AS days_left, {left} AS stages_left, concat_ws(',', {which}) AS which"
 
 
 cte("x_est", f"""
-SELECT *, as_of + days_left AS estimated, 'stages left: ' || which || '; days at recent pace: ' || days_left AS why FROM (
+SELECT *, as_of + days_left AS estimated, 'stages left: ' || which || '; days at recent pace: ' || coalesce(CAST(days_left AS VARCHAR), 'unknown') AS why FROM (
  SELECT o.order_id, o.promised_date, p.as_of, {est_sql('p.as_of')} FROM x_orders o LEFT JOIN x_stages g USING (order_id), x_pace p WHERE o.status = 'O')""")
 
 
@@ -192,19 +192,23 @@ def _(t: Tables):
     return open_estimates(t).select("order_id", W.risk_status(F.col("as_of")).alias("risk"))
 
 
-AS_OFS = [date(2000 + (m - 1) // 12, (m - 1) % 12 + 1, 15) for m in range(8, 20)]  # the 15th of 12 months before the data end
-cte("x_asofs", "SELECT * FROM (VALUES " + ", ".join(f"(DATE '{d}')" for d in AS_OFS) + ") a(as_of)")
+cte("x_asofs", f"SELECT CAST(date_trunc('month', anchor) - to_months(CAST(m AS INTEGER)) AS DATE) + 14 AS as_of FROM ({ANCHOR}), range(1, 13) r(m)")
 cte("x_btpace", "SELECT as_of, " + ", ".join(f"CAST(median(days) FILTER (stage = {s}) AS DOUBLE) AS p{s}" for s in range(1, 8)) + " FROM x_obs, x_asofs WHERE done <= as_of AND done > as_of - 120 GROUP BY as_of")
 cte("x_bt", f"""
-SELECT *, as_of + days_left > promised_date AS flagged, last_line > promised_date AS late, abs(as_of + days_left - last_line) AS error_days FROM (
- SELECT o.order_id, o.promised_date, g.last_line, p.as_of, {est_sql('p.as_of')} FROM x_orders o JOIN x_stages g USING (order_id), x_btpace p WHERE o.status = 'F' AND o.purchase_date <= p.as_of AND g.last_line > p.as_of)""")
+SELECT *, coalesce(as_of + days_left > promised_date, false) AS flagged,
+ CASE status WHEN 'P' THEN false WHEN 'F' THEN coalesce(last_line, (SELECT anchor FROM ({ANCHOR}))) > promised_date ELSE (SELECT anchor FROM ({ANCHOR})) > promised_date END AS late,
+ CASE WHEN status = 'F' THEN abs(as_of + days_left - last_line) END AS error_days FROM (
+ SELECT o.order_id, o.status, o.promised_date, g.last_line, p.as_of, {est_sql('p.as_of')} FROM x_orders o LEFT JOIN x_stages g USING (order_id), x_btpace p WHERE o.purchase_date <= p.as_of AND (g.last_line IS NULL OR g.last_line > p.as_of))""")
 
 
 @query("m17_backtest", """
 SELECT CAST(as_of AS VARCHAR) AS as_of, count(*) AS n, count(*) FILTER (flagged) AS n_flagged, round(CAST(count(*) FILTER (flagged AND late) AS DOUBLE) / nullif(count(*) FILTER (flagged), 0), 6) AS precision,
  round(CAST(count(*) FILTER (flagged AND late) AS DOUBLE) / nullif(count(*) FILTER (late), 0), 6) AS recall, CAST(median(error_days) AS DOUBLE) AS median_error FROM x_bt GROUP BY as_of""")
 def _(t: Tables):
-    b = W.backtest(D.orders(t), D.lines(t), AS_OFS)
+    anchor = D.orders(t).agg(F.max("purchase_date")).first()[0]
+    # The 15th of the 12 months before the month of the last order.
+    as_ofs = [date(m // 12, m % 12 + 1, 15) for m in range(12 * anchor.year + anchor.month - 13, 12 * anchor.year + anchor.month - 1)] if anchor else []
+    b = W.backtest(D.orders(t), D.lines(t), as_ofs, F.lit(anchor).cast("date"))
     # Whole error days are counted first, so the median reads distinct values only.
     g = b.groupBy("as_of", "error_days").agg(F.count("*").alias("k"), F.count_if("flagged").alias("f"), F.count_if("late").alias("l"), F.count_if(F.col("flagged") & F.col("late")).alias("fl"))
     return g.groupBy(F.col("as_of").cast("string").alias("as_of")).agg(

@@ -184,14 +184,20 @@ def readings(t: Tables) -> DataFrame:
 
 
 def operations(t: Tables) -> DataFrame:
-    """Card and transfer operations with the columns the fraud rules read."""
+    """Card and transfer operations with the columns the fraud rules read.
+
+    Every tenth customer is defrauded; a fifth of what such a customer does goes
+    through shop 3, so the data holds a common point of compromise. Every third
+    customer never complains.
+    """
     k = prop_k()
+    victim = F.col("user_id") % 10 == 0
     return t.events.select(
         F.col("event_id").alias("op_id"),
         F.col("user_id").alias("customer"),
         F.col("ts"),
         micros().alias("us"),
-        k.alias("shop"),
+        F.when(victim & (k % 5 == 0), 3).otherwise(k).alias("shop"),
         (k % 12).alias("city"),
         (k % 7).alias("device"),
         (k % 17).alias("beneficiary"),
@@ -203,6 +209,6 @@ def operations(t: Tables) -> DataFrame:
         .otherwise("online")
         .alias("channel"),
         cents("value").alias("amount"),
-        (F.col("event_type") == "error").alias("is_fraud"),
-        (F.col("event_type") == "click").alias("is_complaint"),
+        ((F.col("event_type") == "error") & victim).alias("is_fraud"),
+        ((F.col("event_type") == "click") & (F.col("user_id") % 3 != 0)).alias("is_complaint"),
     )

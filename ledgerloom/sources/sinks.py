@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DataType, DecimalType, StructType
 
+SEVERITIES = ("critical", "high", "medium", "low")
 PERSONAL = ("customer_id", "customer_name", "name", "email")
 
 
@@ -23,14 +27,40 @@ def write_monthly(df: DataFrame, path: str, month: str = "ym") -> None:
     df.repartition(n, F.col(month), salt).write.mode("overwrite").partitionBy(month).parquet(path)
 
 
-def write_daily(df: DataFrame, path: str, day: str = "sent") -> None:
-    """Append-like log partitioned by day; a rerun of a day replaces that day only."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+def point_to(spark: SparkSession, root: str, build: str) -> None:
+    """Make ``build`` what readers of ``root`` see. A pointer is added and never replaced,
+    so at no moment is there none; the newest one counts."""
+    row = [(time.time_ns(), build)]
+    spark.createDataFrame(row, "version bigint, location string").coalesce(1).write.mode("append").json(f"{root}/current")
+
+
+def pointed_at(spark: SparkSession, root: str) -> str:
+    pointers = spark.read.schema("version bigint, location string").json(f"{root}/current")
+    return pointers.agg(F.max_by("location", "version")).first()[0]
+
+
+def write_daily(df: DataFrame, path: str, first: str | None = None, last: str | None = None, day: str = "sent") -> None:
+    """Log partitioned by day. A run from ``first`` to ``last`` replaces all days of that range,
+    also those for which it has no row now; without a range it replaces the whole log."""
+    spark = df.sparkSession
+    if first is not None and last is not None:
+        old = read_daily(spark, path)
+        df = df.unionByName(old.filter(~F.col(day).between(first, last)).select(*[F.col(f.name).cast(f.dataType) for f in df.schema]))
+    build = f"{path}/build-{uuid.uuid4().hex}"
+    df.repartition(F.col(day)).write.partitionBy(day).parquet(build)
+    point_to(spark, path, build)
+
+
+def read_daily(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(pointed_at(spark, path))
 
 
 def write_findings(df: DataFrame, path: str) -> None:
-    """Findings ordered by severity, each with the note that a person has to review it."""
-    df.withColumn("note", F.lit("validate before delivery")).write.mode("overwrite").json(path)
+    """Findings in order of severity, each with the note that a person has to review it."""
+    rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
+    rank = F.when(rank == 0, len(SEVERITIES) + 1).otherwise(rank)
+    rest = [c for c in df.columns if c != "severity"]
+    df.withColumn("note", F.lit("validate before delivery")).sort(rank, *rest).write.mode("overwrite").json(path)
 
 
 def ddl_type(t: DataType) -> str:

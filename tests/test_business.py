@@ -158,7 +158,48 @@ def test_covered_counts(spark):
 def test_backtest_reads_nothing_after_the_day(spark, shop):
     orders, lines = shop
     as_of = [d("2020-01-05")]
-    before = W.backtest(orders, lines, as_of).select("order_id", "estimated").collect()
+    before = W.backtest(orders, lines, as_of, F.lit(None).cast("date")).select("order_id", "estimated").collect()
     moved = lines.withColumn("ship_date", F.when(F.col("ship_date") > d("2020-01-05"), F.date_add("ship_date", 400)).otherwise(F.col("ship_date")))
-    after = W.backtest(orders, moved, as_of).select("order_id", "estimated").collect()
+    after = W.backtest(orders, moved, as_of, F.lit(None).cast("date")).select("order_id", "estimated").collect()
     assert sorted(before) == sorted(after) and before
+
+
+def test_filters_reach_every_kpi_or_raise(tables):
+    from ledgerloom.operators import kpi as K
+
+    rel = K.datasets(tables, ("customer", "product"))
+    whole = {r.kpi: r.value for r in K.kpis(rel).collect()}
+    promo = {r.kpi: r.value for r in K.kpis(rel, filters={"category": "PROMO"}).collect()}
+    assert set(whole) == set(promo)
+    assert promo["orders"] < whole["orders"] and promo["customers"] < whole["customers"] and promo["rating"] != whole["rating"]
+    sales = rel["sales"]().filter("category = 'PROMO' AND status <> 'P'")
+    assert promo["orders"] == sales.select("order_id").distinct().count()
+    by = {(r.category, r.kpi): r.value for r in K.kpis(rel, by=["category"]).collect()}
+    assert by["PROMO", "orders"] == promo["orders"] and by["PROMO", "rating"] == promo["rating"]
+    for wrong in ({"colour": "red"}, {"category": "PROMO", "colour": "red"}):
+        with pytest.raises(ValueError):
+            K.kpis(rel, filters=wrong)
+    with pytest.raises(ValueError):
+        K.kpis(rel, by=["colour"])
+
+
+def test_a_stage_without_pace_gives_no_estimate(spark):
+    from ledgerloom.operators import workshop as W
+
+    done = {f"s{s}": None for s in W.ROUTE}
+    row = {"order_id": 1, "promised_date": d("2024-02-01"), "as_of": d("2024-01-01"), **done, **{f"p{s}": 2.0 for s in W.ROUTE}}
+    cols = "order_id int, promised_date date, as_of date, " + ", ".join(f"s{s} date" for s in W.ROUTE) + ", " + ", ".join(f"p{s} double" for s in W.ROUTE)
+    known = W.estimate(spark.createDataFrame([tuple(row.values())], cols), F.col("as_of")).first()
+    assert (known.days_left, known.no_pace) == (14, 0)
+    row["p3"] = None
+    unknown = W.estimate(spark.createDataFrame([tuple(row.values())], cols), F.col("as_of")).first()
+    assert (unknown.days_left, unknown.estimated, unknown.no_pace) == (None, None, 1)
+
+
+def test_reconciliation_is_exact_to_the_cent(spark):
+    from ledgerloom.operators import hub as H
+
+    pay = spark.createDataFrame([(1, Decimal("100.00"), "BRL", False), (2, Decimal("100.00"), "BRL", False)], "ref int, amount decimal(12,2), currency string, cancelled boolean")
+    inv = spark.createDataFrame([(1, 1, Decimal("100.01"), "BRL", 1), (2, 1, Decimal("80.00"), "BRL", 1)], "ref int, document int, amount decimal(12,2), currency string, copies int")
+    got = {r.ref: (r["class"], r.at_risk) for r in H.reconcile(pay, inv, {"BRL": 1.0}).collect()}
+    assert got == {1: ("matched", 0), 2: ("amount mismatch", Decimal("20.00"))}

@@ -42,8 +42,18 @@ def test_export_writes_ddl_and_manifest(spark, tmp_path):
     assert "`price` decimal(12,2)" in text and "`tags` array<string>" in text
 
 
-def test_daily_log_rerun_replaces_the_day(spark, tmp_path):
-    df = spark.createDataFrame([("2024-01-01", 1), ("2024-01-02", 2)], "sent string, v int")
-    W.write_daily(df, str(tmp_path / "log"))
-    W.write_daily(df.filter("v = 2"), str(tmp_path / "log"))
-    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+def test_daily_log_rerun_replaces_all_days_of_its_range(spark, tmp_path):
+    log = str(tmp_path / "log")
+    df = spark.createDataFrame([("2024-01-01", 1), ("2024-01-02", 2), ("2024-01-03", 3)], "sent string, v int")
+    W.write_daily(df, log)
+    W.write_daily(df.filter("v = 2"), log, "2024-01-02", "2024-01-03")  # the third has no row any more
+    assert sorted(r.v for r in W.read_daily(spark, log).collect()) == [1, 2]
+    W.write_daily(df.filter("v = 3"), log, "2024-01-03", "2024-01-03")
+    assert sorted(r.v for r in W.read_daily(spark, log).collect()) == [1, 2, 3]
+
+
+def test_findings_are_in_order_of_severity(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", "low"), (2, "b", "critical"), (3, "c", "medium"), (4, "d", "odd"), (5, "e", "high")], "page_id int, finding string, severity string")
+    W.write_findings(df, str(tmp_path / "f"))
+    lines = [x for p in sorted((tmp_path / "f").glob("part-*")) for x in p.read_text().splitlines()]
+    assert [x.split('"severity":"')[1].split('"')[0] for x in lines] == ["critical", "high", "medium", "low", "odd"]

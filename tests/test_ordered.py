@@ -28,7 +28,7 @@ def both(make):
 def test_running_and_neighbours(skewed):
     def make(hot):
         s = OrderedScan(skewed, ["key"], ["t", "id"], hot)
-        assert s.chunked == (hot is not None)
+        assert (s.hot is not None) == (hot is not None)
         s.running({"total": ("sum", "v"), "low": ("min", "v"), "high": ("max", "v"), "n": ("count", "v"), "seen": ("last", "v")})
         s.running({"total_before": ("sum", "v"), "seen_before": ("last", "v"), "n_before": ("count", "id")}, inclusive=False)
         s.running({"after": ("last", "v")}, reverse=True, inclusive=False)
@@ -65,3 +65,26 @@ def test_islands(skewed):
 
     plain, chunked = both(make)
     assert plain == chunked
+
+
+def test_rolling_keeps_the_scale_of_decimals(skewed):
+    money = skewed.withColumn("v", (F.col("v") * 0.25).cast("decimal(12,2)"))
+
+    def make(hot):
+        r = rolling(money, ["key"], "t", "id", {"near": ("v", 100, 0)}, hot)
+        assert r.schema["near"].dataType.simpleString() == "decimal(22,2)"
+        return r.select("id", "near")
+
+    plain, chunked = both(make)
+    assert plain == chunked and any("0.75" in r for r in plain)
+    with pytest.raises(ValueError):
+        rolling(skewed.withColumn("v", F.col("v").cast("double")), ["key"], "t", "id", {"near": ("v", 100, 0)})
+
+
+def test_only_hot_keys_are_split(skewed):
+    from ledgerloom.operators.ordered import split_hot
+
+    nulls = skewed.withColumn("key", F.when(F.col("key") != "hot", F.col("key")))
+    plain, hot, n = split_hot(nulls, ["key"], 200)
+    assert {r.key for r in hot.select("key").distinct().collect()} == {None}
+    assert hot.count() == n and plain.count() + n == nulls.count()
