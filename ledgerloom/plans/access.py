@@ -33,15 +33,15 @@ def _(t: Tables):
 
 
 @query("j03_seller_orders", """
-SELECT order_id, status, coalesce(on_time, false) AS on_time FROM x_ordel_days WHERE order_id IN (SELECT order_id FROM x_lines WHERE seller_id = 7)""")
+SELECT order_id, status, coalesce(on_time, false) AS on_time FROM x_ordel_days WHERE order_id IN (SELECT order_id FROM x_slines WHERE seller_id = 7)""")
 def _(t: Tables):
-    return S.relation("seller.7", D.v_orders(t, ()), D.lines(t)).select("order_id", "status", F.coalesce("on_time", F.lit(False)).alias("on_time"))
+    return S.relation("seller.7", D.v_orders(t, ()), D.staged_lines(t)).select("order_id", "status", F.coalesce("on_time", F.lit(False)).alias("on_time"))
 
 
 @query("x03_seller_columns", """
 SELECT 'total' AS column_name, 0 AS visible UNION ALL SELECT 'items_value', 0 UNION ALL SELECT 'customer_id', 0 UNION ALL SELECT 'order_id', (SELECT CAST(count(DISTINCT order_id) > 0 AS INTEGER) FROM x_lines WHERE seller_id = 7)""")
 def _(t: Tables):
-    view = S.relation("seller.7", D.v_orders(t, ()), D.lines(t))
+    view = S.relation("seller.7", D.v_orders(t, ()), D.staged_lines(t))
     has = view.agg((F.count("*") > 0).cast("int").alias("n"))
     names = ["total", "items_value", "customer_id", "order_id"]
     flags = F.array(*[F.struct(F.lit(c).alias("column_name"), (F.col("n") * int(c in view.columns)).alias("visible")) for c in names])

@@ -9,14 +9,12 @@ from ..operators import airline as L
 from ..session import literals, settle
 from ..sources import domain as D
 from ..sources.tables import Tables
-from .quality import staged_lines
 from .registry import cte, query
 
 HORIZON = 120
 MAX_SEATS = 3
 
-cte("x_staged", """
-SELECT order_id, line_seq, product_id, seller_id, price FROM (SELECT *, row_number() OVER (PARTITION BY order_id, line_seq ORDER BY ship_date DESC, product_id DESC, seller_id DESC, price DESC) AS rn FROM x_lines) WHERE rn = 1""")
+cte("x_staged", "SELECT order_id, line_seq, product_id, seller_id, price FROM x_slines")
 cte("x_legs", """
 SELECT *, coalesce(arr + 45 > next_dep, false) AS missed FROM (SELECT order_id AS passenger, line_seq AS leg, line_seq * 240 AS dep, line_seq * 240 + 120 + CAST(CAST(price * 100 AS BIGINT) % 200 AS INTEGER) AS arr,
  CAST(CAST(price * 100 AS BIGINT) % 200 AS INTEGER) AS delay, seller_id % 25 AS at_city, product_id % 25 AS to_city, lead(line_seq * 240) OVER (PARTITION BY order_id ORDER BY line_seq) AS next_dep FROM x_staged)""")
@@ -24,7 +22,7 @@ SELECT *, coalesce(arr + 45 > next_dep, false) AS missed FROM (SELECT order_id A
 
 def legs(t: Tables):
     delay = (cents("price") % 200).cast("int")
-    return staged_lines(t).select(
+    return D.staged_lines(t).select(
         F.col("order_id").alias("passenger"), F.col("line_seq").alias("leg"), (F.col("line_seq") * 240).alias("dep"), (F.col("line_seq") * 240 + 120 + delay).alias("arr"),
         delay.alias("delay"), (F.col("seller_id") % 25).alias("at_city"), (F.col("product_id") % 25).alias("to_city"))
 

@@ -133,7 +133,7 @@ def daily_series(t: Tables, orders=None, reviews=None):
         entry("pickups", shipped, "first_ship", one, none),
         entry("late_dispatch", shipped, "deadline", (F.col("first_ship") > F.col("deadline")).cast("int"), one)))
     from_orders = o.select("region", F.explode(entries).alias("e")).select("region", "e.*")
-    r = reviews if reviews is not None else D.latest_reviews(t).join(D.orders(t).select("order_id", "customer_id"), "order_id").join(D.customers(t).select("customer_id", "region"), "customer_id")
+    r = reviews if reviews is not None else D.latest_reviews(t).join(o.select("order_id", "region"), "order_id")  # those of held orders go with them
     from_reviews = r.select("region", F.lit("negative_reviews").alias("series"), F.col("review_ts").cast("date").alias("day"),
                             dec((F.col("score") <= 2).cast("int")).alias("num"), dec(one).alias("den"))
     g = from_orders.unionByName(from_reviews).groupBy("series", "region", "day").agg(

@@ -65,7 +65,7 @@ from .registry import cte
 
 cte("x_ordel_days", """
 SELECT *, CAST(delivered_date - purchase_date AS INTEGER) AS delivery_days,
-       CAST(delivered_date - promised_date AS INTEGER) AS days_late, delivered_date <= promised_date AS on_time FROM x_ordel""")
+       CAST(delivered_date - promised_date AS INTEGER) AS days_late, delivered_date <= promised_date AS on_time FROM x_mordel""")
 cte("x_custorders", "SELECT region, customer_id, count(*) AS n FROM x_vorders WHERE status <> 'P' GROUP BY ALL")
 cte("x_goals", """
 SELECT * FROM (VALUES ('freight_share', 0.20, false), ('on_time', 0.90, true), ('cancel_rate', 0.02, false),
@@ -107,10 +107,10 @@ def one(name: str, kpi: str, by: str, sql: str):
 
 
 one("k01_sales_by_month", "sales", "ym", "SELECT ym, CAST(sum(price) FILTER (status <> 'P') AS DOUBLE) AS sales FROM x_vsales GROUP BY ym")
-one("k03_orders_by_month", "orders", "ym", "SELECT ym, CAST(count(*) FILTER (status <> 'P') AS DOUBLE) AS orders FROM x_orders GROUP BY ym")
+one("k03_orders_by_month", "orders", "ym", "SELECT ym, CAST(count(*) FILTER (status <> 'P') AS DOUBLE) AS orders FROM x_vorders GROUP BY ym")
 one("k04_ticket_by_category", "ticket", "category",
     "SELECT category, round(CAST(sum(price) FILTER (status <> 'P') AS DOUBLE) / count(DISTINCT order_id) FILTER (status <> 'P'), 6) AS ticket FROM x_vsales GROUP BY category")
-one("k05_customers_by_month", "customers", "ym", "SELECT ym, CAST(count(DISTINCT customer_id) AS DOUBLE) AS customers FROM x_orders WHERE status <> 'P' GROUP BY ym")
+one("k05_customers_by_month", "customers", "ym", "SELECT ym, CAST(count(DISTINCT customer_id) AS DOUBLE) AS customers FROM x_vorders WHERE status <> 'P' GROUP BY ym")
 one("k06_repurchase_by_state", "repurchase", "state",
     "SELECT state, round(CAST(count(*) FILTER (n >= 2) AS DOUBLE) / count(*), 6) AS repurchase FROM (SELECT state, customer_id, count(*) AS n FROM x_vorders WHERE status <> 'P' GROUP BY ALL) GROUP BY state")
 one("k07_on_time_by_region", "on_time", "region",
@@ -120,7 +120,7 @@ one("k08_delivery_days_by_payment_type", "delivery_days", "payment_type",
 one("k09_freight_share_by_seller", "freight_share", "seller_id",
     "SELECT seller_id, round(CAST(sum(freight) FILTER (status <> 'P') AS DOUBLE) / CAST(sum(price) FILTER (status <> 'P') AS DOUBLE), 6) AS freight_share FROM x_vsales GROUP BY seller_id")
 one("k10_cancel_rate_by_month", "cancel_rate", "ym",
-    "SELECT ym, round(CAST(count(*) FILTER (status = 'P') AS DOUBLE) / count(*), 6) AS cancel_rate FROM x_orders GROUP BY ym")
+    "SELECT ym, round(CAST(count(*) FILTER (status = 'P') AS DOUBLE) / count(*), 6) AS cancel_rate FROM x_vorders GROUP BY ym")
 one("k11_rating_by_region", "rating", "region",
     "SELECT region, round(CAST(sum(score) AS DOUBLE) / count(score), 6) AS rating FROM x_vreviews GROUP BY region")
 one("k12_negative_reviews_by_month", "negative_reviews", "ym",

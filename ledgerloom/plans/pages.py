@@ -9,49 +9,27 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.money import dbl, ratio
 from ..operators import anomalies as A, kpi as K, quality as Q, security as S, targets as G
 from ..session import settle
-from ..sources import domain as D, sinks as W
+from ..sources import domain as D
 from ..sources.tables import Tables
 from . import alerts, kpis, quality
+from .marts import Warehouse, audit, steps
 from .registry import query
 
-BIG_ROWS = 50_000_000  # from here on wide tables are partitioned by month
-
-
-class Warehouse:
-    """The published tables of one load."""
-
-    def __init__(self, t: Tables, root: str):
-        self.t, self.root, self.schemas = t, root, {}
-
-    def put(self, name: str, df: DataFrame, big: bool = False) -> None:
-        path = f"{self.root}/{name}"
-        if big:
-            W.write_monthly(df, path)
-        else:
-            df.write.mode("overwrite").parquet(path)
-        self.schemas[name] = df.schema
-
-    def get(self, name: str) -> DataFrame:
-        return self.t.spark.read.schema(self.schemas[name]).parquet(f"{self.root}/{name}")
-
 
 def load(t: Tables, root: str) -> Warehouse:
-    """staging, quality, star, wide tables, targets, anomalies, alerts; refuses when the money does not balance."""
+    """staging, quality, star, wide tables, targets, anomalies, alerts.
+
+    Readers see the new tables when all are written and the audit has passed.
+    """
     w = Warehouse(t, root)
-    orders, lines = D.orders(t), D.lines(t)
-    big = t.lineitem.count() > BIG_ROWS
     # The steps of a wave do not depend on each other; Spark runs their jobs side by side.
-    wave({
-        "sales": lambda: w.put("v_sales", D.v_sales(t), big),
-        "orders": lambda: w.put("v_orders", D.v_orders(t), big),
-        "quarantine": lambda: w.put("quarantine_orders", Q.quarantine(orders, lines)),
-    })
+    wave(steps(w))
     so, ss = w.get("v_orders"), w.get("v_sales")
     complete = alerts.complete_months(t)
 
     def seller_tables():
         own = ss.groupBy("order_id", "seller_id").agg(F.count("*").alias("n_lines"), F.sum("price").alias("price"))
-        w.put("orders_by_seller", own.join(so.drop(*S.ORDER_TOTALS, "n_lines"), "order_id"), big)
+        w.put("orders_by_seller", own.join(so.drop(*S.ORDER_TOTALS, "n_lines"), "order_id"), True)
 
     def plan():
         w.put("agg_sales_daily", ss.filter("status <> 'P'").groupBy(F.col("purchase_date").alias("day"), "ym", "region", "category").agg(
@@ -70,19 +48,15 @@ def load(t: Tables, root: str) -> Warehouse:
         w.put("judged", A.detect(settle(alerts.daily_series(t, so, r.select("region", "review_ts", "score"))), alerts.EVENTS, complete, alerts.HOLIDAYS, alerts.FLOOR))
         w.put("alerts", A.alerts(w.get("judged")))
 
-    def balance():
-        kept, held = Q.cascade(lines, w.get("quarantine_orders"), "order_id")
-        if not Q.reconcile(lines, kept, held, "price", "lines").first()["balanced"]:
-            raise Q.PublishRefused("lines do not balance")
-
     wave({
-        "balance": balance, "reviews": reviews, "plan": plan, "sellers": seller_tables,
+        "audit": lambda: audit(w), "reviews": reviews, "plan": plan, "sellers": seller_tables,
         "weekly": lambda: w.put("agg_delivery_weekly", so.groupBy(F.date_trunc("week", "promised_date").cast("date").alias("week"), "region").agg(
             F.count("delivered_date").alias("delivered"), F.count_if("on_time").alias("on_time"))),
         "customers": lambda: w.put("customer_orders", K.customer_counts(so, ["region"])),
         "quality": lambda: w.put("quality_report", Q.report(quality.CHECKS, quality.bases(t))),
     })
-    w.put("reviews_by_seller", w.get("orders_by_seller").select("order_id", "seller_id").join(w.get("v_reviews").drop(*S.ORDER_TOTALS, "n_lines"), "order_id"), big)
+    w.put("reviews_by_seller", w.get("orders_by_seller").select("order_id", "seller_id").join(w.get("v_reviews").drop(*S.ORDER_TOTALS, "n_lines"), "order_id"), True)
+    w.release()
     return w
 
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import cities
 from ..functions.money import dbl, ratio
 from ..operators import quality as Q
-from ..session import literals
+from ..session import checkpoint_dir, literals
 from ..sources import domain as D
 from ..sources.tables import Tables
 from .kpis import MONTH_COMPLETE
+from .marts import balance, load_marts
 from .registry import cte, query
 
 S = lambda c: F.col(c).cast("string")
@@ -26,13 +30,7 @@ SELECT order_id, line_seq, product_id, CAST(price AS DOUBLE) AS price FROM (
   SELECT *, row_number() OVER (PARTITION BY order_id, line_seq ORDER BY ship_date DESC, product_id DESC, seller_id DESC, price DESC) AS rn FROM x_lines)
 WHERE rn = 1""")
 def _(t: Tables):
-    return staged_lines(t).select("order_id", "line_seq", "product_id", dbl("price").alias("price"))
-
-
-def staged_lines(t: Tables):
-    """One row per (order, line): the last shipped; chosen by aggregation, not by sorting a group."""
-    pick = F.max(F.struct("ship_date", "product_id", "seller_id", "price", "freight", "line_status")).alias("m")
-    return D.lines(t).groupBy("order_id", "line_seq").agg(pick).select("order_id", "line_seq", "m.*")
+    return D.staged_lines(t).select("order_id", "line_seq", "product_id", dbl("price").alias("price"))
 
 
 @query("p02_category_names", """
@@ -269,44 +267,43 @@ def _(t: Tables):
     return D.orders(t).join(D.lines(t).select("order_id"), "order_id", "left_anti").select("order_id", "status")
 
 
-cte("x_held", """
-SELECT order_id, status, total, CASE WHEN status = 'F' AND n_lines IS NULL THEN 'delivered without delivery date' ELSE 'cancelled with delivery date' END AS reason
-FROM x_ordel WHERE (status = 'F' AND n_lines IS NULL) OR (status = 'P' AND order_id IN (SELECT order_id FROM x_lines WHERE line_status = 'F'))""")
+def marts(t: Tables):
+    return load_marts(t, f"{checkpoint_dir(t.spark)}/out/marts-{uuid.uuid4().hex}")
 
 
 @query("q19_quarantined_orders", "SELECT order_id, reason, CAST(total AS DOUBLE) AS total FROM x_held")
 def _(t: Tables):
-    return Q.quarantine(D.orders(t), D.lines(t)).select("order_id", "reason", dbl("total").alias("total"))
+    return marts(t).get("quarantine_orders").select("order_id", "reason", dbl("total").alias("total"))
 
 
 @query("j05_quarantine_cascade", """
-SELECT CASE WHEN order_id IN (SELECT order_id FROM x_held) THEN 'held' ELSE 'kept' END AS side, count(*) AS n, CAST(sum(price) AS DOUBLE) AS money FROM x_lines GROUP BY 1""")
+SELECT 'lines ' || CASE WHEN order_id IN (SELECT order_id FROM x_held) THEN 'held' ELSE 'kept' END AS side, count(*) AS n, CAST(sum(price) AS DOUBLE) AS money FROM x_slines GROUP BY 1
+UNION ALL SELECT 'reviews ' || CASE WHEN order_id IN (SELECT order_id FROM x_held) THEN 'held' ELSE 'kept' END, count(*), CAST(sum(score) AS DOUBLE) FROM x_latest WHERE order_id IN (SELECT order_id FROM x_orders) GROUP BY 1""")
 def _(t: Tables):
-    kept, held = Q.cascade(D.lines(t), Q.quarantine(D.orders(t), D.lines(t)), "order_id")
-    n = lambda df, s: df.agg(F.count("*").alias("n"), dbl(F.sum("price")).alias("money")).select(F.lit(s).alias("side"), "n", "money")
-    return n(kept, "kept").unionByName(n(held, "held"))
+    w = marts(t)
+    n = lambda df, s, c: df.agg(F.count("*").alias("n"), dbl(F.sum(c)).alias("money")).select(F.lit(s).alias("side"), "n", "money")
+    latest = D.latest_reviews(t)
+    sides = [n(w.get("v_sales"), "lines kept", "price"), n(w.get("quarantine_lines"), "lines held", "price"),
+             n(latest.join(w.get("v_orders").select("order_id"), "order_id"), "reviews kept", "score"),
+             n(latest.join(w.get("quarantine_orders").select("order_id"), "order_id"), "reviews held", "score")]
+    return reduce(DataFrame.unionByName, sides)
 
 
 @query("q20_reconciliation", """
-SELECT 'orders' AS fact, (SELECT count(*) FROM x_orders) AS n_staging, (SELECT count(*) FROM x_orders) - (SELECT count(*) FROM x_held) AS n_marts, (SELECT count(*) FROM x_held) AS n_quarantine,
-  CAST((SELECT sum(total) FROM x_orders) AS DOUBLE) AS m_staging, true AS balanced
-UNION ALL SELECT 'lines', (SELECT count(*) FROM x_lines), (SELECT count(*) FROM x_lines WHERE order_id NOT IN (SELECT order_id FROM x_held)),
-  (SELECT count(*) FROM x_lines WHERE order_id IN (SELECT order_id FROM x_held)), CAST((SELECT sum(price) FROM x_lines) AS DOUBLE), true""")
+SELECT 'orders' AS fact, (SELECT count(*) FROM x_orders) AS n_staging, (SELECT count(*) FROM x_morders) AS n_marts, (SELECT count(*) FROM x_held) AS n_quarantine,
+  CAST((SELECT sum(total) FROM x_orders) AS DOUBLE) AS m_staging, (SELECT sum(total) FROM x_orders) = (SELECT sum(total) FROM x_morders) + (SELECT sum(total) FROM x_held) AS balanced
+UNION ALL SELECT 'lines', (SELECT count(*) FROM x_slines), (SELECT count(*) FROM x_vsales), (SELECT count(*) FROM x_slines WHERE order_id IN (SELECT order_id FROM x_held)),
+  CAST((SELECT sum(price) FROM x_slines) AS DOUBLE), (SELECT sum(price) FROM x_slines) = (SELECT sum(price) FROM x_vsales) + (SELECT sum(price) FROM x_slines WHERE order_id IN (SELECT order_id FROM x_held))""")
 def _(t: Tables):
-    orders, lines = D.orders(t), D.lines(t)
-    held = Q.quarantine(orders, lines)
-    kept_o, held_o = Q.cascade(orders, held, "order_id")
-    kept_l, held_l = Q.cascade(lines, held, "order_id")
-    out = Q.reconcile(orders, kept_o, held_o, "total", "orders").unionByName(Q.reconcile(lines, kept_l, held_l, "price", "lines"))
-    return out.select("fact", "n_staging", "n_marts", "n_quarantine", dbl("m_staging").alias("m_staging"), "balanced")
+    return balance(marts(t)).select("fact", "n_staging", "n_marts", "n_quarantine", dbl("m_staging").alias("m_staging"), "balanced")
 
 
-@query("u02_difference", "SELECT 'left' AS side, order_id, status FROM x_orders WHERE 1 = 0")
+@query("u02_difference", """
+SELECT 'left' AS side, order_id, status FROM (SELECT order_id, status FROM x_orders EXCEPT ALL (SELECT order_id, status FROM x_morders UNION ALL SELECT order_id, status FROM x_held))""")
 def _(t: Tables):
-    orders = D.orders(t).select("order_id", "status")
-    held = Q.quarantine(D.orders(t), D.lines(t))
-    kept, out = Q.cascade(orders, held, "order_id")
-    return Q.difference(orders, kept.unionByName(out)).select("side", "order_id", "status")
+    w = marts(t)
+    written = w.get("v_orders").select("order_id", "status").unionByName(w.get("quarantine_orders").select("order_id", "status"))
+    return Q.difference(D.orders(t).select("order_id", "status"), written).select("side", "order_id", "status")
 
 
 @query("q21_report", " UNION ALL ".join(

@@ -34,10 +34,22 @@ cte("x_summary", """
 SELECT order_id, count(*) AS n_lines, count(DISTINCT seller_id) AS n_sellers, sum(price) AS items_value,
        sum(freight) AS freight_value, min(ship_date) AS first_ship, max(ship_date) AS last_ship
 FROM x_lines GROUP BY order_id""")
+cte("x_slines", """
+SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY order_id, line_seq ORDER BY ship_date DESC, product_id DESC, seller_id DESC,
+  price DESC, freight DESC, line_status DESC, gross DESC, quantity DESC, return_flag DESC) AS rn FROM x_lines) WHERE rn = 1""")
+cte("x_held", """
+SELECT order_id, status, total, CASE status WHEN 'F' THEN 'delivered without delivery date' ELSE 'cancelled with delivery date' END AS reason FROM x_orders o
+WHERE (status = 'F' AND NOT EXISTS (SELECT 1 FROM x_slines l WHERE l.order_id = o.order_id))
+   OR (status = 'P' AND EXISTS (SELECT 1 FROM x_slines l WHERE l.order_id = o.order_id AND l.line_status = 'F'))""")
+cte("x_morders", "SELECT * FROM x_orders WHERE order_id NOT IN (SELECT order_id FROM x_held)")
+cte("x_mordel", """
+SELECT o.*, s.n_lines, s.n_sellers, s.items_value, s.freight_value, s.first_ship, s.last_ship, CASE WHEN status = 'F' THEN last_ship END AS delivered_date
+FROM x_morders o LEFT JOIN (SELECT order_id, count(*) AS n_lines, count(DISTINCT seller_id) AS n_sellers, sum(price) AS items_value, sum(freight) AS freight_value,
+  min(ship_date) AS first_ship, max(ship_date) AS last_ship FROM x_slines GROUP BY order_id) s USING (order_id)""")
 cte("x_vsales", """
 SELECT l.*, o.customer_id, o.status, o.purchase_date, o.ym, o.total, o.payment_type, o.promised_date,
        c.state, c.region, p.category, p.brand, p.list_price, s.seller_name, s.seller_state, s.seller_region
-FROM x_lines l JOIN x_orders o USING (order_id) JOIN x_customers c USING (customer_id)
+FROM x_slines l JOIN x_morders o USING (order_id) JOIN x_customers c USING (customer_id)
 JOIN x_products p USING (product_id) JOIN x_sellers s USING (seller_id)""")
 cte("x_ordel", """
 SELECT o.*, s.n_lines, s.n_sellers, s.items_value, s.freight_value, s.first_ship, s.last_ship,
@@ -47,7 +59,7 @@ cte("x_vorders", """
 SELECT d.*, CAST(delivered_date - purchase_date AS INTEGER) AS delivery_days,
        CAST(delivered_date - promised_date AS INTEGER) AS days_late, delivered_date <= promised_date AS on_time,
        c.state, c.region
-FROM x_ordel d JOIN x_customers c USING (customer_id)""")
+FROM x_mordel d JOIN x_customers c USING (customer_id)""")
 cte("x_reviews", """
 SELECT user_id * 100 + day(ts) AS review_id, event_id - event_id % 3 AS order_id, event_id, ts AS review_ts,
        CAST(1 + least(4, floor(value / 20)) AS INTEGER) AS score, event_type <> 'view' AS has_comment

@@ -130,7 +130,7 @@ def _(t: Tables):
 
 @query("m14_billed_vs_delivered", """
 SELECT coalesce(b.ym, d.ym) AS ym, coalesce(billed, 0) AS billed, coalesce(delivered, 0) AS delivered FROM (SELECT ym, CAST(sum(total) AS DOUBLE) AS billed FROM x_orders WHERE status = 'F' GROUP BY ym) b
-FULL JOIN (SELECT CAST(year(delivered_date) * 100 + month(delivered_date) AS INTEGER) AS ym, CAST(sum(items_value) AS DOUBLE) AS delivered FROM x_ordel WHERE delivered_date IS NOT NULL GROUP BY 1) d ON b.ym = d.ym""")
+FULL JOIN (SELECT CAST(year(delivered_date) * 100 + month(delivered_date) AS INTEGER) AS ym, CAST(sum(items_value) AS DOUBLE) AS delivered FROM x_mordel WHERE delivered_date IS NOT NULL GROUP BY 1) d ON b.ym = d.ym""")
 def _(t: Tables):
     b = D.orders(t).filter("status = 'F'").groupBy("ym").agg(dbl(F.sum("total")).alias("billed"))
     d = D.v_orders(t, ()).filter("delivered_date IS NOT NULL").groupBy(D.ym("delivered_date").alias("ym")).agg(dbl(F.sum("items_value")).alias("delivered"))

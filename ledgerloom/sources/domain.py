@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.money import cents, money, net, share_of
+from ..operators import quality
 from .tables import Tables
 
 # Promise in days by order priority (ours).
@@ -44,6 +45,15 @@ def lines(t: Tables) -> DataFrame:
     )
 
 
+LINE_ORDER = ["ship_date", "product_id", "seller_id", "price", "freight", "line_status", "gross", "quantity", "return_flag"]
+
+
+def staged_lines(t: Tables) -> DataFrame:
+    """One row per (order, line): the last shipped; chosen by aggregation, not by sorting a group."""
+    pick = F.max(F.struct(*LINE_ORDER)).alias("m")
+    return lines(t).groupBy("order_id", "line_seq").agg(pick).select("order_id", "line_seq", "m.*")
+
+
 def orders(t: Tables) -> DataFrame:
     day = F.col("o_orderdate").cast("date")
     return t.orders.select(
@@ -91,9 +101,13 @@ def sellers(t: Tables) -> DataFrame:
 
 
 def order_lines_summary(t: Tables) -> DataFrame:
-    """One row per order that has lines; partial aggregation happens before the shuffle."""
+    """One row per order that has lines, as they come; partial aggregation happens before the shuffle."""
+    return summarised(lines(t))
+
+
+def summarised(of_lines: DataFrame, *more: Column) -> DataFrame:
     return (
-        lines(t)
+        of_lines
         .groupBy("order_id")
         .agg(
             F.count("*").alias("n_lines"),
@@ -102,28 +116,50 @@ def order_lines_summary(t: Tables) -> DataFrame:
             F.sum("freight").alias("freight_value"),
             F.min("ship_date").alias("first_ship"),
             F.max("ship_date").alias("last_ship"),
+            *more,
         )
     )
 
 
+def examined_orders(t: Tables) -> DataFrame:
+    """Orders with the sums of their staged lines and, for those that contradict themselves, the ``reason``."""
+    facts = summarised(staged_lines(t), F.bool_or(F.col("line_status") == "F").alias("has_delivered_line"))
+    out = orders(t).join(facts, "order_id", "left").withColumn("has_delivered_line", F.coalesce("has_delivered_line", F.lit(False)))
+    return out.withColumn("reason", quality.quarantine_reason()).drop("has_delivered_line")
+
+
+def held_orders(t: Tables) -> DataFrame:
+    """Orders in quarantine, with the reason. Their lines and reviews follow them."""
+    return examined_orders(t).filter("reason IS NOT NULL").select(*orders(t).columns, "reason")
+
+
+def kept_orders(t: Tables) -> DataFrame:
+    return examined_orders(t).filter("reason IS NULL").drop("reason")
+
+
+def with_dimension(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
+    """Left join: a row whose key the dimension lacks stays, and its names are 'unknown'."""
+    texts = {f.name: F.coalesce(f.name, F.lit("unknown")) for f in dimension.schema if f.dataType.typeName() == "string" and f.name != key}
+    return df.join(dimension, key, "left").withColumns(texts)
+
+
 def v_sales(t: Tables, dims: tuple[str, ...] = ("customer", "product", "seller")) -> DataFrame:
-    """One row per order line with its order and the dimensions asked for."""
-    out = lines(t).join(orders(t), "order_id")
+    """One row per staged line of the orders that were kept, with the dimensions asked for."""
+    out = staged_lines(t).join(kept_orders(t).select(*orders(t).columns), "order_id")
     if "customer" in dims:
-        out = out.join(customers(t).select("customer_id", "state", "region"), "customer_id")
+        out = with_dimension(out, customers(t).select("customer_id", "state", "region"), "customer_id")
     if "product" in dims:
-        out = out.join(products(t), "product_id")
+        out = with_dimension(out, products(t), "product_id")
     if "seller" in dims:
-        out = out.join(sellers(t), "seller_id")
+        out = with_dimension(out, sellers(t), "seller_id")
     return out
 
 
 def v_orders(t: Tables, dims: tuple[str, ...] = ("customer",)) -> DataFrame:
-    """One row per order with delivery columns (delivery_days, days_late, on_time)."""
-    out = orders(t).join(order_lines_summary(t), "order_id", "left")
-    out = with_delivery(out)
+    """One row per order that was kept, with delivery columns (delivery_days, days_late, on_time)."""
+    out = with_delivery(kept_orders(t))
     if "customer" in dims:
-        out = out.join(customers(t).select("customer_id", "state", "region"), "customer_id")
+        out = with_dimension(out, customers(t).select("customer_id", "state", "region"), "customer_id")
     return out
 
 

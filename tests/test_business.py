@@ -203,3 +203,30 @@ def test_reconciliation_is_exact_to_the_cent(spark):
     inv = spark.createDataFrame([(1, 1, Decimal("100.01"), "BRL", 1), (2, 1, Decimal("80.00"), "BRL", 1)], "ref int, document int, amount decimal(12,2), currency string, copies int")
     got = {r.ref: (r["class"], r.at_risk) for r in H.reconcile(pay, inv, {"BRL": 1.0}).collect()}
     assert got == {1: ("matched", 0), 2: ("amount mismatch", Decimal("20.00"))}
+
+
+def test_the_load_refuses_lost_and_doubled_rows(tables, tmp_path):
+    from ledgerloom.plans import marts
+
+    w = marts.load_marts(tables, str(tmp_path))
+    held = {r.order_id for r in w.get("quarantine_orders").collect()}
+    assert held and not held & {r.order_id for r in w.get("v_orders").select("order_id").collect()}
+    assert not held & {r.order_id for r in w.get("v_sales").select("order_id").collect()}
+    assert all(r.balanced for r in marts.balance(w).collect())
+    released = marts.published(tables, str(tmp_path), "v_sales").count()
+    for broken in (lambda df: df.limit(df.count() - 1), lambda df: df.unionByName(df.limit(1))):
+        bad = marts.Warehouse(tables, str(tmp_path))
+        for step in marts.steps(bad).values():
+            step()
+        lines = w.get("v_sales")
+        bad.put("v_sales", broken(lines), True)
+        with pytest.raises(Q.PublishRefused):
+            marts.audit(bad)
+    assert marts.published(tables, str(tmp_path), "v_sales").count() == released
+
+
+def test_unknown_keys_keep_their_rows(spark):
+    facts = spark.createDataFrame([(1, 7), (2, 8)], "order_id int, customer_id int")
+    names = spark.createDataFrame([(7, "ASIA")], "customer_id int, region string")
+    got = {r.order_id: r.region for r in D.with_dimension(facts, names, "customer_id").collect()}
+    assert got == {1: "ASIA", 2: "unknown"}
