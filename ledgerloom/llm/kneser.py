@@ -363,6 +363,8 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     pairs = texts.mapInArrow(_batches(count_pairs, kinds), "part int, key bigint, n bigint")
     pairs = pairs.repartitionById(model.buckets, "part").sortWithinPartitions("key")
 
+    offsets = model.offsets
+
     def save_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first_batch = next((b for b in batches if b.num_rows), None)
         if first_batch is None:
@@ -382,13 +384,15 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         hot_here = np.isin(first[at], model.hot)
         _save(f"{folder}/first-{b}.u64", first[at][~hot_here].astype("<u8"))
         _save(f"{folder}/first-{b}.u64x4", stats[~hot_here].astype("<u8"))
-        # kind 0: stats of hot words; kind 1: numbers of pairs seen 1 to 4 times, pairs in all; kind 2: pairs of each second word
+        # kind 0: stats of hot words; kind 1: numbers of pairs seen 1 to 4 times, pairs in all; kind 2: pairs of each
+        # second word, with the word file it belongs to
         second, types = np.unique(key & 0xFFFFFFFF, return_counts=True)
         of_counts = [int((n == k).sum()) for k in (1, 2, 3, 4)]
         h = np.flatnonzero(hot_here)
         yield from _stat_rows(0, first[at][h], stats[h])
         yield from _stat_rows(1, np.array([len(key)]), np.array([of_counts]))
-        yield from _stat_rows(2, second, np.stack([types, 0 * types, 0 * types, 0 * types], 1))
+        part = np.searchsorted(offsets, second, "right") - 1
+        yield from _stat_rows(2, second, np.stack([types, part, 0 * types, 0 * types], 1))
 
     schema = "kind int, id bigint, a bigint, b bigint, c bigint, d bigint"
     stats_path = f"{checkpoint_dir(spark)}/kneser-ney-stats/{uuid.uuid4().hex}"
@@ -402,12 +406,8 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     row = stats.where("kind = 1").agg(F.sum("id"), *[F.sum(c) for c in "abcd"]).first()
     model.pair_types, model.pair_discounts = row[0], discounts(list(row)[1:])
 
-    offsets = model.offsets
-    place = F.lit(0)
-    for o in offsets[1:-1].tolist():
-        place = place + F.when(F.col("id") >= o, 1).otherwise(0)
-    after = (stats.where("kind = 2").groupBy("id").agg(F.sum("a").alias("n"))
-             .select(place.cast("int").alias("part"), F.col("id").alias("key"), "n").repartitionById(parts, "part"))
+    after = (stats.where("kind = 2").groupBy("b", "id").agg(F.sum("a").alias("n"))
+             .select(F.col("b").cast("int").alias("part"), F.col("id").alias("key"), "n").repartitionById(parts, "part"))
 
     def save_after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = None

@@ -69,4 +69,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_main_text": op10_main_text,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_line_dedup": f"""
+WITH pages AS (SELECT coalesce(source, '') AS site, md5(text) AS page, text FROM documents WHERE text IS NOT NULL),
+totals AS (SELECT site, count(DISTINCT page) AS n FROM pages GROUP BY site),
+held AS (SELECT DISTINCT site, page, trim(u.x, ' ') AS line FROM pages, unnest(string_split(text, chr(10))) AS u(x) WHERE trim(u.x, ' ') <> ''),
+bad AS (SELECT site, list(line) AS drop FROM (
+  SELECT site, line FROM held JOIN totals USING (site) GROUP BY site, line, n HAVING count(*) >= {lines.MIN_PAGES} AND count(*) > {lines.RATIO} * n) GROUP BY site),
+cut AS (SELECT d.doc_id, d.source, string_split(d.text, chr(10)) AS s,
+  list_filter(string_split(d.text, chr(10)), lambda x: NOT list_contains(coalesce(b.drop, []), trim(x, ' '))) AS kept
+  FROM documents d LEFT JOIN bad b ON b.site = coalesce(d.source, ''))
+SELECT doc_id, source, CAST(coalesce(len(s), 0) AS INTEGER) AS n_lines, CAST(coalesce(len(s) - len(kept), 0) AS INTEGER) AS n_dropped,
+  array_to_string(kept, chr(10)) AS text FROM cut""",
+}
