@@ -69,7 +69,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_main_text": op10_main_text,
 }
 
+#: CRC-32 of UTF-8 bytes, in SQL: the table by its rule, then one step for each byte.
+CRC = """
+WITH RECURSIVE steps(i, k, v) AS (SELECT i, 0, i FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END FROM steps WHERE k < 8),
+codes AS (SELECT list(v ORDER BY i) AS t FROM steps WHERE k = 8),
+hexed AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+listed AS (SELECT doc_id, len(h) // 2 + 1 AS size, list_transform(range(0, len(h), 2), lambda j: CAST('0x' || substr(h, j + 1, 2) AS BIGINT)) AS bytes FROM hexed),
+summed AS (SELECT doc_id, size,
+  xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda r, b: xor(t[1 + (xor(r, b) & 255)], r >> 8))) AS text_crc32
+  FROM listed, codes)"""
+
 ORACLES: dict[str, str] = {
+    "op5_sharding": f"""{CRC},
+placed AS (SELECT *, sum(size) OVER o AS upto, row_number() OVER o AS place, sum(size) OVER () AS total FROM summed
+  WINDOW o AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+cut AS (SELECT *, CAST((2 * upto - size) * 8 // (2 * total) AS INTEGER) AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM cut""",
     "op9_line_dedup": f"""
 WITH pages AS (SELECT coalesce(source, '') AS site, md5(text) AS page, text FROM documents WHERE text IS NOT NULL),
 totals AS (SELECT site, count(DISTINCT page) AS n FROM pages GROUP BY site),
