@@ -28,13 +28,15 @@ def connect(folder: str = SF):
 
 def kind(s: pd.Series) -> str:
     v = s.dropna()
+    if not len(v):
+        return "empty"
     if pd.api.types.is_bool_dtype(s) or (len(v) and all(isinstance(x, bool) for x in v.head(20))):
         return "bool"
     if pd.api.types.is_integer_dtype(s):
         return "int"
     if pd.api.types.is_float_dtype(s):
         return "float"
-    return "other" if len(v) else "empty"
+    return "other"
 
 
 def norm(v) -> str:
