@@ -58,7 +58,7 @@ def next_departure(asks: DataFrame, flights: DataFrame, keys: list[str], out: st
 
     On one pair flights take equally long, so the first to leave is the first to arrive.
     """
-    f = flights.select(*keys, F.col("dep").alias("at"), F.lit(1).alias("_kind"), F.struct(*fields).alias("_f"), F.col("flight_id").alias("_id"))
+    f = flights.select(*keys, F.col("dep").alias("at"), F.lit(1).alias("_kind"), F.struct(*[F.col(c) for c in fields]).alias("_f"), F.col("flight_id").alias("_id"))
     a = asks.withColumn("_kind", F.lit(0)).withColumn("_f", F.lit(None).cast(f.schema["_f"].dataType)).withColumn("_id", F.col("ask_id"))
     scan = OrderedScan(a.unionByName(f, allowMissingColumns=True), keys, ["at", "_kind", "_id"])
     scan.running({out: ("last", "_f")}, reverse=True)
@@ -85,33 +85,26 @@ def options(asks: DataFrame, flights: DataFrame, horizon: int) -> DataFrame:
     return both.groupBy("ask_id").agg(F.min(F.struct("arrive", "kind", "hub")).alias("m"), F.count("*").alias("n_options")).select("ask_id", "n_options", "m.*")
 
 
-def indexed(flights: DataFrame) -> DataFrame:
-    """Adds idx: the flight's place on its pair by departure."""
-    return OrderedScan(flights, ["o", "z"], ["dep", "flight_id"]).running({"idx": ("count", "flight_id")}).result()
+def allocate(asks: DataFrame, flights: DataFrame) -> DataFrame:
+    """(ask_id, flight_id): each passenger gets the first flight that has a seat for them.
 
-
-def allocate(asks: DataFrame, flights: DataFrame, max_seats: int, rounds: int = 3) -> DataFrame:
-    """(ask_id, flight_id, round): seats given out without overselling, in a fixed number of rounds.
-
-    In each round the passengers left ask for their next flight; the flight takes
-    the first by id up to its free seats. No flight has more than ``max_seats``
-    (checked against the fleet), so only that many candidates per flight leave
-    each task. Greedy; passengers left after the last round stay unassigned.
+    Passengers of a pair queue by the time they ask, then by id (the priority is
+    ours). Up to flight j so many have been taken as had asked by then or as all
+    seats so far allow: S(j) = min(A(j), S(j - 1) + seats(j)), which is
+    C(j) + min(0, min over i <= j of A(i) - C(i)) with A the passengers who have
+    asked and C the seats so far. All of it is running sums and minima, in no
+    rounds; the n-th in the queue gets the first flight with S >= n. No flight is
+    oversold, and no passenger is left for whom a later flight has a seat.
     """
-    if flights.filter(F.col("seats") > max_seats).limit(1).count():
-        raise ValueError("max_seats is below the largest aircraft")
-    asks, fl = settle(asks), settle(indexed(flights))
-    pax = settle(next_departure(asks, fl, ["o", "z"], "f", ["idx"]).filter("f IS NOT NULL").select("ask_id", "o", "z", F.col("f.idx").alias("first")))
-    given = None
-    for r in range(rounds):
-        free = fl.withColumn("left", F.col("seats"))
-        left = pax
-        if given is not None:
-            used = given.groupBy("flight_id").agg(F.count("*").alias("used"))
-            free = fl.join(used, "flight_id", "left").withColumn("left", F.col("seats") - F.coalesce("used", F.lit(0)))
-            left = pax.join(given.select("ask_id"), "ask_id", "left_anti")
-        want = left.withColumn("idx", F.col("first") + r).join(free.filter("left > 0").select("o", "z", "idx", "flight_id", "left"), ["o", "z", "idx"])
-        rank = F.row_number().over(Window.partitionBy("flight_id").orderBy("ask_id"))
-        got = want.withColumn("rank", rank).filter(F.col("rank") <= max_seats).filter("rank <= left").select("ask_id", "flight_id", F.lit(r + 1).alias("round"))
-        given = settle(got if given is None else given.unionByName(got))
-    return given
+    keys = ["o", "z"]
+    points = asks.select(*keys, "at", F.lit(0).alias("_kind"), F.col("ask_id").alias("_id"), F.lit(1).alias("_ask"), F.lit(0).alias("_seats")).unionByName(
+        flights.select(*keys, F.col("dep").alias("at"), F.lit(1).alias("_kind"), F.col("flight_id").alias("_id"), F.lit(0).alias("_ask"), F.col("seats").alias("_seats")))
+    scan = OrderedScan(points, keys, ["at", "_kind", "_id"]).running({"asked": ("sum", "_ask"), "seats": ("sum", "_seats")})
+    scan.with_columns({"_gap": F.when(F.col("_kind") == 1, F.col("asked") - F.col("seats"))}).running({"_low": ("min", "_gap")})
+    line = settle(scan.result())
+    queue = line.filter("_kind = 0").select(F.col("_id").alias("ask_id"), *keys, F.col("asked").alias("at"))
+    taken = F.col("seats") + F.least(F.lit(0), F.col("_low"))
+    # Of flights with the same number taken, only the first took anybody.
+    first = line.filter("_kind = 1").groupBy(*keys, taken.alias("dep")).agg(F.min(F.struct("at", "_id")).alias("m"))
+    got = next_departure(queue, first.select(*keys, "dep", F.col("m._id").alias("flight_id")), keys, "f", ["flight_id"])
+    return got.filter("f IS NOT NULL").select("ask_id", F.col("f.flight_id").alias("flight_id"))

@@ -12,7 +12,6 @@ from ..sources.tables import Tables
 from .registry import cte, query
 
 HORIZON = 120
-MAX_SEATS = 3
 
 cte("x_staged", "SELECT order_id, line_seq, product_id, seller_id, price FROM x_slines")
 cte("x_legs", """
@@ -65,20 +64,18 @@ def _(t: Tables):
     return L.options(stranded(t), one_a_day, HORIZON).withColumn("hub", F.col("hub").cast("bigint"))
 
 
-cte("x_fl", "SELECT *, row_number() OVER (PARTITION BY o, z ORDER BY dep, flight_id) AS idx FROM x_flights")
-cte("x_fidx", "SELECT o, z, dep, min(idx) AS idx FROM x_fl GROUP BY ALL")
-cte("x_want", "SELECT p.ask_id, p.o, p.z, f.idx AS first_idx FROM x_pax p ASOF JOIN x_fidx f ON f.o = p.o AND f.z = p.z AND f.dep >= p.asked")
-cte("x_r1", "SELECT ask_id, flight_id, 1 AS round FROM (SELECT w.ask_id, f.flight_id, f.seats, row_number() OVER (PARTITION BY f.flight_id ORDER BY w.ask_id) AS rk FROM x_want w JOIN x_fl f ON f.o = w.o AND f.z = w.z AND f.idx = w.first_idx) WHERE rk <= seats")
-cte("x_r2", """SELECT ask_id, flight_id, 2 AS round FROM (SELECT w.ask_id, f.flight_id, f.seats - coalesce(u.n, 0) AS free, row_number() OVER (PARTITION BY f.flight_id ORDER BY w.ask_id) AS rk
- FROM x_want w JOIN x_fl f ON f.o = w.o AND f.z = w.z AND f.idx = w.first_idx + 1 LEFT JOIN (SELECT flight_id, count(*) AS n FROM x_r1 GROUP BY ALL) u ON u.flight_id = f.flight_id WHERE w.ask_id NOT IN (SELECT ask_id FROM x_r1)) WHERE rk <= free""")
-cte("x_r12", "SELECT * FROM x_r1 UNION ALL SELECT * FROM x_r2")
-cte("x_r3", """SELECT ask_id, flight_id, 3 AS round FROM (SELECT w.ask_id, f.flight_id, f.seats - coalesce(u.n, 0) AS free, row_number() OVER (PARTITION BY f.flight_id ORDER BY w.ask_id) AS rk
- FROM x_want w JOIN x_fl f ON f.o = w.o AND f.z = w.z AND f.idx = w.first_idx + 2 LEFT JOIN (SELECT flight_id, count(*) AS n FROM x_r12 GROUP BY ALL) u ON u.flight_id = f.flight_id WHERE w.ask_id NOT IN (SELECT ask_id FROM x_r12)) WHERE rk <= free""")
+cte("x_queue", "SELECT ask_id, o, z, row_number() OVER (PARTITION BY o, z ORDER BY asked, ask_id) AS n FROM x_pax")
+cte("x_asked", "SELECT o, z, asked, sum(k) OVER (PARTITION BY o, z ORDER BY asked) AS a FROM (SELECT o, z, asked, count(*) AS k FROM x_pax GROUP BY o, z, asked)")
+cte("x_taken", """
+SELECT o, z, arg_min(flight_id, (dep, flight_id)) AS flight_id, taken FROM (
+ SELECT *, c + least(0, min(a - c) OVER (PARTITION BY o, z ORDER BY dep, flight_id)) AS taken FROM (
+  SELECT f.*, coalesce(q.a, 0) AS a, sum(seats) OVER (PARTITION BY f.o, f.z ORDER BY f.dep, f.flight_id) AS c FROM x_flights f ASOF LEFT JOIN x_asked q ON q.o = f.o AND q.z = f.z AND q.asked <= f.dep)) GROUP BY o, z, taken""")
+cte("x_given", "SELECT q.ask_id, t.flight_id FROM x_queue q ASOF JOIN x_taken t ON t.o = q.o AND t.z = q.z AND t.taken >= q.n")
 
 
-@query("w30_seat_allocation", "SELECT ask_id, flight_id, round FROM x_r12 UNION ALL SELECT * FROM x_r3")
+@query("w30_seat_allocation", "SELECT ask_id, flight_id FROM x_given")
 def _(t: Tables):
-    return L.allocate(stranded(t), flights(t), MAX_SEATS)
+    return L.allocate(stranded(t), flights(t))
 
 
 cte("x_dis", """
@@ -122,10 +119,10 @@ def _(t: Tables):
     ).withColumn("cause", F.coalesce("cause", F.lit("ALL")))
 
 
-@query("c02b_reaccommodated_share", "SELECT count(*) AS stranded, count(g.ask_id) AS reaccommodated, round(CAST(count(g.ask_id) AS DOUBLE) / count(*), 6) AS share FROM x_pax p LEFT JOIN (SELECT * FROM x_r12 UNION ALL SELECT * FROM x_r3) g USING (ask_id)")
+@query("c02b_reaccommodated_share", "SELECT count(*) AS stranded, count(g.ask_id) AS reaccommodated, round(CAST(count(g.ask_id) AS DOUBLE) / count(*), 6) AS share FROM x_pax p LEFT JOIN x_given g USING (ask_id)")
 def _(t: Tables):
     s = stranded(t)
-    g = L.allocate(s, flights(t), MAX_SEATS).withColumn("ok", F.lit(1))
+    g = L.allocate(s, flights(t)).withColumn("ok", F.lit(1))
     return s.join(g.select("ask_id", "ok"), "ask_id", "left").agg(F.count("*").alias("stranded"), F.count("ok").alias("reaccommodated"), ratio(F.count("ok"), F.count("*")).alias("share"))
 
 

@@ -119,11 +119,22 @@ def test_short_delay_breaks_connection(spark):
 
 def test_no_flight_is_oversold_and_nobody_flies_twice(tables):
     fl = LP.flights(tables)
-    g = L.allocate(LP.stranded(tables), fl, LP.MAX_SEATS)
+    asks = LP.stranded(tables)
+    g = L.allocate(asks, fl)
     used = g.groupBy("flight_id").agg(F.count("*").alias("n")).join(fl, "flight_id")
     assert g.count() > 0 and used.filter("n > seats").count() == 0 and g.groupBy("ask_id").count().filter("count > 1").count() == 0
-    with pytest.raises(ValueError):
-        L.allocate(LP.stranded(tables), fl, 1)
+    # Served one by one in the order of the queue: the same, so nobody is left who could be placed.
+    free = {r.flight_id: r.seats for r in fl.collect()}
+    by_pair = {}
+    for r in sorted(fl.collect(), key=lambda r: (r.dep, r.flight_id)):
+        by_pair.setdefault((r.o, r.z), []).append(r)
+    want = {}
+    for p in sorted(asks.collect(), key=lambda p: (p["at"], p.ask_id)):
+        f = next((f for f in by_pair.get((p.o, p.z), []) if f.dep >= p["at"] and free[f.flight_id] > 0), None)
+        if f:
+            free[f.flight_id] -= 1
+            want[p.ask_id] = f.flight_id
+    assert {r.ask_id: r.flight_id for r in g.collect()} == want
 
 
 def test_claims_pay_what_is_owed(spark):
