@@ -22,6 +22,7 @@ S = lambda c: F.col(c).cast("string")
 # Official category names; the second list is the library's own fallback (fixed values of the fixture).
 OFFICIAL = [("ECONOMY", "economica"), ("SMALL", "pequena"), ("LARGE", "grande"), ("STANDARD", "comun")]
 OWN = [("MEDIUM", "mediana")]
+FRESH_DAYS = 7
 CODES = ["af", "am", "as", "eu", "mi"]
 
 
@@ -313,12 +314,14 @@ def _(t: Tables):
 
 
 @query("q22_freshness", """
-SELECT source, CAST(last_day AS VARCHAR) AS last_day, last_day >= DATE '2001-07-25' AS is_fresh FROM (
+SELECT source, CAST(last_day AS VARCHAR) AS last_day, last_day >= max(last_day) OVER () - 7 AS is_fresh FROM (
   SELECT 'orders' AS source, max(purchase_date) AS last_day FROM x_orders UNION ALL SELECT 'lines', max(ship_date) FROM x_lines UNION ALL SELECT 'readings', CAST(max(ts) AS DATE) FROM events)""")
 def _(t: Tables):
     last = lambda name, df, c: df.agg(F.max(F.col(c).cast("date")).alias("d")).select(F.lit(name).alias("source"), "d")
     u = last("orders", D.orders(t), "purchase_date").unionByName(last("lines", D.lines(t), "ship_date")).unionByName(last("readings", t.events, "ts"))
-    return u.select("source", S("d").alias("last_day"), (F.col("d") >= F.lit("2001-07-25").cast("date")).alias("is_fresh"))
+    # Today is the last day any source knows; a source a week behind it is late.
+    today = literals(u.agg(F.max("d").alias("today")))["today"]
+    return u.select("source", S("d").alias("last_day"), (F.col("d") >= F.date_sub(today, FRESH_DAYS)).alias("is_fresh"))
 
 
 @query("p12_today", "SELECT CAST(greatest((SELECT max(purchase_date) FROM x_orders), (SELECT max(ship_date) FROM x_lines), (SELECT CAST(max(ts) AS DATE) FROM events)) AS VARCHAR) AS today")

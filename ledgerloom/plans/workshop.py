@@ -111,19 +111,21 @@ def _(t: Tables):
                                         ratio(F.sum(F.col("price") - F.col("material")), F.sum("price")).alias("margin"))
 
 
-@query("m13_margin_fall_cause", """
+@query("m13_margin_fall_cause", f"""
 SELECT brand, round(m1 - m0, 6) AS margin_change, CASE WHEN d_mat >= d_tra THEN 'material' ELSE 'transport' END AS cause, round(greatest(d_mat, d_tra), 6) AS cause_change FROM (
  SELECT brand, mat1 / p1 - mat0 / p0 AS d_mat, tra1 / p1 - tra0 / p0 AS d_tra, 1 - (mat1 + tra1) / p1 AS m1, 1 - (mat0 + tra0) / p0 AS m0 FROM (
-  SELECT brand, CAST(sum(price) FILTER (y = 1997) AS DOUBLE) AS p0, CAST(sum(price) FILTER (y = 1998) AS DOUBLE) AS p1, CAST(sum(material) FILTER (y = 1997) AS DOUBLE) AS mat0, CAST(sum(material) FILTER (y = 1998) AS DOUBLE) AS mat1,
-   CAST(sum(CAST(transport AS DECIMAL(14,2))) FILTER (y = 1997) AS DOUBLE) AS tra0, CAST(sum(CAST(transport AS DECIMAL(14,2))) FILTER (y = 1998) AS DOUBLE) AS tra1
-  FROM (SELECT *, ym // 100 AS y FROM x_cost WHERE status = 'F' AND material IS NOT NULL) GROUP BY brand)) WHERE m1 < m0""")
+  SELECT brand, CAST(sum(price) FILTER (y = y0) AS DOUBLE) AS p0, CAST(sum(price) FILTER (y = y1) AS DOUBLE) AS p1, CAST(sum(material) FILTER (y = y0) AS DOUBLE) AS mat0, CAST(sum(material) FILTER (y = y1) AS DOUBLE) AS mat1,
+   CAST(sum(CAST(transport AS DECIMAL(14,2))) FILTER (y = y0) AS DOUBLE) AS tra0, CAST(sum(CAST(transport AS DECIMAL(14,2))) FILTER (y = y1) AS DOUBLE) AS tra1
+  FROM (SELECT *, ym // 100 AS y, (SELECT year(anchor) - 2 FROM ({ANCHOR})) AS y0, (SELECT year(anchor) - 1 FROM ({ANCHOR})) AS y1 FROM x_cost WHERE status = 'F' AND material IS NOT NULL) GROUP BY brand)) WHERE m1 < m0""")
 def _(t: Tables):
+    """The last whole year against the one before."""
+    y1 = F.year(anchor_day(t)) - 1
     p = pieces(t).filter("status = 'F' AND material IS NOT NULL").withColumn("y", F.floor(F.col("ym") / 100))
-    at = lambda c, y: dbl(F.sum(F.when(F.col("y") == y, F.col(c).cast("decimal(14,2)"))))
-    g = p.filter("y IN (1997, 1998)").groupBy("brand").agg(*[at(c, y).alias(f"{c}{y}") for c in ("price", "material", "transport") for y in (1997, 1998)])
+    at = lambda c, back: dbl(F.sum(F.when(F.col("y") == y1 - back, F.col(c).cast("decimal(14,2)"))))
+    g = p.filter(F.col("y").between(y1 - 1, y1)).groupBy("brand").agg(*[at(c, back).alias(f"{c}{back}") for c in ("price", "material", "transport") for back in (0, 1)])
     share = lambda c, y: F.col(f"{c}{y}") / F.col(f"price{y}")
     margin = lambda y: 1 - (F.col(f"material{y}") + F.col(f"transport{y}")) / F.col(f"price{y}")
-    g = g.select("brand", margin(1997).alias("m0"), margin(1998).alias("m1"), (share("material", 1998) - share("material", 1997)).alias("dm"), (share("transport", 1998) - share("transport", 1997)).alias("dt"))
+    g = g.select("brand", margin(1).alias("m0"), margin(0).alias("m1"), (share("material", 0) - share("material", 1)).alias("dm"), (share("transport", 0) - share("transport", 1)).alias("dt"))
     return g.filter("m1 < m0").select("brand", F.round(F.col("m1") - F.col("m0"), 6).alias("margin_change"),
                                       F.when(F.col("dm") >= F.col("dt"), "material").otherwise("transport").alias("cause"), F.round(F.greatest("dm", "dt"), 6).alias("cause_change"))
 
@@ -226,9 +228,17 @@ def _(t: Tables):
     return top.select("stage", "order_id", "seller_id", F.datediff(anchor_day(t), "ship_date").alias("age"))
 
 
-@query("l02b_risk_by_urgency", "SELECT order_id, CAST(promised_date AS VARCHAR) AS promised_date FROM x_est ORDER BY x_est.promised_date, order_id LIMIT 20")
+#: Orders that the list of the most urgent ones shows.
+MOST_URGENT = 20
+
+
+@query("l02b_risk_by_urgency", f"""
+SELECT order_id, CAST(promised_date AS VARCHAR) AS promised_date, risk FROM (
+ SELECT *, CASE WHEN promised_date < as_of THEN 'overdue' WHEN estimated > promised_date THEN 'running late' WHEN promised_date - estimated < 5 THEN 'tight' ELSE 'on time' END AS risk FROM x_est) e
+WHERE risk <> 'on time' ORDER BY e.promised_date, order_id LIMIT {MOST_URGENT}""")
 def _(t: Tables):
-    return D.orders(t).filter("status = 'O'").orderBy("promised_date", "order_id").limit(20).select("order_id", st("promised_date"))
+    risk = open_estimates(t).withColumn("risk", W.risk_status(F.col("as_of"))).filter("risk <> 'on time'")
+    return risk.orderBy("promised_date", "order_id").limit(MOST_URGENT).select("order_id", st("promised_date"), "risk")
 
 
 @query("j06_never_invoiced", """
