@@ -40,17 +40,21 @@ ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "strin
          "array<double>": pa.list_(pa.float64())}
 
 
-def map_rows(df: DataFrame, fn: Callable[..., Iterable[tuple]], **columns: str) -> DataFrame:
-    """Arrow batches through ``fn``, which gets each column as a list and gives rows of ``columns``.
+def map_rows(df: DataFrame, fn: Callable[..., Iterable[tuple]], at_once: int = 1000, begin: Callable[[], object] | None = None,
+             **columns: str) -> DataFrame:
+    """Rows, ``at_once`` at a time, through ``fn``, which gets each column as a list and gives rows of ``columns``.
 
-    Lists keep nulls as None and 64-bit integers whole.
+    Lists keep nulls as None and 64-bit integers whole. What ``begin`` makes at
+    the start of a task is given to ``fn`` first, and goes with the task.
     """
     schema = pa.schema([(name, ARROW[kind]) for name, kind in columns.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = (begin(),) if begin else ()
         for batch in batches:
-            rows = list(fn(*(c.to_pylist() for c in batch.columns)))
-            values = zip(*rows) if rows else ([] for _ in schema)
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, schema)], schema=schema)
+            for k in range(0, batch.num_rows, at_once):
+                rows = list(fn(*state, *(c.to_pylist() for c in batch.slice(k, at_once).columns)))
+                values = zip(*rows) if rows else ([] for _ in schema)
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, schema)], schema=schema)
 
     return df.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in columns.items()))

@@ -16,8 +16,8 @@ from .common import map_rows
 
 #: The model's mark of a space. Here pieces and texts hold the space itself: the two are one to the model.
 MARK = "▁"
-#: Encoded segments that a worker remembers; at the limit it starts afresh.
-REMEMBERED = 800_000
+#: Encoded segments and pairs that a task remembers; at the limit it starts afresh.
+REMEMBERED = 250_000
 #: Longer segments are encoded each time they occur.
 MEMORABLE = 48
 
@@ -117,6 +117,9 @@ class Model:
                     union = None
         return False
 
+    def forget(self) -> None:
+        self._fits.clear()
+
     def fits(self, left: int, right: int) -> bool:
         """``compatible`` for ids, remembered."""
         if len(self._fits) > REMEMBERED:
@@ -232,13 +235,13 @@ class Memory(dict):
         return out
 
 
-_LOADED: dict[str, Memory] = {}
+_LOADED: dict[str, Model] = {}
 
 
-def loaded(path: str) -> Memory:
+def loaded(path: str) -> Model:
     """One model for each worker process."""
     if path not in _LOADED:
-        _LOADED[path] = Memory(Model(path))
+        _LOADED[path] = Model(path)
     return _LOADED[path]
 
 
@@ -261,8 +264,12 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
     columns = {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"}
     columns |= {"ids": "array<int>", "decoded": "string"} if ids else {}
 
-    def run(keys: list, texts: list) -> Iterator[tuple]:
-        memory = loaded(path)
+    def begin() -> Memory:
+        memory = Memory(loaded(path))  # for this task: a worker keeps none of it for others
+        memory.model.forget()
+        return memory
+
+    def run(memory: Memory, keys: list, texts: list) -> Iterator[tuple]:
         for k, t in zip(keys, texts):
             packed = encode_text(memory, t or "")
             own = memoryview(packed).cast("I").tolist()
@@ -270,4 +277,4 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
             row = (k, len(own), hashlib.sha256(packed).hexdigest(), hashlib.sha256(back).hexdigest())
             yield (*row, own, back.decode()) if ids else row
 
-    return map_rows(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), run, **columns)
+    return map_rows(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), run, 200, begin, **columns)

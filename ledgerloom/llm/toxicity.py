@@ -79,8 +79,6 @@ class Model:
         for k, w in enumerate(words):
             s = memory.get(w)
             if s is None:
-                if len(memory) > 300_000:
-                    memory.clear()
                 s = memory[w] = self.token_score(w)
             scores.append(s)
         return scores
@@ -121,8 +119,8 @@ _MEMORY: dict[str, dict[str, float]] = {}
 
 
 def _remembered(tag: str) -> dict[str, float]:
-    """Scores of words seen by this worker, for one model at a time."""
-    if tag not in _MEMORY:
+    """Scores of words seen by this worker, for one model at a time; bounded."""
+    if tag not in _MEMORY or len(_MEMORY[tag]) > 100_000:
         _MEMORY.clear()
         _MEMORY[tag] = {}
     return _MEMORY[tag]
@@ -153,13 +151,13 @@ def word_counts(train: DataFrame) -> DataFrame:
             words = set(WORD.findall(text.lower())) if text else set()
             stems = {w[:n] + "*" for n in STEMS for w in words if len(w) > n}
             counts[label].update(words | stems)
-            if len(counts[0]) + len(counts[1]) > 400_000:
+            if len(counts[0]) + len(counts[1]) > 150_000:
                 yield from ((w, label, n) for label in (0, 1) for w, n in counts[label].items())
                 counts[0].clear()
                 counts[1].clear()
         yield from ((w, label, n) for label in (0, 1) for w, n in counts[label].items())
 
-    rows = map_rows(train.select("text", "toxic"), run, word="string", toxic="int", n="bigint")
+    rows = map_rows(train.select("text", "toxic"), run, 10_000, word="string", toxic="int", n="bigint")
     return rows.groupBy("word").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("n_toxic"),
         F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("n_clean"))
