@@ -37,7 +37,7 @@ def parts_of(df: DataFrame) -> int:
 
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(),
          "binary": pa.binary(), "array<int>": pa.list_(pa.int32()),
-         "array<double>": pa.list_(pa.float64())}
+         "array<bigint>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
 
 
 def map_rows(df: DataFrame, fn: Callable[..., Iterable[tuple]], at_once: int = 1000, begin: Callable[[], object] | None = None,

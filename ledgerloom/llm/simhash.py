@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -17,15 +18,18 @@ BITS = 64
 AT_ONCE = 1 << 16
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
+def fingerprint(text: str | None, words: int = 3, seed: int = 42, once: bool = False) -> int:
     """64-bit SimHash of the shingles of ``words`` words; ASCII letters in lower case.
 
     A bit is set if it is set in more than half of the shingle hashes, repeats
-    counted. Fewer words make one shingle; no words give zero.
+    counted, or with ``once`` each shingle counted once. Fewer words make one
+    shingle; no words give zero.
     """
     tokens = (text or "").encode().lower().split()  # bytes: splits at ASCII white space, lowers A-Z
     if not tokens:
         return 0
+    if once and words == 1:
+        tokens = list(dict.fromkeys(tokens))
     joined = b" ".join(tokens)
     spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts = np.concatenate([[0], spaces + 1])
@@ -195,17 +199,22 @@ def _keys(codes: DataFrame, of, name: str) -> DataFrame:
 
 
 def parts_for(n: int, radius: int) -> int:
-    """The most parts with which codes are expected to meet few candidates for each probe.
+    """The number of parts with the least work for each of ``n`` codes.
 
     With more parts a code needs fewer probes, but each finds ``n`` / 2**width
-    others by chance; where these would be over a quarter of the probes, wider
-    parts are taken, so the work stays in proportion to ``n``.
+    others by chance; so the larger the input, the wider the parts. A probe, which
+    is shuffled and sorted, counts as much as four candidates.
     """
-    for parts in range(radius + 1, 1, -1):
-        width = BITS // parts
-        if n / 2.0**width <= 0.25:
-            return parts
-    return 2
+    def work(parts: int) -> float:
+        each, more = divmod(radius - parts + 1, parts)
+        out = 0.0
+        for p in range(parts):
+            width = (BITS + p) // parts
+            probes = sum(comb(width, k) for k in range(each + (p < more) + 1))
+            out += probes * (4 + n / 2.0**width)
+        return out
+
+    return min(range(2, min(radius + 1, 8) + 1), key=work)
 
 
 def links(codes: DataFrame, radius: int = 3) -> DataFrame:
@@ -261,3 +270,52 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     member = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def shingles(text: str | None, words: int) -> list[int]:
+    """Hashes of the different shingles of a text, in order; fewer words make one shingle."""
+    tokens = (text or "").encode().lower().split()
+    found = {xxhash.xxh64_intdigest(b" ".join(tokens[k : k + words])) for k in range(max(1, len(tokens) - words + 1))}
+    return sorted(h - (1 << 64) if h >> 63 else h for h in found)
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 7, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Groups of documents of which one is enough: doc_id and ``keep``, the document that stands for it.
+
+    Candidates are texts whose fingerprints differ in ``radius`` bits or fewer;
+    they are then verified: the different shingles of ``words`` words must have a
+    Jaccard similarity of ``similarity`` or more. Here fingerprints are made of
+    the different single words, where an edit turns fewer bits than with shingles:
+    texts that similar lie within seven bits, others hardly ever.
+    Equal texts are one node, and of the texts with one fingerprint the first
+    answers for the others, which are verified against it; a group of many near
+    copies thus gives links in proportion to its size, not to its square.
+    Defined cases: as ``near_duplicates``; rows with a null key have no ``keep``.
+    """
+    def run(keys: list, texts: list) -> Iterator[tuple]:
+        for k, t in zip(keys, texts):
+            f = fingerprint(t, 1, 42, True)
+            page = xxhash.xxh128_digest((t or "").encode())
+            yield k, f - (1 << 64) if f >> 63 else f, page
+
+    slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    marked = settle(map_rows(slim, run, doc_id="bigint", fp="bigint", page="binary"))
+    nodes = settle(marked.groupBy("fp", "page").agg(F.min("doc_id").alias("node")))
+    first = settle(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    near = links(first.select("fp"), radius)
+    a, b = first.select(F.col("fp").alias("a"), F.col("first").alias("x")), first.select(F.col("fp").alias("b"), F.col("first").alias("y"))
+    across = near.join(a, "a").join(b, "b").select("x", "y")
+    within = nodes.join(first, "fp").where("node <> first").select(F.col("node").alias("x"), F.col("first").alias("y"))
+    pairs = settle(across.unionAll(within).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).where("a <> b").distinct())
+
+    asked = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    texts = slim.join(asked, "doc_id", "left_semi")
+    sets = settle(map_rows(texts, lambda k, t: ((i, shingles(x, words)) for i, x in zip(k, t)), doc_id="bigint", s="array<bigint>")
+                  .groupBy("doc_id").agg(F.min("s").alias("s")))
+    left, right = (sets.select(F.col("doc_id").alias(n), F.col("s").alias(f"s{n}")) for n in "ab")
+    both = pairs.join(left, "a").join(right, "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    alike = both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    found = components(alike)
+    member = nodes.join(found, "node", "left").select("fp", "page", F.coalesce("root", "node").alias("keep"))
+    return marked.join(member, ["fp", "page"]).select("doc_id", "keep")

@@ -27,9 +27,9 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, folder: str) -> Da
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    found = simhash.near_duplicates(docs)
-    gone = settle(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
+    """Of each group of near-copies, verified at five words and 0.8, the document with the smallest doc_id stays."""
+    found = simhash.near_copies(docs)
+    gone = settle(found.where(F.col("doc_id") != F.col("keep")).select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

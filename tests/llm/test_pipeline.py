@@ -6,7 +6,7 @@ import corpus_pipeline
 from ledgerloom.llm import pieces, queries, stages, tiling, toxicity
 from ledgerloom.llm.common import read
 
-from test_text_operators import ODD, brute_components, brute_fingerprint, table
+from test_text_operators import ODD, brute_groups, table
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,7 +37,7 @@ def test_the_run_equals_its_stages_by_hand(spark):
         return "\n".join(x for x in r.text.split("\n") if x not in bad)
 
     texts = {k: cut(r) for k, r in left.items()}
-    groups = brute_components([(k, brute_fingerprint(t)) for k, t in texts.items()])
+    groups = brute_groups(texts)
     texts = {k: t for k, t in texts.items() if groups[k] == k}
     items = [re.findall(r"\w+", r.text.lower()) for r in read(spark, SF, "benchmark").collect()]
     block = tiling.Items([(i, " ".join(w)) for i, w in enumerate(items)], tiling.MIN_TILE, tiling.COVERAGE)

@@ -406,6 +406,44 @@ def test_thresholds_keep_the_pigeonhole_rule_and_links_are_whole(spark, parts, m
     assert (index.thresholds(simhash.bits_of(u)).sum(1) == 3 - parts + 1).all()
 
 
+def brute_groups(texts):
+    """Smallest key that each text reaches over pairs with a Jaccard similarity of 0.8 on five-word shingles."""
+    sets = {}
+    for k, t in texts.items():
+        words = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[k] = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    root = {k: k for k in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {k: find(k) for k in root}
+
+
+def test_near_copies_are_found_and_others_left(spark):
+    rnd = random.Random(15)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 7)))
+    texts = [" ".join(word() for _ in range(rnd.randint(80, 300))) for _ in range(60)]
+    for k in range(60):
+        words = rnd.choice(texts[:60]).split()
+        for _ in range(rnd.randint(0, 2)):
+            words[rnd.randrange(len(words))] = word()
+        texts.append(" ".join(words) + (" " + texts[k] if k % 10 == 0 else ""))
+    texts += [texts[0], None, "", "one two", "two one", texts[1].upper()]
+    want = brute_groups(dict(enumerate(texts)))
+    got = {r.doc_id: r.keep for r in simhash.near_copies(table(spark, texts)).collect()}
+    assert got == want and len(set(want.values())) < len(texts) - 40
+    assert simhash.near_copies(table(spark, [])).count() == 0
+    assert simhash.near_copies(table(spark, ODD)).count() == len(ODD)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(200)] + [(500, 400)], "a bigint, b bigint")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
