@@ -22,11 +22,11 @@ from pyspark.sql import DataFrame, functions as F
 from .common import parts_of, settle
 from .kneser import Powers, mixed
 
-LENGTH, GRAM = 100, 32
+LENGTH, GRAM = 100, 48
 #: Bytes that are hashed at a time; a longer text is cut into such segments, which overlap by a window.
 SEGMENT = 4_000_000
 #: Bytes of surroundings whose suffixes are sorted together, and of one shard of them.
-MERGED, SHARD = 4_000_000, 1_000_000
+MERGED, SHARD = 500_000, 100_000
 #: Different surroundings from which an anchor is hot: its windows are compared by hash, spread over all tasks.
 HOT = 20_000
 LAST = (1 << 63) - 1  # stands for a null key
@@ -143,30 +143,39 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     "key": pa.array(rows[:, 2], pa.int64()), "at": pa.array(rows[:, 3], pa.int64())})
 
 
+STEP = 4  # bytes that stand for one symbol of a transform
+
+
 def shard_transform(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of all rotations of the pieces of a shard, and the two bytes before each (its transform, by pairs).
+    """Order of all rotations of the pieces of a shard, and the ``STEP`` bytes before each: its transform.
 
     ``bounds`` says where the pieces begin, and the end; each ends with a zero.
-    Ranks are doubled until they reach over the longest piece; equal rotations
-    stay in order of their place.
+    Ranks begin with eight bytes and are doubled until they reach over the longest
+    piece; equal rotations stay in order of their place.
     """
-    n = len(text)
-    size = np.diff(bounds)
+    n, size = len(text), np.diff(bounds)
     begin, long = np.repeat(bounds[:-1], size), np.repeat(size, size)
     at = np.arange(n) - begin
-    rank, step = text.astype(np.int64), 1
-    order = np.arange(n)
+
+    def behind(k: int) -> np.ndarray:
+        return begin + (at + k) % long
+
+    key = text.astype(np.uint64)
+    for k in (1, 2, 4):
+        key = key << np.uint64(8 * k) | key[behind(k)]
+    step = 8
     while True:
-        behind = rank[begin + (at + step) % long]
-        key = rank * np.int64(max(int(rank.max()) + 1, 1)) + behind
         order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], (np.diff(key[order]) != 0).cumsum()])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        step *= 2
-        if step >= size.max() or new[-1] == n - 1:
+        ends = key[order][1:] != key[order][:-1]
+        rank = np.empty(n, np.uint64)
+        rank[order] = np.concatenate([[0], np.cumsum(ends)])
+        if step >= size.max() or ends.all():
             break
-    before = (text[begin + (at - 2) % long].astype(np.uint16) << 8) | text[begin + (at - 1) % long]
+        key = rank << np.uint64(32) | rank[behind(step)]
+        step *= 2
+    before = np.zeros(n, np.uint32)
+    for k in range(STEP, 0, -1):
+        before = before << np.uint32(8) | text[behind(-k)]
     return order, before[order]
 
 
@@ -174,22 +183,26 @@ def merge(transforms: list[np.ndarray], length: int) -> tuple[np.ndarray, np.nda
     """Interleave the transforms of shards so that all suffixes stand in order of their first ``length`` bytes.
 
     Begins with one shard behind the other. Each round deals the entries out by
-    the pair of bytes before them, in order; after k rounds the interleaving is
-    right for 2k bytes. Where an entry's pair or its old interval differs from
-    its neighbour's, an interval of common prefixes ends. No suffix is compared.
+    the symbol before them, in order; after k rounds the interleaving is right for
+    k symbols. Where an entry's symbol or its old interval differs from its
+    neighbour's, an interval of common prefixes ends. No suffix is compared. Bytes
+    that ``length`` has over a multiple of ``STEP`` are taken one by one.
 
     Returns the shard of each entry, and the number of its interval.
     """
-    z = np.repeat(np.arange(len(transforms), dtype=np.int32), [len(t) for t in transforms])
-    interval = np.zeros(len(z), np.int64)
-    for _ in range(length // 2):
-        symbols = np.empty(len(z), np.uint16)
-        for s, t in enumerate(transforms):
-            symbols[z == s] = t
+    joined = np.concatenate(transforms)
+    kinds, ranks = np.unique(joined, return_inverse=True)
+    ranks = ranks.astype(np.uint16 if len(kinds) <= 1 << 16 else np.uint32)  # small symbols are dealt out by counting
+    last = (joined & np.uint32(255)).astype(np.uint8)
+    z = np.repeat(np.arange(len(transforms), dtype=np.uint8 if len(transforms) <= 256 else np.uint32), [len(t) for t in transforms])
+    interval = np.zeros(len(z), np.int32)
+    for flat in [ranks] * (length // STEP) + [last] * (length % STEP):
+        symbols = np.empty_like(flat)
+        symbols[np.argsort(z, kind="stable")] = flat  # each shard's symbols, in its own order
         order = np.argsort(symbols, kind="stable")
-        z, symbols, interval = z[order], symbols[order], interval[order]
-        ends = (symbols[1:] != symbols[:-1]) | (interval[1:] != interval[:-1])
-        interval = np.concatenate([[0], np.cumsum(ends)])
+        z, interval, dealt = z[order], interval[order], symbols[order]
+        ends = (dealt[1:] != dealt[:-1]) | (interval[1:] != interval[:-1])
+        interval = np.concatenate([[0], np.cumsum(ends, dtype=np.int32)]).astype(np.int32)
     return z, interval
 
 
@@ -219,6 +232,7 @@ def repeats(pieces: list[bytes], keys: np.ndarray, places: np.ndarray, windows:
     piece = np.repeat(np.arange(len(pieces)), size)[suffix]
     offset = suffix - bounds[piece]
     asked = offset < windows[piece]
+    asked &= np.bincount(interval[asked], minlength=interval[-1] + 1)[interval] > 1  # an interval of one is no repeat
     piece, offset, interval = piece[asked], offset[asked], interval[asked]
     place, key = places[piece] + offset, keys[piece]
     order = np.lexsort((place, key, interval))
