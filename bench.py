@@ -10,13 +10,13 @@ import json
 import os
 import statistics
 import sys
-import tempfile
 import time
+import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from ledgerloom.plans import catalog, pages, registry
-from ledgerloom.session import local_session
+from ledgerloom.session import checkpoint_dir, local_session
 from ledgerloom.sources.tables import Tables
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -40,7 +40,7 @@ def main() -> None:
     t = Tables(spark, SF_DIR)
     took: dict[str, float] = {}
     registry.run("q01_delivered_without_date", spark, SF_DIR).count()  # start-up of the JVM is not measured
-    root = tempfile.mkdtemp(prefix="ledgerloom-bench-")
+    root = f"{checkpoint_dir(spark)}/bench-{uuid.uuid4().hex}"
     start = time.perf_counter()
     w = pages.load(t, root)
     took["full_load"] = time.perf_counter() - start

@@ -39,20 +39,24 @@ def published(t: Tables, root: str, name: str) -> DataFrame:
 
 
 def steps(w: Warehouse) -> dict:
-    """What a load writes first; the steps do not depend on each other."""
+    """Writes staging, from which the rest is read, and returns what comes next; these steps do not depend on each other."""
     t = w.t
+    w.put("staging_lines", D.staged_lines(t))
+    w.put("staging_orders", D.examined_orders(t, w.get("staging_lines")))
+    lines, orders = w.get("staging_lines"), w.get("staging_orders")
+    held = D.held_orders(t, orders)
     return {
-        "sales": lambda: w.put("v_sales", D.v_sales(t), True),
-        "orders": lambda: w.put("v_orders", D.v_orders(t), True),
-        "held orders": lambda: w.put("quarantine_orders", D.held_orders(t)),
-        "held lines": lambda: w.put("quarantine_lines", D.staged_lines(t).join(D.held_orders(t).select("order_id", "reason"), "order_id")),
+        "sales": lambda: w.put("v_sales", D.v_sales(t, staged=lines, examined=orders), True),
+        "orders": lambda: w.put("v_orders", D.v_orders(t, examined=orders), True),
+        "held orders": lambda: w.put("quarantine_orders", held),
+        "held lines": lambda: w.put("quarantine_lines", lines.join(held.select("order_id", "reason"), "order_id")),
     }
 
 
 def balance(w: Warehouse) -> DataFrame:
     """Staging against the written marts and the written quarantine: one row for orders, one for lines."""
     orders = Q.reconcile(D.orders(w.t), w.get("v_orders"), w.get("quarantine_orders"), "total", "orders")
-    return orders.unionByName(Q.reconcile(D.staged_lines(w.t), w.get("v_sales"), w.get("quarantine_lines"), "price", "lines"))
+    return orders.unionByName(Q.reconcile(w.get("staging_lines"), w.get("v_sales"), w.get("quarantine_lines"), "price", "lines"))
 
 
 def audit(w: Warehouse) -> None:

@@ -121,20 +121,25 @@ def summarised(of_lines: DataFrame, *more: Column) -> DataFrame:
     )
 
 
-def examined_orders(t: Tables) -> DataFrame:
-    """Orders with the sums of their staged lines and, for those that contradict themselves, the ``reason``."""
-    facts = summarised(staged_lines(t), F.bool_or(F.col("line_status") == "F").alias("has_delivered_line"))
+def examined_orders(t: Tables, staged: DataFrame | None = None) -> DataFrame:
+    """Orders with the sums of their staged lines and, for those that contradict themselves, the ``reason``.
+
+    Here and below, a load hands in the staging tables that it has written.
+    """
+    facts = summarised(staged if staged is not None else staged_lines(t), F.bool_or(F.col("line_status") == "F").alias("has_delivered_line"))
     out = orders(t).join(facts, "order_id", "left").withColumn("has_delivered_line", F.coalesce("has_delivered_line", F.lit(False)))
     return out.withColumn("reason", quality.quarantine_reason()).drop("has_delivered_line")
 
 
-def held_orders(t: Tables) -> DataFrame:
+def held_orders(t: Tables, examined: DataFrame | None = None) -> DataFrame:
     """Orders in quarantine, with the reason. Their lines and reviews follow them."""
-    return examined_orders(t).filter("reason IS NOT NULL").select(*orders(t).columns, "reason")
+    examined = examined if examined is not None else examined_orders(t)
+    return examined.filter("reason IS NOT NULL").select(*orders(t).columns, "reason")
 
 
-def kept_orders(t: Tables) -> DataFrame:
-    return examined_orders(t).filter("reason IS NULL").drop("reason")
+def kept_orders(t: Tables, examined: DataFrame | None = None) -> DataFrame:
+    examined = examined if examined is not None else examined_orders(t)
+    return examined.filter("reason IS NULL").drop("reason")
 
 
 def with_dimension(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
@@ -143,9 +148,11 @@ def with_dimension(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     return df.join(dimension, key, "left").withColumns(texts)
 
 
-def v_sales(t: Tables, dims: tuple[str, ...] = ("customer", "product", "seller")) -> DataFrame:
+def v_sales(t: Tables, dims: tuple[str, ...] = ("customer", "product", "seller"), staged: DataFrame | None = None,
+            examined: DataFrame | None = None) -> DataFrame:
     """One row per staged line of the orders that were kept, with the dimensions asked for."""
-    out = staged_lines(t).join(kept_orders(t).select(*orders(t).columns), "order_id")
+    staged = staged if staged is not None else staged_lines(t)
+    out = staged.join(kept_orders(t, examined).select(*orders(t).columns), "order_id")
     if "customer" in dims:
         out = with_dimension(out, customers(t).select("customer_id", "state", "region"), "customer_id")
     if "product" in dims:
@@ -155,9 +162,9 @@ def v_sales(t: Tables, dims: tuple[str, ...] = ("customer", "product", "seller")
     return out
 
 
-def v_orders(t: Tables, dims: tuple[str, ...] = ("customer",)) -> DataFrame:
+def v_orders(t: Tables, dims: tuple[str, ...] = ("customer",), examined: DataFrame | None = None) -> DataFrame:
     """One row per order that was kept, with delivery columns (delivery_days, days_late, on_time)."""
-    out = with_delivery(kept_orders(t))
+    out = with_delivery(kept_orders(t, examined))
     if "customer" in dims:
         out = with_dimension(out, customers(t).select("customer_id", "state", "region"), "customer_id")
     return out
