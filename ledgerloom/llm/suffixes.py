@@ -24,7 +24,7 @@ from .kneser import Powers, mixed
 
 LENGTH, GRAM = 100, 48
 #: Bytes that are hashed at a time; a longer text is cut into such segments, which overlap by a window.
-SEGMENT = 4_000_000
+SEGMENT = 2_000_000
 #: Bytes of surroundings whose suffixes are sorted together, and of one shard of them.
 MERGED, SHARD = 500_000, 100_000
 #: Different surroundings from which an anchor is hot: its windows are compared by hash, spread over all tasks.
@@ -69,6 +69,13 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM, bounds: np
     return h[a], whole, a, first, last
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Fewer rows at a time, where their Python objects are much larger than the rows."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def _segments(keys: list[int], texts: list[bytes], length: int) -> Iterator[tuple[list[tuple[int, int]], list[bytes]]]:
     """Groups of about ``SEGMENT`` bytes: (key, place in the text) and bytes of each segment."""
     heads, bodies, size = [], [], 0
@@ -88,9 +95,14 @@ def _segments(keys: list[int], texts: list[bytes], length: int) -> Iterator[tupl
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(key, text) to rows anchor, whole, key, at: ``at`` packs the first window and how far anchor and last window lie behind it."""
+    """(key, text) to rows done, anchor, whole, key, at: ``at`` packs the first window and how far anchor and last window lie behind it.
+
+    What a group of texts already holds at an earlier place is ``done``: it is a
+    repeat whatever other tasks find. So content that is everywhere comes out of
+    each group once, and no task gets all of its rows.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches, 1000):
             texts = [t.encode() if t else b"" for t in batch.column(1).to_pylist()]
             for heads, bodies in _segments(batch.column(0).to_pylist(), texts, length):
                 bounds = np.concatenate([[0], np.cumsum([len(b) for b in bodies])])
@@ -98,22 +110,33 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                 which = np.searchsorted(bounds, first, "right") - 1
                 keys, places = np.array([x[0] for x in heads]), np.array([x[1] for x in heads])
                 at = (first - bounds[which] + places[which]) << 16 | (a - first) << 8 | (last - first)
+                h, whole, keys = h.view(np.int64), whole.view(np.int64), keys[which]
+                order = np.lexsort((at, keys, whole, h))
+                h, whole, keys, at = h[order], whole[order], keys[order], at[order]
+                head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (whole[1:] != whole[:-1])])) if len(h) else order
+                of = np.repeat(head, np.diff(np.append(head, len(h))))
                 yield pa.RecordBatch.from_pydict({
-                    "anchor": pa.array(h.view(np.int64), pa.int64()), "whole": pa.array(whole.view(np.int64), pa.int64()),
-                    "key": pa.array(keys[which], pa.int64()), "at": pa.array(at, pa.int64())})
+                    "done": pa.array((keys != keys[of]) | (at != at[of]), pa.bool_()),
+                    "anchor": pa.array(h, pa.int64()), "whole": pa.array(whole, pa.int64()),
+                    "key": pa.array(keys, pa.int64()), "at": pa.array(at, pa.int64())})
 
-    return docs.mapInArrow(run, "anchor bigint, whole bigint, key bigint, at bigint")
+    return docs.mapInArrow(run, "done boolean, anchor bigint, whole bigint, key bigint, at bigint")
 
 
 def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of anchor, whole, key, at: those behind the first of their content (kind 0), and the
-    firsts of anchors with several contents (kind 1). Of the rows before, only two are kept in mind."""
+    firsts of anchors with several contents (kind 1). Of the rows before, only two are kept in mind.
+    Rows that are done pass."""
     start = first = None  # first row of the content at hand; the last first that is not yet given out
     given = False
     for batch in batches:
-        if not batch.num_rows:
-            continue
         x = np.stack([batch.column(c).to_numpy() for c in ("anchor", "whole", "key", "at")], 1)
+        done = batch.column("done").to_numpy(zero_copy_only=False)
+        if done.any():
+            yield _kind(0, x[done])
+        x = x[~done]
+        if not len(x):
+            continue
         if start is not None:
             x = np.concatenate([start[None], x])
         new = np.concatenate([[True], (x[1:, :2] != x[:-1, :2]).any(1)])
@@ -138,9 +161,13 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = x[heads[-1]]
         for kind, rows in ((0, repeat), (1, several)):
             if len(rows):
-                yield pa.RecordBatch.from_pydict({
-                    "kind": pa.array(np.full(len(rows), kind), pa.int32()), "anchor": pa.array(rows[:, 0], pa.int64()),
-                    "key": pa.array(rows[:, 2], pa.int64()), "at": pa.array(rows[:, 3], pa.int64())})
+                yield _kind(kind, rows)
+
+
+def _kind(kind: int, rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({
+        "kind": pa.array(np.full(len(rows), kind), pa.int32()), "anchor": pa.array(rows[:, 0], pa.int64()),
+        "key": pa.array(rows[:, 2], pa.int64()), "at": pa.array(rows[:, 3], pa.int64())})
 
 
 STEP = 4  # bytes that stand for one symbol of a transform
@@ -267,7 +294,7 @@ def _compared(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
-        for batch in batches:
+        for batch in _sliced(batches, 2000):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if size > MERGED and row[0] != rows[-1][0]:
                     yield resolve(rows)
@@ -283,7 +310,7 @@ def _compared(length: int):
 def _hashed(length: int):
     """Pieces of hot anchors to two hashes of each window, and its place."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches, 2000):
             rows = list(zip(*(c.to_pylist() for c in batch.columns)))
             for k in range(0, len(rows), 2000):
                 part = rows[k : k + 2000]
@@ -310,7 +337,8 @@ def packed(docs: DataFrame, key: str, text: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """Spans (key, start, stop) that cover every window of (key, text) rows that also starts earlier; spans may overlap."""
     n = parts_of(docs)
-    rows = anchor_rows(docs, length).repartition(n, "anchor").sortWithinPartitions("anchor", "whole", "key", "at")
+    dealt = F.when(F.col("done"), F.xxhash64("key", "at")).otherwise(F.col("anchor"))  # done rows can go anywhere
+    rows = anchor_rows(docs, length).repartition(n, dealt).sortWithinPartitions("anchor", "whole", "key", "at")
     found = settle(rows.mapInArrow(_sorted_out, "kind int, anchor bigint, key bigint, at bigint"))
     first = F.shiftright("at", 16)
     whole = found.where("kind = 0").select("key", first.alias("start"), (first + F.col("at").bitwiseAND(255) + length).alias("stop"))
@@ -322,7 +350,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in _sliced(batches, 200):
             out: list[tuple] = []
             for k, body, places in zip(*(c.to_pylist() for c in batch.columns)):
                 text = expand(body)
@@ -367,7 +395,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
+        for batch in _sliced(batches, 200):
             rows = []
             for k, body, found in zip(*(c.to_pylist() for c in batch.columns)):
                 whole = expand(body)
