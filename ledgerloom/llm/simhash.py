@@ -16,6 +16,9 @@ from .common import map_rows, settle
 BITS = 64
 #: Shingles hashed at a time.
 AT_ONCE = 1 << 16
+#: Least hashes of a band, and bands: two sets of Jaccard similarity s share a band with probability 1 - (1 - s**4)**24.
+ROWS, BANDS = 4, 24
+SALTS, FACTORS = np.random.default_rng(42).integers(0, 1 << 64, (2, ROWS * BANDS), np.uint64)
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42, once: bool = False) -> int:
@@ -279,43 +282,77 @@ def shingles(text: str | None, words: int) -> list[int]:
     return sorted(h - (1 << 64) if h >> 63 else h for h in found)
 
 
-def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 7, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def bands(found: list[int]) -> list[int]:
+    """A hash for each band of ``ROWS`` least hashes of different shingles."""
+    h, least = np.array(found, np.int64).view(np.uint64), np.full(ROWS * BANDS, (1 << 64) - 1, np.uint64)
+    for k in range(0, len(h), AT_ONCE):
+        part = h[k : k + AT_ONCE]
+        for i, (salt, factor) in enumerate(zip(SALTS, FACTORS | np.uint64(1))):
+            least[i] = min(least[i], ((part ^ salt) * factor).min())
+    return [xxhash.xxh64_intdigest(band.tobytes(), k) - (1 << 63) for k, band in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Groups of documents of which one is enough: doc_id and ``keep``, the document that stands for it.
 
-    Candidates are texts whose fingerprints differ in ``radius`` bits or fewer;
-    they are then verified: the different shingles of ``words`` words must have a
-    Jaccard similarity of ``similarity`` or more. Here fingerprints are made of
-    the different single words, where an edit turns fewer bits than with shingles:
-    texts that similar lie within seven bits, others hardly ever.
-    Equal texts are one node, and of the texts with one fingerprint the first
-    answers for the others, which are verified against it; a group of many near
-    copies thus gives links in proportion to its size, not to its square.
+    Documents are linked if their different shingles of ``words`` words have a
+    Jaccard similarity of ``similarity`` or more; every link is verified on the
+    shingles. Candidates are the first texts of fingerprints of single words that
+    differ in ``radius`` bits or fewer, the texts of one fingerprint, and all
+    texts that share a band of least hashes of their shingles. Whether a band is
+    shared depends on the similarity alone, not on the kind of edit.
+    Equal texts are one node. First the texts of a band or a fingerprint are
+    verified against its first text; a group of many near copies thus gives links
+    in proportion to its size, not to its square. Then, of every band whose texts
+    are not all joined, all pairs that are not joined are verified.
     Defined cases: as ``near_duplicates``; rows with a null key have no ``keep``.
     """
     def run(keys: list, texts: list) -> Iterator[tuple]:
         for k, t in zip(keys, texts):
-            f = fingerprint(t, 1, 42, True)
+            f, found = fingerprint(t, 1, 42, True), shingles(t, words)
             page = xxhash.xxh128_digest((t or "").encode())
-            yield k, f - (1 << 64) if f >> 63 else f, page
+            yield k, f - (1 << 64) if f >> 63 else f, page, len(found), bands(found)
 
     slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    marked = settle(map_rows(slim, run, doc_id="bigint", fp="bigint", page="binary"))
-    nodes = settle(marked.groupBy("fp", "page").agg(F.min("doc_id").alias("node")))
-    first = settle(nodes.groupBy("fp").agg(F.min("node").alias("first")))
-    near = links(first.select("fp"), radius)
-    a, b = first.select(F.col("fp").alias("a"), F.col("first").alias("x")), first.select(F.col("fp").alias("b"), F.col("first").alias("y"))
-    across = near.join(a, "a").join(b, "b").select("x", "y")
-    within = nodes.join(first, "fp").where("node <> first").select(F.col("node").alias("x"), F.col("first").alias("y"))
-    pairs = settle(across.unionAll(within).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).where("a <> b").distinct())
-
-    asked = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = slim.join(asked, "doc_id", "left_semi")
-    sets = settle(map_rows(texts, lambda k, t: ((i, shingles(x, words)) for i, x in zip(k, t)), doc_id="bigint", s="array<bigint>")
-                  .groupBy("doc_id").agg(F.min("s").alias("s")))
-    left, right = (sets.select(F.col("doc_id").alias(n), F.col("s").alias(f"s{n}")) for n in "ab")
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    alike = both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-    found = components(alike)
+    marked = settle(map_rows(slim, run, doc_id="bigint", fp="bigint", page="binary", n="bigint", bands="array<bigint>"))
+    nodes = settle(marked.groupBy("fp", "page").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    named = nodes.where("node is not null")
+    shared = settle(named.select(F.explode("bands").alias("band"), "node", "n"))
+
+    def pairs_of(pairs: DataFrame) -> DataFrame:
+        """Pairs whose numbers of shingles allow the similarity, each once."""
+        fits = F.least("n", "m") >= similarity * F.greatest("n", "m")
+        return pairs.where(fits & (F.col("x") != F.col("y"))).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        asked = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+        texts = slim.join(asked, "doc_id", "left_semi")
+        sets = settle(map_rows(texts, lambda k, t: ((i, shingles(x, words)) for i, x in zip(k, t)), doc_id="bigint", s="array<bigint>")
+                      .groupBy("doc_id").agg(F.min("s").alias("s")))
+        left, right = (sets.select(F.col("doc_id").alias(n), F.col("s").alias(f"s{n}")) for n in "ab")
+        both = pairs.join(left, "a").join(right, "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        return settle(both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
+
+    def stars(df: DataFrame, by: str) -> DataFrame:
+        first = df.groupBy(by).agg(F.min(F.struct("node", "n")).alias("f"), F.count("*").alias("of")).where("of > 1")
+        return df.join(first, by).select(F.col("node").alias("x"), "n", F.col("f.node").alias("y"), F.col("f.n").alias("m"))
+
+    first = settle(named.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("f")))
+    a = first.select(F.col("fp").alias("a"), F.col("f.node").alias("x"), F.col("f.n").alias("n"))
+    b = first.select(F.col("fp").alias("b"), F.col("f.node").alias("y"), F.col("f.n").alias("m"))
+    across = links(first.select("fp"), radius).join(a, "a").join(b, "b").select("x", "n", "y", "m")
+    pairs = settle(pairs_of(stars(shared, "band").unionAll(stars(named, "fp")).unionAll(across)))
+    alike = verified(pairs)
+    joined = components(alike)
+
+    now = settle(shared.join(joined, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root")))
+    mixed = now.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    now = settle(now.join(mixed, "band", "left_semi"))
+    other = now.select("band", F.col("node").alias("y"), F.col("n").alias("m"), F.col("root").alias("r"))
+    apart = now.withColumnRenamed("node", "x").join(other, "band").where("x > y and root <> r")
+    rest = settle(pairs_of(apart).join(pairs, ["a", "b"], "left_anti"))
+    more = verified(rest)
+    found = joined if more.isEmpty() else components(alike.unionAll(more))
     member = nodes.join(found, "node", "left").select("fp", "page", F.coalesce("root", "node").alias("keep"))
     return marked.join(member, ["fp", "page"]).select("doc_id", "keep")

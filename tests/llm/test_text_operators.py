@@ -444,6 +444,18 @@ def test_near_copies_are_found_and_others_left(spark):
     assert simhash.near_copies(table(spark, ODD)).count() == len(ODD)
 
 
+def test_near_copies_behind_the_first_of_a_fingerprint(spark):
+    rnd = random.Random(16)
+    words = [f"w{i}" for i in range(120)]
+    b = rnd.sample(words, 120)
+    c = b[:60] + b[62:] + b[60:62]
+    far = b + [f"new{i}" for i in range(12)]  # another fingerprint, near b alone
+    texts = [" ".join(x) for x in (rnd.sample(words, 120), b, c, far)]
+    assert len({simhash.fingerprint(t, 1, 42, True) for t in texts[:3]}) == 1
+    got = {r.doc_id: r.keep for r in simhash.near_copies(table(spark, texts)).collect()}
+    assert got == brute_groups(dict(enumerate(texts))) == {0: 0, 1: 1, 2: 1, 3: 1}
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(200)] + [(500, 400)], "a bigint, b bigint")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
