@@ -456,6 +456,19 @@ def test_near_copies_behind_the_first_of_a_fingerprint(spark):
     assert got == brute_groups(dict(enumerate(texts))) == {0: 0, 1: 1, 2: 1, 3: 1}
 
 
+def test_near_copies_of_added_cut_and_replaced_text(spark):
+    rnd = random.Random(17)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    texts = [[word() for _ in range(300)] for _ in range(20)]
+    for t in texts[:20]:
+        texts += [t + [word() for _ in range(60)], [word() for _ in range(50)] + t, t[:250], t[:100] + t[150:]]
+        texts.append([word() if i % 50 == 9 else w for i, w in enumerate(t)])
+    texts = [" ".join(t) for t in texts]
+    want = brute_groups(dict(enumerate(texts)))
+    assert len(set(want.values())) == 20
+    assert {r.doc_id: r.keep for r in simhash.near_copies(table(spark, texts)).collect()} == want
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(200)] + [(500, 400)], "a bigint, b bigint")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
