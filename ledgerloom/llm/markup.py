@@ -38,7 +38,8 @@ TOKEN = re.compile(
     r"|<[!?][^>]*(?:>|$)"
     r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|$)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S | re.I)
-ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: One attribute, name and value, as HTML reads them one behind the other.
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
 def _outside(name: str, attributes: str) -> bool:

@@ -531,6 +531,16 @@ def test_main_text():
     assert [markup.main_text(x) for x in (None, "", "<p>", "<<<>>>", "<script>x")] == [""] * 5
 
 
+def test_attributes_are_told_by_their_whole_names():
+    tags = ('div style="overflow:hidden"', 'p title="the hidden truth"', 'section data-hidden="false"', 'div data-id="comments"',
+            'div data-x="?id=search"', "p title='class=ad'", "div data-class=ad", "p title = 'a' lang=hidden")
+    for tag in tags:
+        assert markup.main_text(f"<article><p>One.</p><{tag}>Two.</{tag.split()[0]}></article>") == "One.\nTwo.", tag
+    assert markup.main_text('<article><p>See <a href="/hidden-gems">the gems</a> and <a href="?id=search">more</a>.</p></article>') == "See the gems and more."
+    for tag in ("div hidden", 'div title="a b" HIDDEN=""', 'div class="x"id="comments"', "div role=search", "p aria-hidden='true'", "div class = ad"):
+        assert markup.main_text(f"<article><p>One.</p><{tag}>Two.</{tag.split()[0]}></article>") == "One.", tag
+
+
 def test_main_text_of_the_given_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r in markup.extract(pages).join(pages.select("page_id", "html"), "page_id").collect():
