@@ -64,6 +64,7 @@ class Lines:
         self.text: list[str] = []
         self.length: list[int] = []  # characters outside links
         self.main: list[bool] = []
+        self.gaps: set[int] = set()  # lines before which something was left out
         self.now: list[str] = []
         self.outside_links = 0
 
@@ -72,11 +73,9 @@ class Lines:
         if not in_link:
             self.outside_links += len(raw.strip())
 
-    def gap(self, lines: int) -> None:
+    def gap(self) -> None:
         """Something was left out here."""
-        self.text += [""] * lines
-        self.length += [0] * lines
-        self.main += [False] * lines
+        self.gaps.add(len(self.text))
 
     def end(self, main: bool) -> None:
         text = " ".join(html.unescape("".join(self.now)).split()) if self.now else ""
@@ -86,8 +85,8 @@ class Lines:
         self.now, self.outside_links = [], 0
 
 
-def lines_of(page: str, window: int) -> Lines:
-    """Strip the markup: each block is a line; what is left out leaves ``window`` empty lines."""
+def lines_of(page: str) -> Lines:
+    """Strip the markup: each block is a line; where something is left out is a gap."""
     out, stack, skipped, links, mains, at = Lines(), [], 0, 0, 0, 0
     opened: Counter[str] = Counter()
     for token in TOKEN.finditer(page):
@@ -125,7 +124,7 @@ def lines_of(page: str, window: int) -> Lines:
                 opened[gone] -= 1
                 skipped -= skip
                 if skip and not skipped:
-                    out.gap(window)
+                    out.gap()
                 links -= gone == "a"
                 mains -= gone in MAIN
                 if gone == name:
@@ -136,32 +135,64 @@ def lines_of(page: str, window: int) -> Lines:
     return out
 
 
+def parts_of(lines: Lines) -> Iterator[tuple[int, int]]:
+    """First line and end of each stretch between gaps; empty lines around a gap belong to it."""
+    first = last = None
+    apart = False
+    for i, t in enumerate(lines.text):
+        apart |= i in lines.gaps
+        if t:
+            if apart and last is not None:
+                yield first, last
+                first = None
+            first, last, apart = i if first is None else first, i + 1, False
+    if last is not None:
+        yield first, last
+
+
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The text between surge and dive points of the line-block distribution, its blocks joined by newlines.
 
     Every line gets the sum of the text lengths of the ``window`` lines from it
     on. The text begins at a line with text where the sum surges past ``surge``
     and ends where it dives to nothing; lines in between are kept whatever their
-    own length. Inside an article or main element any length is a surge, as the
-    page itself says where its text is; if there is one, other lines are left.
+    own length. On a page where nothing surges, any line with characters outside
+    links begins the text.
+    What is left out inside the text does not end it: the stretch behind goes on
+    if at least half of it is outside links and it holds a quarter of ``surge``,
+    ``window`` lines or the end of a sentence; a smaller one waits for the next.
+    If article and main elements hold at least half of the characters outside
+    links, all their lines are the text, as the page itself says where it is.
     """
     if not page:
         return ""
-    lines = lines_of(page, window)
-    main = any(m and t for m, t in zip(lines.main, lines.text))
-    text = [t if m or not main else "" for t, m in zip(lines.text, lines.main)]
-    length = [n if t else 0 for n, t in zip(lines.length, text)]
-    if main:
-        surge, length = 1, [len(t) for t in text]
-    kept, inside = [], False
-    for i, t in enumerate(text):
-        block = sum(length[i : i + window])
-        if inside:
-            inside = block > 0
-        elif t and block >= surge:
-            inside = True
-        if inside and t:
-            kept.append(t)
+    lines = lines_of(page)
+    text, length = lines.text, lines.length
+    inner = [t for m, t in zip(lines.main, text) if m and t]
+    if inner and 2 * sum(n for m, n in zip(lines.main, length) if m) >= sum(length):
+        return "\n".join(inner)
+    low = all(sum(length[i : i + window]) < surge for i in range(len(text)))
+    kept: list[str] = []
+    waiting: list[str] = []
+    inside = False
+    for first, last in parts_of(lines):
+        own, chars = [t for t in text[first:last] if t], sum(length[first:last])
+        blocks = [sum(length[i : min(i + window, last)]) for i in range(first, last)]
+        if inside and 2 * chars >= sum(map(len, own)):
+            if not low and chars < surge / 4 and len(own) < window and not own[-1].endswith(tuple(".!?\u2026\u3002")):
+                waiting += own
+                continue
+            kept += waiting
+        else:
+            inside = False
+        waiting = []
+        for i, block in enumerate(blocks, first):
+            if inside:
+                inside = block > 0
+            elif text[i] and (length[i] > 0 and any(map(str.isalnum, text[i])) if low else block >= surge):
+                inside = True
+            if inside and text[i]:
+                kept.append(text[i])
     return "\n".join(kept)
 
 

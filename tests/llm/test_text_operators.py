@@ -541,6 +541,18 @@ def test_attributes_are_told_by_their_whole_names():
         assert markup.main_text(f"<article><p>One.</p><{tag}>Two.</{tag.split()[0]}></article>") == "One.", tag
 
 
+def test_main_text_goes_on_behind_what_is_left_out():
+    words = "many words stand in this paragraph " * 3
+    ad = "<div><div class=ad>Buy now</div></div>"
+    assert markup.main_text(f"<p>{words}</p>{ad}<p>The end.</p>{ad}<div>Imprint</div>") == f"{words.strip()}\nThe end."
+    assert markup.main_text(f"<p>{words}</p>{ad}<ul><li>eggs<li>milk<li>salt</ul>") == f"{words.strip()}\neggs\nmilk\nsalt"
+    assert markup.main_text(f"<p>{words}</p>{ad}<p>So</p>{ad}<p>{words}</p>") == f"{words.strip()}\nSo\n{words.strip()}"
+    assert markup.main_text(f"<p>{words}</p>{ad}<p><a href=x>Other news of the day, read on.</a></p>") == words.strip()
+    assert markup.main_text("<div><a href=x>One</a></div><p>A short note.</p>") == "A short note."
+    teaser = "<article><a href=x>Teaser</a> of it</article>"
+    assert markup.main_text(f"{teaser}<div class=ad>Buy</div><div>{words}</div><div>{words}</div>") == "\n".join([words.strip()] * 2)
+
+
 def test_main_text_of_the_given_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r in markup.extract(pages).join(pages.select("page_id", "html"), "page_id").collect():
