@@ -29,7 +29,6 @@ SEGMENT = 2_000_000
 MERGED, SHARD = 500_000, 100_000
 #: Different surroundings from which an anchor is hot: its windows are compared by hash, spread over all tasks.
 HOT = 20_000
-LAST = (1 << 63) - 1  # stands for a null key
 PLACE = 26  # bits of a place inside a segment group
 
 
@@ -95,15 +94,16 @@ def _segments(keys: list[int], texts: list[bytes], length: int) -> Iterator[tupl
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(key, text) to rows done, anchor, whole, key, at: ``at`` packs the first window and how far anchor and last window lie behind it.
+    """(key, body) to rows done, anchor, whole, key, at: ``at`` packs the first window and how far anchor and last window lie behind it.
 
     What a group of texts already holds at an earlier place is ``done``: it is a
     repeat whatever other tasks find. So content that is everywhere comes out of
     each group once, and no task gets all of its rows.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor().decompress
         for batch in _sliced(batches, 1000):
-            texts = [t.encode() if t else b"" for t in batch.column(1).to_pylist()]
+            texts = [expand(x) for x in batch.column(1).to_pylist()]
             for heads, bodies in _segments(batch.column(0).to_pylist(), texts, length):
                 bounds = np.concatenate([[0], np.cumsum([len(b) for b in bodies])])
                 h, whole, a, first, last = anchors(np.frombuffer(b"".join(bodies), np.uint8), length, min(GRAM, length), bounds)
@@ -324,21 +324,24 @@ def _hashed(length: int):
 
 
 def packed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, body: the texts compressed, as they are going to be shuffled."""
+    """key, doc_id, body: each row with a number of its own, in order of doc_id (null last) and text; texts compressed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(3).compress
         for batch in batches:
             body = [squeeze(t.encode() if t else b"") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(body, pa.binary())], names=["key", "body"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(body, pa.binary())], names=["doc_id", "body"])
 
-    return docs.select(key, text).mapInArrow(run, "key bigint, body binary")
+    rows = docs.select(F.col(key).cast("long"), text).mapInArrow(run, "doc_id bigint, body binary")
+    rows = rows.withColumn("content", F.xxhash64("body")).withColumn("row", F.monotonically_increasing_id())
+    rows = rows.orderBy(F.col("doc_id").asc_nulls_last(), "content", "row")
+    return settle(rows.select(F.monotonically_increasing_id().alias("key"), "doc_id", "body"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """Spans (key, start, stop) that cover every window of (key, text) rows that also starts earlier; spans may overlap."""
+    """Spans (key, start, stop) that cover every window of (key, body) rows that also starts earlier; spans may overlap."""
     n = parts_of(docs)
     dealt = F.when(F.col("done"), F.xxhash64("key", "at")).otherwise(F.col("anchor"))  # done rows can go anywhere
-    rows = anchor_rows(docs, length).repartition(n, dealt).sortWithinPartitions("anchor", "whole", "key", "at")
+    rows = anchor_rows(docs.select("key", "body"), length).repartition(n, dealt).sortWithinPartitions("anchor", "whole", "key", "at")
     found = settle(rows.mapInArrow(_sorted_out, "kind int, anchor bigint, key bigint, at bigint"))
     first = F.shiftright("at", 16)
     whole = found.where("kind = 0").select("key", first.alias("start"), (first + F.col("at").bitwiseAND(255) + length).alias("stop"))
@@ -365,7 +368,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)],
                                                  names=["anchor", "key", "start", "windows", "piece", "hot"])
 
-    joined = packed(docs, *docs.columns).join(wanted, "key").select("key", "body", "places")
+    joined = docs.join(wanted, "key").select("key", "body", "places")
     pieces = settle(joined.mapInArrow(cut, "anchor bigint, key bigint, start bigint, windows int, piece binary, hot boolean"))
     plain = pieces.where(~F.col("hot")).drop("hot").repartition(n, "anchor").sortWithinPartitions("anchor", "key", "start")
     spans = whole.unionAll(plain.mapInArrow(_compared(length), SPANS))
@@ -385,11 +388,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     Columns: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``texts`` also
     the remaining bytes as ``kept``.
     Defined cases: a null text is empty; shorter texts stay whole; a null key is
-    behind all others; rows that repeat a key are one document: none is earlier
-    than the other, and what is cut from one is cut at the same places of the
-    other; an empty table gives no rows; other columns are not read.
+    behind all others; each row is a document, and rows that share a key, or have
+    none, are in order of a hash of their texts; an empty table gives no rows;
+    other columns are not read.
     """
-    slim = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("key"), F.col(text).alias("text"))
+    slim = packed(docs, key, text)
     spans = settle(repeated_spans(slim, length, hot))
     spans = spans.groupBy("key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
@@ -404,13 +407,13 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                     kept.append(whole[at:start])
                     removed, count, at = removed + stop - start, count + 1, stop
                 kept = b"".join([*kept, whole[at:]])
-                rows.append((None if k == LAST else k, len(whole), removed, count, hashlib.sha256(kept).hexdigest(), *([kept] if texts else [])))
+                rows.append((k, len(whole), removed, count, hashlib.sha256(kept).hexdigest(), *([kept] if texts else [])))
             columns = zip(*rows) if rows else [[]] * (5 + texts)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + texts]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
-    joined = packed(slim, "key", "text").join(spans, "key", "left").select("key", "body", "spans")
+    joined = slim.join(spans, "key", "left").select("doc_id", "body", "spans")
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if texts else "")
     return joined.mapInArrow(cut, schema)
 

@@ -181,6 +181,17 @@ def test_repeats_defined_cases(spark):
     assert suffixes.remove_repeats(table(spark, [])).count() == 0
 
 
+def test_rows_that_share_a_key_are_texts_of_their_own(spark):
+    rnd = random.Random(18)
+    a, b, c, d, e = (prose(rnd, 80) for _ in range(5))
+    rows = [(1, a), (None, a + b), (None, c + d), (None, c + d), (None, e), (2, c), (2, d), (2, b)]
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), texts=True).collect()
+    assert {(r.doc_id, bytes(r.kept).decode()) for r in got if r.doc_id} == {(1, a), (2, b), (2, c), (2, d)}
+    left = sorted((r.n_bytes, bytes(r.kept).decode()) for r in got if r.doc_id is None)
+    # the bytes of a + b and c + d all lie in windows that stand earlier; those of e in none
+    assert left == sorted([(len(a + b), ""), (len(c + d), ""), (len(c + d), ""), (len(e), e)])
+
+
 def test_merge_orders_all_suffixes():
     rnd = random.Random(8)
     parts = [bytes(rnd.choice(b"ab") for _ in range(rnd.randint(6, 30))) for _ in range(12)]
