@@ -314,7 +314,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", radius
             yield k, f - (1 << 64) if f >> 63 else f, page, len(found), bands(found)
 
     slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    marked = settle(map_rows(slim, run, doc_id="bigint", fp="bigint", page="binary", n="bigint", bands="array<bigint>"))
+    marked = settle(map_rows(slim, run, 100, doc_id="bigint", fp="bigint", page="binary", n="bigint", bands="array<bigint>"))
     nodes = settle(marked.groupBy("fp", "page").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     named = nodes.where("node is not null")
     shared = settle(named.select(F.explode("bands").alias("band"), "node", "n"))
@@ -327,7 +327,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", radius
     def verified(pairs: DataFrame) -> DataFrame:
         asked = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
         texts = slim.join(asked, "doc_id", "left_semi")
-        sets = settle(map_rows(texts, lambda k, t: ((i, shingles(x, words)) for i, x in zip(k, t)), doc_id="bigint", s="array<bigint>")
+        sets = settle(map_rows(texts, lambda k, t: ((i, shingles(x, words)) for i, x in zip(k, t)), 100, doc_id="bigint", s="array<bigint>")
                       .groupBy("doc_id").agg(F.min("s").alias("s")))
         left, right = (sets.select(F.col("doc_id").alias(n), F.col("s").alias(f"s{n}")) for n in "ab")
         both = pairs.join(left, "a").join(right, "b")
