@@ -36,7 +36,7 @@ def parts_of(df: DataFrame) -> int:
 
 
 ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(),
-         "binary": pa.binary(), "array<int>": pa.list_(pa.int32()),
+         "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32()),
          "array<bigint>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
 
 
