@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import settle
 
-__all__ = ["settle", "read", "crc_class", "parts_of", "map_rows"]
+__all__ = ["settle", "read", "crc_class", "parts_of", "map_rows", "keep_rows"]
 
 SCHEMAS = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
@@ -58,3 +58,15 @@ def map_rows(df: DataFrame, fn: Callable[..., Iterable[tuple]], at_once: int = 1
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, schema)], schema=schema)
 
     return df.mapInArrow(run, ", ".join(f"{name} {kind}" for name, kind in columns.items()))
+
+
+def keep_rows(df: DataFrame, column: str, wanted: Callable[[list], list[bool]], at_once: int = 1000) -> DataFrame:
+    """The rows whose value of ``column`` is wanted, ``at_once`` asked at a time; all columns as they were."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, at_once):
+                part = batch.slice(k, at_once)
+                yield part.filter(pa.array(wanted(part.column(place).to_pylist()), pa.bool_()))
+
+    place = df.columns.index(column)
+    return df.mapInArrow(run, df.schema)

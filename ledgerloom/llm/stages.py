@@ -17,7 +17,7 @@ from .queries import PIECES
 def without_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents scored toxic go. The labels, and the texts they mark, are those of the folder."""
     model = toxicity.fit(read(spark, folder, "documents"), read(spark, folder, "labels"))
-    return docs.where(toxicity.score_column(model, F.col("text")) < toxicity.THRESHOLD)
+    return toxicity.without_toxic(docs, model)
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

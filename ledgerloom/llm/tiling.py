@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import map_rows
+from .common import keep_rows, map_rows
 
 #: Shortest tile, in words.
 MIN_TILE = 5
@@ -212,16 +211,19 @@ def contaminated(docs: DataFrame, tests: DataFrame, key: str = "doc_id", text: s
 
 def clean(docs: DataFrame, tests: DataFrame, text: str = "text", test_key: str = "item_id", test_text: str = "text",
           least: int = MIN_TILE, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of ``docs`` that hold no test item; all columns as they were."""
+    """The rows of ``docs`` that hold no test item; all columns as they were.
+
+    Whole texts are searched, of any length; null and empty ones hold none; repeated
+    rows go or stay together; without test items all rows stay.
+    """
     for block in blocks(tests, test_key, test_text, least, coverage):
-        docs = docs.where(~_holds(block)(F.col(text)))
+        docs = keep_rows(docs, text, _free_of(block))
     return docs
 
 
-def _holds(block: Items):
-    def holds(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            bad = {k for k, *_ in block.search_all(batch.tolist())}
-            yield pd.Series([k in bad for k in range(len(batch))], dtype=bool)
+def _free_of(block: Items) -> Callable[[list], list[bool]]:
+    def free(texts: list) -> list[bool]:
+        bad = {k for k, *_ in block.search_all(texts)}
+        return [k not in bad for k in range(len(texts))]
 
-    return F.pandas_udf(holds, "boolean")
+    return free

@@ -10,17 +10,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import crc_class, map_rows, settle
+from .common import crc_class, keep_rows, map_rows, settle
 
 #: Score from which a document counts as toxic; fixed by the contract.
 THRESHOLD = 0.3
 #: Labelled rows the model is learnt from at most, taken by a hash of their id.
 TRAIN_ROWS = 2_000_000
-#: Entries of the lexicon at most, the most certain first.
-LEXICON = 200_000
 #: A word stands for itself and for its beginnings of these lengths.
 STEMS = (7, 5)
 #: The prior, in documents: so many spread over the words as all texts use them, and so much for any word.
@@ -182,7 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """Learn log-odds, the extreme-value law and the calibration from the labelled rows.
 
     Labels, texts and nothing else are looked at. Counts come from Spark; what is
-    collected is the lexicon (``LEXICON`` entries at most) and a few histograms.
+    collected is the lexicon, which the bound of ``TRAIN_ROWS`` texts bounds, and a
+    few histograms.
     """
     train = settle(training_rows(docs, labels, key, text, label))
     size = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
@@ -191,30 +189,37 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return Model({})
     telling = F.when(F.col("word").endswith("*"), Z_STEM).otherwise(Z_WORD)
     lexicon = log_odds(word_counts(train).where("n_toxic > 1"), toxic, clean).where(F.col("z") >= telling)
-    odds = {r["word"]: r["odds"] for r in lexicon.orderBy(F.desc("z"), "word").limit(LEXICON).select("word", "odds").collect()}
+    odds = {r["word"]: r["odds"] for r in lexicon.select("word", "odds").collect()}
     model = train.sparkSession.sparkContext.broadcast(Model(odds, tag=uuid.uuid4().hex))
 
     def run(texts: list, toxic: list) -> Iterator[tuple]:
+        tally, words = Counter(), 0  # of clean texts, one row for all of them
         for text, label in zip(texts, toxic):
             scores = model.value.token_scores(text)
             hits = [s for s in scores if s > -DRIFT]
-            yield label, len(scores), hits, [s for _, _, s in segments(scores)] if hits else []
-
-    seen = settle(map_rows(train, run, toxic="int", n="bigint", hits="array<double>", found="array<double>"))
-    rate = _rate(seen.where("toxic = 0"))
+            if not label:
+                tally.update(round(s, 2) for s in hits)
+                words += len(scores)
+            yield label, len(scores), [s for _, _, s in segments(scores)] if hits else [], None, None
+        yield None, words, None, list(tally), list(tally.values())
+
+    seen = settle(map_rows(train, run, 10_000, toxic="int", n="bigint", found="array<double>", scores="array<double>", times="array<bigint>"))
+    rate = _rate(seen.where("toxic is null"))
     chance = F.sum(F.col("n") * F.exp(-rate * F.coalesce(F.array_max("found"), F.lit(0.0))))
     n, mass = seen.where("toxic = 0 and n > 0").agg(F.count("*"), chance).first()
     scale = n / mass if mass else 1.0
-    weights = _calibrate(seen, Model(odds, rate, scale))
+    weights = _calibrate(seen.where("toxic is not null"), Model(odds, rate, scale))
     return Model(odds, rate, scale, weights, uuid.uuid4().hex)
 
 
-def _rate(clean: DataFrame) -> float:
+def _rate(tallies: DataFrame) -> float:
     """lambda > 0 at which the scores of the words of clean texts have E exp(lambda s) = 1."""
-    total, hit = clean.agg(F.sum("n"), F.sum(F.size("hits"))).first()
+    total = tallies.agg(F.sum("n")).first()[0]
+    both = tallies.select(F.explode(F.arrays_zip("scores", "times")).alias("b"))
+    rows = both.groupBy(F.col("b.scores").alias("s")).agg(F.sum("b.times").alias("count")).collect()
+    hit = sum(r["count"] for r in rows)
     if not hit:
         return 1.0
-    rows = clean.select(F.explode("hits").alias("s")).groupBy(F.round("s", 2).alias("s")).count().collect()
     s = np.array([-DRIFT, *(r["s"] for r in rows)])
     p = np.array([total - hit, *(r["count"] for r in rows)]) / total
     low, high = 1e-3, 50.0
@@ -247,15 +252,14 @@ def _calibrate(seen: DataFrame, model: Model) -> tuple[float, float, float]:
     return tuple(float(v) for v in w)
 
 
-def score_column(model: Model, text: Column) -> Column:
-    """The score of a text, 0 to 1."""
-    sent = SparkSession.active().sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([sent.value.score(t) for t in batch.tolist()], dtype=float)
+def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows whose text scores below ``THRESHOLD``, with all their columns.
 
-    return F.pandas_udf(run, "double")(text)
+    Whole texts are scored, of any length; null and empty ones have the score of
+    texts without a passage; repeated rows go or stay together.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, text, lambda texts: [sent.value.score(t) < THRESHOLD for t in texts])
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
