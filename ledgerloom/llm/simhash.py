@@ -9,7 +9,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import map_rows, settle
 
@@ -18,6 +18,10 @@ BITS = 64
 AT_ONCE = 1 << 16
 #: Least hashes of a band, and bands: two sets of Jaccard similarity s share a band with probability 1 - (1 - s**4)**24.
 ROWS, BANDS = 4, 24
+#: Least hashes, of all of them, that texts verified on their shingles have in common; at 0.8 fewer have a chance of 1e-7.
+ALIKE = 56
+#: Texts compared at a time with as many others.
+PIECE = 256
 SALTS, FACTORS = np.random.default_rng(42).integers(0, 1 << 64, (2, ROWS * BANDS), np.uint64)
 
 
@@ -282,77 +286,170 @@ def shingles(text: str | None, words: int) -> list[int]:
     return sorted(h - (1 << 64) if h >> 63 else h for h in found)
 
 
-def bands(found: list[int]) -> list[int]:
-    """A hash for each band of ``ROWS`` least hashes of different shingles."""
+def least_hashes(found: list[int]) -> np.ndarray:
+    """The least hash of different shingles under each of ``ROWS * BANDS`` orders."""
     h, least = np.array(found, np.int64).view(np.uint64), np.full(ROWS * BANDS, (1 << 64) - 1, np.uint64)
     for k in range(0, len(h), AT_ONCE):
         part = h[k : k + AT_ONCE]
         for i, (salt, factor) in enumerate(zip(SALTS, FACTORS | np.uint64(1))):
             least[i] = min(least[i], ((part ^ salt) * factor).min())
+    return least
+
+
+def bands(least: np.ndarray) -> list[int]:
+    """A hash for each band of ``ROWS`` least hashes."""
     return [xxhash.xxh64_intdigest(band.tobytes(), k) - (1 << 63) for k, band in enumerate(least.reshape(BANDS, ROWS))]
 
 
+def page_of(text: str) -> Column:
+    """What a text is known by; null is the empty text."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
+class Cell:
+    """Texts of one key: those of side 0 are compared with those of side 1, or with each other where there are none."""
+
+    def __init__(self, rows: dict[str, list]):
+        self.node, self.root = np.array(rows["node"], np.int64), np.array(rows["root"], np.int64)
+        self.hashes = [np.frombuffer(b, np.int64) for b in rows["hashes"]]
+        self.n = np.array([len(h) for h in self.hashes])
+        self.least = np.frombuffer(b"".join(rows["least"]), np.uint16).reshape(len(self.node), -1)
+        side = np.array(rows["side"])
+        self.left, self.right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+
+    def links(self, similarity: float) -> list[tuple[int, int]]:
+        """Links that join what is not joined yet; texts of one root are not compared."""
+        found, alone = [], not len(self.right)
+        for k, i in enumerate(self.left):
+            others = self.left[k + 1 :] if alone else self.right
+            fits = np.minimum(self.n[others], self.n[i]) >= similarity * np.maximum(self.n[others], self.n[i])
+            others = others[fits & (self.root[others] != self.root[i])]
+            others = others[(self.least[others] == self.least[i]).sum(1) >= ALIKE]
+            for j in others:
+                if self.root[j] != self.root[i]:
+                    common = len(np.intersect1d(self.hashes[i], self.hashes[j], assume_unique=True))
+                    if common >= similarity * (self.n[i] + self.n[j] - common):
+                        found.append((int(self.node[i]), int(self.node[j])))
+                        self.root[self.root == self.root[j]] = self.root[i]
+        return found
+
+
+def compared(rows: DataFrame, key: list[str], similarity: float) -> DataFrame:
+    """Links a > b found in the cells of ``key``: rows with side, node, root, least and hashes, of at most two pieces a cell."""
+    names = [*key, "side", "node", "root", "least", "hashes"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, cell = None, {n: [] for n in names}
+
+        def done() -> pa.RecordBatch:
+            pairs = Cell(cell).links(similarity) if len(cell["node"]) > 1 else []
+            return pa.RecordBatch.from_pydict({"a": pa.array([max(p) for p in pairs], pa.int64()), "b": pa.array([min(p) for p in pairs], pa.int64())})
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[: len(key)] != now:
+                    yield done()
+                    now, cell = row[: len(key)], {n: [] for n in names}
+                for n, v in zip(names, row):
+                    cell[n].append(v)
+        yield done()
+
+    rows = rows.select(*names).repartition(*key).sortWithinPartitions(*key)
+    return rows.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
+
+
+def _dealt(bands: DataFrame) -> DataFrame:
+    """Cells of bands whose texts have several roots: band, g, p, h, q, side, node, root.
+
+    Texts of a root that holds more than a piece of the band are dealt apart from
+    the others, so they are never compared among themselves.
+    """
+    size = bands.groupBy("band", "root").agg(F.count("*").alias("n"))
+    size = size.withColumn("g", F.when(F.col("n") > PIECE, F.col("root")).otherwise(F.lit(-1)))
+    group = settle(size.groupBy("band", "g").agg(F.ceil(F.sum("n") / PIECE).alias("pieces")))
+    rows = bands.join(size.select("band", "root", "g"), ["band", "root"]).join(group, ["band", "g"])
+    rows = rows.withColumn("p", F.pmod(F.xxhash64("node", F.lit(3)), F.col("pieces"))).drop("pieces")
+    piece = group.select("band", "g", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("p"))
+    other = piece.withColumnRenamed("g", "h").withColumnRenamed("p", "q")
+    cells = piece.join(other, "band").where("g < h or (g = -1 and h = -1 and p <= q)")
+    left = cells.join(rows, ["band", "g", "p"]).withColumn("side", F.lit(0))
+    right = cells.where("g <> h or p <> q").join(rows.withColumnRenamed("g", "h").withColumnRenamed("p", "q"), ["band", "h", "q"]).withColumn("side", F.lit(1))
+    names = ["band", "g", "p", "h", "q", "side", "node", "root"]
+    return left.select(*names).unionAll(right.select(*names))
+
+
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 3, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Groups of documents of which one is enough: doc_id and ``keep``, the document that stands for it.
-
-    Documents are linked if their different shingles of ``words`` words have a
-    Jaccard similarity of ``similarity`` or more; every link is verified on the
-    shingles. Candidates are the first texts of fingerprints of single words that
-    differ in ``radius`` bits or fewer, the texts of one fingerprint, and all
-    texts that share a band of least hashes of their shingles. Whether a band is
-    shared depends on the similarity alone, not on the kind of edit.
-    Equal texts are one node. First the texts of a band or a fingerprint are
-    verified against its first text; a group of many near copies thus gives links
-    in proportion to its size, not to its square. Then, of every band whose texts
-    are not all joined, all pairs that are not joined are verified.
-    Defined cases: as ``near_duplicates``; rows with a null key have no ``keep``.
+    """Groups of documents of which one is enough: page, doc_id, ``keep``, the document that stands for it, and ``kept``.
+
+    Texts are linked if their different shingles of ``words`` words have a Jaccard
+    similarity of ``similarity`` or more; every link is verified on the shingles.
+    Candidates are the first texts of fingerprints of single words that differ in
+    ``radius`` bits or fewer, the texts of one fingerprint, and all texts that
+    share a band of least hashes of their shingles. Whether a band is shared
+    depends on the similarity alone, not on the kind of edit.
+    A text (``page``, a digest) is one node, whatever rows and ids hold it. First
+    the texts of a band or a fingerprint are compared with its first text, so a
+    group of many near copies costs in proportion to its size. What is left are
+    bands whose texts are not all joined: there the texts of different roots are
+    compared inside tasks, piece by piece of ``PIECE`` texts; what a link joins is
+    not compared again, and tasks give links that join, never pairs.
+    Defined cases: ``keep`` is the smallest doc_id of a group, and of texts under
+    that id the one with the least digest; rows without an id belong to their
+    group and stand for it only where no row has one; rows equal in id and text
+    are kept or not together; null is the empty text, and texts without five words
+    are one shingle; texts of any length are hashed whole, and a task holds the
+    hashes of two pieces; an empty table gives no rows.
     """
-    def run(keys: list, texts: list) -> Iterator[tuple]:
-        for k, t in zip(keys, texts):
+    def run(keys: list, pages: list, texts: list) -> Iterator[tuple]:
+        for k, p, t in zip(keys, pages, texts):
             f, found = fingerprint(t, 1, 42, True), shingles(t, words)
-            page = xxhash.xxh128_digest((t or "").encode())
-            yield k, f - (1 << 64) if f >> 63 else f, page, len(found), bands(found)
-
-    slim = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    marked = settle(map_rows(slim, run, 100, doc_id="bigint", fp="bigint", page="binary", n="bigint", bands="array<bigint>"))
-    nodes = settle(marked.groupBy("fp", "page").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    named = nodes.where("node is not null")
-    shared = settle(named.select(F.explode("bands").alias("band"), "node", "n"))
-
-    def pairs_of(pairs: DataFrame) -> DataFrame:
-        """Pairs whose numbers of shingles allow the similarity, each once."""
-        fits = F.least("n", "m") >= similarity * F.greatest("n", "m")
-        return pairs.where(fits & (F.col("x") != F.col("y"))).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        asked = settle(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-        texts = slim.join(asked, "doc_id", "left_semi")
-        sets = settle(map_rows(texts, lambda k, t: ((i, shingles(x, words)) for i, x in zip(k, t)), 100, doc_id="bigint", s="array<bigint>")
-                      .groupBy("doc_id").agg(F.min("s").alias("s")))
-        left, right = (sets.select(F.col("doc_id").alias(n), F.col("s").alias(f"s{n}")) for n in "ab")
-        both = pairs.join(left, "a").join(right, "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        return settle(both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b"))
-
-    def stars(df: DataFrame, by: str) -> DataFrame:
-        first = df.groupBy(by).agg(F.min(F.struct("node", "n")).alias("f"), F.count("*").alias("of")).where("of > 1")
-        return df.join(first, by).select(F.col("node").alias("x"), "n", F.col("f.node").alias("y"), F.col("f.n").alias("m"))
-
-    first = settle(named.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("f")))
-    a = first.select(F.col("fp").alias("a"), F.col("f.node").alias("x"), F.col("f.n").alias("n"))
-    b = first.select(F.col("fp").alias("b"), F.col("f.node").alias("y"), F.col("f.n").alias("m"))
-    across = links(first.select("fp"), radius).join(a, "a").join(b, "b").select("x", "n", "y", "m")
-    pairs = settle(pairs_of(stars(shared, "band").unionAll(stars(named, "fp")).unionAll(across)))
-    alike = verified(pairs)
+            yield k, p, f - (1 << 64) if f >> 63 else f, bands(least_hashes(found))
+
+    slim = docs.select(F.col(key).alias("doc_id"), page_of(text).alias("page"), F.col(text).alias("text"))
+    marked = settle(map_rows(slim, run, 100, doc_id="bigint", page="binary", fp="bigint", bands="array<bigint>"))
+    first_id = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "page"))
+    nodes = settle(marked.groupBy("page").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), first_id.alias("first"))
+                   .withColumn("node", F.monotonically_increasing_id()))
+    shared = nodes.select(F.explode("bands").alias("band"), "node")
+    heads = shared.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("of")).where("of > 1").select("band", "head")
+    crowded = settle(shared.join(heads, "band"))
+
+    equal = nodes.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("of"))
+    heads = settle(equal)
+    a, b = (heads.select(F.col("fp").alias(n), F.col("head").alias(h)) for n, h in (("a", "node"), ("b", "head")))
+    across = links(heads.select("fp"), radius).join(a, "a").join(b, "b").select("node", "head")
+    same = nodes.select("fp", "node").join(heads.where("of > 1"), "fp").select("node", "head")
+    star = settle(crowded.select("node", "head").unionAll(same).unionAll(across).where("node <> head").distinct())
+
+    wanted = crowded.select("node").unionAll(star.select("node")).unionAll(star.select("head")).distinct()
+    wanted = settle(nodes.select("page", "node").join(wanted, "node"))
+
+    def hashed(seen: set, ids: list, texts: list) -> Iterator[tuple]:
+        for i, t in zip(ids, texts):
+            if i not in seen:  # of equal texts, one for each task
+                found = shingles(t, words)
+                yield i, least_hashes(found).astype(np.uint16).tobytes(), np.array(found, np.int64).tobytes()
+                seen.clear() if len(seen) > 1_000_000 else seen.add(i)
+
+    sets = map_rows(slim.join(wanted, "page").select("node", "text"), hashed, 100, set, node="bigint", least="binary", hashes="binary")
+    sets = settle(sets.groupBy("node").agg(F.first("least").alias("least"), F.first("hashes").alias("hashes")))
+
+    rays = star.groupBy("head").agg(F.ceil(F.count("*") / PIECE).alias("chunks"))
+    spread = star.join(rays, "head").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks")))
+    centres = rays.select("head", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), F.col("head").alias("node"))
+    tips = spread.select("head", "chunk", F.lit(1).alias("side"), "node")
+    rows = centres.unionAll(tips).withColumn("root", F.col("node")).join(sets, "node")
+    alike = settle(compared(rows, ["head", "chunk"], similarity))
     joined = components(alike)
 
-    now = settle(shared.join(joined, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root")))
+    now = settle(crowded.select("band", "node").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")))
     mixed = now.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    now = settle(now.join(mixed, "band", "left_semi"))
-    other = now.select("band", F.col("node").alias("y"), F.col("n").alias("m"), F.col("root").alias("r"))
-    apart = now.withColumnRenamed("node", "x").join(other, "band").where("x > y and root <> r")
-    rest = settle(pairs_of(apart).join(pairs, ["a", "b"], "left_anti"))
-    more = verified(rest)
+    rows = _dealt(settle(now.join(mixed, "band", "left_semi"))).join(sets, "node")
+    more = settle(compared(rows, ["band", "g", "p", "h", "q"], similarity))
     found = joined if more.isEmpty() else components(alike.unionAll(more))
-    member = nodes.join(found, "node", "left").select("fp", "page", F.coalesce("root", "node").alias("keep"))
-    return marked.join(member, ["fp", "page"]).select("doc_id", "keep")
+    member = nodes.select("page", "node", "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = member.groupBy("root").agg(F.min("first").alias("first"))
+    member = member.drop("first").join(first, "root").select("page", "first")
+    return marked.join(member, "page").select(
+        "page", "doc_id", F.col("first.doc_id").alias("keep"),
+        (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("page") == F.col("first.page"))).alias("kept"))

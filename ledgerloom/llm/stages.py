@@ -1,8 +1,11 @@
 """The stages of the corpus pipeline: (spark, docs, folder) -> DataFrame.
 
-All but the last return the columns of ``docs``. A document is known by its
-doc_id; rows repeated with one doc_id stay or go together. Rows without a doc_id
-pass the near-duplicate stage, as nothing names them.
+All but the last return the columns of ``docs``. Rows equal in doc_id and text
+stay or go together; a row without a doc_id is judged by its text like any other.
+Null and empty texts pass the filters of toxicity and benchmark; of all rows
+without a text, the near-duplicate stage keeps the first. Texts of any length go
+whole through every stage; an empty table stays empty; columns of other names
+are handed on as they are.
 """
 
 from __future__ import annotations
@@ -28,9 +31,10 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, folder: str) -> Da
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Of each group of near-copies, verified at five words and 0.8, the document with the smallest doc_id stays."""
-    found = simhash.near_copies(docs)
-    gone = settle(found.where(F.col("doc_id") != F.col("keep")).select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = simhash.near_copies(docs).where(~F.col("kept")).select(F.col("page").alias("gone_page"), F.col("doc_id").alias("gone_id")).distinct()
+    gone = settle(gone)
+    same = (simhash.page_of("text") == gone.gone_page) & docs["doc_id"].eqNullSafe(gone.gone_id)
+    return docs.join(gone, same, "left_anti").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -455,6 +455,30 @@ def test_near_copies_are_found_and_others_left(spark):
     assert simhash.near_copies(table(spark, ODD)).count() == len(ODD)
 
 
+def test_texts_under_one_id_are_judged_apart(spark):
+    rnd = random.Random(4)
+    a, b = prose(rnd, 100), prose(rnd, 120)
+    rows = [(1, a), (5, a), (5, b), (None, b + " more"), (None, "else " * 9), (7, a), (7, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    got = sorted((tuple(r) for r in simhash.near_copies(docs).select("doc_id", "keep", "kept").collect()), key=str)
+    assert got == sorted([(1, 1, True), (5, 1, False), (5, 5, True), (None, 5, False), (None, None, True), (7, 1, False), (7, 1, False)], key=str)
+
+
+def test_bands_of_families_below_the_threshold_are_compared_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PIECE", 7)
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 7)))
+    shared, texts = [word() for _ in range(200)], []
+    for k in range(60):  # about 0.6 to 0.9 alike
+        own = list(shared)
+        at, n = rnd.randrange(180), rnd.choice([9, 14, 18])
+        own[at : at + n] = [word() for _ in range(n)]
+        texts.append(" ".join(own))
+    want = brute_groups(dict(enumerate(texts)))
+    assert {r.doc_id: r.keep for r in simhash.near_copies(table(spark, texts)).collect()} == want
+    assert 1 < len(set(want.values())) < 60
+
+
 def test_near_copies_behind_the_first_of_a_fingerprint(spark):
     rnd = random.Random(16)
     words = [f"w{i}" for i in range(120)]
