@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.money import ratio
@@ -17,6 +18,7 @@ WAVE_KM_S = 1.1
 BASELINE_S, RECENT_S = 35, 3  # seconds of the step test; callers scale them to the sampling rate
 ARRIVAL_SHARE = 0.5
 HOLD_AFTER_MANEUVER_MIN = 10
+WARM_HOURS = 24  # hours of a line that only teach its meter bias
 
 
 def validate(df: DataFrame, tags: list[str], low: float, high: float, now: Column) -> DataFrame:
@@ -92,11 +94,31 @@ def profile_fit(drops: DataFrame, stations: tuple[float, ...] = STATIONS, length
     return drops.withColumn("m", F.array_min(F.transform(xs, fit))).select("incident", F.col("m.x").alias("x"), F.col("m.depth").alias("depth"))
 
 
-def balance(hours: DataFrame, learn_until: Column) -> DataFrame:
-    """(line, slot, inflow, outflow) plus the learnt meter bias and the shortfall d (whole units)."""
-    raw = F.col("inflow") - F.col("outflow")
-    bias = hours.filter(F.col("slot") < learn_until).groupBy("line").agg(F.round(F.sum(raw).cast("double") / F.count("*")).cast("bigint").alias("bias"))
-    return hours.join(bias, "line", "left").withColumn("d", raw - F.coalesce("bias", F.lit(0)))
+def balance(hours: DataFrame, k: int, alarm: int, warm: int = WARM_HOURS) -> DataFrame:
+    """(line, slot, inflow, outflow) plus the shortfall ``d`` beyond the learnt meter bias.
+
+    The bias of a line is the mean shortfall of its normal hours so far (whole
+    units, rounded down); its first ``warm`` hours only teach and have no
+    shortfall. With S = max(0, S + d - k), an hour with S over ``alarm`` teaches
+    nothing, so a tap is not learnt as the meter's fault. What is learnt decides
+    what may be learnt next, which no window can say: the hours of a line, one row
+    each, are folded in order.
+    """
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("slot")
+        total = n = s = 0
+        short = []
+        for hour, raw in enumerate((part["inflow"] - part["outflow"]).tolist()):
+            d = 0 if hour < warm or not n else raw - total // n
+            s = max(0, s + d - k)
+            if s <= alarm:
+                total, n = total + raw, n + 1
+            short.append(d)
+        return part.assign(d=short)
+
+    flat = hours.select(F.col("line").cast("int").alias("line"), F.col("slot").cast("bigint").alias("slot"),
+                        F.col("inflow").cast("bigint").alias("inflow"), F.col("outflow").cast("bigint").alias("outflow"))
+    return flat.groupBy("line").applyInPandas(fold, "line int, slot bigint, inflow bigint, outflow bigint, d bigint")
 
 
 def cusum(df: DataFrame, keys: list[str], order: list[str], d: str, k: int, hot_rows: int | None = None) -> DataFrame:

@@ -99,9 +99,14 @@ def _(t: Tables):
 
 cte("x_hours", f"""
 SELECT k % 4 AS line, us // {H} * {H} AS slot, coalesce(sum(centi) FILTER (tag = 'purchase'), 0) AS inflow, coalesce(sum(centi) FILTER (tag = 'view'), 0) AS outflow FROM x_readings GROUP BY ALL""")
-LEARN = 1704067200_000_000 + 72 * H  # three days from the first day of the data
+ALLOWED, ALARM = 1000, 3000  # k of the CUSUM, and S over which a line is in alarm
 cte("x_bal", f"""
-SELECT h.*, inflow - outflow - coalesce(bias, 0) AS d FROM x_hours h LEFT JOIN (SELECT line, CAST(round(CAST(sum(inflow - outflow) AS DOUBLE) / count(*)) AS BIGINT) AS bias FROM x_hours WHERE slot < {LEARN} GROUP BY line) USING (line)""")
+WITH RECURSIVE o AS (SELECT *, inflow - outflow AS raw, row_number() OVER (PARTITION BY line ORDER BY slot) AS i FROM x_hours),
+f(line, i, d, s, total, n) AS (SELECT line, i, CAST(0 AS HUGEINT), CAST(0 AS HUGEINT), CAST(raw AS HUGEINT), 1 FROM o WHERE i = 1
+ UNION ALL SELECT line, i, d, s, CASE WHEN s <= {ALARM} THEN total + raw ELSE total END, CASE WHEN s <= {ALARM} THEN n + 1 ELSE n END FROM (
+  SELECT *, greatest(0, before + d - {ALLOWED}) AS s FROM (
+   SELECT o.line, o.i, o.raw, f.total, f.n, f.s AS before, CASE WHEN o.i <= {N.WARM_HOURS} THEN 0 ELSE o.raw - (f.total - ((f.total % f.n) + f.n) % f.n) // f.n END AS d FROM f JOIN o ON o.line = f.line AND o.i = f.i + 1)))
+SELECT o.line, o.slot, o.inflow, o.outflow, f.d FROM f JOIN o ON o.line = f.line AND o.i = f.i""")
 cte("x_cusum", """
 SELECT *, p - least(0, min(p) OVER (PARTITION BY line ORDER BY slot ROWS UNBOUNDED PRECEDING)) AS s FROM (SELECT *, sum(d - 1000) OVER (PARTITION BY line ORDER BY slot ROWS UNBOUNDED PRECEDING) AS p FROM x_bal)""")
 
@@ -113,7 +118,7 @@ def hours(t: Tables):
 
 
 def shortfall(t: Tables):
-    return N.balance(hours(t), F.lit(LEARN))
+    return N.balance(hours(t), ALLOWED, ALARM)
 
 
 @query("w22_balance", "SELECT line, slot, CAST(d AS BIGINT) AS d FROM x_bal")
@@ -198,7 +203,7 @@ def _(t: Tables):
 
 @query("t01_detection_report", f"""
 SELECT band, count(*) AS taps, round(CAST(count(*) FILTER (outcome = 'found') AS DOUBLE) / count(*), 6) AS detection_rate, CAST(quantile_cont(abs(km - tap_km), 0.9) FILTER (outcome = 'found') AS DOUBLE) AS error_p90_km,
- CAST(median(abs(start_us - tap_us) // {60 * N.SECOND}) FILTER (outcome = 'found') AS DOUBLE) AS minutes_to_detect, round((SELECT CAST(count(*) AS DOUBLE) FROM x_outcome WHERE outcome = 'extra') / 30, 6) AS false_alarms_per_day
+ CAST(median(abs(start_us - tap_us) // {60 * N.SECOND}) FILTER (outcome = 'found') AS DOUBLE) AS minutes_to_detect, round((SELECT CAST(count(*) AS DOUBLE) FROM x_outcome WHERE outcome = 'extra') / (SELECT CAST(max(us) - min(us) AS DOUBLE) / {24 * H} FROM x_readings), 6) AS false_alarms_per_day
 FROM (SELECT m.*, CASE WHEN centi < 8000 THEN 'low' WHEN centi < 12000 THEN 'medium' ELSE 'high' END AS band FROM x_match m JOIN x_taps USING (tap_id)) GROUP BY band""")
 def _(t: Tables):
     m = settle(N.match_taps(merged(t), taps(t), 12 * H, 10))
@@ -208,7 +213,8 @@ def _(t: Tables):
     g = j.groupBy("band", "outcome", F.abs(F.col("km") - F.col("tap_km")).alias("e"), F.floor(F.abs(F.col("start_us") - F.col("tap_us")) / (60 * N.SECOND)).alias("m")).agg(F.count("*").alias("k"))
     rep = g.groupBy("band").agg(F.sum("k").alias("taps"), ratio(F.sum(F.when(F.col("outcome") == "found", F.col("k"))), F.sum("k")).alias("detection_rate"),
                                 F.expr("percentile(e, 0.9, k)").alias("error_p90_km"), F.expr("percentile(m, 0.5, k)").alias("minutes_to_detect"))
-    return rep.withColumns(literals(m.filter("outcome = 'extra'").agg((F.round(F.count("*") / 30, 6)).alias("false_alarms_per_day"))))
+    days = literals(D.readings(t).agg(((F.max("us") - F.min("us")) / (24 * H)).alias("days")))["days"]
+    return rep.withColumns(literals(m.filter("outcome = 'extra'").agg((F.round(F.count("*") / days, 6)).alias("false_alarms_per_day"))))
 
 
 @query("t02_stolen_volume", """

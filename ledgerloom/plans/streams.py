@@ -8,12 +8,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import sensors as N
-from ..session import literals
 from ..sources import domain as D
 from ..sources.tables import SCHEMAS, Tables
-from ..streaming import jobs as J
+from ..streaming import jobs as J, keyed as S
 from . import fraud, hub, office, sensors
-from .registry import query
+from .registry import cte, query
 
 H = N.HOUR
 
@@ -63,28 +62,53 @@ def _(t: Tables):
     return J.apply_with_log(both, "event_id", ["attempt"], J.work_folder(t.spark, "log"))[1]
 
 
-@query("t05_late_readings", "SELECT CAST(count(*) AS BIGINT) AS accepted, CAST(0 AS BIGINT) AS late FROM events")
+cte("x_fed", f"""
+SELECT *, us + CASE WHEN reading_id % 10 = 7 THEN (1 + reading_id % 6) * {H} ELSE 0 END AS arrival FROM x_readings""")
+cte("x_late", f"""
+SELECT tag, reading_id, us, coalesce(mark, us) AS mark_us, CASE WHEN us < mark - {3 * H} THEN 'late' END AS reason FROM (
+ SELECT *, max(us) OVER (PARTITION BY tag ORDER BY arrival, reading_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM x_fed)""")
+
+
+def scrambled(t: Tables):
+    """The readings as they arrive: one in ten is one to six hours behind; five batches."""
+    late = F.when(F.col("reading_id") % 10 == 7, (1 + F.col("reading_id") % 6) * H).otherwise(0)
+    r = D.readings(t).select("reading_id", "tag", "us").withColumn("arrival", F.col("us") + late)
+    return J.feed(r, "arrival", 5, J.work_folder(t.spark, "feed"))
+
+
+def late_rows(t: Tables):
+    return S.drain_keyed(S.lateness(scrambled(t), 3 * H), J.work_folder(t.spark, "late"))
+
+
+@query("t05_late_readings", "SELECT tag, count(*) FILTER (reason IS NULL) AS accepted, count(*) FILTER (reason = 'late') AS late FROM x_late GROUP BY tag")
+def _(t: Tables):
+    return late_rows(t).groupBy("tag").agg(F.count_if(F.col("reason").isNull()).alias("accepted"), F.count_if(F.col("reason") == "late").alias("late"))
+
+
+@query("t05b_late_rows", "SELECT * FROM x_late WHERE reason IS NOT NULL")
 def _(t: Tables):
-    # One file is one batch, so nothing can be late here; the tests feed several batches.
-    out = J.split_late(D.readings(live(t)).select("reading_id", "us"), 3 * H, J.work_folder(t.spark, "late"))
-    return out.agg(F.sum("accepted").alias("accepted"), F.sum("late").alias("late"))
+    return late_rows(t).filter("reason IS NOT NULL")
 
 
-@query("t07_silent_sources_stream", f"SELECT station, max(us) AS last_us FROM x_readings GROUP BY station HAVING max(us) < (SELECT max(us) FROM x_readings) - {12 * H}")
+@query("t07_silent_sources_stream", f"""
+SELECT source, last_us, last_us + {12 * H} AS down_us FROM (
+ SELECT station AS source, us AS last_us, lead(us) OVER (PARTITION BY station ORDER BY us, reading_id) AS after, (SELECT max(us) FROM x_readings) AS newest FROM x_readings)
+WHERE after - last_us > {12 * H} OR (after IS NULL AND last_us + {12 * H} <= newest - {H})""")
 def _(t: Tables):
-    seen = J.last_seen(D.readings(live(t)).select("station", "us"), "station", J.work_folder(t.spark, "seen"))
-    now = literals(seen.agg(F.max("last_us").alias("now")))["now"]
-    return seen.filter(F.col("last_us") < now - 12 * H).select("station", "last_us")
+    r = D.readings(t).select(F.col("station").cast("int").alias("source"), "ts", "us")
+    fed = J.feed(r, "us", 4, J.work_folder(t.spark, "feed")).select("source", "ts")
+    return S.drain_keyed(S.silences(fed, 12 * H, "1 hour"), J.work_folder(t.spark, "silence")).select("source", "last_us", "down_us")
 
 
 @query("t08_cusum_stream", f"""
 SELECT CAST(line AS INTEGER) AS line, slot, CAST(p - least(0, min(p) OVER (PARTITION BY line ORDER BY slot ROWS UNBOUNDED PRECEDING)) AS BIGINT) AS s FROM (
  SELECT line, slot, sum(inflow - outflow - 1000) OVER (PARTITION BY line ORDER BY slot ROWS UNBOUNDED PRECEDING) AS p FROM x_hours WHERE slot + {H} <= (SELECT max(us) FROM x_readings) - {3 * H})""")
 def _(t: Tables):
-    r = J.as_event_time(D.readings(live(t)).withColumn("line", F.col("k") % 4), "3 hours")
+    fed = J.feed(D.readings(t).select("us", "ts", "k", "tag", "centi"), "us", 4, J.work_folder(t.spark, "feed"))
+    r = J.as_event_time(fed.withColumn("line", (F.col("k") % 4).cast("int")), "3 hours")
     flow = lambda tag: F.coalesce(F.sum(F.when(F.col("tag") == tag, F.col("centi"))), F.lit(0))
-    slots = r.groupBy(F.window("ts", "1 hour").alias("w"), "line").agg((flow("purchase") - flow("view")).alias("d")).select("line", F.unix_micros("w.start").alias("slot"), "d")
-    return J.cusum(slots, 1000, J.work_folder(t.spark, "cusum"))
+    slots = r.groupBy(F.window("ts", "1 hour").alias("w"), "line").agg((flow("purchase") - flow("view")).cast("bigint").alias("d")).select("line", F.unix_micros("w.start").alias("slot"), "d")
+    return S.drain_keyed(S.cusum(slots, 1000), J.work_folder(t.spark, "cusum"))
 
 
 @query("t09_operation_complaint_stream", """

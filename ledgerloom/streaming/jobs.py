@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import fraud as R, hub as H, sensors as N
-from ..session import checkpoint_dir, literals
+from ..operators import fraud as R, hub as H
+from ..session import checkpoint_dir
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -113,51 +113,14 @@ def apply_with_log(deliveries: DataFrame, key: str, order: list[str], work: str)
             stored(spark, f"{work}/duplicates", _with_batch(f"`{key}` {kd}, duplicates bigint")).groupBy(key).agg(F.sum("duplicates").alias("duplicates")))
 
 
-def split_late(readings: DataFrame, latency_us: int, work: str) -> DataFrame:
-    """(batch, accepted, late): a reading older than the high-water mark minus the latency comes too late."""
-    spark = readings.sparkSession
-
-    def handle(batch: DataFrame, n: int) -> None:
-        mark = literals(stored(spark, f"{work}/marks", _with_batch("us bigint"), n).agg(F.max("us").alias("mark")))["mark"]
-        late = F.col("us") < mark - latency_us
-        counted = batch.agg(F.count_if(~F.coalesce(late, F.lit(False))).alias("accepted"), F.count_if(F.coalesce(late, F.lit(False))).alias("late"))
-        put(counted, f"{work}/counts", n)
-        put(batch.agg(F.max("us").alias("us")), f"{work}/marks", n)
-
-    drain_batches(readings, work, handle)
-    return stored(spark, f"{work}/counts", _with_batch("accepted bigint, late bigint"))
-
-
-def last_seen(readings: DataFrame, key: str, work: str) -> DataFrame:
-    """(key, last_us) kept over the batches; a source is silent when it lags the newest reading."""
-    spark, kd = readings.sparkSession, readings.schema[key].dataType.simpleString()
-
-    def handle(batch: DataFrame, n: int) -> None:
-        put(batch.groupBy(key).agg(F.max("us").alias("last_us")), f"{work}/seen", n)
-
-    drain_batches(readings, work, handle)
-    return stored(spark, f"{work}/seen", _with_batch(f"`{key}` {kd}, last_us bigint")).groupBy(key).agg(F.max("last_us").alias("last_us"))
-
-
-def cusum(hours: DataFrame, k: int, work: str) -> DataFrame:
-    """CUSUM over finished slots (line, slot, d), carried from batch to batch.
-
-    With the sum S0 left by earlier batches the closed form of a batch is
-    S = P - min(-S0, running min of P); only S0 per line is kept.
-    """
-    spark = hours.sparkSession
-    state = _with_batch("line int, s0 bigint")
-
-    def handle(batch: DataFrame, n: int) -> None:
-        carried = stored(spark, f"{work}/state", state, n)
-        kept = carried.groupBy("line").agg(F.max_by("s0", "batch").alias("s0"))
-        now = N.OrderedScan(batch.withColumn("_x", F.col("d") - k), ["line"], ["slot"]).running({"_p": ("sum", "_x")}).running({"_m": ("min", "_p")}).result()
-        out = now.join(kept, "line", "left").withColumn("s", F.col("_p") - F.least(-F.coalesce("s0", F.lit(0)), F.col("_m"))).select("line", "slot", "s")
-        put(out, f"{work}/out", n)
-        put(spark.read.schema("line int, slot bigint, s bigint").parquet(f"{work}/out/batch={n}").groupBy("line").agg(F.max_by("s", "slot").alias("s0")), f"{work}/state", n)
-
-    drain_batches(hours, work, handle)
-    return stored(spark, f"{work}/out", _with_batch("line int, slot bigint, s bigint")).select("line", "slot", "s")
+def feed(df: DataFrame, order: str, batches: int, folder: str) -> DataFrame:
+    """``df`` as a stream of so many batches, in the order of a whole-number column: one file set after the other."""
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    for i in range(batches if low is not None else 0):
+        at = lambda k: low + (high + 1 - low) * k // batches
+        df.filter(F.col(order).between(at(i), at(i + 1) - 1)).coalesce(1).write.mode("append").parquet(folder)
+    r = df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1)
+    return r.parquet(folder)
 
 
 def score(ops: DataFrame, balances: DataFrame, p: R.Params, work: str, columns: str) -> DataFrame:

@@ -150,3 +150,23 @@ def test_conflicts_equal_the_pairs(spark):
     got = {r.meeting_id: r.overlaps for r in O.conflicts(spark.createDataFrame(m, "meeting_id long, owner int, start long, end long")).collect()}
     for i, o, s, e in m:
         assert got[i] == sum(1 for j, p, a, b in m if j != i and p == o and a < e and s < b)
+
+
+def test_meter_bias_is_learnt_from_normal_hours_only(spark):
+    """A steady bias is learnt, a tap is not, whatever the year; compared with a loop over the hours."""
+    hours = []
+    for line, bias in ((1, 700), (2, -300)):
+        for h in range(120):
+            tap = 1500 if line == 1 and 60 <= h < 90 else 0
+            hours.append((line, 3_000_000 + h, 10_000 + bias + tap + (h * 37) % 11, 10_000))
+    got = {(r.line, r.slot): r.d for r in N.balance(spark.createDataFrame(hours[::-1], "line int, slot long, inflow long, outflow long"), 100, 2000).collect()}
+    want = {}
+    for line in (1, 2):
+        learnt, s = [], 0
+        for i, (_, slot, a, b) in enumerate(h for h in hours if h[0] == line):
+            d = 0 if i < 24 else (a - b) - sum(learnt) // len(learnt)
+            s = max(0, s + d - 100)
+            learnt += [a - b] if s <= 2000 else []
+            want[line, slot] = d
+    assert got == want
+    assert all(1430 <= got[1, 3_000_000 + h] <= 1530 for h in range(62, 90)) and abs(got[2, 3_000_100]) < 20

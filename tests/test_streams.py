@@ -9,7 +9,7 @@ from ledgerloom.operators import fraud as R, sensors as N
 from ledgerloom.plans import fraud as RP
 from ledgerloom.plans.streams import OPS
 from ledgerloom.sources import domain as D
-from ledgerloom.streaming import jobs as J
+from ledgerloom.streaming import jobs as J, keyed as S
 
 
 def feed(df, folder, n, order):
@@ -30,16 +30,40 @@ def stream(spark, folder, schema):
 def test_cusum_over_batches(spark, tmp_path):
     df = spark.createDataFrame([(line, i, (i * 37 + line) % 23 - 9) for line in (1, 2) for i in range(60)], "line int, slot long, d long")
     schema = feed(df, str(tmp_path / "in"), 4, "slot")
-    got = J.cusum(stream(spark, str(tmp_path / "in"), schema), 2, J.work_folder(spark, "t"))
+    got = S.drain_keyed(S.cusum(stream(spark, str(tmp_path / "in"), schema), 2), J.work_folder(spark, "t"))
     want = N.cusum(df, ["line"], ["slot"], "d", 2).select("line", "slot", "s")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
-def test_late_readings_are_counted(spark, tmp_path):
-    df = spark.createDataFrame([(1, 1, 100), (2, 2, 200), (3, 3, 90), (4, 4, 195)], "reading_id long, n int, us long")
-    schema = feed(df, str(tmp_path / "in"), 4, "n")
-    out = J.split_late(stream(spark, str(tmp_path / "in"), schema), 50, J.work_folder(spark, "t")).agg(F.sum("accepted").alias("a"), F.sum("late").alias("l")).first()
-    assert (out.a, out.l) == (3, 1)
+READINGS = [(1, "a", 100, 1), (2, "a", 200, 2), (3, "a", 90, 3), (4, "a", 195, 4), (5, "b", 10, 5), (6, "a", 140, 6), (7, "a", 150, 7), (8, "b", 300, 8), (9, "b", 249, 9)]
+
+
+def test_late_readings_come_out_with_their_reason_also_after_a_restart(spark, tmp_path):
+    df = spark.createDataFrame(READINGS, "reading_id long, tag string, us long, arrival long")
+    want, mark = [], {}
+    for i, tag, us, _ in READINGS:
+        before = mark.get(tag, us)
+        want.append((tag, i, us, before, "late" if us < before - 50 else None))
+        mark[tag] = max(before, us)
+    folder, work = str(tmp_path / "in"), J.work_folder(spark, "t")
+    for part in (df.filter("arrival <= 5"), df.filter("arrival > 5")):  # stopped in between; the state goes on
+        part.coalesce(1).write.mode("append").parquet(folder)
+        got = S.drain_keyed(S.lateness(stream(spark, folder, df.schema), 50), work)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert [w[1] for w in want if w[4]] == [3, 6, 9]
+
+
+def test_a_silent_source_is_told_once_by_timer_or_by_its_next_reading(spark, tmp_path):
+    second = 1_000_000
+    rows = [(1, 0), (2, 1), (1, 5), (2, 40), (1, 100), (2, 41), (1, 101), (1, 130)]  # 1 is back after 95 s, 2 after 39 s and then never
+    df = spark.createDataFrame([(s, t) for s, t in rows], "source int, at long").withColumn("ts", F.timestamp_seconds("at"))
+    for n in (1, 4):
+        folder = str(tmp_path / f"in{n}")
+        fed = J.feed(df, "at", n, folder)
+        got = S.drain_keyed(S.silences(fed, 30 * second, "5 seconds"), J.work_folder(spark, "t"))
+        found = sorted((r.source, r.last_us // second, r.down_us // second) for r in got.collect())
+        assert found == [(1, 5, 35), (2, 1, 31), (2, 41, 71)]
+        assert {r.source for r in got.filter("told_by = 'timer'").collect()} >= {2}
 
 
 def test_replays_in_later_batches_are_logged(spark, tmp_path):
