@@ -65,24 +65,34 @@ def next_departure(asks: DataFrame, flights: DataFrame, keys: list[str], out: st
     return scan.result().filter("_kind = 0").drop("_kind", "_f", "_id")
 
 
-def options(asks: DataFrame, flights: DataFrame, horizon: int) -> DataFrame:
-    """Best way from where a passenger is to the final destination: direct or over one connection.
+def choices(asks: DataFrame, flights: DataFrame, horizon: int) -> DataFrame:
+    """Ways from where a passenger is to the final destination: the first direct flight, and the first over each hub.
 
-    asks (ask_id, o, z, at), flights (flight_id, o, z, dep), times in days. For
-    each hub only the first connecting flights matter, so an ask yields at most
-    one candidate per airport.
+    asks (ask_id, o, z, at), flights (flight_id, o, z, dep), times in days; gives
+    (ask_id, kind, hub, first, second, arrive) within the horizon. For each hub
+    only the first connecting flights matter, so an ask yields at most one
+    candidate per airport.
     """
     in_time = lambda c: F.col(c) <= F.col("at0") + horizon
-    asks, flights = settle(asks.withColumn("at0", F.col("at"))), settle(flights)
-    direct = next_departure(asks, flights, ["o", "z"], "f1", ["dep"]).select("ask_id", "at0", F.lit("direct").alias("kind"), F.lit(-1).alias("hub"), F.col("f1.dep").alias("arrive"))
+    nothing = F.lit(None).cast(flights.schema["flight_id"].dataType)
+    asks, flights = settle(asks.select("ask_id", "o", "z", "at", F.col("at").alias("at0"))), settle(flights)
+    fields = ["dep", "flight_id"]
+    direct = next_departure(asks, flights, ["o", "z"], "f1", fields).select(
+        "ask_id", "at0", F.lit("direct").alias("kind"), F.lit(-1).alias("hub"), F.col("f1.flight_id").alias("first"), nothing.alias("second"), F.col("f1.dep").alias("arrive"))
     pairs = flights.select("o", "z").distinct()
     hubs = asks.join(pairs.select("o", F.col("z").alias("h")), "o").filter("h <> z").join(pairs.select(F.col("o").alias("h"), "z"), ["h", "z"], "left_semi")
     first = hubs.select("ask_id", "o", F.col("h").alias("z"), "at", "at0", F.col("z").alias("final"))
-    first = settle(next_departure(first, flights, ["o", "z"], "f1", ["dep"]).filter("f1 IS NOT NULL"))
-    second = first.select("ask_id", F.col("z").alias("o"), F.col("final").alias("z"), (F.col("f1.dep") + 1).alias("at"), "at0", F.col("z").alias("hub"))
-    second = next_departure(second, flights, ["o", "z"], "f2", ["dep"]).select("ask_id", "at0", F.lit("via").alias("kind"), "hub", F.col("f2.dep").alias("arrive"))
-    both = direct.unionByName(second).filter(F.col("arrive").isNotNull() & in_time("arrive"))
-    return both.groupBy("ask_id").agg(F.min(F.struct("arrive", "kind", "hub")).alias("m"), F.count("*").alias("n_options")).select("ask_id", "n_options", "m.*")
+    first = settle(next_departure(first, flights, ["o", "z"], "f1", fields).filter("f1 IS NOT NULL"))
+    second = first.select("ask_id", F.col("z").alias("o"), F.col("final").alias("z"), (F.col("f1.dep") + 1).alias("at"), "at0", F.col("z").alias("hub"), F.col("f1.flight_id").alias("first"))
+    second = next_departure(second, flights, ["o", "z"], "f2", fields).select(
+        "ask_id", "at0", F.lit("via").alias("kind"), "hub", "first", F.col("f2.flight_id").alias("second"), F.col("f2.dep").alias("arrive"))
+    return direct.unionByName(second).filter(F.col("arrive").isNotNull() & in_time("arrive")).drop("at0")
+
+
+def options(asks: DataFrame, flights: DataFrame, horizon: int) -> DataFrame:
+    """The best of a passenger's ``choices``, and their number."""
+    best = F.min(F.struct("arrive", "kind", "hub"))
+    return choices(asks, flights, horizon).groupBy("ask_id").agg(best.alias("m"), F.count("*").alias("n_options")).select("ask_id", "n_options", "m.*")
 
 
 def allocate(asks: DataFrame, flights: DataFrame) -> DataFrame:
@@ -108,3 +118,37 @@ def allocate(asks: DataFrame, flights: DataFrame) -> DataFrame:
     first = line.filter("_kind = 1").groupBy(*keys, taken.alias("dep")).agg(F.min(F.struct("at", "_id")).alias("m"))
     got = next_departure(queue, first.select(*keys, "dep", F.col("m._id").alias("flight_id")), keys, "f", ["flight_id"])
     return got.filter("f IS NOT NULL").select("ask_id", F.col("f.flight_id").alias("flight_id"))
+
+
+def reaccommodate(asks: DataFrame, flights: DataFrame, horizon: int) -> DataFrame:
+    """(ask_id, kind, hub, first, second, arrive): seats on direct flights and on connections, all within the horizon.
+
+    Direct seats come from ``allocate``. Who has none asks for a way with seats
+    left, the n-th in the queue of a pair for the n-th best, so that few ask for
+    the same; a flight takes those who asked first, and a connection holds if both
+    legs take it. Rejected passengers ask again for what is left, until nobody has
+    a way with seats. In each round whoever asked first of all is placed, so
+    rounds end; what is given is written after each. No leg is oversold.
+    """
+    asks, flights = settle(asks.select("ask_id", "o", "z", "at")), settle(flights.select("flight_id", "o", "z", "dep", "seats"))
+    nothing = F.lit(None).cast(flights.schema["flight_id"].dataType)
+    direct = allocate(asks, flights).join(flights.select("flight_id", "dep"), "flight_id").join(asks.select("ask_id", "at"), "ask_id").filter(F.col("dep") <= F.col("at") + horizon)
+    done = settle(direct.select("ask_id", F.lit("direct").alias("kind"), F.lit(-1).alias("hub"), F.col("flight_id").alias("first"), nothing.alias("second"), F.col("dep").alias("arrive")))
+    legs = lambda df, *more: df.select(*more, "ask_id", F.explode(F.array_compact(F.array("first", "second"))).alias("flight_id"))
+    while True:
+        taken = legs(done).groupBy("flight_id").agg(F.count("*").alias("taken"))
+        left = settle(flights.join(taken, "flight_id", "left").withColumn("left", F.col("seats") - F.coalesce("taken", F.lit(0))).filter("left > 0"))
+        open_asks = asks.join(done.select("ask_id"), "ask_id", "left_anti")
+        found = settle(choices(open_asks, left.groupBy("o", "z", "dep").agg(F.min("flight_id").alias("flight_id")), horizon))
+        if found.isEmpty():
+            return done
+        who = asks.join(found.select("ask_id").distinct(), "ask_id", "left_semi")
+        queue = who.withColumn("turn", F.row_number().over(Window.partitionBy("o", "z").orderBy("at", "ask_id")) - 1).select("ask_id", "at", "turn")
+        mine = Window.partitionBy("ask_id")
+        ranked = found.withColumn("nth", F.row_number().over(mine.orderBy("arrive", "kind", "hub")) - 1).withColumn("of", F.count("*").over(mine))
+        asked = settle(ranked.join(queue, "ask_id").filter("nth = turn % of").drop("nth", "of", "turn"))
+        place = F.row_number().over(Window.partitionBy("flight_id").orderBy("at", "ask_id"))
+        held = legs(asked, "at").withColumn("place", place).join(left.select("flight_id", "left"), "flight_id").filter("place <= left")
+        both = held.groupBy("ask_id").agg(F.count("*").alias("n"))
+        got = asked.join(both, "ask_id").filter(F.col("n") == F.when(F.col("second").isNull(), 1).otherwise(2))
+        done = settle(done.unionByName(got.select(*done.columns)))

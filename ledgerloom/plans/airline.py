@@ -78,6 +78,11 @@ def _(t: Tables):
     return L.allocate(stranded(t), flights(t))
 
 
+@query("w30b_seats_on_connections")
+def _(t: Tables):
+    return L.reaccommodate(stranded(t), flights(t), HORIZON)
+
+
 cte("x_dis", """
 SELECT *, CASE WHEN attributable AND NOT long AND delay >= 60 THEN CAST(round(fare * CAST(0.075 AS DECIMAL(5,3)), 2) AS DECIMAL(12,2)) ELSE 0 END + CASE WHEN long THEN fare ELSE 0 END
   + CASE WHEN attributable AND long THEN CAST(round(fare * CAST(0.25 AS DECIMAL(5,3)), 2) AS DECIMAL(12,2)) ELSE 0 END AS owed FROM (

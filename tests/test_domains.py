@@ -170,3 +170,32 @@ def test_meter_bias_is_learnt_from_normal_hours_only(spark):
             want[line, slot] = d
     assert got == want
     assert all(1430 <= got[1, 3_000_000 + h] <= 1530 for h in range(62, 90)) and abs(got[2, 3_000_100]) < 20
+
+
+def test_seats_on_direct_flights_and_connections(spark):
+    """No leg oversold, every way feasible, nobody left for whom a way with seats remains; compared with all ways there are."""
+    import random
+    rnd = random.Random(8)
+    cities, horizon = range(5), 6
+    flights = {i: (*rnd.sample(cities, 2), rnd.randrange(12), rnd.randint(1, 2)) for i in range(60)}
+    asks = {100 + i: (*rnd.choice([(0, 1), (0, 1), (2, 3), (4, 0), (1, 3)]), rnd.randrange(8)) for i in range(45)}
+    f = spark.createDataFrame([(i, *v) for i, v in flights.items()], "flight_id long, o int, z int, dep int, seats int")
+    a = spark.createDataFrame([(i, *v) for i, v in asks.items()], "ask_id long, o int, z int, at int")
+    got = {r.ask_id: r for r in L.reaccommodate(a, f, horizon).collect()}
+    taken = {i: 0 for i in flights}
+    for i, r in got.items():
+        o, z, at = asks[i]
+        way = [flights[k] for k in (r.first, r.second) if k is not None]
+        assert way[0][0] == o and way[-1][1] == z and way[0][2] >= at and way[-1][2] == r.arrive <= at + horizon
+        assert len(way) == 1 or (way[0][1] == way[1][0] == r.hub and way[1][2] > way[0][2])
+        for k in (r.first, r.second):
+            if k is not None:
+                taken[k] += 1
+    assert all(taken[i] <= flights[i][3] for i in flights) and {r.kind for r in got.values()} == {"direct", "via"}
+    free = [flights[i] for i in flights if taken[i] < flights[i][3]]
+    for i, (o, z, at) in asks.items():
+        if i not in got:
+            in_time = [x for x in free if at <= x[2] <= at + horizon]
+            assert not any(x[0] == o and x[1] == z for x in in_time)
+            assert not any(x[0] == o and y[1] == z and x[1] == y[0] and y[2] > x[2] for x in in_time for y in in_time)
+    assert 0 < len(got) < len(asks)
