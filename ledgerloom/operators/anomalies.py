@@ -12,6 +12,8 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.money import ratio
+
 # Fixed values of the method.
 WINDOW = {"daily": 28, "business": 20, "weekly": 8}
 ANOMALY, CRITICAL, MAD_SCALE = 3.5, 6.0, 1.4826
@@ -232,6 +234,54 @@ def impact(judged: DataFrame, events: list[Event]) -> DataFrame:
     return out.withColumn("change", change)
 
 
+def lead_times(found: DataFrame, leading: tuple[str, ...], lagging: str, within: int = 28) -> DataFrame:
+    """(region, lagging, leading, lead_days): each late alert with the first early one of its region in the days before.
+
+    Alerts without an early one have no lead. Early alerts go to the weeks they
+    can matter for, so the join has an equi key in time too.
+    """
+    week = lambda c: F.floor(F.unix_date(c) / within)
+    early = found.filter(F.col("series").isin(*leading)).select("region", F.col("sent").alias("leading"))
+    early = early.withColumn("w", F.explode(F.array(week("leading"), week("leading") + 1)))
+    late = found.filter(F.col("series") == lagging).select("region", F.col("sent").alias("lagging")).distinct()
+    both = late.withColumn("w", week("lagging")).join(early, ["region", "w"])
+    first = both.filter((F.col("leading") <= F.col("lagging")) & (F.col("leading") >= F.date_sub("lagging", within))).groupBy("region", "lagging").agg(F.min("leading").alias("leading"))
+    return late.join(first, ["region", "lagging"], "left").withColumn("lead_days", F.datediff("lagging", "leading"))
+
+
+def late_cost(judged: DataFrame, events: list[Event]) -> DataFrame:
+    """Late deliveries of each event against what the judged baseline expected of as many deliveries.
+
+    (event, periods, deliveries, actual_late, expected_late, extra_late, spread):
+    expected are the deliveries of the period times one minus the usual on-time
+    share; the spread is that of the baseline (scaled MAD) over the periods, taken
+    as independent.
+    """
+    rows, out = judged.filter((F.col("series") == "on_time") & (F.col("region") == "ALL") & F.col("median").isNotNull()), None
+    usual = F.col("median") * F.col("factor")
+    actual, expected = F.sum(F.col("den") * (1 - F.col("value"))), F.sum(F.col("den") * (1 - usual))
+    for e in events:
+        part = rows.filter(touches(e)).agg(
+            F.count("*").alias("periods"), F.sum("den").alias("deliveries"), F.round(actual, 4).alias("actual_late"), F.round(expected, 4).alias("expected_late"),
+            F.round(actual - expected, 4).alias("extra_late"), F.round(F.sqrt(F.sum(F.pow(F.col("den") * MAD_SCALE * F.col("mad"), F.lit(2.0)))), 4).alias("spread"),
+        ).select(F.lit(e.name).alias("event"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def rating_change(reviews: DataFrame, events: list[Event]) -> DataFrame:
+    """(event, rating_before, rating_during) of the orders bought in an event and in as many days before it; one pass."""
+    day, aggs = F.col("purchase_date"), []
+    for i, e in enumerate(events):
+        length = (e.end - e.start).days + 1
+        during = day.between(F.lit(e.start), F.lit(e.end))
+        before = (day >= F.date_sub(F.lit(e.start), length)) & (day < F.lit(e.start))
+        aggs += [ratio(F.sum(F.when(w, F.col("score"))), F.count_if(w)).alias(f"{n}{i}") for n, w in (("b", before), ("d", during))]
+    one = reviews.agg(*aggs)
+    each = F.array(*[F.struct(F.lit(e.name).alias("event"), F.col(f"b{i}").alias("rating_before"), F.col(f"d{i}").alias("rating_during")) for i, e in enumerate(events)])
+    return one.select(F.inline(each))
+
+
 def covered_counts(intervals: DataFrame, keys: list[str], asked: DataFrame) -> DataFrame:
     """How many intervals [start, stop) of a key cover each asked day: (keys, day, n).
 

@@ -387,19 +387,37 @@ def _(t: Tables):
     return r.groupBy(phase.alias("phase")).agg(F.count("*").alias("n"), ratio(F.sum("score"), F.count("*")).alias("rating"))
 
 
-@query("w13_replay", "SELECT CAST(sent AS VARCHAR) AS sent, series, region, is_critical FROM x_alerts WHERE sent BETWEEN DATE '1997-01-01' AND DATE '1999-12-31'")
+cte("x_deliveries", """
+SELECT CASE WHEN grain = 'weekly' THEN CAST(date_trunc('week', day) AS DATE) ELSE day END AS d, CAST(sum(den) AS DOUBLE) AS den
+FROM x_sdaily JOIN x_span USING (series, region) WHERE series = 'on_time' AND region = 'ALL' GROUP BY 1""")
+cte("x_calendar", "SELECT * FROM (VALUES ('spring sale', DATE '1996-03-11', DATE '1996-03-24'), ('november sale', DATE '1997-11-17', DATE '1997-11-30'), ('carrier strike', DATE '1998-05-18', DATE '1998-06-14')) e(event, a, b)")
+cte("x_rated", """
+SELECT event, round(CAST(sum(score) FILTER (purchase_date < a) AS DOUBLE) / nullif(count(*) FILTER (purchase_date < a), 0), 6) AS rating_before,
+ round(CAST(sum(score) FILTER (purchase_date >= a) AS DOUBLE) / nullif(count(*) FILTER (purchase_date >= a), 0), 6) AS rating_during
+FROM x_calendar LEFT JOIN x_vreviews ON purchase_date BETWEEN a - CAST(b - a + 1 AS INTEGER) AND b GROUP BY event""")
+
+
+@query("w12c_event_cost", """
+SELECT e.event, count(z.d) AS periods, sum(den) AS deliveries, round(sum(den * (1 - value)), 4) AS actual_late, round(sum(den * (1 - z.med * factor)), 4) AS expected_late,
+ round(sum(den * (1 - value)) - sum(den * (1 - z.med * factor)), 4) AS extra_late, round(sqrt(sum((den * 1.4826::DOUBLE * md) ** 2)), 4) AS spread, any_value(rating_before) AS rating_before, any_value(rating_during) AS rating_during
+FROM x_calendar e JOIN x_rated USING (event) LEFT JOIN (SELECT z.*, y.den, q.md FROM x_z z JOIN x_deliveries y ON y.d = z.d JOIN x_base q ON q.series = z.series AND q.region = z.region AND q.d = z.d WHERE z.series = 'on_time' AND z.region = 'ALL' AND z.med IS NOT NULL) z
+ ON z.d <= e.b AND z.dl >= e.a GROUP BY e.event""")
 def _(t: Tables):
-    return A.alerts(judged(t)).filter(F.col("sent").between(F.lit(date(1997, 1, 1)), F.lit(date(1999, 12, 31)))).select(
-        F.col("sent").cast("string").alias("sent"), "series", "region", "is_critical")
+    return A.late_cost(judged(t), EVENTS).join(A.rating_change(D.v_reviews(t, ()), EVENTS), "event")
+
+
+@query("w13_replay", "SELECT CAST(sent AS VARCHAR) AS sent, series, region, is_critical FROM x_alerts")
+def _(t: Tables):
+    return A.alerts(judged(t)).select(F.col("sent").cast("string").alias("sent"), "series", "region", "is_critical")
 
 
 @query("w13b_lead_time", """
-SELECT region, CAST(min(sent) FILTER (series IN ('pickups', 'late_dispatch')) AS VARCHAR) AS leading, CAST(min(sent) FILTER (series = 'on_time') AS VARCHAR) AS lagging,
- CAST(min(sent) FILTER (series = 'on_time') - min(sent) FILTER (series IN ('pickups', 'late_dispatch')) AS DOUBLE) AS lead_days FROM x_alerts GROUP BY region""")
+SELECT g.region, CAST(g.sent AS VARCHAR) AS lagging, CAST(min(l.sent) AS VARCHAR) AS leading, CAST(g.sent - min(l.sent) AS INTEGER) AS lead_days
+FROM x_alerts g LEFT JOIN x_alerts l ON l.region = g.region AND l.series IN ('pickups', 'late_dispatch') AND l.sent BETWEEN g.sent - 28 AND g.sent
+WHERE g.series = 'on_time' GROUP BY g.region, g.sent""")
 def _(t: Tables):
-    lead = F.min(F.when(F.col("series").isin("pickups", "late_dispatch"), F.col("sent")))
-    lag = F.min(F.when(F.col("series") == "on_time", F.col("sent")))
-    return A.alerts(judged(t)).groupBy("region").agg(lead.cast("string").alias("leading"), lag.cast("string").alias("lagging"), dbl(F.datediff(lag, lead)).alias("lead_days"))
+    return A.lead_times(settle(A.alerts(judged(t))), ("pickups", "late_dispatch"), "on_time").select(
+        "region", F.col("lagging").cast("string").alias("lagging"), F.col("leading").cast("string").alias("leading"), "lead_days")
 
 
 @query("w14_alert_rate", """

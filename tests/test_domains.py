@@ -199,3 +199,19 @@ def test_seats_on_direct_flights_and_connections(spark):
             assert not any(x[0] == o and x[1] == z for x in in_time)
             assert not any(x[0] == o and y[1] == z and x[1] == y[0] and y[2] > x[2] for x in in_time for y in in_time)
     assert 0 < len(got) < len(asks)
+
+
+def test_extra_late_deliveries_of_an_event(spark):
+    from datetime import date
+
+    from ledgerloom.operators import anomalies as A
+    e = [A.Event("storm", "unplanned", date(2030, 5, 10), date(2030, 5, 12)), A.Event("nothing", "planned", date(2031, 1, 1), date(2031, 1, 2))]
+    rows = [("on_time", "ALL", "daily", date(2030, 5, d), 90.0 - 10 * (d in (10, 11)), 100.0, 0.9 - 0.1 * (d in (10, 11)), 0.9, 0.01, 1.0) for d in range(8, 15)]
+    df = spark.createDataFrame(rows, "series string, region string, grain string, d date, num double, den double, value double, median double, mad double, factor double")
+    df = df.withColumn("d_last", F.col("d"))
+    got = {r.event: r for r in A.late_cost(df, e).collect()}
+    assert (got["storm"].periods, got["storm"].deliveries, got["storm"].actual_late, got["storm"].expected_late, got["storm"].extra_late) == (3, 300.0, 50.0, 30.0, 20.0)
+    assert got["storm"].spread == round(math.sqrt(3) * 1.4826, 4) and got["nothing"].periods == 0 and got["nothing"].extra_late is None
+    reviews = spark.createDataFrame([(date(2030, 5, 6), 1), (date(2030, 5, 7), 5), (date(2030, 5, 9), 4), (date(2030, 5, 12), 2), (date(2030, 5, 13), 5)], "purchase_date date, score int")
+    rated = {r.event: (r.rating_before, r.rating_during) for r in A.rating_change(reviews, e).collect()}
+    assert rated == {"storm": (4.5, 2.0), "nothing": (None, None)}
