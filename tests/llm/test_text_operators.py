@@ -576,6 +576,65 @@ def test_attributes_are_told_by_their_whole_names():
         assert markup.main_text(f"<article><p>One.</p><{tag}>Two.</{tag.split()[0]}></article>") == "One.", tag
 
 
+WORDS = "many words stand in this paragraph " * 3
+
+
+def test_names_leave_out_whole_words_only():
+    body = f"<h1>Head</h1><p>{WORDS}</p><p>{WORDS}</p><p>End.</p>"
+    want = "\n".join(["Head", WORDS.strip(), WORDS.strip(), "End."])
+    rest = "<div class='site-footer'>Imprint of us.</div>"
+    for tag in ('div id="legal-analysis"', 'div class="related-work"', 'div class="content-search-tips"', 'div class="subscription-economics"',
+                'div id="share-price"', 'div class="banner"', "form id=f", 'section class="article-header"'):
+        for inner in (body, f"<article>{body}</article>"):
+            assert markup.main_text(f"<nav><a href=x>Home</a></nav><{tag}>{inner}</{tag.split()[0]}>{rest}") == want, tag
+    for inner, left in (('<h1 class="article-header">A</h1><p>B.</p>', "A\nB."), ('<p class="navy">A.</p><p>B.</p>', "A.\nB."),
+                        ('<p>A <span class="navy">b</span> c.</p>', "A b c."), ('<p>A <span class="ad">b</span> c.</p>', "A c."),
+                        ("<p>A <button>b</button> c.</p>", "A c."), ("<b><div class=ad>x</b><p>A.</p>", "A.")):
+        assert markup.main_text(f"<article>{inner}</article>") == left, inner
+    for name in ("comments", "comment-list", "related-posts", "ad-300x250", "cookie-consent-banner", "site-nav", "sidebar__inner", "disqus_thread"):
+        beside = f"<section class='{name}'><h2>x</h2><article class=comment><p>{WORDS}</p></article></section>"
+        assert markup.main_text(f"<div class=header><h1>Site</h1>Tag</div><div>{body}</div>{beside}") == want, name
+
+
+def by_hand(text, length, title, gaps, window, surge):
+    """Surge and dive line by line, each sum taken anew, for stretches that end in a full stop."""
+    total = lambda i, end: sum(length[j] for j in range(i, min(i + window, end)))
+    keep, inside, ends = set(), False, [*sorted(gaps), len(text)]
+    for i in range(len(text)):
+        end = min(e for e in ends if e > i)
+        if i in gaps:
+            inside = inside and 2 * sum(length[i:end]) >= sum(len(x) for x in text[i:end])
+        if inside and total(i, end) == 0:
+            inside = False
+        elif not inside and 2 * length[i] > len(text[i]) and total(i, end) >= surge:
+            inside = True
+            start = max([g for g in gaps if g <= i], default=0)
+            heads = [j for j in range(max(start, i - window), i) if title[j] and not any(k in keep for k in range(j, i))]
+            keep.update(range(min(heads, default=i), i))
+        if inside:
+            keep.add(i)
+    return [text[i] for i in sorted(keep)]
+
+
+def test_surge_and_dive_by_hand():
+    rng = random.Random(5)
+    seen = set()
+    for _ in range(3000):
+        n = rng.randint(1, 14)
+        lines = markup.Lines()
+        lines.text = [f"{i}" + "x" * rng.choice((1, 8, 30, 90)) + "." for i in range(n)]
+        lines.length = [rng.choice((0, 0, len(t) // 3, len(t), len(t))) for t in lines.text]
+        lines.title = [rng.random() < 0.2 for _ in range(n)]
+        lines.main = [False] * n
+        lines.gaps = {i for i in range(n) if rng.random() < 0.15}
+        if all(sum(lines.length[i : i + 3]) < 80 for i in range(n)):
+            continue
+        got = markup.between(lines, lines.length)
+        assert got == by_hand(lines.text, lines.length, lines.title, lines.gaps, 3, 80), (lines.text, lines.length, lines.title, lines.gaps)
+        seen.add(len(got) - n)
+    assert len(seen) > 8
+
+
 def test_main_text_goes_on_behind_what_is_left_out():
     words = "many words stand in this paragraph " * 3
     ad = "<div><div class=ad>Buy now</div></div>"
@@ -595,9 +654,14 @@ def test_main_text_of_the_given_pages(spark):
         blocks = re.split(r"</?(?:p|h1|div|ul|li)\b[^>]*>", article)
         plain = (" ".join(html.unescape(re.sub(r"</?b>", "", b).replace("<br>", " ")).split()) for b in blocks)
         assert r.text == "\n".join(b for b in plain if b) and r.n_chars == len(r.text)
+        lines = markup.lines_of(r.html)
+        assert r.text == "\n".join(markup.between(lines, lines.length))  # surge and dive alone, article counting nothing
 
 
 def test_main_text_defined_cases(spark):
     pages = spark.createDataFrame([(1, "u", None), (None, None, PAGE), (1, "u", "<p>" * 20_000)], "page_id bigint, url string, html string")
     assert [r.n_chars for r in markup.extract(pages).collect()] == [0, len(markup.main_text(PAGE)), 0]
     assert markup.main_text("<p>" * 30_000 + "</div>" * 30_000) == ""
+    assert markup.extract(pages.limit(0)).count() == 0
+    clash = pages.selectExpr("*", "'x' AS text", "7 AS n_chars", "'y' AS docs")
+    assert sorted(map(str, markup.extract(clash).collect())) == sorted(map(str, markup.extract(pages).collect()))
