@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.money import dbl, ratio
@@ -12,6 +13,7 @@ from .ordered import OrderedScan
 DISCOUNT, INDEMNITY, PAY_DAYS = 0.075, 0.25, 10
 FOOD_MIN, REFUND_MIN, HOTEL_MIN = 60, 240, 480
 MIN_CONNECTION = 45  # minutes
+TURN = 1  # days from a departure to the next one of the same aircraft
 
 CAUSES = {"1-URGENT": ("engine recall", True), "2-HIGH": ("crew", True), "3-MEDIUM": ("weather", False),
           "4-NOT SPECIFIED": ("airspace", False), "5-LOW": ("maintenance", True)}
@@ -152,3 +154,56 @@ def reaccommodate(asks: DataFrame, flights: DataFrame, horizon: int) -> DataFram
         both = held.groupBy("ask_id").agg(F.count("*").alias("n"))
         got = asked.join(both, "ask_id").filter(F.col("n") == F.when(F.col("second").isNull(), 1).otherwise(2))
         done = settle(done.unionByName(got.select(*done.columns)))
+
+
+def rotations(legs: DataFrame, capacity: int) -> DataFrame:
+    """(period, tail, recovered, flights): of each grounded aircraft the chain of legs that recovers most passengers.
+
+    legs (period, tail, flight_id, o, z, dep, booked). One spare flies a chain:
+    each leg leaves from where the last one landed, ``TURN`` after it left at the
+    earliest, and takes as many of its booked passengers as the spare has seats.
+    Legs go by in order of departure; per airport only the best chain that has
+    landed there is kept. Of equal chains the one that ends first (then the
+    smaller flight) stays. What one call holds is the legs of one aircraft in one
+    period, which a timetable bounds.
+    """
+    def best(pdf):
+        pdf = pdf.sort_values(["dep", "flight_id"])
+        landed: dict[int, tuple[int, tuple]] = {}  # airport: (recovered, chain)
+        flying: list[tuple[int, int, int, tuple]] = []  # (ready, airport, recovered, chain), in order
+        top, at = (-1, ()), 0
+        for f, o, z, dep, booked in zip(pdf["flight_id"], pdf["o"], pdf["z"], pdf["dep"], pdf["booked"]):
+            while at < len(flying) and flying[at][0] <= dep:
+                _, place, got, chain = flying[at]
+                if place not in landed or got > landed[place][0]:
+                    landed[place] = got, chain
+                at += 1
+            got, chain = landed.get(o, (0, ()))
+            got, chain = got + min(int(booked), capacity), (f, chain)
+            flying.append((dep + TURN, z, got, chain))
+            if got > top[0]:
+                top = got, chain
+        flights, chain = [], top[1]
+        while chain:
+            flights.append(int(chain[0]))
+            chain = chain[1]
+        return pd.DataFrame({"period": pdf["period"].iloc[:1].values, "tail": pdf["tail"].iloc[:1].values, "recovered": [top[0]], "flights": [flights[::-1]]})
+
+    kinds = {f.name: f.dataType.simpleString() for f in legs.schema}
+    schema = f"period {kinds['period']}, tail {kinds['tail']}, recovered bigint, flights array<bigint>"
+    return legs.select("period", "tail", "flight_id", "o", "z", "dep", "booked").groupBy("period", "tail").applyInPandas(best, schema)
+
+
+def assigned(found: DataFrame, spares: int) -> DataFrame:
+    """The rotations that ``spares`` aircraft fly in each period: the best ones, each of another grounded aircraft; with their rank."""
+    w = Window.partitionBy("period").orderBy(F.desc("recovered"), "tail")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= spares)
+
+
+def cost_of_spares(legs: DataFrame, found: DataFrame, spares: list[int], per_passenger: int) -> DataFrame:
+    """(period, spares, stranded, recovered, cost): what is left to pay in each period with so many spare aircraft."""
+    top = assigned(found, max(spares)).groupBy("period").agg(*[F.sum(F.when(F.col("rank") <= k, F.col("recovered"))).alias(f"_{k}") for k in spares])
+    all_of = legs.groupBy("period").agg(F.sum("booked").cast("bigint").alias("stranded")).join(top, "period")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("spares"), F.col(f"_{k}").alias("recovered")) for k in spares]))
+    return all_of.select("period", "stranded", each.alias("e")).select(
+        "period", "e.spares", "stranded", "e.recovered", ((F.col("stranded") - F.col("e.recovered")) * per_passenger).alias("cost"))

@@ -55,6 +55,14 @@ def first_seen(df: DataFrame, col: str, out: str) -> DataFrame:
     return df.join(first, ["customer", col]).withColumn(out, F.col("_f.op_id") == F.col("op_id")).drop("_f")
 
 
+def too_fast(other: str, p: Params) -> Column:
+    """Is the place of an operation too far from that of ``other`` (us, city) for the time between them?"""
+    lat1, lon1 = place(F.col("city"))
+    lat2, lon2 = place(F.col(f"{other}.city"))
+    hours = F.abs(F.col("us") - F.col(f"{other}.us")) / HOUR
+    return F.coalesce(great_circle_km(lat1, lon1, lat2, lon2) > hours * p.speed_kmh, F.lit(False))
+
+
 def travel(ops: DataFrame, p: Params, hot_rows: int | None = None) -> DataFrame:
     """Adds ``impossible``: too far from the card-present operation before or after it. Both sides are flagged."""
     here = F.when(F.col("card_present"), F.struct("us", "city"))
@@ -63,15 +71,9 @@ def travel(ops: DataFrame, p: Params, hot_rows: int | None = None) -> DataFrame:
                   "_nights": ("sum", is_night(p).cast("int")), "_foreign": ("sum", (F.col("ip_country") != p.home_country).cast("int"))}, inclusive=False)
     scan.running({"_a": ("last", here)}, reverse=True, inclusive=False)
 
-    def too_fast(o: str) -> Column:
-        lat1, lon1 = place(F.col("city"))
-        lat2, lon2 = place(F.col(f"{o}.city"))
-        hours = F.abs(F.col("us") - F.col(f"{o}.us")) / HOUR
-        return F.coalesce(great_circle_km(lat1, lon1, lat2, lon2) > hours * p.speed_kmh, F.lit(False))
-
     out = scan.result()
     return (
-        out.withColumn("impossible", F.col("card_present") & (too_fast("_b") | too_fast("_a")))
+        out.withColumn("impossible", F.col("card_present") & (too_fast("_b", p) | too_fast("_a", p)))
         .withColumn("n_before", F.coalesce("_n", F.lit(0)))
         .withColumn("nights_before", F.coalesce("_nights", F.lit(0)))
         .withColumn("foreign_before", F.coalesce("_foreign", F.lit(0)))

@@ -152,3 +152,37 @@ def _(t: Tables):
     k = top.withColumns(literals(total)).withColumn("spares", F.explode(F.array(F.lit(2), F.lit(3), F.lit(4))))
     got = F.aggregate(F.slice("top", F.lit(1), F.col("spares")), F.lit(0).cast("bigint"), lambda a, x: a - x["col1"])
     return k.select("spares", got.alias("recovered"), ((F.col("total") - got) * 1778).alias("cost"))
+
+
+SPARE_SEATS, LOSS = 90, 1778
+cte("x_grounded", """
+SELECT CAST(year(purchase_date) AS INTEGER) AS period, customer_id // 10 AS tail, order_id AS flight_id, customer_id % 25 AS o, order_id % 25 AS z, CAST(purchase_date - DATE '1995-01-01' AS INTEGER) AS dep, booked
+FROM x_orders JOIN (SELECT order_id, CAST(sum(line_seq * 20) AS BIGINT) AS booked FROM x_staged GROUP BY order_id) USING (order_id) WHERE customer_id // 10 % 4 = 0""")
+cte("x_chains", f"""
+SELECT period, tail, max(got) AS recovered FROM (
+ WITH RECURSIVE c AS (SELECT period, tail, z, dep, least(booked, {SPARE_SEATS}) AS got FROM x_grounded
+  UNION ALL SELECT g.period, g.tail, g.z, g.dep, c.got + least(g.booked, {SPARE_SEATS}) FROM c JOIN x_grounded g ON g.period = c.period AND g.tail = c.tail AND g.o = c.z AND g.dep >= c.dep + 1)
+ SELECT * FROM c) GROUP BY period, tail""")
+cte("x_ranked", "SELECT *, row_number() OVER (PARTITION BY period ORDER BY recovered DESC, tail) AS rk FROM x_chains")
+
+
+def grounded(t: Tables):
+    """Legs of the aircraft on the ground, a year each: ten customers are one aircraft, every fourth aircraft stands."""
+    booked = D.staged_lines(t).groupBy("order_id").agg(F.sum(F.col("line_seq") * 20).cast("bigint").alias("booked"))
+    o = D.orders(t).withColumn("tail", F.floor(F.col("customer_id") / 10)).filter("tail % 4 = 0")
+    return o.join(booked, "order_id").select(
+        F.year("purchase_date").alias("period"), "tail", F.col("order_id").alias("flight_id"), (F.col("customer_id") % 25).alias("o"),
+        (F.col("order_id") % 25).alias("z"), day_no("purchase_date").alias("dep"), "booked")
+
+
+@query("l04b_rotations", "SELECT period, tail, CAST(rk AS INTEGER) AS rank, CAST(recovered AS BIGINT) AS recovered FROM x_ranked WHERE rk <= 4")
+def _(t: Tables):
+    return L.assigned(L.rotations(grounded(t), SPARE_SEATS), 4).select("period", "tail", "rank", "recovered")
+
+
+@query("l04c_cost_of_spares", f"""
+SELECT period, k AS spares, any_value(stranded) AS stranded, CAST(sum(recovered) AS BIGINT) AS recovered, CAST((any_value(stranded) - sum(recovered)) * {LOSS} AS BIGINT) AS cost
+FROM x_ranked JOIN (SELECT period, CAST(sum(booked) AS BIGINT) AS stranded FROM x_grounded GROUP BY period) USING (period), (VALUES (2), (3), (4)) s(k) WHERE rk <= k GROUP BY period, k""")
+def _(t: Tables):
+    legs = settle(grounded(t))
+    return L.cost_of_spares(legs, L.rotations(legs, SPARE_SEATS), [2, 3, 4], LOSS)

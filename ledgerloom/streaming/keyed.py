@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators import fraud as R
 from .jobs import drain
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -134,3 +136,75 @@ def silences(readings: DataFrame, limit_us: int, delay: str) -> DataFrame:
     timed = timed.withColumn("us", F.unix_micros("ts"))
     return timed.groupBy("source").transformWithStateInPandas(
         Silence(limit_us), "source int, last_us bigint, down_us bigint, told_by string", "Append", "EventTime")
+
+
+class History(StatefulProcessor):
+    """Keeps what the fraud rules ask of a customer: counts, the last place, what was seen, and the operations of 30 days.
+
+    Only the last is more than a handful of numbers; it is cut at 30 days before
+    the newest operation, so the state does not grow with the stream.
+    """
+
+    SEEN = ("city", "device", "beneficiary")
+    LONG, SHORT = 30 * R.DAY, R.DAY
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState(
+            "kept", "n bigint, nights bigint, foreign bigint, b_us bigint, b_city int, us array<bigint>, amount array<bigint>, small array<int>, "
+            "city array<int>, device array<int>, beneficiary array<int>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        r = rows_of(rows, ["us", "op_id"]).reset_index(drop=True)
+        n, nights, foreign, b_us, b_city, us, amount, small, *seen = self.kept.get() if self.kept.exists() else (0, 0, 0, None, None, [], [], [], [], [], [])
+        out = r.drop(columns=["night", "foreign", "small"])
+        out["n_before"] = n + np.arange(len(r))
+        out["nights_before"] = nights + r["night"].cumsum() - r["night"]
+        out["foreign_before"] = foreign + r["foreign"].cumsum() - r["foreign"]
+
+        at = np.concatenate([np.array(us, "int64"), r["us"].to_numpy("int64")])
+        turn = np.argsort(at, kind="stable")
+        at = at[turn]
+        spent, tiny = (np.concatenate([[0], np.cumsum(np.concatenate([np.array(old, "int64"), new.to_numpy("int64")])[turn])])
+                       for old, new in ((amount, r["amount"]), (small, r["small"])))
+        now = r["us"].to_numpy("int64")
+        here, past, day, month = (np.searchsorted(at, t, side) for t, side in ((now, "right"), (now, "left"), (now - self.SHORT, "left"), (now - self.LONG, "left")))
+        out["small_24h"], out["spend_24h"], out["spend_30d"] = tiny[past] - tiny[day], spent[here] - spent[day], spent[past] - spent[month]
+
+        for name, old in zip(self.SEEN, seen):
+            out[f"new_{name}"] = ~r[name].isin(old) & ~r[name].duplicated()
+            old[:] = sorted({*old, *r[name].tolist()})
+        before = []
+        for t, city, present in zip(r["us"].tolist(), r["city"].tolist(), r["card_present"].tolist()):
+            before.append((b_us, b_city))
+            if present:
+                b_us, b_city = t, city
+        out["b_us"], out["b_city"] = (pd.Series(list(x), dtype="Int64") for x in zip(*before))
+
+        keep = int(np.searchsorted(at, at[-1] - self.LONG, "left"))
+        spent, tiny = np.diff(spent)[keep:].tolist(), np.diff(tiny)[keep:].tolist()
+        self.kept.update((n + len(r), nights + int(r["night"].sum()), foreign + int(r["foreign"].sum()), b_us, b_city, at[keep:].tolist(), spent, tiny, *seen))
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def score(ops: DataFrame, balances: DataFrame, p: R.Params) -> DataFrame:
+    """(op_id, score, reasons) of each operation as it happens, by the rules of the batch job.
+
+    A batch reads the state of its customers, nothing else of the past. What
+    comes later cannot be known, so "impossible travel" looks back only. Batches
+    follow each other in time, and operations of one moment come in one batch.
+    """
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    passed = ["op_id", "us", "amount", "city", "device", "beneficiary", "category", "ip_country", "card_present", "channel"]
+    kinds = {f.name: f.dataType.simpleString() for f in ops.schema}
+    rows = ops.select("customer", *passed, flag(R.is_night(p)).alias("night"), flag(F.col("ip_country") != p.home_country).alias("foreign"),
+                      flag((F.col("channel") == "online") & (F.col("amount") <= p.small)).alias("small"))
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ["customer", *passed])
+    schema += (", n_before bigint, nights_before bigint, foreign_before bigint, small_24h bigint, spend_24h bigint, spend_30d bigint, "
+               "new_city boolean, new_device boolean, new_beneficiary boolean, b_us bigint, b_city int")
+    feats = rows.groupBy("customer").transformWithStateInPandas(History(), schema, "Append", "None")
+    feats = feats.withColumn("ts", F.timestamp_micros("us")).withColumn("b", F.struct(F.col("b_us").alias("us"), F.col("b_city").alias("city")))
+    feats = feats.withColumn("impossible", F.col("card_present") & R.too_fast("b", p)).join(balances, "customer", "left")
+    return R.score(feats, p).select("op_id", "score", F.concat_ws("; ", "reasons").alias("reasons"))

@@ -1,6 +1,7 @@
 """Sensors, fraud, hub, airline and office on planted stories."""
 
 import math
+import random
 from datetime import datetime, timedelta
 from decimal import Decimal
 
@@ -215,3 +216,32 @@ def test_extra_late_deliveries_of_an_event(spark):
     reviews = spark.createDataFrame([(date(2030, 5, 6), 1), (date(2030, 5, 7), 5), (date(2030, 5, 9), 4), (date(2030, 5, 12), 2), (date(2030, 5, 13), 5)], "purchase_date date, score int")
     rated = {r.event: (r.rating_before, r.rating_during) for r in A.rating_change(reviews, e).collect()}
     assert rated == {"storm": (4.5, 2.0), "nothing": (None, None)}
+
+
+def test_rotations_are_the_best_feasible_chains(spark):
+    rng = random.Random(3)
+    legs = [(1 + i % 2, rng.randrange(6), i, rng.randrange(4), rng.randrange(4), rng.randrange(20), rng.choice((0, 30, 60, 200))) for i in range(90)]
+    df = spark.createDataFrame(legs, "period int, tail int, flight_id long, o int, z int, dep int, booked long")
+    by_id = {x[2]: x for x in legs}
+
+    def best(mine):
+        top = {}
+        for x in sorted(mine, key=lambda x: (x[5], x[2])):
+            top[x[2]] = min(x[6], 100) + max([top[y[2]] for y in mine if y[2] in top and y[4] == x[3] and y[5] + L.TURN <= x[5]], default=0)
+        return max(top.values())
+
+    found = L.rotations(df, 100)
+    rows = found.collect()
+    assert {(r.period, r.tail): r.recovered for r in rows} == {k: best([x for x in legs if x[:2] == k]) for k in {x[:2] for x in legs}}
+    for r in rows:
+        chain = [by_id[f] for f in r.flights]
+        assert all(x[:2] == (r.period, r.tail) for x in chain) and sum(min(x[6], 100) for x in chain) == r.recovered
+        assert all(a[4] == b[3] and a[5] + L.TURN <= b[5] for a, b in zip(chain, chain[1:]))
+    assert max(len(r.flights) for r in rows) > 3
+    cost = {(r.period, r.spares): r for r in L.cost_of_spares(df, found, [2, 3, 4], 10).collect()}
+    for p in (1, 2):
+        got = sorted((r.recovered for r in rows if r.period == p), reverse=True)
+        assert [cost[p, k].recovered for k in (2, 3, 4)] == [sum(got[:k]) for k in (2, 3, 4)]
+        assert cost[p, 2].cost > cost[p, 3].cost > cost[p, 4].cost
+        assert cost[p, 2].cost == 10 * (sum(x[6] for x in legs if x[0] == p) - sum(got[:2]))
+    assert L.rotations(df.limit(0), 100).count() == 0
