@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators import hub as H
 from ..session import checkpoint_dir
@@ -31,10 +31,10 @@ def drain(stream: DataFrame, work: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{work}/out")
 
 
-def drain_batches(stream: DataFrame, work: str, handle: Callable[[DataFrame, int], None]) -> None:
+def drain_batches(stream: DataFrame, work: str, handle: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Run a stream batch by batch. ``handle`` may be called again for a batch, so it writes by batch id."""
     q = (
-        stream.writeStream.foreachBatch(handle).outputMode("append").option("checkpointLocation", f"{work}/progress")
+        stream.writeStream.foreachBatch(handle).outputMode(mode).option("checkpointLocation", f"{work}/progress")
         .trigger(availableNow=True).start())
     q.awaitTermination()
 
@@ -96,21 +96,23 @@ def later_match(left: DataFrame, right: DataFrame, within: str, delay: str) -> D
 
 # ------------------------------------------------------------------ jobs with kept state
 def apply_with_log(deliveries: DataFrame, key: str, order: list[str], work: str) -> tuple[DataFrame, DataFrame]:
-    """(applied, duplicates): like ``apply_once``, and every replay is recorded."""
-    spark, schema = deliveries.sparkSession, deliveries.schema
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-
-    def handle(batch: DataFrame, n: int) -> None:
-        first, log = H.apply_once(batch, key, order)
-        seen = stored(spark, f"{work}/applied", _with_batch(ddl), n).select(key)
-        put(first.join(seen, key, "left_anti").select(*schema.names), f"{work}/applied", n)
-        again = first.join(seen, key, "left_semi").select(key, F.lit(1).cast("bigint").alias("duplicates"))
-        put(log.filter("duplicates > 0").unionByName(again).groupBy(key).agg(F.sum("duplicates").alias("duplicates")), f"{work}/duplicates", n)
+    """(applied, duplicates): like ``apply_once``, and every replay is recorded.
 
-    drain_batches(deliveries, work, handle)
-    kd = schema[key].dataType.simpleString()
-    return (stored(spark, f"{work}/applied", _with_batch(ddl)).drop("batch"),
-            stored(spark, f"{work}/duplicates", _with_batch(f"`{key}` {kd}, duplicates bigint")).groupBy(key).agg(F.sum("duplicates").alias("duplicates")))
+    The state store holds a row per key, so a batch asks for its own keys and
+    reads no table. All rows of a batch bear its time, so a key is new where its
+    oldest and newest times are the same. What is written is a log of the keys a
+    batch touched; a read keeps the row that was new and the largest total.
+    """
+    spark, schema = deliveries.sparkSession, deliveries.schema
+    rest = [c for c in schema.names if c != key and c not in order]
+    seen = deliveries.withColumn("_in", F.current_timestamp()).groupBy(key).agg(
+        F.min(F.struct("_in", *order, *rest)).alias("_f"), F.max("_in").alias("_last"), F.count("*").alias("_n"))
+    log = seen.select(key, *[F.col(f"_f.{c}").alias(c) for c in (*order, *rest)], (F.col("_f._in") == F.col("_last")).alias("_new"), (F.col("_n") - 1).alias("_again"))
+    drain_batches(log, work, lambda batch, n: put(batch, f"{work}/touched", n), "update")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in log.schema)
+    touched = stored(spark, f"{work}/touched", _with_batch(ddl))
+    return (touched.filter("_new").select(*schema.names),
+            touched.filter("_again > 0").groupBy(key).agg(F.max("_again").alias("duplicates")))
 
 
 def feed(df: DataFrame, order: str, batches: int, folder: str) -> DataFrame:
@@ -123,19 +125,64 @@ def feed(df: DataFrame, order: str, batches: int, folder: str) -> DataFrame:
     return r.parquet(folder)
 
 
-def sync(changes: DataFrame, key: str, version: str, work: str) -> DataFrame:
-    """Incremental sync that never duplicates: each batch leaves the newest version per key, reads keep the newest."""
-    spark = changes.sparkSession
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in changes.schema)
-    names = changes.schema.names
-    rest = [c for c in names if c not in (key, version)]
+PARTS = "bucket bigint, version int, rows bigint, was_read bigint"
+
 
-    def newest(df: DataFrame) -> DataFrame:
-        pick = df.groupBy(key).agg(F.max(F.struct(version, *rest)).alias("m"))
-        return pick.select(*[key if c == key else F.col(f"m.{c}").alias(c) for c in names])
+class Target:
+    """A table in buckets of its keys, of which a batch reads and rewrites those it touches.
+
+    ``parts`` names for each batch where each bucket is: the batch that wrote it
+    last. A batch starts from the parts of the one before, so a repeated batch
+    does what it did, and a reader sees the old parts until the new ones are
+    written. Buckets are hashes of the key by default; with ``bucket`` they may be
+    ranges, so that batches on recent keys leave the older buckets alone.
+    """
 
-    drain_batches(changes, work, lambda batch, n: put(newest(batch), f"{work}/target", n))
-    return newest(stored(spark, f"{work}/target", _with_batch(ddl)))
+    def __init__(self, spark: SparkSession, root: str, schema, key: str, version: str, bucket: Column | None = None, buckets: int = 64):
+        self.spark, self.root, self.schema, self.key, self.version = spark, root, schema, key, version
+        self.bucket = F.pmod(F.xxhash64(key), F.lit(buckets)) if bucket is None else bucket
+
+    def newest(self, df: DataFrame) -> DataFrame:
+        """The newest version per key; of equal ones the larger row, so that the order of arrival says nothing."""
+        rest = [c for c in self.schema.names if c not in (self.key, self.version)]
+        pick = df.groupBy(self.key).agg(F.max(F.struct(self.version, *rest)).alias("m"))
+        return pick.select(*[self.key if c == self.key else F.col(f"m.{c}").alias(c) for c in self.schema.names])
+
+    def parts(self, batch: int | None = None) -> DataFrame:
+        """(bucket, version, rows, was_read) as of a batch, or the last one; a row per bucket."""
+        all_parts = stored(self.spark, f"{self.root}/parts", _with_batch(PARTS))
+        at = F.lit(batch) if batch is not None else F.lit(all_parts.agg(F.max("batch")).first()[0])
+        return all_parts.filter(F.col("batch") == at).drop("batch")
+
+    def files(self, parts: list) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.root}/rows/version={p.version}/bucket={p.bucket}" for p in parts])
+
+    def upsert(self, batch: DataFrame, n: int) -> None:
+        batch = self.newest(batch).persist()
+        before = self.parts(n - 1).collect()  # a row per bucket
+        touched = {r[0] for r in batch.select(self.bucket.cast("bigint")).distinct().collect()}
+        old = [p for p in before if p.bucket in touched]
+        out = self.newest(self.files(old).unionByName(batch)).withColumn("bucket", self.bucket.cast("bigint"))
+        folder = f"{self.root}/rows/version={n}"
+        out.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+        batch.unpersist()
+        sizes = {r.bucket: r["count"] for r in self.spark.read.schema(f"`{self.key}` {self.schema[self.key].dataType.simpleString()}, bucket bigint")
+                 .parquet(folder).groupBy("bucket").count().collect()} if touched else {}
+        was = {p.bucket: p.rows for p in old}
+        now = [(b, n, k, was.get(b, 0)) for b, k in sizes.items()] + [(p.bucket, p.version, p.rows, 0) for p in before if p.bucket not in touched]
+        put(self.spark.createDataFrame(now, PARTS).coalesce(1), f"{self.root}/parts", n)
+
+    def rows(self) -> DataFrame:
+        return self.files(self.parts().collect())
+
+
+def sync(changes: DataFrame, key: str, version: str, work: str, bucket: Column | None = None) -> DataFrame:
+    """Incremental sync that never duplicates: the target holds the newest version per key, see ``Target``."""
+    target = Target(changes.sparkSession, f"{work}/target", changes.schema, key, version, bucket)
+    drain_batches(changes, work, target.upsert)
+    return target.rows()
 
 
 def route(rows: DataFrame, mapping: DataFrame, key: str, work: str) -> tuple[DataFrame, DataFrame]:

@@ -92,3 +92,32 @@ def test_stream_scores_have_the_history_of_the_customer(spark, tables, tmp_path)
         o.filter(F.floor((F.col("us") - low) * 5 / (high + 1 - low)) == i).coalesce(1).write.mode("append").parquet(folder)
         got = S.drain_keyed(S.score(stream(spark, folder, o.schema), RP.balances(tables), RP.P), work)
     assert sorted(map(tuple, got.collect())) == want and len({w[1] for w in want}) > 3
+
+
+def test_a_sync_reads_only_the_buckets_of_its_batch(spark, tmp_path):
+    """Ten batches, each of 40 new keys and new versions of 10 old ones next to them."""
+    rows = [(n * 40 + i, n, f"{n}") for n in range(10) for i in range(40)] + [(n * 40 + i - 10, n, f"again {n}") for n in range(1, 10) for i in range(10)]
+    df = spark.createDataFrame(rows, "id long, version int, v string")
+    work = J.work_folder(spark, "t")
+    fed = J.feed(df, "version", 10, str(tmp_path / "in"))
+    got = J.sync(fed, "id", "version", work, F.floor(F.col("id") / 20))
+    want = {}
+    for i, n, v in sorted(rows, key=lambda r: r[1]):
+        want[i] = (i, n, v)
+    assert sorted(map(tuple, got.collect())) == sorted(want.values())
+    target = J.Target(spark, f"{work}/target", df.schema, "id", "version", F.floor(F.col("id") / 20))
+    read = [target.parts(n).agg(F.sum("was_read")).first()[0] for n in range(10)]
+    assert read == [0] + [20] * 9  # of 360 rows at the end
+    again = df.filter("version = 9")
+    target.upsert(again, 9)  # a repeated batch
+    assert sorted(map(tuple, target.rows().collect())) == sorted(want.values())
+    hashed = J.sync(J.feed(df, "version", 3, str(tmp_path / "in3")), "id", "version", J.work_folder(spark, "t"))
+    assert sorted(map(tuple, hashed.collect())) == sorted(want.values())
+
+
+def test_the_log_of_replays_reads_no_former_batch(spark, tmp_path):
+    rows = [(i % 7, i, i) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, attempt int, n int")
+    applied, dup = J.apply_with_log(J.feed(df, "n", 6, str(tmp_path / "in")), "id", ["attempt"], J.work_folder(spark, "t"))
+    assert sorted(map(tuple, applied.collect())) == [(i, i, i) for i in range(7)]
+    assert sorted(map(tuple, dup.collect())) == [(i, sum(r[0] == i for r in rows) - 1) for i in range(7)]
