@@ -8,11 +8,12 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..functions.money import dbl
-from ..operators import anomalies as A, kpi as K, quality as Q
+from ..operators import anomalies as A, kpi as K, quality as Q, sensors as N
 from ..session import checkpoint_dir, literals, settle
 from ..sources import domain as D, files as S, sinks as W
+from ..sources.readings import confirmed_taps
 from ..sources.tables import Tables
-from . import alerts, kpis, office
+from . import alerts, kpis, office, sensors
 from .registry import cte, query
 
 
@@ -102,6 +103,17 @@ def _(t: Tables):
     return S.invoices_from_xml(invoice_xml(t)).select("order_id", "version", "folio", "uuid", "type", "currency", "total", F.col("date").cast("string").alias("date"))
 
 
+@query("s06b_invoices_in_archives", """
+SELECT CAST(order_id AS VARCHAR) AS folio, order_id % 3 > 0 AS in_archive, md5(CAST(order_id AS VARCHAR)) AS uuid, CAST(total AS DOUBLE) AS total FROM x_orders""")
+def _(t: Tables):
+    x = invoice_xml(t).withColumn("name", F.concat("order_id", F.lit(".XML")))
+    month = F.concat(F.lit("batch-"), F.floor(F.col("order_id") / 500))  # 500 ids are an archive
+    packed = S.archives(x.filter("order_id % 3 > 0").select(month.alias("archive"), "name", F.col("xml").alias("text")), "archive")
+    loose = x.filter("order_id % 3 = 0").select(F.col("name").alias("path"), F.encode("xml", "UTF-8").alias("content"))
+    inv = S.invoices_from_xml(S.unpacked(packed.unionByName(loose)))
+    return inv.select("folio", F.contains("path", F.lit(".zip!")).alias("in_archive"), "uuid", F.col("total").cast("double").alias("total"))
+
+
 @query("p16_invoice_normalised", """
 SELECT 'booked' AS side, count(*) AS n, CAST(sum(CAST(round(total * CASE WHEN order_id % 4 = 0 THEN CAST(17.5 AS DECIMAL(10,4)) ELSE CAST(1 AS DECIMAL(10,4)) END * CASE WHEN order_id % 10 = 0 THEN -1 ELSE 1 END, 2) AS DECIMAL(14,2))) AS DOUBLE) AS amount FROM x_orders WHERE order_id % 10 <> 1
 UNION ALL SELECT 'skipped', count(*), 0 FROM x_orders WHERE order_id % 10 = 1""")
@@ -118,6 +130,19 @@ def _(t: Tables):
     return S.read_flat(t.spark, path, "reading_id bigint, tag string, t_inicio bigint, centi bigint").select("reading_id", "tag", "centi")
 
 
+@query("s07b_evaluation_files", sensors.REPORT)
+def _(t: Tables):
+    """History by one clock, confirmed taps by that of the field crew, six hours behind."""
+    history, confirmed = scratch(t, "history"), scratch(t, "confirmed")
+    D.readings(t).select("reading_id", "tag", "k", F.col("us").alias("t_inicio"), "centi").write.csv(history, header=True)
+    there = F.date_format(F.timestamp_micros(F.col("us") - 6 * sensors.H), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    sensors.taps(t).select(there.alias("t_inicio"), "km", (F.col("centi") / 100).alias("caudal"), F.col("tap_id").cast("string").alias("descripcion")).write.csv(confirmed, header=True)
+    kind = dict(D.readings(t).dtypes)["k"]
+    r = S.read_flat(t.spark, history, f"reading_id bigint, tag string, k {kind}, t_inicio bigint, centi bigint").withColumnRenamed("t_inicio", "us")
+    found = confirmed_taps(t.spark, confirmed, -6).select("tap_id", "us", F.col("km").cast("int").alias("km"), F.round(F.col("caudal") * 100).cast("bigint").alias("centi"))
+    return sensors.report(N.merge(sensors.raw_incidents(r), ["zone"], 6 * sensors.H), settle(found), r)
+
+
 @query("s10_replace_table", "SELECT order_id, status FROM x_orders WHERE status = 'F'")
 def _(t: Tables):
     root = scratch(t, "replace")

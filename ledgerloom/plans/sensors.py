@@ -166,13 +166,13 @@ def _(t: Tables):
     return r.select("reading_id", F.col("a.name").alias("access"), F.col("b.name").alias("brigade"), F.round(F.col("b.distance") / 60 * 60 + 5, 4).alias("eta_min"))
 
 
-def raw_incidents(t: Tables):
-    return D.readings(t).filter("tag = 'error' AND centi > 6000").select(
+def raw_incidents(readings):
+    return readings.filter("tag = 'error' AND centi > 6000").select(
         F.col("reading_id").alias("incident_id"), "us", F.floor(F.col("k") * 12 / 10).cast("int").alias("km"), "centi").withColumn("zone", F.floor(F.col("km") / 10).cast("int"))
 
 
 def merged(t: Tables):
-    return N.merge(raw_incidents(t), ["zone"], 6 * H)
+    return N.merge(raw_incidents(D.readings(t)), ["zone"], 6 * H)
 
 
 def taps(t: Tables):
@@ -201,22 +201,30 @@ def _(t: Tables):
     return N.match_taps(merged(t), taps(t), 12 * H, 10).select(F.coalesce("tap_id", F.lit(-1)).alias("tap_id"), F.coalesce("first_id", F.lit(-1)).alias("first_id"), "outcome")
 
 
-@query("t01_detection_report", f"""
-SELECT band, count(*) AS taps, round(CAST(count(*) FILTER (outcome = 'found') AS DOUBLE) / count(*), 6) AS detection_rate, CAST(quantile_cont(abs(km - tap_km), 0.9) FILTER (outcome = 'found') AS DOUBLE) AS error_p90_km,
- CAST(median(abs(start_us - tap_us) // {60 * N.SECOND}) FILTER (outcome = 'found') AS DOUBLE) AS minutes_to_detect, round((SELECT CAST(count(*) AS DOUBLE) FROM x_outcome WHERE outcome = 'extra') / (SELECT CAST(max(us) - min(us) AS DOUBLE) / {24 * H} FROM x_readings), 6) AS false_alarms_per_day
-FROM (SELECT m.*, CASE WHEN centi < 8000 THEN 'low' WHEN centi < 12000 THEN 'medium' ELSE 'high' END AS band FROM x_match m JOIN x_taps USING (tap_id)) GROUP BY band""")
-def _(t: Tables):
-    m = settle(N.match_taps(merged(t), taps(t), 12 * H, 10))
+def report(incidents, confirmed, readings):
+    """Per size of tap: detection rate, error, minutes to detect, and the false alarms a day over the days the readings span."""
+    m = settle(N.match_taps(incidents, confirmed, 12 * H, 10))
     band = F.when(F.col("centi") < 8000, "low").when(F.col("centi") < 12000, "medium").otherwise("high")
-    j = m.filter("outcome <> 'extra'").join(taps(t).select("tap_id", band.alias("band")), "tap_id")
+    j = m.filter("outcome <> 'extra'").join(confirmed.select("tap_id", band.alias("band")), "tap_id")
     # Whole kilometres and minutes are counted, then the percentiles read the few distinct values.
     g = j.groupBy("band", "outcome", F.abs(F.col("km") - F.col("tap_km")).alias("e"), F.floor(F.abs(F.col("start_us") - F.col("tap_us")) / (60 * N.SECOND)).alias("m")).agg(F.count("*").alias("k"))
     rep = g.groupBy("band").agg(F.sum("k").alias("taps"), ratio(F.sum(F.when(F.col("outcome") == "found", F.col("k"))), F.sum("k")).alias("detection_rate"),
                                 F.expr("percentile(e, 0.9, k)").alias("error_p90_km"), F.expr("percentile(m, 0.5, k)").alias("minutes_to_detect"))
-    days = literals(D.readings(t).agg(((F.max("us") - F.min("us")) / (24 * H)).alias("days")))["days"]
+    days = literals(readings.agg(((F.max("us") - F.min("us")) / (24 * H)).alias("days")))["days"]
     return rep.withColumns(literals(m.filter("outcome = 'extra'").agg((F.round(F.count("*") / days, 6)).alias("false_alarms_per_day"))))
 
 
+REPORT = f"""
+SELECT band, count(*) AS taps, round(CAST(count(*) FILTER (outcome = 'found') AS DOUBLE) / count(*), 6) AS detection_rate, CAST(quantile_cont(abs(km - tap_km), 0.9) FILTER (outcome = 'found') AS DOUBLE) AS error_p90_km,
+ CAST(median(abs(start_us - tap_us) // {60 * N.SECOND}) FILTER (outcome = 'found') AS DOUBLE) AS minutes_to_detect, round((SELECT CAST(count(*) AS DOUBLE) FROM x_outcome WHERE outcome = 'extra') / (SELECT CAST(max(us) - min(us) AS DOUBLE) / {24 * H} FROM x_readings), 6) AS false_alarms_per_day
+FROM (SELECT m.*, CASE WHEN centi < 8000 THEN 'low' WHEN centi < 12000 THEN 'medium' ELSE 'high' END AS band FROM x_match m JOIN x_taps USING (tap_id)) GROUP BY band"""
+
+
+@query("t01_detection_report", REPORT)
+def _(t: Tables):
+    return report(merged(t), taps(t), D.readings(t))
+
+
 @query("t02_stolen_volume", """
 SELECT line, CAST(run AS BIGINT) AS run, count(*) AS hours, CAST(sum(d) AS BIGINT) AS volume, CAST(sum(d) * 24 AS BIGINT) AS money FROM (
  SELECT *, sum(CAST(s > 3000 AND NOT was AS INTEGER)) OVER (PARTITION BY line ORDER BY slot ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, coalesce(lag(s) OVER (PARTITION BY line ORDER BY slot) > 3000, false) AS was FROM x_cusum)) WHERE s > 3000 GROUP BY line, run""")

@@ -74,8 +74,11 @@ def invoices_from_xml(df: DataFrame, column: str = "xml") -> DataFrame:
 
 def xml_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, xml) of loose XML files and of XML files inside ZIP archives."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return unpacked(spark.read.format("binaryFile").load(path))
 
+
+def unpacked(files: DataFrame) -> DataFrame:
+    """(path, xml) of files (path, content): loose XML as it is, archives unpacked; other entries are passed over."""
     def unpack(batches):
         for pdf in batches:
             out = []
@@ -87,7 +90,19 @@ def xml_files(spark: SparkSession, path: str) -> DataFrame:
                     out.append((p, content.decode("utf-8")))
             yield pd.DataFrame(out, columns=["path", "xml"])
 
-    return files.mapInPandas(unpack, StructType([StructField("path", StringType()), StructField("xml", StringType())]))
+    return files.select("path", "content").mapInPandas(unpack, StructType([StructField("path", StringType()), StructField("xml", StringType())]))
+
+
+def archives(entries: DataFrame, archive: str) -> DataFrame:
+    """(path, content): the entries (``archive``, name, text) of each archive as one ZIP file, in the order of their names."""
+    def pack(pdf):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, text in sorted(zip(pdf["name"], pdf["text"])):
+                z.writestr(name, text)
+        return pd.DataFrame({"path": [f"{pdf[archive].iloc[0]}.zip"], "content": [out.getvalue()]})
+
+    return entries.select(archive, "name", "text").groupBy(archive).applyInPandas(pack, "path string, content binary")
 
 
 def normalise_invoices(inv: DataFrame) -> tuple[DataFrame, DataFrame]:

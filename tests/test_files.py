@@ -57,3 +57,20 @@ def test_findings_are_in_order_of_severity(spark, tmp_path):
     W.write_findings(df, str(tmp_path / "f"))
     lines = [x for p in sorted((tmp_path / "f").glob("part-*")) for x in p.read_text().splitlines()]
     assert [x.split('"severity":"')[1].split('"')[0] for x in lines] == ["critical", "high", "medium", "low", "odd"]
+
+
+def test_confirmed_taps_by_another_clock(spark, tmp_path):
+    from ledgerloom.sources.readings import confirmed_taps
+    (tmp_path / "full.csv").write_text("t_inicio, km,caudal,descripcion\n2024-01-01 00:00:00,47.3,18.5,valve\n2024-01-01 00:00:00,47.3,18.5,valve\nnever,1,2,x\n2024-01-02 06:00:00,,1,y\n")
+    (tmp_path / "short.csv").write_text("km,t_inicio\n3,2024-01-01 01:00:00\n")
+    first = spark.sql("SELECT unix_micros(TIMESTAMP '2024-01-01 06:00:00 UTC')").first()[0]
+    assert [tuple(r)[1:] for r in confirmed_taps(spark, str(tmp_path / "full.csv"), -6).collect()] == [(first, 47.3, 18.5, "valve")]
+    assert [tuple(r)[1:] for r in confirmed_taps(spark, str(tmp_path / "short.csv"), -5).collect()] == [(first, 3.0, None, None)]
+
+
+def test_archives_come_back_as_they_went(spark):
+    from ledgerloom.sources import files as S
+    e = spark.createDataFrame([("a", "1.xml", "<x>é</x>"), ("a", "2.XML", "<y/>"), ("a", "note.txt", "no"), ("b", "1.xml", "")], "archive string, name string, text string")
+    loose = spark.createDataFrame([("3.xml", bytearray(b"<z/>"))], "path string, content binary")
+    got = S.unpacked(S.archives(e, "archive").unionByName(loose)).collect()
+    assert sorted(map(tuple, got)) == [("3.xml", "<z/>"), ("a.zip!1.xml", "<x>é</x>"), ("a.zip!2.XML", "<y/>"), ("b.zip!1.xml", "")]
