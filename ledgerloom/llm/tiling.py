@@ -44,20 +44,38 @@ def _free(tokens: np.ndarray, width: int) -> np.ndarray:
     return bad[width:] == bad[:-width]
 
 
-def _matches(item: np.ndarray, doc: np.ndarray, width: int) -> list[tuple[int, int]]:
-    """Equal unmarked windows as (place in the item, place in the document), in that order."""
-    if width > min(len(item), len(doc)):
-        return []
-    a, b = windows(item, width), windows(doc, width)
-    ia, ib = np.flatnonzero(_free(item, width)), np.flatnonzero(_free(doc, width))
-    ib = ib[np.isin(b[ib], a[ia])]
-    order = np.argsort(b[ib], kind="stable")
-    ib, hb = ib[order], b[ib][order]
-    found = []
-    for i in ia:
-        lo, hi = np.searchsorted(hb, a[i], "left"), np.searchsorted(hb, a[i], "right")
-        found += [(int(i), int(j)) for j in ib[lo:hi] if np.array_equal(item[i : i + width], doc[j : j + width])]
-    return found
+class Sites:
+    """Unmarked windows of one width that stand in both: their places in the item, and in the document by hash."""
+
+    def __init__(self, item: np.ndarray, doc: np.ndarray, width: int):
+        self.item, self.doc, self.width = item, doc, width
+        a, b = windows(item, width), windows(doc, width)
+        ia, ib = np.flatnonzero(_free(item, width)), np.flatnonzero(_free(doc, width))
+        ib = ib[np.isin(b[ib], a[ia])]
+        ia = ia[np.isin(a[ia], b[ib])]
+        ib = ib[np.argsort(b[ib], kind="stable")]
+        self.ia, self.ib, self.hashes = ia, ib, b[ib]
+        self.low, self.high = np.searchsorted(self.hashes, a[ia], "left"), np.searchsorted(self.hashes, a[ia], "right")
+        self.open = np.ones(len(b), bool)  # windows of the document without a word marked since
+
+    def _first(self, i: int, low: int, high: int) -> int | None:
+        places = self.ib[low:high]
+        for j in places[self.open[places]]:
+            if np.array_equal(self.item[i : i + self.width], self.doc[j : j + self.width]):
+                return int(j)
+        return None
+
+    def any(self) -> bool:
+        return any(self._first(*x) is not None for x in zip(self.ia, self.low, self.high))
+
+    def mark(self) -> Iterator[tuple[int, int, int]]:
+        """Mark equal windows while any is free: in order of the item, each with the first free place in the document."""
+        width = self.width
+        for i, low, high in zip(self.ia.tolist(), self.low, self.high):
+            if (self.item[i : i + width] >= 0).all() and (j := self._first(i, low, high)) is not None:
+                self.item[i : i + width], self.doc[j : j + width] = -2, -3
+                self.open[max(j - width + 1, 0) : j + width] = False
+                yield i, j, width
 
 
 def tile(item: np.ndarray, doc: np.ndarray, least: int = MIN_TILE) -> list[tuple[int, int, int]]:
@@ -66,24 +84,23 @@ def tile(item: np.ndarray, doc: np.ndarray, least: int = MIN_TILE) -> list[tuple
 
     The longest length that still matches is found by halving, one Karp-Rabin pass a
     probe; all matches of that length are then marked in order where still free.
+    Equal windows are kept as runs of a sorted array, never as pairs, so a text that
+    says the same words over and over needs no more memory than another.
     """
     item, doc, tiles, top = item.copy(), doc.copy(), [], min(len(item), len(doc))
     item[item < 0], doc[doc < 0] = -2, -3
     while top >= least:
-        low, high, best = least, top, []
+        low, high, best = least, top, None
         while low <= high:
             mid = (low + high) // 2
-            if now := _matches(item, doc, mid):
-                low, best, width = mid + 1, now, mid
+            if (now := Sites(item, doc, mid)).any():
+                low, best = mid + 1, now
             else:
                 high = mid - 1
-        if not best:
+        if best is None:
             break
-        for i, j in best:
-            if (item[i : i + width] >= 0).all() and (doc[j : j + width] >= 0).all():
-                tiles.append((i, j, width))
-                item[i : i + width], doc[j : j + width] = -2, -3
-        top = width
+        tiles += best.mark()
+        top = best.width
     return tiles
 
 
@@ -101,7 +118,7 @@ class Items:
             if len(words) >= least:
                 self.ids.append(key)
                 self.items.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int64))
-        seeds = [windows(x, least) for x in self.items]
+        seeds = [np.unique(windows(x, least)) for x in self.items]
         owner = np.repeat(np.arange(len(seeds)), [len(x) for x in seeds]) if seeds else np.empty(0, int)
         flat = np.concatenate(seeds) if seeds else np.empty(0, np.uint64)
         order = np.argsort(flat, kind="stable")

@@ -68,6 +68,18 @@ def test_tiles_equal_the_naive_greedy():
         assert sorted(tiling.tile(np.array(a, np.int64), np.array(b, np.int64), least)) == sorted(naive_tiles(a, b_gap, least))
 
 
+def test_repetitive_texts_are_tiled_without_pairs():
+    same = lambda n: np.zeros(n, np.int64)
+    assert tiling.tile(same(400), same(200_000)) == [(0, 0, 400)]
+    assert tiling.tile(same(4_000), same(1_001)) == [(0, 0, 1_001)]
+    runs = np.concatenate([np.append(same(50), -1) for _ in range(3_000)])
+    assert tiling.tile(same(400), runs) == [(50 * i, 51 * i, 50) for i in range(8)]
+    item = "same " * 200
+    block = tiling.Items([(7, item)], tiling.MIN_TILE, tiling.COVERAGE)
+    assert list(block.search("same " * 200_000)) == [(7, 1.0, 1, 200)]
+    assert list(block.search("same " * 100)) == []
+
+
 def test_contamination(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     words = item.split()
