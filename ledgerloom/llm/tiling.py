@@ -20,6 +20,7 @@ BLOCK_BYTES = 8_000_000
 
 WORD = re.compile(r"\w+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 NOTHING = -1  # a word of no test item, or a gap
 
 
@@ -31,10 +32,10 @@ def windows(tokens: np.ndarray, width: int) -> np.ndarray:
     out = np.zeros(n, np.uint64)
     for k in range(width) if width <= 8 else ():
         out = out * BASE + (tokens[k : k + n] + 1).astype(np.uint64)
-    if width > 8:  # the same polynomial by halves
-        half = width // 2
-        left, right = windows(tokens, half), windows(tokens, width - half)
-        out = left[:n] * np.uint64(pow(int(BASE), width - half, 1 << 64)) + right[half : half + n]
+    if width > 8:  # the same polynomial from sums over all words before, which the inverse of the base allows
+        up, down = (np.cumprod(np.append(np.uint64(1), np.full(len(tokens), x, np.uint64))) for x in (BASE, INVERSE))
+        sums = np.append(np.uint64(0), np.cumsum((tokens + 1).astype(np.uint64) * down[:-1]))
+        out = (sums[width:] - sums[:-width]) * up[width - 1 : width - 1 + n]
     return out
 
 
