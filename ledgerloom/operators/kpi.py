@@ -135,6 +135,32 @@ def _reach_lines(base: DataFrame, rel: dict[str, Callable[[], DataFrame]], by: l
     return base.join(lines.select("order_id", *cuts).distinct(), "order_id")
 
 
+#: Type of the stored sums: whole counts, days and scores, or cents.
+PART = "decimal(38,2)"
+
+
+def parts(df: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
+    """Numerator and denominator of KPIs per ``keys``: (keys, kpi, num, den).
+
+    They may be added up over keys of which a counted thing has one only: an order
+    has one region and one month, so distinct orders add up over these.
+    """
+    of = [F.struct(F.lit(n).alias("kpi"), F.expr(REGISTRY[n].num).cast(PART).alias("num"),
+                   F.expr(REGISTRY[n].den or "NULL").cast(PART).alias("den")) for n in names]
+    return df.groupBy(*keys).agg(F.array(*of).alias("_parts")).select(*keys, F.inline("_parts"))
+
+
+def evaluate_parts(df: DataFrame, names: list[str], by: list[str] = ()) -> DataFrame:
+    """KPIs side by side from stored ``parts``; equal to ``evaluate_wide`` on the rows behind them."""
+    def of(n: str) -> Column:
+        num, den = (F.sum(F.when(F.col("kpi") == n, F.col(c))) for c in ("num", "den"))
+        if REGISTRY[n].den:
+            return ratio(num, den).alias(n)
+        return F.round(dbl(F.coalesce(num, F.lit(0)) if REGISTRY[n].unit == "count" else num), 6).alias(n)
+
+    return df.groupBy(*by).agg(*[of(n) for n in names])
+
+
 def judge(df: DataFrame) -> DataFrame:
     """Adds the target and whether it is met, missed or absent."""
     goal, met = F.lit(None).cast("double"), F.lit("no target")

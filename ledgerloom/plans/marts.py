@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -16,18 +17,23 @@ class Warehouse:
 
     def __init__(self, t: Tables, root: str):
         self.t, self.root, self.schemas = t, root, {}
+        self.opened: dict[str, DataFrame] = {}
         self.build = f"{root}/build-{uuid.uuid4().hex}"
 
-    def put(self, name: str, df: DataFrame, monthly: bool = False) -> None:
+    def put(self, name: str, df: DataFrame, monthly: bool = False, order: tuple[str, ...] = ()) -> None:
         path = f"{self.build}/{name}"
         if monthly:
-            W.write_monthly(df, path)
+            W.write_monthly(df, path, order=order)
         else:
             df.write.mode("overwrite").parquet(path)
         self.schemas[name] = df.schema
+        self.opened.pop(name, None)
 
     def get(self, name: str) -> DataFrame:
-        return self.t.spark.read.schema(self.schemas[name]).parquet(f"{self.build}/{name}")
+        """A written table. A build is never changed once written, so its folders are listed once and not by each reader."""
+        if name not in self.opened:
+            self.opened[name] = self.t.spark.read.schema(self.schemas[name]).parquet(f"{self.build}/{name}")
+        return self.opened[name]
 
     def release(self) -> None:
         W.point_to(self.t.spark, self.root, self.build)
@@ -46,13 +52,20 @@ def steps(w: Warehouse) -> dict:
     lines, orders = w.get("staging_lines"), w.get("staging_orders")
     held = D.held_orders(t, orders)
     return {
-        "sales": lambda: w.put("v_sales", D.v_sales(t, staged=lines, examined=orders), True),
-        "orders": lambda: w.put("v_orders", D.v_orders(t, examined=orders), True),
+        "sales": lambda: w.put("v_sales", D.v_sales(t, staged=lines, examined=orders), True, ("seller_id",)),
+        "orders": lambda: w.put("v_orders", D.v_orders(t, examined=orders), True, ("region",)),
         "held orders": lambda: w.put("quarantine_orders", held),
         "held lines": lambda: w.put("quarantine_lines", lines.join(held.select("order_id", "reason"), "order_id")),
     }
 
 
+def wave(jobs: dict) -> None:
+    """Steps that do not depend on each other; Spark runs their jobs side by side."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        for job in [pool.submit(f) for f in jobs.values()]:
+            job.result()
+
+
 def balance(w: Warehouse) -> DataFrame:
     """Staging against the written marts and the written quarantine: one row for orders, one for lines."""
     orders = Q.reconcile(D.orders(w.t), w.get("v_orders"), w.get("quarantine_orders"), "total", "orders")
@@ -72,8 +85,7 @@ def audit(w: Warehouse) -> None:
 def load_marts(t: Tables, root: str) -> Warehouse:
     """The marts alone: written, audited, released."""
     w = Warehouse(t, root)
-    for step in steps(w).values():
-        step()
+    wave(steps(w))
     audit(w)
     w.release()
     return w

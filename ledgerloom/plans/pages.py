@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -12,7 +13,7 @@ from ..session import settle
 from ..sources import domain as D
 from ..sources.tables import Tables
 from . import alerts, kpis, quality
-from .marts import Warehouse, audit, steps
+from .marts import Warehouse, audit, steps, wave
 from .registry import query
 
 
@@ -22,14 +23,13 @@ def load(t: Tables, root: str) -> Warehouse:
     Readers see the new tables when all are written and the audit has passed.
     """
     w = Warehouse(t, root)
-    # The steps of a wave do not depend on each other; Spark runs their jobs side by side.
     wave(steps(w))
     so, ss = w.get("v_orders"), w.get("v_sales")
     complete = alerts.complete_months(t)
 
     def seller_tables():
         own = ss.groupBy("order_id", "seller_id").agg(F.count("*").alias("n_lines"), F.sum("price").alias("price"))
-        w.put("orders_by_seller", own.join(so.drop(*S.ORDER_TOTALS, "n_lines"), "order_id"), True)
+        w.put("orders_by_seller", own.join(so.drop(*S.ORDER_TOTALS, "n_lines"), "order_id"), True, ("seller_id",))
 
     def plan():
         w.put("agg_sales_daily", ss.filter("status <> 'P'").groupBy(F.col("purchase_date").alias("day"), "ym", "region", "category").agg(
@@ -55,15 +55,37 @@ def load(t: Tables, root: str) -> Warehouse:
         "customers": lambda: w.put("customer_orders", K.customer_counts(so, ["region"])),
         "quality": lambda: w.put("quality_report", Q.report(quality.CHECKS, quality.bases(t))),
     })
-    w.put("reviews_by_seller", w.get("orders_by_seller").select("order_id", "seller_id").join(w.get("v_reviews").drop(*S.ORDER_TOTALS, "n_lines"), "order_id"), True)
+    rs = w.get("v_reviews")
+
+    def seller_parts():
+        w.put("reviews_by_seller", w.get("orders_by_seller").select("order_id", "seller_id").join(rs.drop(*S.ORDER_TOTALS, "n_lines"), "order_id"), True, ("seller_id",))
+        own, key = w.get("orders_by_seller"), ["seller_id"]
+        w.put("kpi_parts_by_seller", all_parts({"sales": ss, "orders": own, "reviews": w.get("reviews_by_seller"), "customers": K.customer_counts(own, key)}, key, NAMES).orderBy(*key))
+
+    def region_parts():
+        customers = w.get("customer_orders").withColumn("ym", F.lit(None).cast("int"))
+        data = {"sales": ss, "orders": so, "reviews": rs, "customers": customers}
+        w.put("kpi_parts", all_parts(data, ["region", "ym"], [n for n in NAMES if n != "active_sellers"]).coalesce(1))
+
+    kept = ss.filter("status <> 'P'")
+    wave({
+        "seller parts": seller_parts, "region parts": region_parts,
+        "sellers": lambda: w.put("agg_sales_sellers", kept.groupBy("region", "seller_id").agg(F.sum("price").alias("sales"))),
+        "payments": lambda: w.put("agg_sales_payments", kept.groupBy("region", "payment_type").agg(F.count_distinct("order_id").alias("orders"), F.sum("price").alias("sales")).coalesce(1)),
+        "delay": lambda: w.put("agg_delay", rs.filter("days_late IS NOT NULL").groupBy("region", F.expr(kpis.LATE_BUCKET).alias("bucket")).agg(
+            F.count("*").alias("n"), F.sum("score").alias("score"), F.count("score").alias("scores")).coalesce(1)),
+    })
     w.release()
     return w
 
 
-def wave(steps: dict) -> None:
-    with ThreadPoolExecutor(len(steps)) as pool:
-        for job in [pool.submit(f) for f in steps.values()]:
-            job.result()
+NAMES = list(K.REGISTRY)
+
+
+def all_parts(data: dict[str, DataFrame], keys: list[str], names: list[str]) -> DataFrame:
+    """The stored numerators and denominators of KPIs of several datasets."""
+    each = [K.parts(df, [n for n in names if K.REGISTRY[n].dataset == ds], keys) for ds, df in data.items()]
+    return reduce(DataFrame.unionByName, each)
 
 
 def collect(parts: dict[str, DataFrame]) -> dict:
@@ -73,47 +95,57 @@ def collect(parts: dict[str, DataFrame]) -> dict:
         return {n: j.result() for n, j in jobs.items()}
 
 
-def relations(w: Warehouse, user: str) -> dict:
-    """The datasets ``user`` may use; a seller's come from the seller-grain tables, so security is a scan filter."""
-    seller = user in S.USERS and S.USERS[user].role == "seller"
-    o, r = ("orders_by_seller", "reviews_by_seller") if seller else ("v_orders", "v_reviews")
-    ready = {} if seller else {"customers": lambda: S.rows_for(user, w.get("customer_orders"))}
-    return ready | {
-        "sales": lambda: S.rows_for(user, w.get("v_sales")),
-        "orders": lambda: S.rows_for(user, w.get(o)),
-        "reviews": lambda: S.rows_for(user, w.get(r)),
-    }
+def is_seller(user: str) -> bool:
+    return user in S.USERS and S.USERS[user].role == "seller"
+
+
+def rows(w: Warehouse, user: str, name: str) -> DataFrame:
+    """Rows of a written table that ``user`` may use. Region and seller are columns of each, so security is a scan filter."""
+    return S.rows_for(user, w.get(name))
 
 
 def summary(w: Warehouse, user: str) -> dict[str, DataFrame]:
-    rel = relations(w, user)
-    parts = {"kpis": K.kpis(rel), "trend": K.evaluate_wide(rel["sales"](), ["sales"], ["ym"])}
-    if S.USERS[user].role != "seller":
-        parts["verdicts"] = S.rows_for(user, w.get("verdicts")).filter("on_time_verdict = 'fail' OR target_verdict = 'fail'")
-    return parts
+    if is_seller(user):
+        wide = K.evaluate_parts(rows(w, user, "kpi_parts_by_seller"), NAMES)
+        return {"kpis": K.judge(wide.unpivot([], NAMES, "kpi", "value")), "trend": K.evaluate_wide(rows(w, user, "v_sales"), ["sales"], ["ym"])}
+    added = [n for n in NAMES if n != "active_sellers"]
+    kept = rows(w, user, "kpi_parts")
+    sellers = rows(w, user, "agg_sales_sellers").agg(dbl(F.count_distinct("seller_id")).alias("active_sellers"))
+    long = K.evaluate_parts(kept, added).unpivot([], added, "kpi", "value").unionByName(sellers.unpivot([], ["active_sellers"], "kpi", "value"))
+    return {
+        "kpis": K.judge(long), "trend": K.evaluate_parts(kept.filter("kpi = 'sales'"), ["sales"], ["ym"]),
+        "verdicts": rows(w, user, "verdicts").filter("on_time_verdict = 'fail' OR target_verdict = 'fail'"),
+    }
 
 
 def sales(w: Warehouse, user: str) -> dict[str, DataFrame]:
-    rel = relations(w, user)
-    base = rel["sales"]().filter("status <> 'P'")
-    top = base.groupBy("category").agg(dbl(F.sum("price")).alias("sales"))
+    if is_seller(user):
+        base = rows(w, user, "v_sales").filter("status <> 'P'")
+        daily, sellers = [base.withColumns({"sales": F.col("price"), "n_lines": F.lit(1)})] * 2
+        paid = base.groupBy("payment_type").agg(F.count_distinct("order_id").alias("orders"), F.sum("price").alias("sales"))
+    else:
+        daily, sellers, paid = (rows(w, user, f"agg_sales_{n}") for n in ("daily", "sellers", "payments"))
     return {
-        "months": base.groupBy("ym", "region").agg(dbl(F.sum("price")).alias("sales"), F.count("*").alias("n")),
-        "categories": top.orderBy(F.desc("sales"), "category").limit(10),
-        "sellers": base.groupBy("seller_id").agg(dbl(F.sum("price")).alias("sales")).orderBy(F.desc("sales"), "seller_id").limit(10),
-        "payment": base.groupBy("payment_type").agg(F.count_distinct("order_id").alias("orders"), dbl(F.sum("price")).alias("sales")),
+        "months": daily.groupBy("ym", "region").agg(dbl(F.sum("sales")).alias("sales"), F.sum("n_lines").alias("n")),
+        "categories": daily.groupBy("category").agg(dbl(F.sum("sales")).alias("sales")).orderBy(F.desc("sales"), "category").limit(10),
+        "sellers": sellers.groupBy("seller_id").agg(dbl(F.sum("sales")).alias("sales")).orderBy(F.desc("sales"), "seller_id").limit(10),
+        "payment": paid.groupBy("payment_type").agg(F.sum("orders").alias("orders"), dbl(F.sum("sales")).alias("sales")),
     }
 
 
 def operations(w: Warehouse, user: str) -> dict[str, DataFrame]:
-    rel = relations(w, user)
-    o = rel["orders"]()
-    return {
-        "regions": K.evaluate_wide(o, ["orders", "on_time", "delivery_days", "cancel_rate"], ["region"]),
-        "months": K.evaluate_wide(o, ["on_time"], ["ym"]),
-        "delay": rel["reviews"]().filter("days_late IS NOT NULL").groupBy(F.expr(kpis.LATE_BUCKET).alias("bucket")).agg(
-            F.count("*").alias("n"), ratio(F.sum("score"), F.count("*")).alias("rating")),
-    }
+    names = ["orders", "on_time", "delivery_days", "cancel_rate"]
+    if is_seller(user):
+        o = rows(w, user, "orders_by_seller")
+        regions, months = K.evaluate_wide(o, names, ["region"]), K.evaluate_wide(o, ["on_time"], ["ym"])
+        late = rows(w, user, "reviews_by_seller").filter("days_late IS NOT NULL").select(
+            F.expr(kpis.LATE_BUCKET).alias("bucket"), F.lit(1).alias("n"), "score", F.col("score").isNotNull().cast("int").alias("scores"))
+    else:
+        o = rows(w, user, "kpi_parts").filter(F.col("kpi").isin(names))
+        regions, months = K.evaluate_parts(o, names, ["region"]), K.evaluate_parts(o.filter("kpi = 'on_time'"), ["on_time"], ["ym"])
+        late = rows(w, user, "agg_delay")
+    return {"regions": regions, "months": months,
+            "delay": late.groupBy("bucket").agg(F.sum("n").alias("n"), ratio(F.sum("score"), F.sum("scores")).alias("rating"))}
 
 
 PAGES = {"summary": summary, "sales": sales, "operations": operations}

@@ -19,12 +19,13 @@ def replace_table(df: DataFrame, root: str, name: str) -> str:
     return path
 
 
-def write_monthly(df: DataFrame, path: str, month: str = "ym") -> None:
+def write_monthly(df: DataFrame, path: str, month: str = "ym", order: tuple[str, ...] = ()) -> None:
     """Wide table partitioned by month. Rows are sent to the tasks by month and a salt, so that
-    a month makes few files and a very large month is still written by several tasks."""
+    a month makes few files and a very large month is still written by several tasks. In ``order``,
+    files let a reader of one seller or region skip most of their pages."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     salt = F.pmod(F.xxhash64(*df.columns), F.lit(max(1, n // 4)))
-    df.repartition(n, F.col(month), salt).write.mode("overwrite").partitionBy(month).parquet(path)
+    df.repartition(n, F.col(month), salt).sortWithinPartitions(month, *order).write.mode("overwrite").partitionBy(month).parquet(path)
 
 
 def point_to(spark: SparkSession, root: str, build: str) -> None:
