@@ -71,6 +71,10 @@ def load(t: Tables, root: str) -> Warehouse:
     wave({
         "seller parts": seller_parts, "region parts": region_parts,
         "sellers": lambda: w.put("agg_sales_sellers", kept.groupBy("region", "seller_id").agg(F.sum("price").alias("sales"))),
+        "sales by seller": lambda: w.put("agg_sales_by_seller", kept.groupBy("seller_id", "ym", "region", "category").agg(
+            F.sum("price").alias("sales"), F.count("*").alias("n_lines")).orderBy("seller_id")),
+        "payments by seller": lambda: w.put("agg_payments_by_seller", kept.groupBy("seller_id", "payment_type").agg(
+            F.count_distinct("order_id").alias("orders"), F.sum("price").alias("sales")).orderBy("seller_id")),
         "payments": lambda: w.put("agg_sales_payments", kept.groupBy("region", "payment_type").agg(F.count_distinct("order_id").alias("orders"), F.sum("price").alias("sales")).coalesce(1)),
         "delay": lambda: w.put("agg_delay", rs.filter("days_late IS NOT NULL").groupBy("region", F.expr(kpis.LATE_BUCKET).alias("bucket")).agg(
             F.count("*").alias("n"), F.sum("score").alias("score"), F.count("score").alias("scores")).coalesce(1)),
@@ -120,9 +124,8 @@ def summary(w: Warehouse, user: str) -> dict[str, DataFrame]:
 
 def sales(w: Warehouse, user: str) -> dict[str, DataFrame]:
     if is_seller(user):
-        base = rows(w, user, "v_sales").filter("status <> 'P'")
-        daily, sellers = [base.withColumns({"sales": F.col("price"), "n_lines": F.lit(1)})] * 2
-        paid = base.groupBy("payment_type").agg(F.count_distinct("order_id").alias("orders"), F.sum("price").alias("sales"))
+        daily, paid = rows(w, user, "agg_sales_by_seller"), rows(w, user, "agg_payments_by_seller")
+        sellers = daily
     else:
         daily, sellers, paid = (rows(w, user, f"agg_sales_{n}") for n in ("daily", "sellers", "payments"))
     return {
