@@ -1,12 +1,17 @@
 """Interpolated modified Kneser-Ney language model: counted in Spark, stored as sorted arrays, memory-mapped by workers.
 
-The model is of order two. Files of a model, in a folder all machines see:
+The model is of order two or three. Files of a model, in a folder all machines see:
 
 * ``word-P.u64``, ``word-P.count``: hashes of words in order, P by P, and how often each occurs; a word's id is its
   place in all of them;
-* ``cont-P.u32``: for the same words, after how many different words each occurs;
-* ``pair-B.u64``, ``pair-B.count``: pairs of ids (first << 32 | second) in order, in bucket B, and their counts;
-* ``first-B.u64``, ``first-B.u64x4``: first words of the pairs of the bucket: total and pairs seen once, twice, more often.
+* ``cont-P.u64``: for the same words, after how many different words each occurs;
+* ``pair-B.u64``, ``pair-B.n8``, ``pair-B.big``: pairs of ids (first << 32 | second) in order, in bucket B, and their counts;
+  in a model of order three these are numbers of different words in front of the pair;
+* ``first-B.u64``, ``first-B.u64x4``: first words of the pairs of the bucket: total and pairs seen once, twice, more often;
+* ``triple-B.u64``, ``triple-B.n8``, ``triple-B.big``: place of the first two words in ``pair-B`` << 32 | third id, and counts.
+
+A count is a byte; those of 255 and more stand in ``big`` as (place, count), so no count is cut. Words are known by 63 bits
+of a hash: two words that share one count as one word.
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
@@ -38,6 +44,9 @@ LOWER[65:91] += 32
 FACTOR = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 END = np.uint64(1)  # no word hashes to it: words have the lowest bit clear
 UNKNOWN = -1
+#: Place of the first of the hot contexts of triples; they go down from here and are no places of pairs.
+TOP = 0x7FFFFFFF
+LOW = np.uint64(0xFFFFFFFF)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -114,6 +123,12 @@ def _load(path: str, kind: str) -> np.ndarray:
     return np.memmap(path, kind, "r") if os.path.getsize(path) else np.empty(0, kind)
 
 
+def _save_counts(path: str, n: np.ndarray) -> None:
+    big = np.flatnonzero(n >= 255)
+    _save(f"{path}.n8", np.minimum(n, 255).astype(np.uint8))
+    _save(f"{path}.big", np.stack([big, n[big]], 1).astype("<u8"))
+
+
 def model_folder(spark: SparkSession) -> str:
     """A new folder for a model under ``spark.checkpoint.dir``, which has to be mounted where tasks run."""
     url = urlparse(checkpoint_dir(spark))
@@ -139,6 +154,10 @@ class Model:
     word_discounts: tuple = (0.0, 0.0, 0.0)
     pair_types: int = 0
     spare: float = 1.0  # what the discounts of words leave, in types
+    order: int = 2
+    hot_pairs: np.ndarray = field(default_factory=lambda: np.empty((0, 2), np.int64))  # bucket and place; after (begin, begin)
+    hot_pair_stats: np.ndarray = field(default_factory=lambda: np.zeros((1, 4), np.int64))
+    triple_discounts: tuple = (0.0, 0.0, 0.0)
 
     @property
     def words(self) -> int:
@@ -157,6 +176,18 @@ class Model:
             _MAPPED[key] = _load(f"{self.folder}/{name}", kind)
         return _MAPPED[key]
 
+    def counts(self, name: str, at: np.ndarray | None = None) -> np.ndarray:
+        """Counts of the places ``at`` of a file, or all."""
+        n, big = self.file(f"{name}.n8", "u1"), self.file(f"{name}.big", "<u8").reshape(-1, 2)
+        if at is None:
+            out = n.astype(np.int64)
+            out[big[:, 0].astype(np.int64)] = big[:, 1]
+            return out
+        out = n[at].astype(np.int64)
+        more = np.flatnonzero(out == 255)
+        out[more] = big[np.searchsorted(big[:, 0], at[more].astype(np.uint64)), 1]
+        return out
+
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Ids of words, -1 for those not in training. ``hashes`` are looked up once each."""
         each, back = np.unique(hashes, return_inverse=True)
@@ -189,7 +220,7 @@ class Model:
         if not self.pair_types:
             return np.full(len(ids), 1.0 / (self.words + 1))
         n = np.zeros(len(ids), np.int64)
-        n[ids >= 0] = self.of_words("cont-{}.u32", "<u4", ids[ids >= 0])
+        n[ids >= 0] = self.of_words("cont-{}.u64", "<u8", ids[ids >= 0])
         less = np.array([0.0, *self.word_discounts])[np.minimum(n, 3)]
         return (np.maximum(n - less, 0) + self.spare / (self.words + 1)) / self.pair_types
 
@@ -216,26 +247,105 @@ class Model:
             seen = stats[:, 0] > 0
             total[here] = stats[:, 0]
             weight[here[seen]] = (stats[seen, 1:] @ d) / stats[seen, 0]
-            keys, counts = self.file(f"pair-{b}.u64", "<u8"), self.file(f"pair-{b}.count", "<u4")
+            keys = self.file(f"pair-{b}.u64", "<u8")
             if len(keys):
                 k = np.minimum(np.searchsorted(keys, pairs[here]), len(keys) - 1)
-                count[here] = np.where((keys[k] == pairs[here]) & (second[here] >= 0), counts[k], 0)
+                count[here] = np.where((keys[k] == pairs[here]) & (second[here] >= 0), self.counts(f"pair-{b}", k), 0)
         less = np.array([0.0, *self.pair_discounts])[np.minimum(count, 3)]
         higher = np.divide(np.maximum(count - less, 0), total, out=np.zeros(len(first)), where=total > 0)
         return higher + weight * self.word_probability(second)
 
+    def contexts(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Bucket and place of pairs as contexts of a third word; place -1 if not in training."""
+        out = np.full((len(first), 2), UNKNOWN, np.int64)
+        at = np.flatnonzero((first >= 0) & (second >= 0))
+        pairs = (first[at].astype(np.uint64) << np.uint64(32)) | second[at].astype(np.uint64)
+        bucket = self.bucket(pairs)
+        for b in np.unique(bucket):
+            keys = self.file(f"pair-{b}.u64", "<u8")
+            here = bucket == b
+            if len(keys):
+                k = np.minimum(np.searchsorted(keys, pairs[here]), len(keys) - 1)
+                out[at[here]] = np.stack([np.full(len(k), b), np.where(keys[k] == pairs[here], k, UNKNOWN)], 1)
+        if len(self.hot_pairs):
+            hot, code = self.hot_pairs[:, 0] << 32 | self.hot_pairs[:, 1], out[:, 0] << 32 | out[:, 1]
+            h = np.minimum(np.searchsorted(hot, code), len(hot) - 1)
+            out[:, 1] = np.where(hot[h] == code, TOP - 1 - h, out[:, 1])
+        out[(first == self.begin) & (second == self.begin)] = (0, TOP)
+        return out
+
+    def triples(self, context: np.ndarray, third: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket and key of triples: with their context, triples of hot contexts by all words."""
+        key = (context[:, 1].astype(np.uint64) << np.uint64(32)) | third.astype(np.uint64)
+        spread = (mixed(key) % np.uint64(self.buckets)).astype(np.int64)
+        return np.where(context[:, 1] >= TOP - len(self.hot_pairs), spread, context[:, 0]), key
+
+    def triple_probability(self, context: np.ndarray, third: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """P(third | two words), with ``lower`` = P(third | the second of them)."""
+        known = np.flatnonzero(context[:, 1] >= 0)
+        context, third, out = context[known], third[known], lower.copy()
+        bucket, key = self.triples(context, np.maximum(third, 0))
+        count, stats = np.zeros(len(known), np.int64), np.zeros((len(known), 4), np.int64)
+        hot = context[:, 1] >= TOP - len(self.hot_pairs)
+        stats[hot] = self.hot_pair_stats[TOP - context[hot, 1]]
+        for b in np.unique(bucket):
+            here, keys = np.flatnonzero(bucket == b), self.file(f"triple-{b}.u64", "<u8")
+            if not len(keys):
+                continue
+            k = np.minimum(np.searchsorted(keys, key[here]), len(keys) - 1)
+            count[here] = np.where((keys[k] == key[here]) & (third[here] >= 0), self.counts(f"triple-{b}", k), 0)
+            plain = here[~hot[here]]
+            each, back = np.unique(context[plain, 1], return_inverse=True)
+            stats[plain] = self.of_ranges(b, each)[back]
+        seen = stats[:, 0] > 0
+        less = np.array([0.0, *self.triple_discounts])[np.minimum(count, 3)]
+        at, total = known[seen], stats[seen, 0]
+        out[at] = (np.maximum(count - less, 0)[seen] + stats[seen, 1:] @ np.array(self.triple_discounts) * lower[at]) / total
+        return out
+
+    def of_ranges(self, b: int, places: np.ndarray) -> np.ndarray:
+        """Total and triples seen once, twice, more often, for places of pairs in order."""
+        keys = self.file(f"triple-{b}.u64", "<u8")
+        lo = np.searchsorted(keys, places.astype(np.uint64) << np.uint64(32))
+        hi = np.searchsorted(keys, places.astype(np.uint64) << np.uint64(32) | LOW, "right")
+        some, out = np.flatnonzero(hi > lo), np.zeros((len(places), 4), np.int64)
+        if len(some):
+            lo, hi = lo[some], hi[some]
+            n = np.append(self.file(f"triple-{b}.n8", "u1")[lo[0] : hi[-1]], np.uint8(0))
+            cuts = np.stack([lo, hi], 1).ravel() - lo[0]
+            out[some] = np.stack([np.add.reduceat(x, cuts, dtype=np.int64)[::2] for x in (n, n == 1, n == 2, n >= 3)], 1)
+            big = self.file(f"triple-{b}.big", "<u8").reshape(-1, 2).astype(np.int64)
+            of = np.minimum(np.searchsorted(hi, big[:, 0], "right"), len(hi) - 1)
+            inside = (lo[of] <= big[:, 0]) & (big[:, 0] < hi[of])
+            np.add.at(out, (some[of[inside]], 0), big[inside, 1] - 255)
+        return out
+
+    def words_of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the tokens of texts, the ids in front of them, whether a token is the first, and tokens of each text."""
+        hashes, n = tokens(texts)
+        ids, starts = self.ids(hashes), np.cumsum(n) - n
+        before = np.concatenate([[self.begin], ids[:-1]])
+        before[starts] = self.begin
+        first = np.zeros(len(ids), bool)
+        first[starts] = True
+        return ids, before, first, n
+
     def score(self, texts: list[str | None]) -> list[tuple[int, int, float, float]]:
         """Tokens, known tokens, base score and score of each text."""
         out = []
         for group in groups(texts):
-            hashes, n = tokens(group)
-            ids = self.ids(hashes)
+            ids, before, first, n = self.words_of(group)
             last = np.cumsum(n)
-            before = np.concatenate([[self.begin], ids[:-1]])
-            before[last[:-1]] = self.begin
             pair = ((before + 1).astype(np.uint64) << np.uint64(32)) | (ids + 1).astype(np.uint64)
             each, back = np.unique(pair, return_inverse=True)
-            p = self.probability((each >> np.uint64(32)).astype(np.int64) - 1, (each & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1)
+            one, two = (each >> np.uint64(32)).astype(np.int64) - 1, (each & np.uint64(0xFFFFFFFF)).astype(np.int64) - 1
+            p = self.probability(one, two)
+            if self.order == 3:
+                places = np.concatenate([self.contexts(one, two), [[0, TOP]]])
+                front = np.where(first, len(each), np.roll(back, 1))
+                triple, back = np.unique(front * len(each) + back, return_inverse=True)
+                front, now = np.divmod(triple, len(each))
+                p = self.triple_probability(places[front], two[now], p[now])
             count = np.zeros(len(ids), np.int64)
             count[ids >= 0] = self.of_words("word-{}.count", "<u8", ids[ids >= 0])
             base = np.log10((count + 0.5) / (self.train_tokens + 0.5 * (self.words + 1)))
@@ -286,8 +396,10 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(counts)
 
 
-def train(docs: DataFrame, text: str = "text") -> Model:
-    """Count ``docs`` and write the model. What comes to the driver is a row for each file and each hot word."""
+def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
+    """Count ``docs`` and write the model. What comes to the driver is a row for each file and each hot word or pair."""
+    if order not in (2, 3):
+        raise ValueError(f"a model is of order 2 or 3, not {order}")
     spark = docs.sparkSession
     folder, parts = model_folder(spark), parts_of(docs)
     texts = docs.select(F.col(text).alias("text"))
@@ -327,7 +439,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
                 _save(f"{folder}/word-{p}.{kind}", np.empty(0, np.uint64))
     sizes = [saved[p]["words"] if p in saved else 0 for p in range(parts)]
     total = sum(r["total"] for r in saved.values())
-    model = Model(folder, np.array([p * span for p in range(parts)], np.uint64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), total)
+    model = Model(folder, np.array([p * span for p in range(parts)], np.uint64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), total, order=order)
     model.buckets = max(1, -(-total // BUCKET))
     if not total:
         _save_missing(folder, model.buckets)
@@ -345,25 +457,30 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     hot = [r["id"] for r in every.mapInArrow(find_hot, "id bigint").collect()]
     model.hot = np.array(sorted({*hot, model.begin}), np.int64)
 
+    def summed_keys(found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bucket, key) and counts of each group of texts to those of the batch."""
+        if not found:
+            return (np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64))
+        part, key, n = (np.concatenate(x) for x in zip(*found))
+        by = np.lexsort((key, part))
+        part, key, n = part[by], key[by], n[by]
+        at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+        return part[at].astype(np.int32), key[at].view(np.int64), np.add.reduceat(n, at).astype(np.int64)
+
     def count_pairs(batch: list):
         found = []
         for g in groups(batch):
-            hashes, n = tokens(g)
-            ids = model.ids(hashes)
-            last = np.cumsum(n)
-            before = np.concatenate([[model.begin], ids[:-1]])
-            before[last[:-1]] = model.begin
-            found.append(np.unique((before.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64), return_counts=True))
-        if not found:
-            return (np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64))
-        each, back = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-        n = np.bincount(back, np.concatenate([f[1] for f in found])).astype(np.int64)
-        return model.bucket(each).astype(np.int32), each.view(np.int64), n
+            ids, before, _, _ = model.words_of(g)
+            each, n = np.unique((before.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64), return_counts=True)
+            found.append((model.bucket(each), each, n))
+        return summed_keys(found)
 
     pairs = texts.mapInArrow(_batches(count_pairs, kinds), "part int, key bigint, n bigint")
     pairs = pairs.repartitionById(model.buckets, "part").sortWithinPartitions("key")
 
     offsets = model.offsets
+    if order == 3:
+        pairs = _train_triples(model, texts, pairs, kinds, summed_keys)
 
     def save_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first_batch = next((b for b in batches if b.num_rows), None)
@@ -377,7 +494,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
 
         key, n = _merged(rest())
         _save(f"{folder}/pair-{b}.u64", key.view(np.uint64))
-        _save(f"{folder}/pair-{b}.count", np.minimum(n, 0xFFFFFFFF).astype("<u4"))
+        _save_counts(f"{folder}/pair-{b}", n)
         first = key >> 32
         at = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
         stats = np.stack([np.add.reduceat(x.astype(np.int64), at) for x in (n, n == 1, n == 2, n >= 3)], 1)
@@ -398,6 +515,8 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     stats_path = f"{checkpoint_dir(spark)}/kneser-ney-stats/{uuid.uuid4().hex}"
     pairs.mapInArrow(save_pairs, schema).write.partitionBy("kind").parquet(stats_path)
     stats = spark.read.schema(schema).parquet(stats_path)
+    if order == 3:
+        _learn_triples(spark, model)
     _save_missing(folder, model.buckets)
 
     summed = stats.where("kind = 0").groupBy("id").agg(*[F.sum(c).alias(c) for c in "abcd"]).collect()
@@ -415,15 +534,15 @@ def train(docs: DataFrame, text: str = "text") -> Model:
             if batch.num_rows:
                 if table is None:
                     p = int(batch.column("part")[0].as_py())
-                    table = np.zeros(sizes[p], np.uint32)
+                    table = np.zeros(sizes[p], np.uint64)
                 table[batch.column("key").to_numpy() - offsets[p]] = batch.column("n").to_numpy()
         if table is not None:
-            _save(f"{folder}/cont-{p}.u32", table)
+            _save(f"{folder}/cont-{p}.u64", table)
             yield from _stat_rows(p, np.array([int((table > 0).sum())]), np.array([[int((table == k).sum()) for k in (1, 2, 3, 4)]]))
 
     done = after.mapInArrow(save_after, schema).collect()
     for p in {*range(parts)} - {r["kind"] for r in done}:
-        _save(f"{folder}/cont-{p}.u32", np.zeros(sizes[p], np.uint32))
+        _save(f"{folder}/cont-{p}.u64", np.zeros(sizes[p], np.uint64))
     n = [sum(r[c] for r in done) for c in "abcd"]
     model.word_discounts = discounts(n)
     types = sum(r["id"] for r in done)
@@ -432,6 +551,81 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     return model
 
 
+def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> tuple[int, Iterator[pa.RecordBatch]] | None:
+    """The bucket of a task and its rows, the first batch included; None without rows."""
+    first = next((b for b in batches if b.num_rows), None)
+    return None if first is None else (int(first.column("part")[0].as_py()), chain([first], batches))
+
+
+def _train_triples(model: Model, texts: DataFrame, pairs: DataFrame, kinds: dict, summed_keys) -> DataFrame:
+    """Writes the pairs that occur, then the triples; returns for each pair the number of different words in front of it."""
+    folder, least = model.folder, HOT * model.train_tokens
+
+    def save_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if some := _bucket_rows(batches):
+            b, rows = some
+            key, n = _merged(rows)
+            _save(f"{folder}/pair-{b}.u64", key.view(np.uint64))
+            hot = np.flatnonzero(n >= least)
+            yield pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(hot), b), pa.int64()), "place": pa.array(hot, pa.int64())})
+
+    hot = pairs.mapInArrow(save_keys, "part bigint, place bigint").collect()  # 1 / HOT rows at most
+    model.hot_pairs = np.array(sorted(tuple(r) for r in hot), np.int64).reshape(-1, 2)
+    _save_missing(folder, model.buckets, ("pair-{}.u64",))
+
+    def count_triples(batch: list):
+        found = []
+        for g in groups(batch):
+            ids, before, first, _ = model.words_of(g)
+            pair, back = np.unique((before.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64), return_inverse=True)
+            one, two = (pair >> np.uint64(32)).astype(np.int64), (pair & LOW).astype(np.int64)
+            places = np.concatenate([model.contexts(one, two), [[0, TOP]]])
+            triple, n = np.unique(np.where(first, len(pair), np.roll(back, 1)) * len(pair) + back, return_counts=True)
+            front, now = np.divmod(triple, len(pair))
+            found.append((*model.triples(places[front], two[now]), n))
+        return summed_keys(found)
+
+    def save_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if some := _bucket_rows(batches):
+            b, rows = some
+            key, n = _merged(rows)
+            _save(f"{folder}/triple-{b}.u64", key.view(np.uint64))
+            _save_counts(f"{folder}/triple-{b}", n)
+            place, second = key >> 32, np.full(len(key), model.begin, np.uint64)
+            plain, hot = place < TOP - len(model.hot_pairs), (place >= TOP - len(model.hot_pairs)) & (place < TOP)
+            second[plain] = model.file(f"pair-{b}.u64", "<u8")[place[plain]] & LOW
+            of_hot = np.array([model.file(f"pair-{of}.u64", "<u8")[at] & LOW for of, at in model.hot_pairs], np.uint64)
+            second[hot] = of_hot[TOP - 1 - place[hot]]
+            pair, n = np.unique((second << np.uint64(32)) | (key.view(np.uint64) & LOW), return_counts=True)
+            part = model.bucket(pair).astype(np.int32)
+            for k in range(0, len(pair), 200_000):
+                at = slice(k, k + 200_000)
+                yield pa.RecordBatch.from_pydict({"part": pa.array(part[at]), "key": pa.array(pair[at].view(np.int64)), "n": pa.array(n[at], pa.int64())})
+
+    rows = "part int, key bigint, n bigint"
+    triples = texts.mapInArrow(_batches(count_triples, kinds), rows).repartitionById(model.buckets, "part").sortWithinPartitions("key")
+    return triples.mapInArrow(save_triples, rows).repartitionById(model.buckets, "part").sortWithinPartitions("key")
+
+
+def _learn_triples(spark: SparkSession, model: Model) -> None:
+    """Discounts of the triples and what follows the hot contexts, from the written files."""
+    _save_missing(model.folder, model.buckets, ("triple-{}.u64", "triple-{}.n8", "triple-{}.big"))
+    hot = TOP - np.arange(len(model.hot_pairs) + 1)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in batch.column(0).to_pylist():
+                n = model.counts(f"triple-{b}")
+                yield from _stat_rows(-1, np.zeros(1, np.int64), np.array([[int((n == k).sum()) for k in (1, 2, 3, 4)]]))
+                yield from _stat_rows(0, hot, model.of_ranges(b, hot[::-1])[::-1])
+
+    schema = "kind int, id bigint, a bigint, b bigint, c bigint, d bigint"
+    found = spark.range(0, model.buckets, 1, model.buckets).mapInArrow(read, schema)
+    rows = {(r["kind"], r["id"]): [r[c] for c in "abcd"] for r in found.groupBy("kind", "id").agg(*[F.sum(c).alias(c) for c in "abcd"]).collect()}
+    model.triple_discounts = discounts(rows[-1, 0])
+    model.hot_pair_stats = np.array([rows[0, int(h)] for h in hot], np.int64)
+
+
 def _stat_rows(kind: int, ids: np.ndarray, stats: np.ndarray) -> Iterator[pa.RecordBatch]:
     for k in range(0, len(ids), 200_000):
         part = stats[k : k + 200_000]
@@ -440,16 +634,20 @@ def _stat_rows(kind: int, ids: np.ndarray, stats: np.ndarray) -> Iterator[pa.Rec
             **{c: pa.array(part[:, j], pa.int64()) for j, c in enumerate("abcd")}})
 
 
-def _save_missing(folder: str, buckets: int) -> None:
+PAIR_FILES = ("pair-{}.u64", "pair-{}.n8", "pair-{}.big", "first-{}.u64", "first-{}.u64x4")
+
+
+def _save_missing(folder: str, buckets: int, names: tuple[str, ...] = PAIR_FILES) -> None:
     for b in range(buckets):
-        for name in ("pair-{}.u64", "pair-{}.count", "first-{}.u64", "first-{}.u64x4"):
+        for name in names:
             path = f"{folder}/{name.format(b)}"
             if not os.path.exists(path):
                 _save(path, np.empty(0, np.uint64))
 
 
-def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", classes: int = 5, held: int = 1) -> DataFrame:
-    """Score every whole text with a model of those whose crc32(key) mod ``classes`` is not ``held``.
+def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", classes: int = 5, held: int = 1,
+                    order: int = 2) -> DataFrame:
+    """Score every whole text with a model of ``order`` 2 or 3 of those whose crc32(key) mod ``classes`` is not ``held``.
 
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     perplexity (of a token). Scores are base-10 logarithms.
@@ -458,7 +656,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", cl
     rows all words are unknown and equally likely; other columns are not read.
     """
     slim = docs.select(F.col(key).alias("doc_id"), (crc_class(key, classes) == held).alias("held_out"), F.col(text).alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(train(slim.where(~F.col("held_out"))))
+    sent = docs.sparkSession.sparkContext.broadcast(train(slim.where(~F.col("held_out")), order=order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value

@@ -20,7 +20,7 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
-    return kneser.score_documents(read(spark, folder, "documents"))
+    return kneser.score_documents(read(spark, folder, "documents"), order=3)
 
 
 def op3_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:

@@ -110,25 +110,35 @@ def test_benchmark_goes_in_blocks(spark):
 # ---------------------------------------------------------------- 2 language model
 
 
-def test_kneser_ney_equals_a_dictionary_version(spark):
+@pytest.mark.parametrize("order, hot, bucket", [(2, 1e-3, 6_000_000), (3, 1e-3, 6_000_000), (3, 0.02, 500)])
+def test_kneser_ney_equals_a_dictionary_version(spark, monkeypatch, order, hot, bucket):
+    monkeypatch.setattr(kneser, "HOT", hot)
+    monkeypatch.setattr(kneser, "BUCKET", bucket)
     rnd = random.Random(1)
-    texts = [prose(rnd, rnd.randint(0, 60)) for _ in range(120)] + ODD[:4] + ODD[5:]
+    texts = [prose(rnd, rnd.randint(0, 60)) for _ in range(120)] + ODD[:4] + ODD[5:] + ["red sea blue " * 400]
     docs = table(spark, texts)
-    got = {r.doc_id: r for r in kneser.score_documents(docs).collect()}
+    got = {r.doc_id: r for r in kneser.score_documents(docs, order=order).collect()}
     tokens = {k: [*(t or "").encode().lower().split(), None] for k, t in enumerate(texts)}
     held = {k: zlib.crc32(str(k).encode()) % 5 == 1 for k in tokens}
-    uni, pairs = collections.Counter(), collections.Counter()
+    uni, pairs, triples = collections.Counter(), collections.Counter(), collections.Counter()
     for k, w in tokens.items():
         if not held[k]:
             uni.update(w)
             pairs.update(zip([0, *w[:-1]], w))
+            triples.update(zip([0, 0, *w][:len(w)], [0, *w[:-1]], w))
+    if order == 3:
+        pairs = collections.Counter((b, c) for _, b, c in triples)
+    behind = collections.defaultdict(lambda: [0, 0, 0, 0])
+    for (a, b, _), c in triples.items():
+        behind[a, b][0] += c
+        behind[a, b][min(c, 3)] += 1
     n, v = sum(uni.values()), len(uni)
     of = collections.defaultdict(lambda: [0, 0, 0, 0])
     after = collections.Counter(b for _, b in pairs)
     for (a, _), c in pairs.items():
         of[a][0] += c
         of[a][min(c, 3)] += 1
-    d2, d1 = (kneser.discounts([sum(x == k for x in y.values()) for k in (1, 2, 3, 4)]) for y in (pairs, after))
+    d3, d2, d1 = (kneser.discounts([sum(x == k for x in y.values()) for k in (1, 2, 3, 4)]) for y in (triples, pairs, after))
     spare = sum(d1[min(c, 3) - 1] for c in after.values())
 
     def p1(b):
@@ -141,12 +151,19 @@ def test_kneser_ney_equals_a_dictionary_version(spark):
         t, c = of[a], pairs.get((a, b), 0)
         return (c - d2[min(c, 3) - 1] if c else 0) / t[0] + sum(x * y for x, y in zip(t[1:], d2)) / t[0] * p1(b)
 
+    def p3(z, a, b):
+        if order == 2 or (z, a) not in behind:
+            return p2(a, b)
+        t, c = behind[z, a], triples.get((z, a, b), 0)
+        return (c - d3[min(c, 3) - 1] if c else 0) / t[0] + sum(x * y for x, y in zip(t[1:], d3)) / t[0] * p2(a, b)
+
+    assert abs(sum(p3(0, 0, w) for w in [*uni, "unseen"]) - 1) < 1e-9
     assert abs(sum(p2(b"red", w) for w in [*uni, "unseen"]) - 1) < 1e-9
     for k, w in tokens.items():
         r = got[k]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[k], len(w), sum(x in uni for x in w), n)
         assert r.base_score == pytest.approx(sum(math.log10((uni.get(x, 0) + 0.5) / (n + 0.5 * (v + 1))) for x in w))
-        assert r.score == pytest.approx(sum(math.log10(p2(a, b)) for a, b in zip([0, *w[:-1]], w)))
+        assert r.score == pytest.approx(sum(math.log10(p3(*x)) for x in zip([0, 0, *w][:len(w)], [0, *w[:-1]], w)))
 
 
 def test_kneser_ney_without_training(spark):
