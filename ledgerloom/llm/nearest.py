@@ -165,8 +165,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, key: str = "vec_id
     Columns: query_id, rank, vec_id, score.
     Defined cases: vectors null, zero, with null or non-finite components, or of
     another length than the most common one take no part; rows repeated with one
-    vec_id are candidates each, but not of their own query; ties go to the
-    smaller vec_id; an empty table gives no rows; other columns are not read.
+    vec_id are candidates each, but not of their own query, which the least of
+    their vectors asks (component by component); ties go to the smaller vec_id; an empty table gives no rows; other columns are not read.
     """
     rows = usable(vectors, key, vector)
     sizes = rows.groupBy(F.size("x").alias("d")).agg(F.count("*").alias("n"), F.max("norm").alias("longest"))
@@ -198,7 +198,7 @@ def _ask(rows: DataFrame, queries: DataFrame, asked: int, coder: Coder, radius:
     """All rows for each block of about ``BLOCK`` queries; a block's results are no one else's."""
     out, n = [], max(1, -(-asked // BLOCK))
     for b in range(n):
-        block = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == b).dropDuplicates(["vec_id"]).orderBy("vec_id").collect()
+        block = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == b).groupBy("vec_id").agg(F.min("x").alias("x")).orderBy("vec_id").collect()
         if block:
             ids, x = np.array([r["vec_id"] for r in block]), np.array([r["x"] for r in block], np.float64)
             sent = rows.sparkSession.sparkContext.broadcast(Search(ids, x, coder, radius, k))

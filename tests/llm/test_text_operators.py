@@ -331,6 +331,14 @@ def test_nearest_few_rows(spark):
     assert nearest.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_copies_of_a_query_that_differ(spark):
+    rows = [(20, [0.0, 1.0]), (20, [-1.0, 3.0]), (20, [-1.0, 2.0]), (1, [1.0, 0.0]), (2, [-1.0, 0.5]), (2, [-1.0, 0.5])]
+    for n in (1, 7):
+        df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(n)
+        got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in nearest.nearest(df).collect()]
+        assert sorted(got) == [(20, 1, 2, 2.0), (20, 2, 2, 2.0), (20, 3, 1, -1.0)]
+
+
 def test_probing_finds_every_code_in_the_radius():
     rnd = np.random.default_rng(3)
     codes = rnd.integers(0, 1 << 62, 3000, dtype=np.uint64)
