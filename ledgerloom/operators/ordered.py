@@ -197,7 +197,10 @@ def rolling(
 
     ``time`` is a whole number (microseconds), ``column`` a whole number or
     decimal so the sums are exact; the result has the type of the column's sum.
-    Rows at the same time count for each other. For a hot key each row is turned
+    Rows at the same time count for each other. A frame's sum is the running sum
+    up to its end less the one before its start: Spark adds each row to a running
+    sum once, but adds up a sliding frame anew for each row, which is quadratic in
+    the rows of a key. For a hot key each row is turned
     into an entry (+v when it comes into the frame) and an exit (-v when it
     leaves), and the frame sum is a running sum.
     """
@@ -207,18 +210,29 @@ def rolling(
             raise ValueError(f"{f.name}: {f.dataType.simpleString()} sums are not exact")
     plain, hot, _ = split_hot(df, keys, hot_rows or HOT_ROWS)
     order = Window.partitionBy(*keys).orderBy(time)
+    totals = {}
     for out, (c, back, until) in frames.items():
-        total = F.sum(c).over(order.rangeBetween(-back, -until)).cast(types[out].dataType)
-        plain = plain.withColumn(out, F.coalesce(total, F.lit(0).cast(types[out].dataType)))
+        v, kind = (F.col(c) if isinstance(c, str) else c), types[out].dataType
+        # Running sums may outgrow the type of the frame's sum.
+        v, zero = v.cast(_wide(kind)), F.lit(0).cast(_wide(kind))
+        upto = lambda at: F.coalesce(F.sum(v).over(order.rangeBetween(Window.unboundedPreceding, -at)), zero)
+        # Rows without a time are peers of each other and come first, so all frames before hold them.
+        earlier = F.when(F.col(time).isNull(), zero).otherwise(upto(back + 1))
+        totals[out] = (upto(until) - earlier).cast(kind)
+    plain = plain.withColumns(totals)
     if hot is None:
         return plain
     return plain.unionByName(_rolling_hot(hot, keys, time, tie, frames, types, hot_rows))
 
 
+def _wide(kind) -> str:
+    return f"decimal(38,{getattr(kind, 'scale', 0)})"
+
+
 def _rolling_hot(df: DataFrame, keys: list[str], time: str, tie: str, frames: dict[str, tuple], types, hot_rows: int | None) -> DataFrame:
     """``rolling`` for hot keys, by running sums of entries and exits."""
     names = list(frames)
-    wide = {n: f"decimal(38,{getattr(types[n].dataType, 'scale', 0)})" for n in names}
+    wide = {n: _wide(types[n].dataType) for n in names}
     probe = df.withColumn("_at", F.col(time)).withColumn("_step", F.lit(1))
     for n in names:
         probe = probe.withColumn(f"_v_{n}", F.lit(0).cast(wide[n]))

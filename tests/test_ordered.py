@@ -58,6 +58,21 @@ def test_rolling_frames(skewed):
     assert plain == chunked
 
 
+def test_rolling_adds_each_row_once_a_bound(spark, skewed, capsys):
+    """A frame with a start is added up anew for each row: quadratic in the rows of a key."""
+    odd = skewed.withColumn("t", F.when(F.col("id") % 50 != 0, F.col("t")))
+    r = rolling(odd, ["key"], "t", "id", {"near": ("v", 100, 0), "before": ("v", 300, 101)})
+    r.explain(True)
+    frames = [f.split(")")[0] for f in capsys.readouterr().out.split("specifiedwindowframe(")[1:]]
+    assert frames and all("unboundedpreceding" in f for f in frames)
+    rows = odd.collect()
+    at = lambda key, low, high: sum(o.v or 0 for o in rows if o.key == key and o.t is not None and low <= o.t <= high)
+    none = lambda key: sum(o.v or 0 for o in rows if o.key == key and o.t is None)  # rows without a time are peers
+    for g in r.filter("id % 5 = 0").collect():
+        want = (at(g.key, g.t - 100, g.t), at(g.key, g.t - 300, g.t - 101)) if g.t is not None else (none(g.key), none(g.key))
+        assert (g.near, g.before) == want
+
+
 def test_islands(skewed):
     def make(hot):
         s = OrderedScan(skewed, ["key"], ["t", "id"], hot).prev({"pt": "t"})
