@@ -12,7 +12,7 @@ from ..sources import domain as D
 from ..sources.tables import SCHEMAS, Tables
 from ..streaming import jobs as J, keyed as S
 from . import fraud, hub, office, sensors
-from .registry import CTES, cte, query
+from .registry import cte, query
 
 H = N.HOUR
 
@@ -123,16 +123,15 @@ def _(t: Tables):
     return out.select("op_id", F.coalesce("other_id", F.lit(-1)).alias("other_id"))
 
 
-# As it happens: only the operation before can make a travel impossible.
-cte("x_imp_before", CTES["x_imp"].split(" OR coalesce(")[0] + " AS impossible FROM x_pos")
-cte("x_feat_before", CTES["x_feat"].replace("x_imp ", "x_imp_before "))
-cte("x_score_before", CTES["x_score"].replace("x_feat", "x_feat_before"))
+#: Operations as the fraud rules read them.
+OPS = ("op_id bigint, customer bigint, ts timestamp_ntz, us bigint, shop int, city int, device int, beneficiary int, category int, ip_country string, "
+       "card_present boolean, channel string, amount bigint, is_fraud boolean, is_complaint boolean")
 
 
-@query("t10_stream_scoring", "SELECT op_id, score, reasons FROM x_score_before")
+@query("t10_stream_scoring", "SELECT op_id, score, reasons FROM x_score")
 def _(t: Tables):
     fed = J.feed(D.operations(t), "us", 5, J.work_folder(t.spark, "feed"))
-    return S.drain_keyed(S.score(fed, fraud.balances(t), fraud.P), J.work_folder(t.spark, "score"))
+    return S.newest(S.drain_keyed(S.score(fed, fraud.balances(t), fraud.P, ahead=True), J.work_folder(t.spark, "score")))
 
 
 @query("t11_sync_stream", "SELECT order_id, CASE WHEN order_id % 5 = 0 THEN 'F' ELSE status END AS status, CAST(CASE WHEN order_id % 5 = 0 THEN 2 ELSE 1 END AS INTEGER) AS version FROM x_orders")

@@ -3,7 +3,7 @@
 import time
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from ledgerloom.operators import fraud as R, sensors as N
 from ledgerloom.plans import fraud as RP
@@ -94,6 +94,60 @@ def test_stream_scores_have_the_history_of_the_customer(spark, tables, tmp_path)
     assert sorted(map(tuple, got.collect())) == want and len({w[1] for w in want}) > 3
 
 
+def test_scores_are_revised_when_the_next_operation_is_known(spark, tables, tmp_path):
+    o = D.operations(tables).filter("customer < 8")
+    want = sorted((r.op_id, r.score, "; ".join(r.reasons)) for r in R.score(R.features(o, RP.balances(tables), RP.P), RP.P).collect())
+    fed = J.feed(o, "us", 5, str(tmp_path / "in"))
+    table = S.drain_keyed(S.score(fed, RP.balances(tables), RP.P, ahead=True), J.work_folder(spark, "t"))
+    assert sorted(map(tuple, S.newest(table).collect())) == want
+    assert table.filter("revised = 1").count() > 0 and table.filter("revised = 0").count() == len(want)
+
+
+class Calls:
+    """A handle, its state and its timers in one, which notes what is asked of it."""
+
+    def __init__(self):
+        self.value, self.asked, self.timers = None, [], set()
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        self.asked.append("get")
+        return self.value
+
+    def exists(self):
+        self.asked.append("exists")
+        return self.value is not None
+
+    def update(self, value):
+        self.asked.append("update")
+        self.value = value
+
+    def registerTimer(self, at):
+        self.asked.append("register")
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.asked.append("delete")
+        self.timers.remove(at)
+
+    def listTimers(self):
+        self.asked.append("list")
+        return iter(sorted(self.timers))
+
+
+def test_a_source_costs_four_calls_of_the_state_a_batch():
+    silence, calls = S.Silence(30_000_000), Calls()
+    silence.init(calls)
+    told = []
+    for batch in ([5, 1], [20], [60, 61]):
+        calls.asked.clear()
+        told += [tuple(r) for r in silence.handleInputRows((7,), iter([Row(us=s * 1_000_000) for s in batch]), None)]
+        assert len(calls.asked) <= 4 and calls.timers == {(max(batch) + 30) * 1000}
+    assert told == [(7, 20_000_000, 50_000_000, "reading")]
+
+
 def test_a_sync_reads_only_the_buckets_of_its_batch(spark, tmp_path):
     """Ten batches, each of 40 new keys and new versions of 10 old ones next to them."""
     rows = [(n * 40 + i, n, f"{n}") for n in range(10) for i in range(40)] + [(n * 40 + i - 10, n, f"again {n}") for n in range(1, 10) for i in range(10)]
