@@ -47,15 +47,15 @@ def published(t: Tables, root: str, name: str) -> DataFrame:
 def steps(w: Warehouse) -> dict:
     """Writes staging, from which the rest is read, and returns what comes next; these steps do not depend on each other."""
     t = w.t
-    w.put("staging_lines", D.staged_lines(t))
+    w.put("staging_lines", D.examined_lines(t))
     w.put("staging_orders", D.examined_orders(t, w.get("staging_lines")))
     lines, orders = w.get("staging_lines"), w.get("staging_orders")
     held = D.held_orders(t, orders)
     return {
-        "sales": lambda: w.put("v_sales", D.v_sales(t, staged=lines, examined=orders), True, ("seller_id",)),
+        "sales": lambda: w.put("v_sales", D.v_sales(t, examined=lines), True, ("seller_id",)),
         "orders": lambda: w.put("v_orders", D.v_orders(t, examined=orders), True, ("region",)),
         "held orders": lambda: w.put("quarantine_orders", held),
-        "held lines": lambda: w.put("quarantine_lines", lines.join(held.select("order_id", "reason"), "order_id")),
+        "held lines": lambda: w.put("quarantine_lines", lines.filter("reason IS NOT NULL").select("order_id", "line_seq", *D.LINE_ORDER, "reason")),
     }
 
 

@@ -6,7 +6,7 @@ so a KPI by region does not pay for the product dimension.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.money import cents, money, net, share_of
 from ..operators import quality
@@ -111,7 +111,8 @@ def summarised(of_lines: DataFrame, *more: Column) -> DataFrame:
         .groupBy("order_id")
         .agg(
             F.count("*").alias("n_lines"),
-            F.count_distinct("seller_id").alias("n_sellers"),
+            # A distinct count would send the lines twice; the sellers of an order are few.
+            F.size(F.collect_set("seller_id")).cast("bigint").alias("n_sellers"),
             F.sum("price").alias("items_value"),
             F.sum("freight").alias("freight_value"),
             F.min("ship_date").alias("first_ship"),
@@ -131,6 +132,21 @@ def examined_orders(t: Tables, staged: DataFrame | None = None) -> DataFrame:
     return out.withColumn("reason", quality.quarantine_reason()).drop("has_delivered_line")
 
 
+def examined_lines(t: Tables) -> DataFrame:
+    """Staged lines beside their order and its customer's place, with the ``reason`` where the order contradicts itself.
+
+    The lines are sent by order once, which serves the merging of doubled lines, the facts of the order and the join.
+    Lines without an order stay; ``has_order`` tells them.
+    """
+    pick = F.max(F.struct(*LINE_ORDER)).alias("m")
+    staged = lines(t).repartition("order_id").groupBy("order_id", "line_seq").agg(pick).select("order_id", "line_seq", "m.*")
+    order = Window.partitionBy("order_id")
+    staged = staged.withColumns({"last_ship": F.max("ship_date").over(order), "has_delivered_line": F.coalesce(F.bool_or(F.col("line_status") == "F").over(order), F.lit(False))})
+    placed = with_dimension(orders(t), customers(t).select("customer_id", "state", "region"), "customer_id").withColumn("has_order", F.lit(True))
+    out = staged.join(placed, "order_id", "left").withColumn("has_order", F.coalesce("has_order", F.lit(False)))
+    return out.withColumn("reason", quality.quarantine_reason()).drop("last_ship", "has_delivered_line")
+
+
 def held_orders(t: Tables, examined: DataFrame | None = None) -> DataFrame:
     """Orders in quarantine, with the reason. Their lines and reviews follow them."""
     examined = examined if examined is not None else examined_orders(t)
@@ -148,13 +164,15 @@ def with_dimension(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     return df.join(dimension, key, "left").withColumns(texts)
 
 
-def v_sales(t: Tables, dims: tuple[str, ...] = ("customer", "product", "seller"), staged: DataFrame | None = None,
-            examined: DataFrame | None = None) -> DataFrame:
-    """One row per staged line of the orders that were kept, with the dimensions asked for."""
-    staged = staged if staged is not None else staged_lines(t)
-    out = staged.join(kept_orders(t, examined).select(*orders(t).columns), "order_id")
-    if "customer" in dims:
-        out = with_dimension(out, customers(t).select("customer_id", "state", "region"), "customer_id")
+def v_sales(t: Tables, dims: tuple[str, ...] = ("customer", "product", "seller"), examined: DataFrame | None = None) -> DataFrame:
+    """One row per staged line of the orders that were kept, with the dimensions asked for. ``examined``: lines, see ``examined_lines``."""
+    if examined is not None:
+        out = examined.filter("has_order AND reason IS NULL").drop("has_order", "reason")
+        out = out if "customer" in dims else out.drop("state", "region")
+    else:
+        out = staged_lines(t).join(kept_orders(t).select(*orders(t).columns), "order_id")
+        if "customer" in dims:
+            out = with_dimension(out, customers(t).select("customer_id", "state", "region"), "customer_id")
     if "product" in dims:
         out = with_dimension(out, products(t), "product_id")
     if "seller" in dims:

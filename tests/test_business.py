@@ -230,3 +230,19 @@ def test_unknown_keys_keep_their_rows(spark):
     names = spark.createDataFrame([(7, "ASIA")], "customer_id int, region string")
     got = {r.order_id: r.region for r in D.with_dimension(facts, names, "customer_id").collect()}
     assert got == {1: "ASIA", 2: "unknown"}
+
+
+def test_lines_are_sent_by_order_once_and_know_whether_they_are_held(spark, tables, capsys):
+    held = D.held_orders(tables)
+    want = sorted(map(str, D.staged_lines(tables).join(held.select("order_id", "reason"), "order_id").select("order_id", "line_seq", "price", "reason").collect()))
+    lines = D.examined_lines(tables)
+    assert sorted(map(str, lines.filter("reason IS NOT NULL").select("order_id", "line_seq", "price", "reason").collect())) == want and want
+    a, b = D.v_sales(tables, examined=lines), D.v_sales(tables)
+    assert set(a.columns) == set(b.columns)
+    assert sorted(map(str, a.select(*b.columns).collect())) == sorted(map(str, b.collect()))
+    capsys.readouterr()
+    lines.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning(order_id") <= 2  # the lines and the orders, each once
+    D.summarised(D.lines(tables)).explain()
+    assert capsys.readouterr().out.count("Exchange") == 1
