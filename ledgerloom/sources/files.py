@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -77,20 +78,36 @@ def xml_files(spark: SparkSession, path: str) -> DataFrame:
     return unpacked(spark.read.format("binaryFile").load(path))
 
 
+UNPACKED = 4_000_000  # characters that leave a task together
+
+
+def _texts(pdf: pd.DataFrame) -> Iterator[tuple[str, str]]:
+    for p, content in zip(pdf["path"], pdf["content"]):
+        if p.lower().endswith(".zip"):
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for n in z.namelist():
+                    if n.lower().endswith(".xml"):
+                        yield f"{p}!{n}", z.read(n).decode("utf-8")
+        else:
+            yield p, content.decode("utf-8")
+
+
+def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    # An archive is many times smaller than its texts, so they go out by size and not by batch of files.
+    for pdf in batches:
+        out, size = [], 0
+        for row in _texts(pdf):
+            out.append(row)
+            size += len(row[1])
+            if size >= UNPACKED:
+                yield pd.DataFrame(out, columns=["path", "xml"])
+                out, size = [], 0
+        yield pd.DataFrame(out, columns=["path", "xml"])
+
+
 def unpacked(files: DataFrame) -> DataFrame:
     """(path, xml) of files (path, content): loose XML as it is, archives unpacked; other entries are passed over."""
-    def unpack(batches):
-        for pdf in batches:
-            out = []
-            for p, content in zip(pdf["path"], pdf["content"]):
-                if p.lower().endswith(".zip"):
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        out += [(f"{p}!{n}", z.read(n).decode("utf-8")) for n in z.namelist() if n.lower().endswith(".xml")]
-                else:
-                    out.append((p, content.decode("utf-8")))
-            yield pd.DataFrame(out, columns=["path", "xml"])
-
-    return files.select("path", "content").mapInPandas(unpack, StructType([StructField("path", StringType()), StructField("xml", StringType())]))
+    return files.select("path", "content").mapInPandas(_unpack, StructType([StructField("path", StringType()), StructField("xml", StringType())]))
 
 
 def archives(entries: DataFrame, archive: str) -> DataFrame:

@@ -74,3 +74,22 @@ def test_archives_come_back_as_they_went(spark):
     loose = spark.createDataFrame([("3.xml", bytearray(b"<z/>"))], "path string, content binary")
     got = S.unpacked(S.archives(e, "archive").unionByName(loose)).collect()
     assert sorted(map(tuple, got)) == [("3.xml", "<z/>"), ("a.zip!1.xml", "<x>é</x>"), ("a.zip!2.XML", "<y/>"), ("b.zip!1.xml", "")]
+
+
+def test_archives_are_unpacked_by_size(monkeypatch):
+    """However many archives come in a batch, a task holds few of their texts at a time."""
+    import io
+    import zipfile
+
+    import pandas as pd
+    from ledgerloom.sources import files
+
+    monkeypatch.setattr(files, "UNPACKED", 5_000, raising=False)
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED) as z:
+        for i in range(30):
+            z.writestr(f"{i}.xml", f"{i:1000d}")
+    batch = pd.DataFrame({"path": ["a.zip", "b.zip", "c.xml"], "content": [content.getvalue(), content.getvalue(), b"<x/>"]})
+    parts = list(files._unpack(iter([batch])))
+    assert max(p["xml"].str.len().sum() for p in parts) <= 6_000
+    assert sum(map(len, parts)) == 61 and pd.concat(parts)["path"].is_unique
