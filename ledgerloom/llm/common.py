@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import settle
 
-__all__ = ["settle", "read", "crc_class", "parts_of", "map_rows", "keep_rows"]
+__all__ = ["settle", "read", "crc_class", "parts_of", "map_rows", "keep_rows", "told_apart"]
+
+#: Words of 64 bits of the table by which rows are told apart before a join; it has so many rows at most, whatever the input.
+WORDS = 1 << 18
 
 SCHEMAS = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
@@ -70,3 +73,21 @@ def keep_rows(df: DataFrame, column: str, wanted: Callable[[list], list[bool]],
 
     place = df.columns.index(column)
     return df.mapInArrow(run, df.schema)
+
+
+def told_apart(df: DataFrame, key: Column, few: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` as rows whose ``key`` may be in column ``name`` of ``few``, and rows whose key surely is not.
+
+    Each row is in one of the two. Hashes of the keys of ``few`` set bits in a
+    table of fixed size, which is broadcast; so of a wide table only what a join
+    may concern has to be shuffled. With many keys more rows come out as "may be",
+    and the join that follows stays exact.
+    """
+    word, bit = (lambda h: F.pmod(F.shiftrightunsigned(h, 6), F.lit(WORDS))), (lambda h: h.bitwiseAND(F.lit(63)).cast("int"))
+    own = few.select(F.xxhash64(name).alias("_hash"))
+    table = own.select(word(F.col("_hash")).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("_hash"))).alias("_bit"))
+    table = table.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    hashed = df.withColumn("_hash", F.xxhash64(key)).withColumn("_word", word(F.col("_hash")))
+    maybe = F.coalesce(F.getbit("_bits", bit(F.col("_hash"))) == 1, F.lit(False))
+    marked = hashed.join(F.broadcast(table), "_word", "left")
+    return marked.where(maybe).select(*df.columns), marked.where(~maybe).select(*df.columns)

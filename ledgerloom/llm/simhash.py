@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import map_rows, settle
+from .common import map_rows, settle, told_apart
 
 BITS = 64
 #: Shingles hashed at a time.
@@ -431,7 +431,8 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", radius
                 yield i, least_hashes(found).astype(np.uint16).tobytes(), np.array(found, np.int64).tobytes()
                 seen.clear() if len(seen) > 1_000_000 else seen.add(i)
 
-    sets = map_rows(slim.join(wanted, "page").select("node", "text"), hashed, 100, set, node="bigint", least="binary", hashes="binary")
+    maybe, _ = told_apart(slim, F.col("page"), wanted, "page")  # of the others no text is shuffled
+    sets = map_rows(maybe.join(wanted, "page").select("node", "text"), hashed, 100, set, node="bigint", least="binary", hashes="binary")
     sets = settle(sets.groupBy("node").agg(F.first("least").alias("least"), F.first("hashes").alias("hashes")))
 
     rays = star.groupBy("head").agg(F.ceil(F.count("*") / PIECE).alias("chunks"))

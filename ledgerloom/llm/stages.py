@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import lines, pieces, simhash, tiling, toxicity
-from .common import read, settle
+from .common import read, settle, told_apart
 from .queries import PIECES
 
 
@@ -33,8 +33,9 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> Data
     """Of each group of near-copies, verified at five words and 0.8, the document with the smallest doc_id stays."""
     gone = simhash.near_copies(docs).where(~F.col("kept")).select(F.col("page").alias("gone_page"), F.col("doc_id").alias("gone_id")).distinct()
     gone = settle(gone)
-    same = (simhash.page_of("text") == gone.gone_page) & docs["doc_id"].eqNullSafe(gone.gone_id)
-    return docs.join(gone, same, "left_anti").select(*docs.columns)
+    maybe, stays = told_apart(docs, simhash.page_of("text"), gone, "gone_page")  # texts that surely stay are not shuffled
+    same = (simhash.page_of("text") == gone.gone_page) & maybe["doc_id"].eqNullSafe(gone.gone_id)
+    return stays.unionAll(maybe.join(gone, same, "left_anti").select(*docs.columns))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

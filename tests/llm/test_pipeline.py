@@ -3,8 +3,10 @@
 import re
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from ledgerloom.llm import pieces, queries, stages, tiling, toxicity
-from ledgerloom.llm.common import read
+from ledgerloom.llm.common import read, told_apart
 
 from test_text_operators import ODD, brute_groups, table
 
@@ -47,3 +49,14 @@ def test_the_run_equals_its_stages_by_hand(spark):
     assert set(got) == set(texts) and 0 < len(got) < len(docs)
     for k, t in texts.items():
         assert got[k].ids == [model.begin, *model.encode(t), model.end] and got[k].decoded == t.replace("▁", " ")
+
+
+def test_texts_that_no_join_concerns_are_told_apart(spark):
+    few = spark.range(0, 3000, 3).selectExpr("md5(cast(id as string)) as name")
+    docs = spark.range(20_000).selectExpr("id", "md5(cast(id as string)) as text", "1 as _x").unionAll(spark.sql("SELECT -1L, NULL, 1"))
+    maybe, surely_not = told_apart(docs, F.col("text"), few, "name")
+    assert maybe.columns == surely_not.columns == docs.columns
+    a, b = ([r.id for r in x.collect()] for x in (maybe, surely_not))
+    assert sorted(a + b) == list(range(-1, 20_000)) and set(range(0, 3000, 3)) <= set(a) and len(a) < 1200
+    maybe, surely_not = told_apart(docs, F.col("text"), few.limit(0), "name")
+    assert maybe.isEmpty() and surely_not.count() == 20_001
