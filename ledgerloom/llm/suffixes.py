@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
@@ -25,6 +26,8 @@ from .kneser import Powers, mixed
 LENGTH, GRAM = 100, 48
 #: Bytes that are hashed at a time; a longer text is cut into such segments, which overlap by a window.
 SEGMENT = 2_000_000
+#: Bytes whose hashes are computed together, as far as texts are shorter; their arrays stay in a core's cache.
+BLOCK = 250_000
 #: Bytes of surroundings whose suffixes are sorted together, and of one shard of them.
 MERGED, SHARD = 500_000, 100_000
 #: Different surroundings from which an anchor is hot: its windows are compared by hash, spread over all tasks.
@@ -93,6 +96,17 @@ def _segments(keys: list[int], texts: list[bytes], length: int) -> Iterator[tupl
         yield heads, bodies
 
 
+def _by_blocks(bodies: list[bytes], bounds: np.ndarray, length: int) -> list[np.ndarray]:
+    """``anchors`` of joined texts, some whole texts at a time."""
+    found, k = [], 0
+    while k < len(bodies):
+        stop = max(k + 1, int(np.searchsorted(bounds, bounds[k] + BLOCK, "right")) - 1)
+        h, whole, *places = anchors(np.frombuffer(b"".join(bodies[k:stop]), np.uint8), length, min(GRAM, length), bounds[k : stop + 1] - bounds[k])
+        found.append((h, whole, *(p + bounds[k] for p in places)))
+        k = stop
+    return [np.concatenate(x) for x in zip(*found)]
+
+
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     """(key, body) to rows done, anchor, whole, key, at: ``at`` packs the first window and how far anchor and last window lie behind it.
 
@@ -106,7 +120,7 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
             texts = [expand(x) for x in batch.column(1).to_pylist()]
             for heads, bodies in _segments(batch.column(0).to_pylist(), texts, length):
                 bounds = np.concatenate([[0], np.cumsum([len(b) for b in bodies])])
-                h, whole, a, first, last = anchors(np.frombuffer(b"".join(bodies), np.uint8), length, min(GRAM, length), bounds)
+                h, whole, a, first, last = _by_blocks(bodies, bounds, length)
                 which = np.searchsorted(bounds, first, "right") - 1
                 keys, places = np.array([x[0] for x in heads]), np.array([x[1] for x in heads])
                 at = (first - bounds[which] + places[which]) << 16 | (a - first) << 8 | (last - first)
@@ -170,14 +184,24 @@ def _kind(kind: int, rows: np.ndarray) -> pa.RecordBatch:
         "key": pa.array(rows[:, 2], pa.int64()), "at": pa.array(rows[:, 3], pa.int64())})
 
 
-STEP = 4  # bytes that stand for one symbol of a transform
+STEP = 8  # bytes that stand for one symbol of a transform
+
+
+def _order(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order of keys of ``bits`` bits, and the keys in it; where key and place fit into 64 bits, they are sorted as one number."""
+    place = max(1, len(key) - 1).bit_length()
+    if bits + place > 64:
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    both = np.sort(key << np.uint64(place) | np.arange(len(key), dtype=np.uint64))
+    return (both & np.uint64((1 << place) - 1)).astype(np.int64), both >> np.uint64(place)
 
 
 def shard_transform(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of all rotations of the pieces of a shard, and the ``STEP`` bytes before each: its transform.
 
     ``bounds`` says where the pieces begin, and the end; each ends with a zero.
-    Ranks begin with eight bytes and are doubled until they reach over the longest
+    Ranks begin with four bytes and are doubled until they reach over the longest
     piece; equal rotations stay in order of their place.
     """
     n, size = len(text), np.diff(bounds)
@@ -188,21 +212,21 @@ def shard_transform(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, n
         return begin + (at + k) % long
 
     key = text.astype(np.uint64)
-    for k in (1, 2, 4):
+    for k in (1, 2):
         key = key << np.uint64(8 * k) | key[behind(k)]
-    step = 8
+    step, bits, wide = 4, 32, n.bit_length()
     while True:
-        order = np.argsort(key, kind="stable")
-        ends = key[order][1:] != key[order][:-1]
+        order, sorted_key = _order(key, bits)
+        ends = sorted_key[1:] != sorted_key[:-1]
         rank = np.empty(n, np.uint64)
         rank[order] = np.concatenate([[0], np.cumsum(ends)])
         if step >= size.max() or ends.all():
             break
-        key = rank << np.uint64(32) | rank[behind(step)]
+        key, bits = rank << np.uint64(wide) | rank[behind(step)], 2 * wide
         step *= 2
-    before = np.zeros(n, np.uint32)
+    before = np.zeros(n, np.uint64)
     for k in range(STEP, 0, -1):
-        before = before << np.uint32(8) | text[behind(-k)]
+        before = before << np.uint64(8) | text[behind(-k)]
     return order, before[order]
 
 
@@ -213,26 +237,34 @@ def merge(transforms: list[np.ndarray], length: int) -> tuple[np.ndarray, np.nda
     the symbol before them, in order; after k rounds the interleaving is right for
     k symbols. Where an entry's symbol or its old interval differs from its
     neighbour's, an interval of common prefixes ends. No suffix is compared. Bytes
-    that ``length`` has over a multiple of ``STEP`` are taken one by one.
+    that ``length`` has over a multiple of ``STEP`` are a shorter symbol of the last round.
 
     Returns the shard of each entry, and the number of its interval.
     """
     joined = np.concatenate(transforms)
-    kinds, ranks = np.unique(joined, return_inverse=True)
-    ranks = ranks.astype(np.uint16 if len(kinds) <= 1 << 16 else np.uint32)  # small symbols are dealt out by counting
-    last = (joined & np.uint32(255)).astype(np.uint8)
+    rounds = [(_ranks(joined), length // STEP)]
+    if more := length % STEP:
+        rounds.append((_ranks(joined & np.uint64((1 << 8 * more) - 1)), 1))
     z = np.repeat(np.arange(len(transforms), dtype=np.uint8 if len(transforms) <= 256 else np.uint32), [len(t) for t in transforms])
     interval = np.zeros(len(z), np.int32)
-    for flat in [ranks] * (length // STEP) + [last] * (length % STEP):
-        symbols = np.empty_like(flat)
-        symbols[np.argsort(z, kind="stable")] = flat  # each shard's symbols, in its own order
-        order = np.argsort(symbols, kind="stable")
-        z, interval, dealt = z[order], interval[order], symbols[order]
-        ends = (dealt[1:] != dealt[:-1]) | (interval[1:] != interval[:-1])
-        interval = np.concatenate([[0], np.cumsum(ends, dtype=np.int32)]).astype(np.int32)
+    for (flat, bits), times in rounds:
+        for _ in range(times):
+            symbols = np.empty_like(flat)
+            symbols[np.argsort(z, kind="stable")] = flat  # each shard's symbols, in its own order
+            order, dealt = _order(symbols, bits)
+            z, interval = z[order], interval[order]
+            ends = (dealt[1:] != dealt[:-1]) | (interval[1:] != interval[:-1])
+            interval[0] = 0
+            np.cumsum(ends, dtype=np.int32, out=interval[1:])
     return z, interval
 
 
+def _ranks(symbols: np.ndarray) -> tuple[np.ndarray, int]:
+    """Symbols as numbers in their order without gaps, and the bits of the largest."""
+    kinds, ranks = np.unique(symbols, return_inverse=True)
+    return ranks.astype(np.uint64), len(kinds).bit_length()
+
+
 def repeats(pieces: list[bytes], keys: np.ndarray, places: np.ndarray, windows: np.ndarray, length: int,
             shard: int = SHARD) -> tuple[np.ndarray, np.ndarray]:
     """Windows of the pieces that also start earlier, as (piece, offset); the first ``windows`` of a piece are asked.
@@ -400,14 +432,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         expand = zstandard.ZstdDecompressor().decompress
         for batch in _sliced(batches, 200):
             rows = []
-            for k, body, found in zip(*(c.to_pylist() for c in batch.columns)):
-                whole = expand(body)
-                kept, removed, count, at = [], 0, 0, 0
-                for start, stop in _united([(s["start"], s["stop"]) for s in found or ()], len(whole)):
+            bodies = [expand(x) for x in batch.column(1).to_pylist()]
+            for k, whole, spans in zip(batch.column(0).to_pylist(), bodies, _united(batch.column(2), [len(x) for x in bodies])):
+                kept, removed, at = [], 0, 0
+                for start, stop in spans:
                     kept.append(whole[at:start])
-                    removed, count, at = removed + stop - start, count + 1, stop
+                    removed, at = removed + stop - start, stop
                 kept = b"".join([*kept, whole[at:]])
-                rows.append((k, len(whole), removed, count, hashlib.sha256(kept).hexdigest(), *([kept] if texts else [])))
+                rows.append((k, len(whole), removed, len(spans), hashlib.sha256(kept).hexdigest(), *([kept] if texts else [])))
             columns = zip(*rows) if rows else [[]] * (5 + texts)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + texts]
@@ -418,17 +450,22 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     return joined.mapInArrow(cut, schema)
 
 
-def _united(spans: list[tuple[int, int]], size: int) -> Iterator[tuple[int, int]]:
-    begin = end = None
-    for start, stop in sorted(spans):
-        stop = min(stop, size)
-        if start >= size:
-            break
-        if end is None or start > end:
-            if end is not None:
-                yield begin, end
-            begin, end = start, stop
-        else:
-            end = max(end, stop)
-    if end is not None:
-        yield begin, end
+def _united(spans: pa.Array, sizes: list[int]) -> list[list[tuple[int, int]]]:
+    """The maximal runs that the spans (lists of start and stop; null: none) of each text cover, in order, up to the text's end."""
+    size = np.array(sizes, np.int64)
+    row = np.repeat(np.arange(len(size)), pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False))
+    flat = spans.flatten()
+    start, stop = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+    inside = start < size[row]
+    row, start, stop = row[inside], start[inside], np.minimum(stop, size[row])[inside]
+    out: list[list[tuple[int, int]]] = [[] for _ in sizes]
+    if len(row):
+        base = np.concatenate([[0], np.cumsum(size + 2)])[row]  # texts lie behind each other, apart
+        order = np.argsort(base + start, kind="stable")
+        row, base, start, stop = row[order], base[order], start[order], stop[order]
+        reach = np.maximum.accumulate(base + stop)
+        head = np.flatnonzero(np.concatenate([[True], base[1:] + start[1:] > reach[:-1]]))
+        last = np.append(head[1:], len(row)) - 1
+        for r, a, b in zip(row[head].tolist(), start[head].tolist(), (reach[last] - base[last]).tolist()):
+            out[r].append((a, b))
+    return out

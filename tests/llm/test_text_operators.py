@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -221,6 +222,41 @@ def test_rows_that_share_a_key_are_texts_of_their_own(spark):
     assert left == sorted([(len(a + b), ""), (len(c + d), ""), (len(c + d), ""), (len(e), e)])
 
 
+def test_blocks_of_texts_have_the_anchors_of_all(monkeypatch):
+    rnd = random.Random(9)
+    bodies = [prose(rnd, rnd.randint(0, 60)).encode() for _ in range(40)]
+    bounds = np.concatenate([[0], np.cumsum([len(b) for b in bodies])])
+    want = suffixes.anchors(np.frombuffer(b"".join(bodies), np.uint8), 30, 30, bounds)
+    for block in (1, 100, 700, 10**6):
+        monkeypatch.setattr(suffixes, "BLOCK", block)
+        assert all(np.array_equal(a, b) for a, b in zip(want, suffixes._by_blocks(bodies, bounds, 30)))
+
+
+def test_transform_orders_as_comparing_does_with_symbols_of_eight_bytes():
+    rnd = random.Random(10)
+    for n in (1, 3, 12):
+        pieces = [bytes(rnd.choice(b"ab") for _ in range(rnd.randint(0, 40))) + b"\0" for _ in range(n)]
+        text, bounds = np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
+        order, before = suffixes.shard_transform(text, bounds)
+        turned = [(p * (1 + 300 // len(p)))[i:] for p in pieces for i in range(len(p))]
+        assert [turned[k][:200] for k in order] == sorted(x[:200] for x in turned)
+        for k, b in zip(order, before):
+            p = pieces[i := int(np.searchsorted(bounds, k, "right")) - 1]
+            assert int(b).to_bytes(8, "big") == (p * 9 + p[: k - bounds[i]])[-8:]
+    order, keys = suffixes._order(np.array([2**63, 5, 2**63, 0], np.uint64), 64)
+    assert order.tolist() == [3, 1, 0, 2] and keys.tolist() == [0, 5, 2**63, 2**63]
+
+
+def test_spans_of_a_text_are_united_up_to_its_end():
+    spans = [[], None, [(50, 60), (3, 9), (9, 12), (55, 70)], [(0, 100), (20, 30)], [(200, 300)], [(13, 14)]]
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    column = pa.array([x and [{"start": a, "stop": b} for a, b in x] for x in spans], kind)
+    want = [[], [], [(3, 12), (50, 65)], [(0, 100)], [], [(13, 14)]]
+    sizes = [10, 10, 65, 100, 200, 14]
+    assert suffixes._united(column, sizes) == want
+    assert suffixes._united(column.slice(2, 3), sizes[2:5]) == want[2:5]
+
+
 def test_merge_orders_all_suffixes():
     rnd = random.Random(8)
     parts = [bytes(rnd.choice(b"ab") for _ in range(rnd.randint(6, 30))) for _ in range(12)]
