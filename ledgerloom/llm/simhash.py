@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import map_rows, settle, told_apart
+from .common import ARROW, map_rows, settle, told_apart
 
 BITS = 64
 #: Shingles hashed at a time.
@@ -310,22 +311,39 @@ class Cell:
     """Texts of one key: those of side 0 are compared with those of side 1, or with each other where there are none."""
 
     def __init__(self, rows: dict[str, list]):
-        self.node, self.root = np.array(rows["node"], np.int64), np.array(rows["root"], np.int64)
-        self.hashes = [np.frombuffer(b, np.int64) for b in rows["hashes"]]
-        self.n = np.array([len(h) for h in self.hashes])
+        self.node, self.root, self.n = (np.array(rows[name], np.int64) for name in ("node", "root", "n"))
+        self.hashes = [np.frombuffer(b, np.int64) for b in rows.get("hashes", ())]
         self.least = np.frombuffer(b"".join(rows["least"]), np.uint16).reshape(len(self.node), -1)
-        side = np.array(rows["side"])
-        self.left, self.right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        self.side = np.array(rows["side"])
+        self.left, self.right = np.flatnonzero(self.side == 0), np.flatnonzero(self.side == 1)
+
+    def tasks(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each text of side 0 and those it is to be compared with."""
+        for k, i in enumerate(self.left):
+            yield i, self.right if len(self.right) else self.left[k + 1 :]
+
+    def alike(self, i: int, others: np.ndarray, similarity: float) -> np.ndarray:
+        """Those of ``others`` with another root that sizes and least hashes do not rule out."""
+        fits = np.minimum(self.n[others], self.n[i]) >= similarity * np.maximum(self.n[others], self.n[i])
+        others = others[fits & (self.root[others] != self.root[i])]
+        return others[(self.least[others] == self.least[i]).sum(1) >= ALIKE]
+
+    def open(self, similarity: float) -> list[np.ndarray]:
+        """Texts that are alike with another one, in sets with no alike pair between two of them; asks for no shingles."""
+        least, found = np.arange(len(self.node)), np.zeros(len(self.node), bool)
+        for i, others in self.tasks():
+            others = self.alike(i, others, similarity)
+            if len(others):
+                found[i] = found[others] = True
+                joined = np.append(least[others], least[i])
+                least[np.isin(least, joined)] = joined.min()
+        return [np.flatnonzero(found & (least == k)) for k in np.unique(least[found])]
 
     def links(self, similarity: float) -> list[tuple[int, int]]:
         """Links that join what is not joined yet; texts of one root are not compared."""
-        found, alone = [], not len(self.right)
-        for k, i in enumerate(self.left):
-            others = self.left[k + 1 :] if alone else self.right
-            fits = np.minimum(self.n[others], self.n[i]) >= similarity * np.maximum(self.n[others], self.n[i])
-            others = others[fits & (self.root[others] != self.root[i])]
-            others = others[(self.least[others] == self.least[i]).sum(1) >= ALIKE]
-            for j in others:
+        found = []
+        for i, others in self.tasks():
+            for j in self.alike(i, others, similarity):
                 if self.root[j] != self.root[i]:
                     common = len(np.intersect1d(self.hashes[i], self.hashes[j], assume_unique=True))
                     if common >= similarity * (self.n[i] + self.n[j] - common):
@@ -334,28 +352,71 @@ class Cell:
         return found
 
 
-def compared(rows: DataFrame, key: list[str], similarity: float) -> DataFrame:
-    """Links a > b found in the cells of ``key``: rows with side, node, root, least and hashes, of at most two pieces a cell."""
-    names = [*key, "side", "node", "root", "least", "hashes"]
+def _by_cell(rows: DataFrame, key: list[str], of: Callable[[Cell], dict[str, list]], **columns: str) -> DataFrame:
+    """What ``of`` makes of the texts of each cell; a cell holds two pieces at most."""
+    names, schema = rows.columns, pa.schema([(name, ARROW[kind]) for name, kind in columns.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, cell = None, {n: [] for n in names}
 
-        def done() -> pa.RecordBatch:
-            pairs = Cell(cell).links(similarity) if len(cell["node"]) > 1 else []
-            return pa.RecordBatch.from_pydict({"a": pa.array([max(p) for p in pairs], pa.int64()), "b": pa.array([min(p) for p in pairs], pa.int64())})
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(cell["node"]) > 1:
+                yield pa.RecordBatch.from_pydict(of(Cell(cell)), schema)
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[: len(key)] != now:
-                    yield done()
+                    yield from done()
                     now, cell = row[: len(key)], {n: [] for n in names}
                 for n, v in zip(names, row):
                     cell[n].append(v)
-        yield done()
+        yield from done()
+
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, ", ".join(f"{n} {k}" for n, k in columns.items()))
+
+
+def _gathered(sets: DataFrame) -> DataFrame:
+    """Fewer cells in which all texts of each set meet: cell, side, node, root of sets with cell, low, side, node, root.
+
+    Sets that share a text come under one name, by the least text two steps away.
+    Of one name the texts make one cell, each text once, unless they are more
+    than two pieces; those sets stay cells of their own.
+    """
+    near = sets.groupBy("node").agg(F.min("low").alias("near"))
+    name = sets.join(near, "node").groupBy("cell").agg(F.min("near").alias("name"))
+    named = settle(sets.join(name, "cell"))
+    texts = named.select("name", "node", "root").distinct()
+    small = texts.groupBy("name").agg(F.count("*").alias("of")).where(F.col("of") <= 2 * PIECE).select("name")
+    one = texts.join(small, "name").select(F.col("name").cast("string").alias("cell"), F.lit(0).alias("side"), "node", "root")
+    return one.unionAll(named.join(small, "name", "left_anti").select("cell", "side", "node", "root"))
+
+
+def compared(rows: DataFrame, key: list[str], sets: DataFrame, similarity: float) -> DataFrame:
+    """Links a > b found in the cells of ``key``: rows with side, node and root, of at most two pieces a cell.
+
+    Sizes and least hashes are sent to the cells first. Only texts that these
+    leave open are sent again, with the hashes of their shingles. Sets of open
+    texts overlap, as one pair is in several cells; see ``_gathered``.
+    """
+    def left_open(cell: Cell) -> dict[str, list]:
+        out = {"cell": [], "low": [], "side": [], "node": [], "root": []}
+        for at in cell.open(similarity):
+            at = at[np.lexsort((cell.node[at], cell.side[at]))]
+            name = hashlib.md5(cell.side[at].astype(np.int64).tobytes() + cell.node[at].tobytes()).hexdigest()
+            for n, v in (("cell", [name] * len(at)), ("low", [cell.node[at].min()] * len(at)), *((n, getattr(cell, n)[at]) for n in ("side", "node", "root"))):
+                out[n].extend(v)
+        return out
+
+    def linked(cell: Cell) -> dict[str, list]:
+        pairs = cell.links(similarity)
+        return {"a": [max(p) for p in pairs], "b": [min(p) for p in pairs]}
 
-    rows = rows.select(*names).repartition(*key).sortWithinPartitions(*key)
-    return rows.mapInArrow(run, "a bigint, b bigint").where("a <> b").distinct()
+    light = rows.select(*key, "side", "node", "root").join(sets.select("node", "n", "least"), "node")
+    light = light.select(*key, "side", "node", "root", "n", "least")
+    left = settle(_gathered(settle(_by_cell(light, key, left_open, cell="string", low="bigint", side="int", node="bigint", root="bigint").distinct())))
+    some, _ = told_apart(sets, F.col("node"), left, "node")  # of the others no hashes are shuffled
+    whole = left.join(some, "node").select("cell", "side", "node", "root", "n", "least", "hashes")
+    return _by_cell(whole, ["cell"], linked, a="bigint", b="bigint").distinct()
 
 
 def _dealt(bands: DataFrame) -> DataFrame:
@@ -411,7 +472,8 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", radius
     nodes = settle(marked.groupBy("page").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), first_id.alias("first"))
                    .withColumn("node", F.monotonically_increasing_id()))
     shared = nodes.select(F.explode("bands").alias("band"), "node")
-    heads = shared.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("of")).where("of > 1").select("band", "head")
+    heads = settle(shared.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("of")).where("of > 1").select("band", "head"))
+    shared, _ = told_apart(shared, F.col("band"), heads, "band")  # most bands hold one text and are not shuffled again
     crowded = settle(shared.join(heads, "band"))
 
     equal = nodes.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("of"))
@@ -428,25 +490,25 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", radius
         for i, t in zip(ids, texts):
             if i not in seen:  # of equal texts, one for each task
                 found = shingles(t, words)
-                yield i, least_hashes(found).astype(np.uint16).tobytes(), np.array(found, np.int64).tobytes()
+                yield i, len(found), least_hashes(found).astype(np.uint16).tobytes(), np.array(found, np.int64).tobytes()
                 seen.clear() if len(seen) > 1_000_000 else seen.add(i)
 
     maybe, _ = told_apart(slim, F.col("page"), wanted, "page")  # of the others no text is shuffled
-    sets = map_rows(maybe.join(wanted, "page").select("node", "text"), hashed, 100, set, node="bigint", least="binary", hashes="binary")
-    sets = settle(sets.groupBy("node").agg(F.first("least").alias("least"), F.first("hashes").alias("hashes")))
+    sets = map_rows(maybe.join(wanted, "page").select("node", "text"), hashed, 100, set, node="bigint", n="bigint", least="binary", hashes="binary")
+    sets = settle(sets.groupBy("node").agg(*(F.first(name).alias(name) for name in ("n", "least", "hashes"))))
 
     rays = star.groupBy("head").agg(F.ceil(F.count("*") / PIECE).alias("chunks"))
     spread = star.join(rays, "head").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks")))
     centres = rays.select("head", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), F.col("head").alias("node"))
     tips = spread.select("head", "chunk", F.lit(1).alias("side"), "node")
-    rows = centres.unionAll(tips).withColumn("root", F.col("node")).join(sets, "node")
-    alike = settle(compared(rows, ["head", "chunk"], similarity))
+    rows = centres.unionAll(tips).withColumn("root", F.col("node"))
+    alike = settle(compared(rows, ["head", "chunk"], sets, similarity))
     joined = components(alike)
 
     now = settle(crowded.select("band", "node").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")))
     mixed = now.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    rows = _dealt(settle(now.join(mixed, "band", "left_semi"))).join(sets, "node")
-    more = settle(compared(rows, ["band", "g", "p", "h", "q"], similarity))
+    rows = _dealt(settle(now.join(mixed, "band", "left_semi")))
+    more = settle(compared(rows, ["band", "g", "p", "h", "q"], sets, similarity))
     found = joined if more.isEmpty() else components(alike.unionAll(more))
     member = nodes.select("page", "node", "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = member.groupBy("root").agg(F.min("first").alias("first"))

@@ -537,6 +537,39 @@ def test_texts_under_one_id_are_judged_apart(spark):
     assert got == sorted([(1, 1, True), (5, 1, False), (5, 5, True), (None, 5, False), (None, None, True), (7, 1, False), (7, 1, False)], key=str)
 
 
+def test_shingles_are_sent_once_for_all_bands_that_texts_share(spark, monkeypatch):
+    rnd = random.Random(33)
+    texts = []
+    for k in range(12):  # 0.6 to 0.8 alike
+        base = [f"w{rnd.randrange(9999)}" for _ in range(200)]
+        for _ in range(6):
+            words = list(base)
+            for at in rnd.sample(range(200), 3):
+                words[at] = f"v{rnd.randrange(9999)}"
+            texts.append(" ".join(words))
+    frame, sent = type(spark.range(1)), []
+    deal = frame.repartition
+
+    def counted(df, *by):
+        if "hashes" in df.columns:
+            sent.append(df.count())
+        return deal(df, *by)
+
+    monkeypatch.setattr(frame, "repartition", counted)
+    got = {r.doc_id: r.keep for r in simhash.near_copies(table(spark, texts)).collect()}
+    assert got == brute_groups(dict(enumerate(texts))) and max(sent) <= len(texts)
+
+
+def test_sets_of_open_texts_meet_in_few_cells(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PIECE", 3)
+    sets = {"a": [1, 2], "b": [1, 2, 3], "c": [3, 4], "d": [8, 9], "e": list(range(20, 29)), "f": [20, 29]}
+    rows = [(k, min(v), 0, n, n) for k, v in sets.items() for n in v]
+    out = {}
+    for r in simhash._gathered(spark.createDataFrame(rows, "cell string, low bigint, side int, node bigint, root bigint")).collect():
+        out.setdefault(r.cell, []).append(r.node)
+    assert sorted(map(sorted, out.values())) == [[1, 2, 3, 4], [8, 9], list(range(20, 29)), [20, 29]]
+
+
 def test_bands_of_families_below_the_threshold_are_compared_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(simhash, "PIECE", 7)
     rnd = random.Random(21)
