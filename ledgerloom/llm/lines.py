@@ -51,7 +51,7 @@ def drop_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio:
     line, which is blank; blank lines are never dropped; null and empty hosts are
     one site; columns of these names in ``docs`` are replaced, others kept.
     """
-    found = settle(boilerplate(docs, host, text, ratio, min_pages))
+    found = settle(boilerplate(docs, host, text, ratio, min_pages), docs.count())
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.coalesce(F.col(host), F.lit("")).alias("site"))
     split = F.split(F.col(f"d.{text}"), "\n")
     kept = F.when(F.col("drop").isNull(), split).otherwise(

@@ -23,6 +23,8 @@ ROWS, BANDS = 4, 24
 ALIKE = 56
 #: Texts compared at a time with as many others.
 PIECE = 256
+#: Rows of a file of nodes, with their bands, and of shingle sets.
+NODES, SETS = 50_000, 5_000
 SALTS, FACTORS = np.random.default_rng(42).integers(0, 1 << 64, (2, ROWS * BANDS), np.uint64)
 
 
@@ -236,14 +238,14 @@ def links(codes: DataFrame, radius: int = 3) -> DataFrame:
     return probes.join(entries, "key").where(near).select("a", "b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, about: int | None = None) -> DataFrame:
     """Connected components of pairs a > b: ``node`` and ``root``, its smallest member, for all nodes but roots.
 
     Large-star and small-star rounds: each node's neighbours are hung on the
     smallest of them, until every component is a star. The rounds grow with the
-    logarithm of the size; each is written to the shared folder.
+    logarithm of the size; each is written to the shared folder (``about``: see ``settle``).
     """
-    now, before = settle(edges), None
+    now, before = settle(edges, about), None
     while True:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
@@ -253,7 +255,7 @@ def components(edges: DataFrame) -> DataFrame:
         hung = large.join(least, "a")
         small = hung.select("a", F.col("m").alias("b")).unionAll(
             hung.where(F.col("b") > F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        now = settle(small)
+        now = settle(small, about)
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -375,7 +377,7 @@ def _by_cell(rows: DataFrame, key: list[str], of: Callable[[Cell], dict[str, lis
     return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, ", ".join(f"{n} {k}" for n, k in columns.items()))
 
 
-def _gathered(sets: DataFrame) -> DataFrame:
+def _gathered(sets: DataFrame, about: int | None = None) -> DataFrame:
     """Fewer cells in which all texts of each set meet: cell, side, node, root of sets with cell, low, side, node, root.
 
     Sets that share a text come under one name, by the least text two steps away.
@@ -384,14 +386,14 @@ def _gathered(sets: DataFrame) -> DataFrame:
     """
     near = sets.groupBy("node").agg(F.min("low").alias("near"))
     name = sets.join(near, "node").groupBy("cell").agg(F.min("near").alias("name"))
-    named = settle(sets.join(name, "cell"))
+    named = settle(sets.join(name, "cell"), about)
     texts = named.select("name", "node", "root").distinct()
-    small = texts.groupBy("name").agg(F.count("*").alias("of")).where(F.col("of") <= 2 * PIECE).select("name")
+    small = settle(texts.groupBy("name").agg(F.count("*").alias("of")).where(F.col("of") <= 2 * PIECE).select("name"), about)
     one = texts.join(small, "name").select(F.col("name").cast("string").alias("cell"), F.lit(0).alias("side"), "node", "root")
     return one.unionAll(named.join(small, "name", "left_anti").select("cell", "side", "node", "root"))
 
 
-def compared(rows: DataFrame, key: list[str], sets: DataFrame, similarity: float) -> DataFrame:
+def compared(rows: DataFrame, key: list[str], sets: DataFrame, similarity: float, about: int) -> DataFrame:
     """Links a > b found in the cells of ``key``: rows with side, node and root, of at most two pieces a cell.
 
     Sizes and least hashes are sent to the cells first. Only texts that these
@@ -413,13 +415,14 @@ def compared(rows: DataFrame, key: list[str], sets: DataFrame, similarity: float
 
     light = rows.select(*key, "side", "node", "root").join(sets.select("node", "n", "least"), "node")
     light = light.select(*key, "side", "node", "root", "n", "least")
-    left = settle(_gathered(settle(_by_cell(light, key, left_open, cell="string", low="bigint", side="int", node="bigint", root="bigint").distinct())))
+    found = settle(_by_cell(light, key, left_open, cell="string", low="bigint", side="int", node="bigint", root="bigint").distinct(), about)
+    left = settle(_gathered(found, about), about)
     some, _ = told_apart(sets, F.col("node"), left, "node")  # of the others no hashes are shuffled
     whole = left.join(some, "node").select("cell", "side", "node", "root", "n", "least", "hashes")
     return _by_cell(whole, ["cell"], linked, a="bigint", b="bigint").distinct()
 
 
-def _dealt(bands: DataFrame) -> DataFrame:
+def _dealt(bands: DataFrame, about: int) -> DataFrame:
     """Cells of bands whose texts have several roots: band, g, p, h, q, side, node, root.
 
     Texts of a root that holds more than a piece of the band are dealt apart from
@@ -427,7 +430,7 @@ def _dealt(bands: DataFrame) -> DataFrame:
     """
     size = bands.groupBy("band", "root").agg(F.count("*").alias("n"))
     size = size.withColumn("g", F.when(F.col("n") > PIECE, F.col("root")).otherwise(F.lit(-1)))
-    group = settle(size.groupBy("band", "g").agg(F.ceil(F.sum("n") / PIECE).alias("pieces")))
+    group = settle(size.groupBy("band", "g").agg(F.ceil(F.sum("n") / PIECE).alias("pieces")), about)
     rows = bands.join(size.select("band", "root", "g"), ["band", "root"]).join(group, ["band", "g"])
     rows = rows.withColumn("p", F.pmod(F.xxhash64("node", F.lit(3)), F.col("pieces"))).drop("pieces")
     piece = group.select("band", "g", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("p"))
@@ -470,21 +473,23 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", radius
     marked = settle(map_rows(slim, run, 100, doc_id="bigint", page="binary", fp="bigint", bands="array<bigint>"))
     first_id = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "page"))
     nodes = settle(marked.groupBy("page").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), first_id.alias("first"))
-                   .withColumn("node", F.monotonically_increasing_id()))
+                   .withColumn("node", F.monotonically_increasing_id()), marked.count(), NODES)
+    n = nodes.count()
+    about = BANDS * n  # rows of tables by band
     shared = nodes.select(F.explode("bands").alias("band"), "node")
-    heads = settle(shared.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("of")).where("of > 1").select("band", "head"))
+    heads = settle(shared.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("of")).where("of > 1").select("band", "head"), about)
     shared, _ = told_apart(shared, F.col("band"), heads, "band")  # most bands hold one text and are not shuffled again
-    crowded = settle(shared.join(heads, "band"))
+    crowded = settle(shared.join(heads, "band"), about)
 
     equal = nodes.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("of"))
-    heads = settle(equal)
+    heads = settle(equal, n)
     a, b = (heads.select(F.col("fp").alias(n), F.col("head").alias(h)) for n, h in (("a", "node"), ("b", "head")))
     across = links(heads.select("fp"), radius).join(a, "a").join(b, "b").select("node", "head")
     same = nodes.select("fp", "node").join(heads.where("of > 1"), "fp").select("node", "head")
-    star = settle(crowded.select("node", "head").unionAll(same).unionAll(across).where("node <> head").distinct())
+    star = settle(crowded.select("node", "head").unionAll(same).unionAll(across).where("node <> head").distinct(), about)
 
     wanted = crowded.select("node").unionAll(star.select("node")).unionAll(star.select("head")).distinct()
-    wanted = settle(nodes.select("page", "node").join(wanted, "node"))
+    wanted = settle(nodes.select("page", "node").join(wanted, "node"), n)
 
     def hashed(seen: set, ids: list, texts: list) -> Iterator[tuple]:
         for i, t in zip(ids, texts):
@@ -495,21 +500,21 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", radius
 
     maybe, _ = told_apart(slim, F.col("page"), wanted, "page")  # of the others no text is shuffled
     sets = map_rows(maybe.join(wanted, "page").select("node", "text"), hashed, 100, set, node="bigint", n="bigint", least="binary", hashes="binary")
-    sets = settle(sets.groupBy("node").agg(*(F.first(name).alias(name) for name in ("n", "least", "hashes"))))
+    sets = settle(sets.groupBy("node").agg(*(F.first(name).alias(name) for name in ("n", "least", "hashes"))), wanted.count(), SETS)
 
     rays = star.groupBy("head").agg(F.ceil(F.count("*") / PIECE).alias("chunks"))
     spread = star.join(rays, "head").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks")))
     centres = rays.select("head", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), F.col("head").alias("node"))
     tips = spread.select("head", "chunk", F.lit(1).alias("side"), "node")
     rows = centres.unionAll(tips).withColumn("root", F.col("node"))
-    alike = settle(compared(rows, ["head", "chunk"], sets, similarity))
-    joined = components(alike)
+    alike = settle(compared(rows, ["head", "chunk"], sets, similarity, about), n)
+    joined = components(alike, n)
 
-    now = settle(crowded.select("band", "node").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    now = settle(crowded.select("band", "node").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node")), about)
     mixed = now.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    rows = _dealt(settle(now.join(mixed, "band", "left_semi")))
-    more = settle(compared(rows, ["band", "g", "p", "h", "q"], sets, similarity))
-    found = joined if more.isEmpty() else components(alike.unionAll(more))
+    rows = _dealt(settle(now.join(mixed, "band", "left_semi"), about), about)
+    more = settle(compared(rows, ["band", "g", "p", "h", "q"], sets, similarity, about), n)
+    found = joined if more.isEmpty() else components(alike.unionAll(more), n)
     member = nodes.select("page", "node", "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = member.groupBy("root").agg(F.min("first").alias("first"))
     member = member.drop("first").join(first, "root").select("page", "first")

@@ -32,7 +32,7 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, folder: str) -> Da
 def one_of_each_group(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Of each group of near-copies, verified at five words and 0.8, the document with the smallest doc_id stays."""
     gone = simhash.near_copies(docs).where(~F.col("kept")).select(F.col("page").alias("gone_page"), F.col("doc_id").alias("gone_id")).distinct()
-    gone = settle(gone)
+    gone = settle(gone, docs.count())
     maybe, stays = told_apart(docs, simhash.page_of("text"), gone, "gone_page")  # texts that surely stay are not shuffled
     same = (simhash.page_of("text") == gone.gone_page) & maybe["doc_id"].eqNullSafe(gone.gone_id)
     return stays.unionAll(maybe.join(gone, same, "left_anti").select(*docs.columns))

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+#: Rows of a file, where a table is written in files of a size.
+FILE_ROWS = 250_000
+
 
 def local_session(cpus: int | str = 8, app: str = "ledgerloom", memory: str = "8g") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
@@ -50,15 +53,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, about: int | None = None, file_rows: int = FILE_ROWS) -> DataFrame:
     """Write an intermediate table once and go on from the written copy.
 
     For results that several later steps read (a series table, the judged
     series), so the facts behind them are read once. The copy lies in the shared
     checkpoint folder and survives the loss of executors; its retention is the
     folder's.
+
+    Where it is known that there are ``about`` so many rows at most, the last step
+    runs in tasks for ``file_rows`` each, one for each core at least, and not in as
+    many as a shuffle has. Each file costs a listing and, on a local disk, a process
+    of the executor's for each of its permissions, so small tables want few.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/settled/{uuid.uuid4().hex}"
+    if about is not None:
+        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-about // file_rows)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -60,3 +60,22 @@ def test_texts_that_no_join_concerns_are_told_apart(spark):
     assert sorted(a + b) == list(range(-1, 20_000)) and set(range(0, 3000, 3)) <= set(a) and len(a) < 1200
     maybe, surely_not = told_apart(docs, F.col("text"), few.limit(0), "name")
     assert maybe.isEmpty() and surely_not.count() == 20_001
+
+
+def test_small_tables_of_near_dedup_are_few_files(spark, monkeypatch):
+    """As many files as there are rows for, not as a shuffle has partitions: each one costs a listing and processes of the executor's."""
+    written, write = [], type(spark.range(0).write).parquet
+    monkeypatch.setattr(type(spark.range(0).write), "parquet", lambda self, path, *a, **b: (written.append(path), write(self, path, *a, **b))[1])
+    text = " ".join(f"word{k}" for k in range(60))
+    docs = table(spark, [(k, f"{text} {'more ' * (k % 3)}{k // 6}") for k in range(60)])
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 40)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        kept = {r.doc_id for r in stages.one_of_each_group(spark, docs, SF).collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert kept == {k for k, root in brute_groups({r.doc_id: r.text for r in docs.collect()}).items() if k == root} and len(kept) < 60
+    files = [len(spark.read.parquet(p).inputFiles()) for p in written]
+    assert len(files) > 10 and max(files) <= spark.sparkContext.defaultParallelism, files
