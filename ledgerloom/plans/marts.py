@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import quality as Q
+from ..session import setting, shuffles_deleted
 from ..sources import domain as D, sinks as W
 from ..sources.tables import Tables
 
@@ -20,15 +22,27 @@ class Warehouse:
         self.opened: dict[str, DataFrame] = {}
         self.build = f"{root}/build-{uuid.uuid4().hex}"
 
-    def put(self, name: str, df: DataFrame, monthly: bool = False, order: tuple[str, ...] = ()) -> None:
+    def put(self, name: str, df: DataFrame, monthly: bool = False, order: tuple[str, ...] = (), at: Column | None = None,
+            later: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+        """Writes ``df``, or what ``later`` makes of it after it is sent by month (``at``)."""
         path = f"{self.build}/{name}"
         if monthly:
-            W.write_monthly(df, path, order=order)
+            W.write_monthly(df, path, order=order, at=at, later=later)
         else:
             df.write.mode("overwrite").parquet(path)
-        self.schemas[name] = df.schema
+        self.schemas[name] = later(df).schema
         self.opened.pop(name, None)
 
+    def put_staging(self, df: DataFrame) -> None:
+        """``examined`` in one pass as two tables, staging_lines and staging_orders, each with its own columns."""
+        # Both files of a task are open at a time, so its rows need no sorting by table.
+        with setting(self.t.spark, "spark.sql.maxConcurrentOutputFileWriters", str(len(D.STAGING))):
+            df.write.partitionBy("grain").parquet(f"{self.build}/staging")
+        for grain, columns in D.STAGING.items():
+            name = f"staging_{grain}"
+            self.schemas[name] = df.select(*columns).schema
+            self.opened[name] = self.t.spark.read.schema(self.schemas[name]).parquet(f"{self.build}/staging/grain={grain}")
+
     def get(self, name: str) -> DataFrame:
         """A written table. A build is never changed once written, so its folders are listed once and not by each reader."""
         if name not in self.opened:
@@ -47,13 +61,12 @@ def published(t: Tables, root: str, name: str) -> DataFrame:
 def steps(w: Warehouse) -> dict:
     """Writes staging, from which the rest is read, and returns what comes next; these steps do not depend on each other."""
     t = w.t
-    w.put("staging_lines", D.examined_lines(t))
-    w.put("staging_orders", D.examined_orders(t, w.get("staging_lines")))
+    w.put_staging(D.examined(t))
     lines, orders = w.get("staging_lines"), w.get("staging_orders")
     held = D.held_orders(t, orders)
     return {
-        "sales": lambda: w.put("v_sales", D.v_sales(t, examined=lines), True, ("seller_id",)),
-        "orders": lambda: w.put("v_orders", D.v_orders(t, examined=orders), True, ("region",)),
+        "sales": lambda: w.put("v_sales", D.sales_rows(t, lines), True, ("seller_id",), D.ym("purchase_date"), lambda df: D.sales_columns(t, df)),
+        "orders": lambda: w.put("v_orders", D.order_rows(orders), True, ("region",), D.ym("purchase_date"), lambda df: D.order_columns(t, df)),
         "held orders": lambda: w.put("quarantine_orders", held),
         "held lines": lambda: w.put("quarantine_lines", lines.filter("reason IS NOT NULL").select("order_id", "line_seq", *D.LINE_ORDER, "reason")),
     }
@@ -85,7 +98,8 @@ def audit(w: Warehouse) -> None:
 def load_marts(t: Tables, root: str) -> Warehouse:
     """The marts alone: written, audited, released."""
     w = Warehouse(t, root)
-    wave(steps(w))
-    audit(w)
+    with shuffles_deleted(t.spark):
+        wave(steps(w))
+        audit(w)
     w.release()
     return w

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -73,6 +75,26 @@ def settle(df: DataFrame, about: int | None = None, file_rows: int = FILE_ROWS)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A setting of the session, as it was before afterwards."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def shuffles_deleted(spark: SparkSession):
+    """Within, the shuffle files of a step are deleted when it ends. Otherwise they lie on the disks of the executors
+    until the driver's collector finds the plan gone, so those of a whole load add up."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def literals(one_row: DataFrame) -> dict[str, Column]:
     """The single row of an ungrouped aggregate as literal columns.
 

@@ -122,40 +122,81 @@ def summarised(of_lines: DataFrame, *more: Column) -> DataFrame:
     )
 
 
-def examined_orders(t: Tables, staged: DataFrame | None = None) -> DataFrame:
-    """Orders with the sums of their staged lines and, for those that contradict themselves, the ``reason``.
-
-    Here and below, a load hands in the staging tables that it has written.
-    """
-    facts = summarised(staged if staged is not None else staged_lines(t), F.bool_or(F.col("line_status") == "F").alias("has_delivered_line"))
+def examined_orders(t: Tables) -> DataFrame:
+    """Orders with the sums of their staged lines and, for those that contradict themselves, the ``reason``."""
+    facts = summarised(staged_lines(t), F.bool_or(F.col("line_status") == "F").alias("has_delivered_line"))
     out = orders(t).join(facts, "order_id", "left").withColumn("has_delivered_line", F.coalesce("has_delivered_line", F.lit(False)))
     return out.withColumn("reason", quality.quarantine_reason()).drop("has_delivered_line")
 
 
+def placed_orders(t: Tables) -> DataFrame:
+    """Orders beside the nation of their customer. What follows from these columns is added where it is written, not sent."""
+    nation = t.customer.select(F.col("c_custkey").alias("customer_id"), F.col("c_nationkey").alias("nation_id"))
+    return orders(t).drop(*PROMISE).join(nation, "customer_id", "left").withColumn("has_order", F.lit(True))
+
+
+def staged_by_order(t: Tables) -> DataFrame:
+    """Staged lines, each with the facts of its order (``FACTS``). The lines are sent by order once, which serves the merging
+    of doubled lines, these facts and a join by order."""
+    pick = F.max(F.struct(*LINE_ORDER)).alias("m")
+    staged = lines(t).repartition("order_id").groupBy("order_id", "line_seq").agg(pick).select("order_id", "line_seq", "m.*")
+    order = Window.partitionBy("order_id")
+    return staged.withColumns({
+        "n_lines": F.count("*").over(order), "n_sellers": F.size(F.collect_set("seller_id").over(order)).cast("bigint"),
+        "items_value": F.sum("price").over(order), "freight_value": F.sum("freight").over(order),
+        "first_ship": F.min("ship_date").over(order), "last_ship": F.max("ship_date").over(order),
+        "has_delivered_line": F.bool_or(F.col("line_status") == "F").over(order)})
+
+
+FACTS = ["n_lines", "n_sellers", "items_value", "freight_value", "first_ship", "last_ship"]
+ORDER = ["customer_id", "status", "purchase_date", "ym", "total", "payment_type", "promised_date"]
+PROMISE = ["ym", "promised_date"]
+PLACE = ["state", "region"]
+
+
+def judged(t: Tables, staged: DataFrame, how: str) -> DataFrame:
+    """Staged lines and orders side by side, with the place and the ``reason`` where the order contradicts itself."""
+    out = staged.join(placed_orders(t), "order_id", how).withColumns(
+        {c: F.coalesce(c, F.lit(False)) for c in ("has_order", "has_delivered_line")})
+    placed = with_place(t, with_promise(out.withColumn("reason", quality.quarantine_reason())))
+    return placed.withColumns({c: F.when(F.col("has_order"), F.col(c)) for c in PLACE})
+
+
 def examined_lines(t: Tables) -> DataFrame:
     """Staged lines beside their order and its customer's place, with the ``reason`` where the order contradicts itself.
 
-    The lines are sent by order once, which serves the merging of doubled lines, the facts of the order and the join.
     Lines without an order stay; ``has_order`` tells them.
     """
-    pick = F.max(F.struct(*LINE_ORDER)).alias("m")
-    staged = lines(t).repartition("order_id").groupBy("order_id", "line_seq").agg(pick).select("order_id", "line_seq", "m.*")
-    order = Window.partitionBy("order_id")
-    staged = staged.withColumns({"last_ship": F.max("ship_date").over(order), "has_delivered_line": F.coalesce(F.bool_or(F.col("line_status") == "F").over(order), F.lit(False))})
-    placed = with_dimension(orders(t), customers(t).select("customer_id", "state", "region"), "customer_id").withColumn("has_order", F.lit(True))
-    out = staged.join(placed, "order_id", "left").withColumn("has_order", F.coalesce("has_order", F.lit(False)))
-    return out.withColumn("reason", quality.quarantine_reason()).drop("last_ship", "has_delivered_line")
+    return judged(t, staged_by_order(t), "left").select(*STAGING["lines"])
+
+
+STAGING = {
+    "lines": ["order_id", "line_seq", *LINE_ORDER, *ORDER, *PLACE, "nation_id", "has_order", "reason"],
+    "orders": ["order_id", *ORDER, *FACTS, *PLACE, "nation_id", "reason"],
+}
+
+
+def examined(t: Tables) -> DataFrame:
+    """Lines and orders of a load in one pass: ``grain`` is 'lines' or 'orders', and a row has the columns of its grain
+    (``STAGING``). An order comes with its first line, or alone if it has none."""
+    first = F.row_number().over(Window.partitionBy("order_id").orderBy("line_seq")) == 1
+    both = judged(t, staged_by_order(t).withColumns({"has_line": F.lit(True), "first": first}), "full")
+    of_order, of_line = F.col("has_order") & F.coalesce("first", F.lit(True)), F.col("has_line")
+    grains = F.array_compact(F.array(F.when(of_order, F.lit("orders")), F.when(of_line, F.lit("lines"))))
+    out = both.withColumn("grain", F.explode(grains))
+    own = {c: F.when(F.col("grain") == g, F.col(c)).alias(c) for g, other in (("lines", "orders"), ("orders", "lines"))
+           for c in STAGING[g] if c not in STAGING[other]}
+    return out.select(*[own.get(c, F.col(c)) for c in dict.fromkeys(STAGING["lines"] + STAGING["orders"])], "grain")
 
 
 def held_orders(t: Tables, examined: DataFrame | None = None) -> DataFrame:
-    """Orders in quarantine, with the reason. Their lines and reviews follow them."""
+    """Orders in quarantine, with the reason. Their lines and reviews follow them. ``examined``: the staging that a load has written."""
     examined = examined if examined is not None else examined_orders(t)
     return examined.filter("reason IS NOT NULL").select(*orders(t).columns, "reason")
 
 
-def kept_orders(t: Tables, examined: DataFrame | None = None) -> DataFrame:
-    examined = examined if examined is not None else examined_orders(t)
-    return examined.filter("reason IS NULL").drop("reason")
+def kept_orders(t: Tables) -> DataFrame:
+    return examined_orders(t).filter("reason IS NULL").drop("reason")
 
 
 def with_dimension(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
@@ -164,15 +205,59 @@ def with_dimension(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     return df.join(dimension, key, "left").withColumns(texts)
 
 
-def v_sales(t: Tables, dims: tuple[str, ...] = ("customer", "product", "seller"), examined: DataFrame | None = None) -> DataFrame:
+def with_promise(df: DataFrame) -> DataFrame:
+    """The columns of an order that follow from its others."""
+    return df.withColumns({"ym": ym("purchase_date"), "promised_date": F.date_add("purchase_date", promise_days("payment_type"))})
+
+
+def with_place(t: Tables, df: DataFrame, nation: str = "nation_id", state: str = "state", region: str = "region") -> DataFrame:
+    """State and region of a nation's number. Nations are a table of fixed length: rows carry the number, and get the
+    names where they are written."""
+    g = geography(t).select(F.col("nation_id").alias(nation), F.col("state").alias(state), F.col("region").alias(region))
+    return with_dimension(df, F.broadcast(g), nation)
+
+
+DIMS = ("customer", "product", "seller")
+
+
+def sales_rows(t: Tables, examined: DataFrame, dims: tuple[str, ...] = DIMS) -> DataFrame:
+    """Examined lines of kept orders beside product and seller, without what follows from these columns (``sales_columns``).
+
+    This is what a writer sends. Sellers are joined without their nation's names, so that Spark knows how small they are.
+    """
+    out = examined.filter("has_order AND reason IS NULL").drop("has_order", "reason", *PROMISE, *PLACE)
+    if "product" in dims:
+        out = with_dimension(out, products(t), "product_id")
+    if "seller" in dims:
+        s = t.supplier.select(F.col("s_suppkey").alias("seller_id"), F.col("s_name").alias("seller_name"), F.col("s_nationkey").alias("seller_nation"))
+        out = out.join(s, "seller_id", "left")
+    return out
+
+
+def sales_columns(t: Tables, df: DataFrame, dims: tuple[str, ...] = DIMS) -> DataFrame:
+    """``sales_rows`` with all columns of ``v_sales``."""
+    out = with_promise(df)
+    columns = ["order_id", "line_seq", *LINE_ORDER, *ORDER]
+    if "customer" in dims:
+        out, columns = with_place(t, out), [*columns, *PLACE]
+    if "product" in dims:
+        columns += ["category", "brand", "list_price"]
+    if "seller" in dims:
+        # As in sellers(): one without a known nation is no seller that we know.
+        known = geography(t).select(F.col("nation_id").alias("seller_nation"), F.lit(True).alias("_known"), F.col("state").alias("seller_state"), F.col("region").alias("seller_region"))
+        out = out.join(F.broadcast(known), "seller_nation", "left").withColumn("seller_name", F.when(F.col("_known"), F.col("seller_name")))
+        names = ["seller_name", "seller_state", "seller_region"]
+        out, columns = out.withColumns({c: F.coalesce(c, F.lit("unknown")) for c in names}), [*columns, *names]
+    return out.select(*columns)
+
+
+def v_sales(t: Tables, dims: tuple[str, ...] = DIMS, examined: DataFrame | None = None) -> DataFrame:
     """One row per staged line of the orders that were kept, with the dimensions asked for. ``examined``: lines, see ``examined_lines``."""
     if examined is not None:
-        out = examined.filter("has_order AND reason IS NULL").drop("has_order", "reason")
-        out = out if "customer" in dims else out.drop("state", "region")
-    else:
-        out = staged_lines(t).join(kept_orders(t).select(*orders(t).columns), "order_id")
-        if "customer" in dims:
-            out = with_dimension(out, customers(t).select("customer_id", "state", "region"), "customer_id")
+        return sales_columns(t, sales_rows(t, examined, dims), dims)
+    out = staged_lines(t).join(kept_orders(t).select(*orders(t).columns), "order_id")
+    if "customer" in dims:
+        out = with_dimension(out, customers(t).select("customer_id", "state", "region"), "customer_id")
     if "product" in dims:
         out = with_dimension(out, products(t), "product_id")
     if "seller" in dims:
@@ -180,14 +265,28 @@ def v_sales(t: Tables, dims: tuple[str, ...] = ("customer", "product", "seller")
     return out
 
 
-def v_orders(t: Tables, dims: tuple[str, ...] = ("customer",), examined: DataFrame | None = None) -> DataFrame:
+def order_rows(examined: DataFrame) -> DataFrame:
+    """Examined orders that were kept, without what follows from these columns (``order_columns``)."""
+    return examined.filter("reason IS NULL").drop("reason", *PROMISE, *PLACE)
+
+
+def order_columns(t: Tables, df: DataFrame) -> DataFrame:
+    """``order_rows`` with all columns of ``v_orders``."""
+    out = with_place(t, with_delivery(with_promise(df)))
+    return out.select("order_id", *ORDER, *[c for c in FACTS if c in df.columns], *DELIVERY, *PLACE)
+
+
+def v_orders(t: Tables, dims: tuple[str, ...] = ("customer",)) -> DataFrame:
     """One row per order that was kept, with delivery columns (delivery_days, days_late, on_time)."""
-    out = with_delivery(kept_orders(t, examined))
+    out = with_delivery(kept_orders(t))
     if "customer" in dims:
         out = with_dimension(out, customers(t).select("customer_id", "state", "region"), "customer_id")
     return out
 
 
+DELIVERY = ["delivered_date", "delivery_days", "days_late", "on_time"]
+
+
 def with_delivery(df: DataFrame) -> DataFrame:
     delivered = F.when(F.col("status") == DELIVERED, F.col("last_ship"))
     return df.withColumns({
