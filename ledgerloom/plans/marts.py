@@ -23,13 +23,13 @@ class Warehouse:
         self.build = f"{root}/build-{uuid.uuid4().hex}"
 
     def put(self, name: str, df: DataFrame, monthly: bool = False, order: tuple[str, ...] = (), at: Column | None = None,
-            later: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+            later: Callable[[DataFrame], DataFrame] = lambda df: df, together: tuple[str, ...] = ()) -> None:
         """Writes ``df``, or what ``later`` makes of it after it is sent by month (``at``)."""
         path = f"{self.build}/{name}"
         if monthly:
-            W.write_monthly(df, path, order=order, at=at, later=later)
+            W.write_monthly(df, path, order=order, at=at, together=together, later=later)
         else:
-            df.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").parquet(path, compression=W.COMPRESSION)
         self.schemas[name] = later(df).schema
         self.opened.pop(name, None)
 
@@ -37,7 +37,7 @@ class Warehouse:
         """``examined`` in one pass as two tables, staging_lines and staging_orders, each with its own columns."""
         # Both files of a task are open at a time, so its rows need no sorting by table.
         with setting(self.t.spark, "spark.sql.maxConcurrentOutputFileWriters", str(len(D.STAGING))):
-            df.write.partitionBy("grain").parquet(f"{self.build}/staging")
+            df.write.partitionBy("grain").parquet(f"{self.build}/staging", compression=W.COMPRESSION)
         for grain, columns in D.STAGING.items():
             name = f"staging_{grain}"
             self.schemas[name] = df.select(*columns).schema
@@ -65,7 +65,7 @@ def steps(w: Warehouse) -> dict:
     lines, orders = w.get("staging_lines"), w.get("staging_orders")
     held = D.held_orders(t, orders)
     return {
-        "sales": lambda: w.put("v_sales", D.sales_rows(t, lines), True, ("seller_id",), D.ym("purchase_date"), lambda df: D.sales_columns(t, df)),
+        "sales": lambda: w.put("v_sales", D.sales_rows(t, lines), True, ("seller_id",), D.ym("purchase_date"), lambda df: D.sales_columns(t, df), ("order_id",)),
         "orders": lambda: w.put("v_orders", D.order_rows(orders), True, ("region",), D.ym("purchase_date"), lambda df: D.order_columns(t, df)),
         "held orders": lambda: w.put("quarantine_orders", held),
         "held lines": lambda: w.put("quarantine_lines", lines.filter("reason IS NOT NULL").select("order_id", "line_seq", *D.LINE_ORDER, "reason")),

@@ -137,11 +137,10 @@ def payment_gap(o):
 
 
 def line_facts(t: Tables):
-    """Lines beside their order (left, so that orphans stay) with the raw date as text."""
-    raw = t.lineitem.select(
-        F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_seq"), F.col("l_shipdate").cast("string").alias("raw_date"), "l_extendedprice",
-        F.col("l_shipdate").cast("date").alias("ship_date"))
-    return raw.join(D.orders(t).select("order_id", "purchase_date"), "order_id", "left")
+    """Lines beside their order (left, so that orphans stay) with the raw date as text, made after the lines are sent."""
+    raw = t.lineitem.select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_seq"), "l_shipdate", "l_extendedprice")
+    both = raw.join(D.orders(t).select("order_id", "purchase_date"), "order_id", "left")
+    return both.withColumns({"raw_date": F.col("l_shipdate").cast("string"), "ship_date": F.col("l_shipdate").cast("date")}).drop("l_shipdate")
 
 
 def products_facts(t: Tables):

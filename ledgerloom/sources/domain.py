@@ -273,7 +273,7 @@ def order_rows(examined: DataFrame) -> DataFrame:
 def order_columns(t: Tables, df: DataFrame) -> DataFrame:
     """``order_rows`` with all columns of ``v_orders``."""
     out = with_place(t, with_delivery(with_promise(df)))
-    return out.select("order_id", *ORDER, *[c for c in FACTS if c in df.columns], *DELIVERY, *PLACE)
+    return out.select(*[c for c in dict.fromkeys(["order_id", *df.columns, *ORDER, *DELIVERY, *PLACE]) if c in out.columns and c != "nation_id"])
 
 
 def v_orders(t: Tables, dims: tuple[str, ...] = ("customer",)) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, DataType, DecimalType, StructType
 
 SEVERITIES = ("critical", "high", "medium", "low")
+#: Of the tables of a load.
+COMPRESSION = "zstd"
 PERSONAL = ("customer_id", "customer_name", "name", "email")
 
 
@@ -21,16 +23,17 @@ def replace_table(df: DataFrame, root: str, name: str) -> str:
 
 
 def write_monthly(df: DataFrame, path: str, month: str = "ym", order: tuple[str, ...] = (), at: Column | None = None,
-                  later: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
+                  together: tuple[str, ...] = (), later: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
     """Wide table partitioned by month. Rows are sent to the tasks by month and a salt, so that
     a month makes few files and a very large month is still written by several tasks. In ``order``,
     files let a reader of one seller or region skip most of their pages.
 
-    Columns that follow from others are added by ``later``, after the rows are sent; ``at`` is the month of a row before."""
+    Columns that follow from others are added by ``later``, after the rows are sent; ``at`` is the month of a row before.
+    Rows alike in ``together`` come to one file, where a reader can count them as one before it sends anything."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(max(1, n // 4)))
+    salt = F.pmod(F.xxhash64(*(together or df.columns)), F.lit(max(1, n // 4)))
     sent = df.repartition(n, F.col(month) if at is None else at, salt)
-    later(sent).sortWithinPartitions(month, *order).write.mode("overwrite").partitionBy(month).parquet(path)
+    later(sent).sortWithinPartitions(month, *order).write.mode("overwrite").partitionBy(month).parquet(path, compression=COMPRESSION)
 
 
 def point_to(spark: SparkSession, root: str, build: str) -> None:

@@ -84,3 +84,42 @@ def test_a_load_leaves_no_shuffle_files(spark, tables, tmp_path):
         time.sleep(0.5)
     assert not left
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") != "true"
+
+
+def test_a_whole_load_leaves_no_shuffle_files_and_counts_orders_once(spark, tables, tmp_path):
+    from ledgerloom.operators import security as S
+    from ledgerloom.plans import pages
+
+    before = shuffle_files(spark)
+    w = pages.load(tables, str(tmp_path))
+    until = time.time() + 20
+    while (left := shuffle_files(spark) - before) and time.time() < until:
+        time.sleep(0.5)
+    assert not left
+    sales = w.get("v_sales")
+    kept = sales.filter("status <> 'P'")
+    for name, keys in (("agg_payments_by_seller", ["seller_id", "payment_type"]), ("agg_sales_payments", ["region", "payment_type"])):
+        want = kept.groupBy(*keys).agg(F.count_distinct("order_id").alias("orders"), F.sum("price").alias("sales"))
+        assert w.schemas[name] == want.schema or [f.dataType for f in w.schemas[name]] == [f.dataType for f in want.schema]
+        assert texts(w.get(name), *want.columns) == texts(want, *want.columns)
+    want = kept.groupBy("seller_id", "ym", "region", "category").agg(F.sum("price").alias("sales"), F.count("*").alias("n_lines"))
+    assert texts(w.get("agg_sales_by_seller"), *want.columns) == texts(want, *want.columns)
+    own = sales.groupBy("order_id", "seller_id").agg(F.count("*").alias("n_lines"), F.sum("price").alias("price"))
+    want = own.join(w.get("v_orders").drop(*S.ORDER_TOTALS, "n_lines"), "order_id")
+    assert texts(w.get("orders_by_seller"), *want.columns) == texts(want, *want.columns)
+    reviews = D.latest_reviews(tables).join(w.get("v_orders"), "order_id")
+    assert texts(w.get("v_reviews"), *reviews.columns) == texts(reviews, *reviews.columns)
+    want = own.select("order_id", "seller_id").join(reviews.drop(*S.ORDER_TOTALS, "n_lines"), "order_id")
+    assert texts(w.get("reviews_by_seller"), *want.columns) == texts(want, *want.columns)
+
+
+def test_a_session_setting_is_put_back(spark):
+    from ledgerloom.session import setting
+
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    with pytest.raises(ValueError):
+        with setting(spark, name, "2"):
+            assert spark.conf.get(name) == "2"
+            raise ValueError
+    assert spark.conf.get(name) == before
